@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
+from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.simhash import op2_simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,9 @@ def over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_dedup": over_documents(op2_simhash_dedup),
+    "op8_line_dedup": over_documents(op8_line_dedup),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": OP8_SQL,
+}
