@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.common import table
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.simhash import op2_simhash_dedup
+from corpusloom.llm.toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +18,13 @@ def over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, "documents"))
 
 
+def over_documents_and_labels(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash_dedup": over_documents(op2_simhash_dedup),
+    "op6_toxicity": over_documents_and_labels(op6_toxicity),
     "op8_line_dedup": over_documents(op8_line_dedup),
 }
 
