@@ -1,16 +1,29 @@
-"""Documents to training sequences in five stages, each written as Parquet and read again."""
+"""Documents to training sequences in five stages, each written as Parquet and read again.
+
+Toxic documents go, repeated lines go, one document of each near-duplicate group stays, repeated
+passages are cut, and what remains is packed. Every stage works on all rows of the one before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import Scratch, table
+from corpusloom.llm.linededup import line_dedup
+from corpusloom.llm.packing import pack
 from corpusloom.llm.simhash import simhash_keep
+from corpusloom.llm.suffixes import suffix_dedup
+from corpusloom.llm.toxicity import drop_toxic
 
 STAGES = [
+    ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
+    ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
     ("simhash near-dedup", lambda spark, docs, sf_dir: simhash_keep(docs)),
+    ("suffix-array dedup", lambda spark, docs, sf_dir: suffix_dedup(docs)),
+    ("best-fit packing", lambda spark, docs, sf_dir: pack(docs)),
 ]
 
+#: No stage but line dedup can be told in SQL.
 ORACLE_SQL = None
 
 
