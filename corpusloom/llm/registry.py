@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.bpe import op4_bpe_roundtrip
 from corpusloom.llm.common import table
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.packing import op5_bestfit_packing
 from corpusloom.llm.simhash import op2_simhash_dedup
 from corpusloom.llm.suffixes import op3_suffix_array_dedup
+from corpusloom.llm.tokencounts import op7_token_counts
 from corpusloom.llm.toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +29,10 @@ def over_documents_and_labels(fn: Callable[[DataFrame, DataFrame], DataFrame]) -
 QUERIES: dict[str, Query] = {
     "op2_simhash_dedup": over_documents(op2_simhash_dedup),
     "op3_suffix_array_dedup": over_documents(op3_suffix_array_dedup),
+    "op4_bpe_roundtrip": over_documents(op4_bpe_roundtrip),
     "op5_bestfit_packing": over_documents(op5_bestfit_packing),
     "op6_toxicity": over_documents_and_labels(op6_toxicity),
+    "op7_token_counts": over_documents(op7_token_counts),
     "op8_line_dedup": over_documents(op8_line_dedup),
 }
 
