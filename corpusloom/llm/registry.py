@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.bpe import op4_bpe_roundtrip
 from corpusloom.llm.common import table
+from corpusloom.llm.embeddings import op10_embedding_dedup
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.packing import op5_bestfit_packing
 from corpusloom.llm.simhash import op2_simhash_dedup
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": over_documents_and_labels(op6_toxicity),
     "op7_token_counts": over_documents(op7_token_counts),
     "op8_line_dedup": over_documents(op8_line_dedup),
+    "op10_embedding_dedup": lambda spark, sf_dir: op10_embedding_dedup(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLE_SQL: dict[str, str] = {
