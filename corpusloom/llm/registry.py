@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.bpe import op4_bpe_roundtrip
 from corpusloom.llm.common import table
 from corpusloom.llm.embeddings import op10_embedding_dedup
+from corpusloom.llm.importance import op9_quality_classifier
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.packing import op5_bestfit_packing
+from corpusloom.llm.quality import op1_quality_rules
 from corpusloom.llm.simhash import op2_simhash_dedup
 from corpusloom.llm.suffixes import op3_suffix_array_dedup
 from corpusloom.llm.tokencounts import op7_token_counts
@@ -28,6 +30,7 @@ def over_documents_and_labels(fn: Callable[[DataFrame, DataFrame], DataFrame]) -
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": over_documents_and_labels(op1_quality_rules),
     "op2_simhash_dedup": over_documents(op2_simhash_dedup),
     "op3_suffix_array_dedup": over_documents(op3_suffix_array_dedup),
     "op4_bpe_roundtrip": over_documents(op4_bpe_roundtrip),
@@ -35,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": over_documents_and_labels(op6_toxicity),
     "op7_token_counts": over_documents(op7_token_counts),
     "op8_line_dedup": over_documents(op8_line_dedup),
+    "op9_quality_classifier": over_documents_and_labels(op9_quality_classifier),
     "op10_embedding_dedup": lambda spark, sf_dir: op10_embedding_dedup(table(spark, sf_dir, "embeddings")),
 }
 
