@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a longer single text makes a pass of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held several times over.
+BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where PYTHONPATH does not already hold it."""
+    """Let Python workers import this package where PYTHONPATH does not already hold it, and keep Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == _DEFAULT_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     sc = spark.sparkContext
