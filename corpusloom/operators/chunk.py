@@ -5,22 +5,25 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions.chunking import chunks_of, sentences
 from corpusloom.functions.stem import stem
 
+_STRINGS = ArrayType(StringType())
 
-@F.pandas_udf("array<string>")
+
+@F.pandas_udf(_STRINGS)
 def _chunks(doc_id: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([chunks_of(d or "", k or "guide", t or "") for d, k, t in zip(doc_id, kind, text, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_STRINGS)
 def _sentences(kind: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([[t or ""] if k == "faq" else sentences(t or "") for k, t in zip(kind, text, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(term: pd.Series) -> pd.Series:
     """Apply to distinct terms, then join; not to every token."""
     return term.map(stem, na_action="ignore")

@@ -75,11 +75,11 @@ def against_baseline(rows: DataFrame, config: str, baseline: str, key: str, valu
     return rows.where(F.col(config) != baseline).join(base, key).select(config, key, delta.alias("delta"), F.when(delta > least, "improved").when(delta < -least, "regressed").otherwise("same").alias("change"))
 
 
-def best_configs(rows: DataFrame, topic: str, config: str, value: str, configs: list[str]) -> DataFrame:
+def best_configs(rows: DataFrame, topic: str, config: str, value: str, configs: list[str], digits: int = 4) -> DataFrame:
     """A column for each configuration with its mean, the best one (the first of equals) and its lead on the first configuration."""
-    wide = rows.groupBy(topic).pivot(config, configs).agg(F.round(F.avg(value), 4))
+    wide = rows.groupBy(topic).pivot(config, configs).agg(F.round(F.avg(value), digits))
     place = lambda c: F.struct(F.coalesce(F.col(c), F.lit(-1e18)).alias("v"), F.lit(-configs.index(c)).alias("o"), F.lit(c).alias("c"))
-    return wide.withColumn("best", F.greatest(*[place(c) for c in configs]).getField("c")).withColumn("lead", F.round(F.greatest(*[F.col(c) for c in configs]) - F.col(configs[0]), 4))
+    return wide.withColumn("best", F.greatest(*[place(c) for c in configs]).getField("c")).withColumn("lead", F.round(F.greatest(*[F.col(c) for c in configs]) - F.col(configs[0]), digits))
 
 
 def audit(entries: DataFrame, chunks: DataFrame, relevance: float = 0.10, grounding: float = 0.15) -> DataFrame:

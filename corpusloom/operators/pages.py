@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusloom.functions import html as H
 from corpusloom.functions.text import RENTER_WORDS, citations, contains_any, content_hash, content_type, slug_id
 
-PARSED = "title string, markdown string, headings array<string>, links array<string>, pdf_links array<string>"
+_STRINGS = ArrayType(StringType())
+PARSED = StructType([StructField("title", StringType()), StructField("markdown", StringType()), *(StructField(n, _STRINGS) for n in ("headings", "links", "pdf_links"))])
+_QUESTION = StructType([StructField(n, StringType()) for n in ("question", "answer", "category")])
 
 
 @F.pandas_udf(PARSED)
@@ -23,7 +26,7 @@ def parsed(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "markdown", "headings", "links", "pdf_links"])
 
 
-@F.pandas_udf("array<struct<question:string,answer:string,category:string>>")
+@F.pandas_udf(ArrayType(_QUESTION))
 def _questions(html: pd.Series) -> pd.Series:
     return html.map(lambda x: [dict(zip(("question", "answer", "category"), q, strict=True)) for q in H.questions(H.parse(x))])
 

@@ -106,12 +106,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # query terms pick the postings they need; frequent terms are split by adaptive execution
     hit = index.join(asked.join(idf, "term"), "term")
     gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
-    scores = hit.groupBy("query_id", "id").agg(F.sum(gain).alias("score"))
-    best = ranked(scores, k, F.round("score", 9).desc(), F.col("id")).drop("rank")
     # a result has at most k rows without a match, and those are among the first k documents
     few = docs.select("id").orderBy("id").limit(k)
-    blank = queries.select("query_id").distinct().crossJoin(F.broadcast(few)).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.unionByName(blank), k, F.round("score", 9).desc(), F.col("id"))
+    blank = queries.select("query_id").distinct().crossJoin(F.broadcast(few)).select("query_id", "id", F.lit(0.0).alias("gain"))
+    scores = hit.select("query_id", "id", gain.alias("gain")).unionByName(blank).groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
+    return ranked(scores, k, F.round("score", 9).desc(), F.col("id"))
 
 
 def _scaled(value: Column, low: Column, high: Column) -> Column:
@@ -241,7 +240,7 @@ def expand_windows(windows: DataFrame, sentences: DataFrame) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """query_id, shared, only_a, only_b: what two result lists have in common."""
     both = a.select("query_id", "id", F.lit(1).alias("a")).join(b.select("query_id", "id", F.lit(1).alias("b")), ["query_id", "id"], "full_outer")
-    return both.groupBy("query_id").agg(F.count_if("a = 1 AND b = 1").alias("shared"), F.count_if("b IS NULL").alias("only_a"), F.count_if("a IS NULL").alias("only_b"))
+    return both.groupBy("query_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
 #: Names of the retrievers and their operators.

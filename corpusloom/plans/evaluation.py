@@ -70,14 +70,14 @@ def baseline_delta(spark, sf_dir):
     return E.against_baseline(means, "event_type", "view", "user_id", "v")
 
 
-_PIVOT = ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{c}'), 4) AS {c}" for c in CONFIGS)
+_PIVOT = ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{c}'), 6) AS {c}" for c in CONFIGS)
 
 
 @query(f"""
 WITH w AS (SELECT user_id, {_PIVOT} FROM events GROUP BY 1)
-SELECT *, CASE greatest({', '.join(f"coalesce({c}, -1e18)" for c in CONFIGS)}) {' '.join(f"WHEN {c} THEN '{c}'" for c in CONFIGS)} END AS best, round(greatest({', '.join(CONFIGS)}) - view, 4) AS lead FROM w""")
+SELECT *, CASE greatest({', '.join(f"coalesce({c}, -1e18)" for c in CONFIGS)}) {' '.join(f"WHEN {c} THEN '{c}'" for c in CONFIGS)} END AS best, round(greatest({', '.join(CONFIGS)}) - view, 6) AS lead FROM w""")
 def config_pivot(spark, sf_dir):
-    return E.best_configs(table(spark, sf_dir, "events"), "user_id", "event_type", "value", CONFIGS)
+    return E.best_configs(table(spark, sf_dir, "events"), "user_id", "event_type", "value", CONFIGS, digits=6)
 
 
 @query("""

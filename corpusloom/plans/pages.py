@@ -120,4 +120,4 @@ def chat_stream(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chat_id"), F.when(F.col("turn") % 5 != 3, F.col("text")).alias("answer"))
     sources = answers.select("chat_id", F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit("u").alias("source_url"), F.lit("c").alias("content"), F.lit(1.0).alias("score"))
-    return S.chat_events(sources, answers).groupBy("chat_id").agg(F.count_if("event = 'token'").alias("n_tokens"), F.max_by("event", "seq").alias("last"))
+    return S.chat_events(sources, answers).groupBy("chat_id").agg(F.count_if(F.col("event") == "token").alias("n_tokens"), F.max_by("event", "seq").alias("last"))

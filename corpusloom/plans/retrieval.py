@@ -97,7 +97,7 @@ def hybrid_fusion(spark, sf_dir):
 @query(f"""
 WITH {_VECTOR}, {_BM25}, li AS (SELECT query_id, id, 0 AS list, rank FROM vr WHERE rank <= {2 * K} UNION ALL SELECT query_id, id, 1, rank FROM br WHERE rank <= {2 * K}),
 fu AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM li GROUP BY 1, 2)
-SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM fu QUALIFY row_number() OVER w <= {K} WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 12) DESC, first)""")
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM fu WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) QUALIFY row_number() OVER w <= {K}""")
 def rrf_fusion(spark, sf_dir):
     q = _queries(spark, sf_dir)
     v = R.vector_topk(_vectors(spark, sf_dir), q, 2 * K).select("query_id", F.lit(0).alias("list"), "id", "rank")
@@ -108,7 +108,7 @@ def rrf_fusion(spark, sf_dir):
 @query(f"""
 WITH {_VECTOR}, {_BM25}, {_hybrid(2 * K)}, {_SETS},
 re AS (SELECT hy.query_id, hy.id, hy.rank AS before, {_containment('w', 'd')} AS score FROM hy JOIN ds ON ds.id = hy.id JOIN qs ON qs.query_id = hy.query_id)
-SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM re QUALIFY row_number() OVER w <= {K} WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, before)""")
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM re WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, before) QUALIFY row_number() OVER w <= {K}""")
 def rerank_overlap(spark, sf_dir):
     found = R.rerank_topk(_vectors(spark, sf_dir), _docs(spark, sf_dir), _queries(spark, sf_dir), K)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -157,7 +157,7 @@ gr AS (SELECT ca.*, count(*) OVER w AS n, min(rank) OVER w AS first FROM ca WIND
 al AS (SELECT DISTINCT query_id, concat(doc, '_merged') AS chunk_id, first, 0 AS own, d, content FROM gr JOIN pa USING (doc) WHERE n >= 0.4 * total
   UNION ALL SELECT query_id, CAST(gr.id AS VARCHAR), first, rank, ds.d, t.text FROM gr JOIN pa USING (doc) JOIN ds ON ds.id = gr.id JOIN documents t ON t.doc_id = gr.id WHERE n < 0.4 * total),
 so AS (SELECT al.*, {_containment('w', 'd')} AS score FROM al JOIN qs USING (query_id))
-SELECT query_id, chunk_id, md5(content) AS content, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM so QUALIFY row_number() OVER w <= {K} WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, first, own)""")
+SELECT query_id, chunk_id, md5(content) AS content, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM so WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, first, own) QUALIFY row_number() OVER w <= {K}""")
 def auto_merge(spark, sf_dir):
     q = _queries(spark, sf_dir)
     found = R.auto_merge(R.bm25_topk(_docs(spark, sf_dir), q, 4 * K), _parts(spark, sf_dir), q, K)

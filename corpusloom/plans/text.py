@@ -10,7 +10,10 @@ from corpusloom.operators import clean as C
 from corpusloom.operators.chunk import line_chunks
 from corpusloom.plans.base import collapse_sql, lines_sql, query, strip_sql, table, tokens_sql
 
-T = F.col("text")
+def T():
+    return F.col("text")
+
+
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 LINES_SQL = """lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
@@ -21,7 +24,7 @@ _CITED = "concat('See MGL c.', {k}, ', s.', {s}, 'B; G.L. c. ', {s}, ' § 1; Cha
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(T).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(T()).alias("content_hash"))
 
 
 @query("""
@@ -33,12 +36,12 @@ def slug_id(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5({collapse_sql('lower(text)')}) AS k FROM documents")
 def near_dup_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.dedup_key(T).alias("k"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.dedup_key(T()).alias("k"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id, md5({collapse_sql('lower(text)')}) AS k FROM documents GROUP BY 2")
 def exact_dedup_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.alias("content"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T().alias("content"))
     return C.dedup_by_content(rows, "doc_id").select("doc_id", X.dedup_key(F.col("content")).alias("k"))
 
 
@@ -60,20 +63,20 @@ SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersec
 def token_containment(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("a", F.lead("text").over(w)).where("a is not null")
-    return rows.select("conv_id", "turn", F.round(X.containment(T, F.col("a")), 6).alias("ratio"))
+    return rows.select("conv_id", "turn", F.round(X.containment(T(), F.col("a")), 6).alias("ratio"))
 
 
 @query("SELECT doc_id, round(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text), 6) AS share FROM documents WHERE NOT (length(text) > 50 AND length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text) > 0.15)")
 def nonascii_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~C.is_non_english(T)).select("doc_id", F.round(X.non_ascii_share(T), 6).alias("share"))
+    return table(spark, sf_dir, "documents").where(~C.is_non_english(T())).select("doc_id", F.round(X.non_ascii_share(T()), 6).alias("share"))
 
 
 @query(f"""
 SELECT doc_id, len(regexp_extract_all(text, '(?i){C.BUYER}')) AS buyer, len(regexp_extract_all(text, '(?i){C.RENTER}')) AS renter FROM documents
 WHERE NOT (len(regexp_extract_all(text, '(?i){C.BUYER}')) >= 2 AND len(regexp_extract_all(text, '(?i){C.RENTER}')) = 0)""")
 def home_buying_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~C.is_home_buying(T))
-    return docs.select("doc_id", X.hits(T, C.BUYER).cast("long").alias("buyer"), X.hits(T, C.RENTER).cast("long").alias("renter"))
+    docs = table(spark, sf_dir, "documents").where(~C.is_home_buying(T()))
+    return docs.select("doc_id", X.hits(T(), C.BUYER).cast("long").alias("buyer"), X.hits(T(), C.RENTER).cast("long").alias("renter"))
 
 
 @query(rf"""
@@ -94,7 +97,7 @@ SELECT doc_id FROM n WHERE NOT (len(ls) = 0 OR (n >= 3 AND narrow = n AND length
   OR (n >= 8 AND linked > 0.65 * n AND total < 45 * n) OR contains(c, '<time datetime=')
   OR (contains(lower(c), 'sign up') AND contains(lower(c), 'newsletter') AND length(c) < 300) OR (length(c) < 600 AND contains(c, '...')))""")
 def line_stats_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~C.is_link_list(T, F.col("doc_id").cast("string"))).select("doc_id")
+    return table(spark, sf_dir, "documents").where(~C.is_link_list(T(), F.col("doc_id").cast("string"))).select("doc_id")
 
 
 @query(f"""
@@ -102,13 +105,13 @@ WITH t AS (SELECT doc_id, {lines_sql("replace(text, '.' || chr(10), chr(10) || '
 b AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT starts_with(x, '#')) AS body FROM t)
 SELECT doc_id FROM b WHERE len(ls) = 0 OR (len(ls) >= 2 AND len(ls) - len(body) > 0.75 * len(ls) AND length(coalesce(array_to_string(body, ' '), '')) < 50)""")
 def header_only_filter(spark, sf_dir):
-    marked = F.replace(T, F.lit(".\n"), F.lit("\n# "))
+    marked = F.replace(T(), F.lit(".\n"), F.lit("\n# "))
     return table(spark, sf_dir, "documents").where(C.is_header_only(marked)).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE length({strip_sql('text')}) >= 100")
 def short_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~C.is_short(T)).select("doc_id")
+    return table(spark, sf_dir, "documents").where(~C.is_short(T())).select("doc_id")
 
 
 @query(f"""
@@ -116,7 +119,7 @@ WITH t AS (SELECT doc_id, text, length({strip_sql('text')}) AS n, {lines_sql('te
 SELECT doc_id FROM t WHERE NOT (len(ls) = 0 OR (len(list_filter(ls, lambda x: length(x) < 40)) = len(ls) AND n < 150)
   OR (n < 200 AND ({' OR '.join(f"contains(lower(text), '{p}')" for p in C.BOILERPLATE)})))""")
 def boilerplate_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~C.is_boilerplate(T)).select("doc_id")
+    return table(spark, sf_dir, "documents").where(~C.is_boilerplate(T())).select("doc_id")
 
 
 @query(f"""
@@ -160,7 +163,7 @@ WITH t AS (SELECT text AS c, length({strip_sql('text')}) AS n FROM documents)
 SELECT 'short' AS step, count(*) FILTER (WHERE n < 100) AS removed FROM t
 UNION ALL SELECT 'non_english', count(*) FILTER (WHERE length(c) > 50 AND length(regexp_replace(c, '[\\x00-\\x7F]', '', 'g')) / length(c) > 0.15) FROM t""")
 def cleaning_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T.alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T().alias("content"))
     return C.step_counts(docs).where("step IN ('short', 'non_english')")
 
 
@@ -184,12 +187,12 @@ p AS (SELECT *, CASE WHEN contains(w, chr(10) || chr(10)) THEN length(w) - strpo
   greatest({', '.join(f"CASE WHEN contains(w, {s}) THEN length(w) - strpos(reverse(w), reverse({s})) - 1 ELSE -1 END" for s in ("'. '", "'.' || chr(10)", "'! '", "'? '"))}) AS sent FROM t)
 SELECT doc_id, CASE WHEN length(c) <= 800 THEN c WHEN para > 400 THEN {strip_sql('substring(c, 1, para)')} WHEN sent > 400 THEN {strip_sql('substring(c, 1, sent + 1)')} ELSE {strip_sql('w')} END AS answer FROM p""")
 def boundary_truncation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_answer(T).alias("answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_answer(T()).alias("answer"))
 
 
 @query(f"SELECT conv_id, turn, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> ''), 1, 3) AS v FROM conversations".replace("SELECT conv_id", "SELECT conv_id, turn, array_to_string(v, '|') AS variants FROM (SELECT conv_id", 1) + ")")
 def query_variants(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.variants(T, 3), "|").alias("variants"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.variants(T(), 3), "|").alias("variants"))
 
 
 @query(rf"""
@@ -203,12 +206,12 @@ def confidence_bands(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE event_type WHEN 'click' THEN printf('%.2f sim', greatest(0.0, 1 - value / 8)) WHEN 'view' THEN printf('%.1f BM25', value / 8)
-       WHEN 'error' THEN printf('%.3f RRF', value / 8) ELSE CASE WHEN value / 8 < 1 THEN printf('%.2f sim', 1 - value / 8) ELSE printf('%.1f score', value / 8) END END AS label
+SELECT event_id, CASE event_type WHEN 'click' THEN printf('%.2f sim', greatest(0.0, 1 - value / 7)) WHEN 'view' THEN printf('%.1f BM25', value / 7)
+       WHEN 'error' THEN printf('%.3f RRF', value / 7) ELSE CASE WHEN value / 7 < 1 THEN printf('%.2f sim', 1 - value / 7) ELSE printf('%.1f score', value / 7) END END AS label
 FROM (SELECT event_id, event_type, round(value) + 0.3 AS value FROM events)""")
 def score_labels(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "cosine_distance").when(F.col("event_type") == "view", "bm25").when(F.col("event_type") == "error", "rrf").otherwise("other")
-    return table(spark, sf_dir, "events").select("event_id", X.score_label((F.round("value") + 0.3) / 8, kind).alias("label"))
+    return table(spark, sf_dir, "events").select("event_id", X.score_label((F.round("value") + 0.3) / 7, kind).alias("label"))
 
 
 @query(r"""
@@ -235,4 +238,4 @@ FROM (SELECT source, ceil(length(text) / 4) AS t FROM documents) GROUP BY source
 def token_statistics(spark, sf_dir):
     from corpusloom.operators.chunk import token_stats
 
-    return token_stats(table(spark, sf_dir, "documents"), X.token_estimate(T), "source").select("source", "n_chunks", "min_tokens", "max_tokens", "avg_tokens")
+    return token_stats(table(spark, sf_dir, "documents"), X.token_estimate(T()), "source").select("source", "n_chunks", "min_tokens", "max_tokens", "avg_tokens")
