@@ -116,6 +116,21 @@ def replay(vocabulary: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tup
                 index[k] = [positions[a:b]]
                 heapq.heappush(heap, k)
 
+    def _order_matters(p: np.ndarray) -> np.ndarray:
+        """Words with several of the merges p where one of them alone would make a pair of lower rank."""
+        words = of[p]
+        several = np.zeros(len(p), bool)
+        several[1:] = words[1:] == words[:-1]
+        several[:-1] |= several[1:]
+        p = p[several]
+        made = rank[p]
+        right, left = after[after[p]], before[p]
+        lower = np.zeros(len(p), bool)
+        for a, b, there in ((made, token[np.minimum(right, n - 1)], right < n), (token[left], made, left >= 0), (made, made, right < n)):
+            r = vocabulary.merged(a, b)
+            lower |= there & (r >= 0) & (r < made)
+        return np.unique(of[p[lower]])
+
     enter(inner)
     alone: set[int] = set()
     while heap:
@@ -130,6 +145,11 @@ def replay(vocabulary: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tup
             if touching.any():  # of pairs that share a token the leftmost merges, then the next but one
                 k = np.arange(len(p))
                 p = p[(k - np.maximum.accumulate(np.where(touching, 0, k))) % 2 == 0]
+        if len(p) > 1 and (odd := _order_matters(p)).size:
+            alone.update(odd.tolist())
+            p = p[~np.isin(of[p], odd)]
+            for w in odd.tolist():
+                rank[ends[w] - lengths[w] : ends[w]] = -1
         if not len(p):
             continue
         gone = after[p]
@@ -145,14 +165,6 @@ def replay(vocabulary: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tup
         rank[p] = -1
         rank[p[known]] = vocabulary.merged(token[p[known]], token[following[known]])
         touched = np.unique(np.concatenate([left, p]))
-        if len(p) > 1:
-            words = of[p]
-            if (again := words[1:] == words[:-1]).any():
-                lower = touched[(rank[touched] >= 0) & (rank[touched] < r)]
-                if len(lower) and (odd := np.intersect1d(of[lower], words[1:][again])).size:
-                    alone.update(odd.tolist())
-                    for w in odd.tolist():
-                        rank[ends[w] - lengths[w] : ends[w]] = -1
         enter(touched)
     stays = np.zeros(n, bool)
     stays[ends - lengths] = True
