@@ -2,17 +2,19 @@
 
 Results are (query_id, id, score, rank); rank starts at 1 and is explicit, as rows have no order.
 Vectors are scored against blocks of queries by matrix products in Arrow batches, each task
-sending at most k rows a query on; BM25 joins postings with query terms; fusion, reranking
+sending at most k rows a query on; so does BM25 with term weights; fusion, reranking
 and expansion work on the few rows per query that these leave.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from corpusloom.functions.text import containment, tokens
 
 #: Queries that one pass over the vectors scores; more take more passes.
 QUERY_BLOCK = 1024
+#: Cells of the matrix of query terms and queries, and documents of a product.
+QUERY_CELLS, DOC_BLOCK = 1 << 21, 256
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -33,6 +37,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+class _Best:
+    """The k least values of each query, of equals the least ids, over blocks of candidates."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.values, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
+
+    def add(self, values: np.ndarray, ids: np.ndarray) -> None:
+        v = np.concatenate([self.values, values], axis=1)
+        i = np.concatenate([self.ids, np.broadcast_to(ids, values.shape)], axis=1)
+        if v.shape[1] > 4 * self.k:  # no row beyond the k-th value can be among the k first
+            cut = np.partition(v, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            width = max(self.k, int((v <= cut + 1e-9).sum(axis=1).max())) if len(v) else self.k
+            part = np.argpartition(v, min(width, v.shape[1]) - 1, axis=1)[:, :width]
+            v, i = np.take_along_axis(v, part, 1), np.take_along_axis(i, part, 1)
+        order = np.lexsort((i, np.round(v, 9)), axis=1)[:, : self.k]
+        self.values, self.ids = np.take_along_axis(v, order, 1), np.take_along_axis(i, order, 1)
+
+    def batch(self, queries: np.ndarray, name: str, sign: float) -> pa.RecordBatch:
+        n = self.values.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, n)), pa.array(self.ids.ravel()), pa.array(sign * self.values.ravel() + 0.0)], ["query_id", "id", name])
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance (1 - cosine, least first), rank. vectors: id, embedding; queries: query_id, embedding.
 
@@ -48,24 +74,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            best_d, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            best = _Best(len(ids), k)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                lists = b.column(1)
-                x = np.array(lists.to_pylist(), np.float64) if lists.null_count == 0 else None
-                keep = np.arange(b.num_rows)
-                if x is None:
-                    keep = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-                    x = np.array(lists.take(pa.array(keep)).to_pylist(), np.float64)
-                if not len(keep):
-                    continue
-                d = np.concatenate([best_d, 1 - q @ _unit(x).T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy()[keep], (len(ids), len(keep)))], axis=1)
-                order = np.lexsort((i, np.round(d, 12)), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "id", "distance"])
+                b = b.filter(b.column(1).is_valid())
+                if b.num_rows:
+                    lists = b.column(1)
+                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    best.add(1 - q @ _unit(x).T, b.column(0).to_numpy())
+            yield best.batch(ids, "distance", 1.0)
 
         return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, distance double")
 
@@ -79,7 +95,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q = _unit(np.array([x[1] for x in block], np.float64)) if block else np.zeros((0, 1))
         part = scored(np.array([x[0] for x in block], np.int64), q)
         out = part if out is None else out.unionAll(part)
-    return ranked(out, k, F.round("distance", 12), F.col("id"))
+    return ranked(out, k, F.round("distance", 9), F.col("id"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -89,28 +105,74 @@ def postings(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf"))
 
 
+def _weights(docs: DataFrame, asked: DataFrame) -> tuple[float, dict[str, float]]:
+    """Mean length of documents and weights of the terms asked for, from counts over all documents and terms."""
+    words = docs.select(tokens(F.col("content")).alias("terms"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
+    if not stats["n"]:
+        return 1.0, {}
+    frequency = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = frequency.select("term", (F.log(F.lit(stats["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    known = raw.join(wanted, "term", "left")
+    # one row: the mean weight, and the weights of the queries' terms, which the caller has bounded
+    row = known.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("terms")).first()
+    return float(stats["mean"] or 1.0), {t["term"]: t["raw"] if t["raw"] >= 0 else EPSILON * row["mean"] for t in row["terms"]}
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank with Okapi weights; documents without a match score 0 and follow in order of id.
 
     docs: id, content; queries: query_id, content. A term's weight that would be negative is EPSILON times the mean weight.
-    Repeated query terms count each time.
+    Repeated query terms count each time. Documents are scanned once, where they lie: each Arrow batch is a matrix of
+    term weights times the queries' matrix, and each task sends on at most k rows a query, so no postings are
+    shuffled. Queries go out in blocks whose matrix has at most QUERY_CELLS cells.
     """
-    index = postings(docs)
-    sizes = docs.select("id", F.size(tokens(F.col("content"))).alias("n_terms"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean_terms"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = frequency.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))  # one row, as stats
-    idf = raw.crossJoin(F.broadcast(floor)).select("term", "mean_terms", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # query terms pick the postings they need; frequent terms are split by adaptive execution
-    hit = index.join(asked.join(idf, "term"), "term")
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
-    # a result has at most k rows without a match, and those are among the first k documents
-    few = docs.select("id").orderBy("id").limit(k)
-    blank = queries.select("query_id").distinct().crossJoin(F.broadcast(few)).select("query_id", "id", F.lit(0.0).alias("gain"))
-    scores = hit.select("query_id", "id", gain.alias("gain")).unionByName(blank).groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
-    return ranked(scores, k, F.round("score", 9).desc(), F.col("id"))
+    spark = docs.sparkSession
+    asked = queries.select("query_id", tokens(F.coalesce("content", F.lit(""))).alias("terms"))
+    mean, weights = _weights(docs, asked.select(F.explode("terms").alias("term")))
+    words = docs.select("id", tokens(F.coalesce("content", F.lit(""))).alias("terms"))
+
+    def scored(block: list[tuple[int, Counter]]) -> DataFrame:
+        terms = sorted({t for _, c in block for t in c if t in weights})
+        place = {t: i for i, t in enumerate(terms)}
+        matrix = np.zeros((len(terms), len(block)))
+        for j, (_, c) in enumerate(block):
+            for t, n in c.items():
+                if t in place:
+                    matrix[place[t], j] = n * weights[t]
+        held = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), terms, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, terms, matrix = held.value
+            value_set = pa.array(terms, pa.string())
+            best = _Best(len(ids), k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, DOC_BLOCK):
+                    b = batch.slice(at, DOC_BLOCK)
+                    sizes = np.diff(b.column(1).offsets.to_numpy())
+                    found = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=value_set), -1).to_numpy()
+                    owner = np.repeat(np.arange(b.num_rows), sizes)
+                    hit = found >= 0
+                    tf = np.bincount(owner[hit] * max(1, len(terms)) + found[hit], minlength=b.num_rows * max(1, len(terms))).reshape(b.num_rows, -1)[:, : len(terms)]
+                    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / mean)[:, None])
+                    best.add(-(gain @ matrix).T, b.column(0).to_numpy())
+            yield best.batch(ids, "score", -1.0)
+
+        return words.mapInArrow(run, "query_id long, id long, score double")
+
+    out: DataFrame | None = None
+    block, vocabulary = [], set()
+    for r in asked.orderBy("query_id").toLocalIterator():
+        block.append((r["query_id"], Counter(r["terms"])))
+        vocabulary |= set(r["terms"])
+        if len(block) * len(vocabulary) >= QUERY_CELLS:
+            part, block, vocabulary = scored(block), [], set()
+            out = part if out is None else out.unionAll(part)
+    if block or out is None:
+        part = scored(block)
+        out = part if out is None else out.unionAll(part)
+    return ranked(out, k, F.round("score", 9).desc(), F.col("id"))
 
 
 def _scaled(value: Column, low: Column, high: Column) -> Column:

@@ -37,7 +37,7 @@ def _chunks(spark, sf_dir) -> DataFrame:
 _VECTOR = """
 q AS (SELECT b.item_id AS query_id, b.text, e.embedding AS v FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 vd AS (SELECT query_id, vec_id AS id, label, 1 - list_cosine_similarity(CAST(q.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance FROM q, embeddings e WHERE q.v IS NOT NULL),
-vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM vd)"""
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM vd)"""
 _BM25 = f"""
 dt AS (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS term FROM documents),
 dl AS (SELECT doc_id AS id, len({tokens_sql('text')}) AS n_terms FROM documents),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +23,18 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session; on a cluster leave ``master`` to spark-submit."""
     builder = SparkSession.builder.appName("corpusloom").config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where PYTHONPATH does not already hold it: once a session, through Spark's file server."""
+    root = Path(__file__).resolve().parents[1]
+    places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    sc = spark.sparkContext
+    if str(root) in places or getattr(sc, "_corpusloom_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="corpusloom-zip-")) / "corpusloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "corpusloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._corpusloom_shipped = True
