@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import ship
+
 #: Text bytes that one numpy pass works on; a longer single text makes a pass of its own.
 SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held several times over.
@@ -29,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        own = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -38,17 +41,7 @@ def ship_package(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == _DEFAULT_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-    root = Path(__file__).resolve().parents[2]
-    places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    sc = spark.sparkContext
-    if str(root) in places or getattr(sc, "_corpusloom_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="corpusloom-zip-")) / "corpusloom.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "corpusloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._corpusloom_shipped = True
+    ship(spark)
 
 
 class Scratch:
