@@ -143,4 +143,5 @@ def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None
 
 
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return resample(docs, labels)
+    """doc_id, n_ngrams, log_weight, kept (selected) of every row."""
+    return resample(docs, labels).withColumnRenamed("selected", "kept")

@@ -69,8 +69,8 @@ def test_importance_resampling(corpus, odd, odd_rows, empty, labels, no_labels):
     docs, marks = corpus
     found = importance.op9_quality_classifier(docs, marks.where("doc_id < 300")).collect()
     k = round(400 * np.mean([i % 4 != 0 for i in range(300)]))
-    assert sum(x.selected for x in found) == k
-    assert np.mean([(x.doc_id % 4 != 0) == x.selected for x in found]) > 0.95
+    assert sum(x.kept for x in found) == k
+    assert np.mean([(x.doc_id % 4 != 0) == x.kept for x in found]) > 0.95
     assert importance.op9_quality_classifier(odd, labels).count() == len(odd_rows)
     assert all(x.log_weight == 0 for x in importance.op9_quality_classifier(odd, no_labels).collect())
     assert importance.op9_quality_classifier(empty, labels).count() == 0
