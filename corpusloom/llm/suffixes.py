@@ -119,11 +119,12 @@ def _merged(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             a = np.unique(starts.values.to_numpy())
             cut = np.flatnonzero(np.diff(a) > min_words) + 1
             rows.append([{"start": int(x[0]), "end": int(x[-1]) + min_words} for x in np.split(a, cut)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind), batch.column(2)], ["doc_id", "spans", "first_docs"])
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(info, found). info: doc_id, n_words, copy_of (least doc_id with the same text, if smaller). found: doc_id, spans.
+    """(info, found). info: doc_id, n_words, copy_of (least doc_id with the same text, if smaller). found: doc_id, spans, first_docs
+    (the smallest doc_ids that hold its repeats, which keep them).
 
     spans are [start, end) in words: every run of ``min_words`` words or more that a document of
     smaller doc_id has as well, overlapping ones joined. A whole copy of at least ``min_words`` words is one
@@ -153,8 +154,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     windows = scratch.store(windows.mapInArrow(lambda b: _candidate_windows(b, min_words, gram), "w long, doc_id long, start int"), "windows")
     least = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top")).where("first < top")
     again = windows.join(scratch.store(least.select("w", "first"), "first-windows"), "w").where("doc_id > first")
-    found = again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).mapInArrow(lambda b: _merged(b, min_words), "doc_id long, spans array<struct<start:int,end:int>>")
-    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"))
+    found = again.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_set("first").alias("first_docs"))
+    found = found.mapInArrow(lambda b: _merged(b, min_words), "doc_id long, spans array<struct<start:int,end:int>>, first_docs array<long>")
+    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"), F.array("copy_of").alias("first_docs"))
     found = scratch.store(found.unionByName(whole), "spans")
     return info.select("doc_id", "n_words").join(copies.select("doc_id", "copy_of"), "doc_id", "left"), found
 
@@ -198,7 +200,10 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op3_suffix_array_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_repeated (words in spans), spans, copy_of per row."""
+    """doc_id, n_words, n_repeated (words in spans), repeated (whether there are any), spans, first_docs, copy_of per row."""
     info, found = repeated_spans(docs)
+    n = F.col("n_repeated")
     count = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return info.join(found, "doc_id", "left").select("doc_id", "n_words", F.coalesce(count, F.lit(0).cast("long")).alias("n_repeated"), F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:int,end:int>>)")).alias("spans"), "copy_of")
+    rows = info.join(found, "doc_id", "left").withColumn("n_repeated", F.coalesce(count, F.lit(0).cast("long")))
+    none = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
+    return rows.select("doc_id", "n_words", "n_repeated", (n > 0).alias("repeated"), F.coalesce("spans", none("struct<start:int,end:int>")).alias("spans"), F.coalesce("first_docs", none("long")).alias("first_docs"), "copy_of")

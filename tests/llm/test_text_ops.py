@@ -153,6 +153,9 @@ def test_suffixes_against_brute_force(spark, odd_rows):
             got[x.doc_id][s.start : s.end] = [True] * (s.end - s.start)
     assert got == want
     assert info.count() == len(rows)
+    result = {x.doc_id: x for x in suffixes.op3_suffix_array_dedup(table(spark, rows)).collect()}
+    assert all(result[i].repeated == any(m) and result[i].n_repeated == sum(m) for i, m in want.items())
+    assert result[311].first_docs == [300] and result[2].first_docs == [1] and result[2].copy_of == 1 and result[300].first_docs == []
 
 
 def test_suffix_dedup_cuts_repeats_alone(spark, odd, empty):
