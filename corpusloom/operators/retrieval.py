@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -107,7 +109,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def _weights(docs: DataFrame, asked: DataFrame) -> tuple[float, dict[str, float]]:
     """Mean length of documents and weights of the terms asked for, from counts over all documents and terms."""
-    words = docs.select(tokens(F.col("content")).alias("terms"))
+    words = docs.select(tokens(F.coalesce("content", F.lit(""))).alias("terms"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
     if not stats["n"]:
         return 1.0, {}
@@ -305,15 +307,61 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
-#: Names of the retrievers and their operators.
-RETRIEVERS: dict[str, Callable[..., DataFrame]] = {
-    "vector": vector_topk, "bm25": bm25_topk, "hybrid": hybrid_topk, "rerank": rerank_topk, "parent_child": expand_neighbours,
-    "multiquery": reciprocal_rank_fusion, "hybrid_parent_child": expand_neighbours, "hybrid_parent_child_rerank": rerank, "auto_merge": auto_merge, "sentence_window": merge_windows,
-}
+@dataclass
+class Corpus:
+    """What retrievers search. vectors: id, embedding; docs: id, content; chunks: id, doc, idx, content;
+    sentences: id, doc, idx, content, window_start, window_end."""
 
+    vectors: DataFrame
+    docs: DataFrame
+    chunks: DataFrame
+    sentences: DataFrame | None = None
 
-def retriever(name: str, strict: bool = False) -> Callable[..., DataFrame]:
-    """The operator of a name; an unknown one gives vector search, or raises if strict."""
+
+def halves(content: Column) -> list[Column]:
+    """The forms of a query that multiquery asks besides the query where no model rewrites it: its first half and its second."""
+    words = F.split(content, " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    return [F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " ")]
+
+
+def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = halves) -> DataFrame:
+    """Each query and its other forms, 2k results each, fused by reciprocal ranks."""
+    every = [F.col("content"), *forms(F.col("content"))]
+    n = len(every)
+    asked = reduce(DataFrame.unionByName, [queries.select((F.col("query_id") * n + i).alias("query_id"), f.alias("content")) for i, f in enumerate(every)])
+    lists = bm25_topk(corpus.docs, asked, 2 * k).select(F.floor(F.col("query_id") / n).alias("query_id"), (F.col("query_id") % n).cast("int").alias("list"), "id", "rank")
+    return reciprocal_rank_fusion(lists, k)
+
+
+def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
+    """2k sentences, widened to their windows; windows that overlap become one."""
+    rows = corpus.sentences
+    hits = bm25_topk(rows, queries, 2 * k).join(rows.select("id", "doc", "window_start", "window_end"), "id").withColumnRenamed("score", "distance")
+    return expand_windows(merge_windows(hits, k), rows)
+
+
+def _expanded(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return expand_neighbours(hybrid_topk(c.vectors, c.docs, q, 2 * k), c.chunks, k)
+
+
+#: Retrievers by name: (corpus, queries of query_id, content, embedding, k) to ranked rows.
+RETRIEVERS: dict[str, Callable[[Corpus, DataFrame, int], DataFrame]] = {
+    "vector": lambda c, q, k: vector_topk(c.vectors, q, k),
+    "bm25": lambda c, q, k: bm25_topk(c.docs, q, k),
+    "hybrid": lambda c, q, k: hybrid_topk(c.vectors, c.docs, q, k),
+    "rerank": lambda c, q, k: rerank_topk(c.vectors, c.docs, q, k),
+    "parent_child": lambda c, q, k: expand_neighbours(vector_topk(c.vectors, q, 2 * k), c.chunks, k, factor=1.2, score="distance"),
+    "multiquery": multiquery,
+    "hybrid_parent_child": _expanded,
+    "hybrid_parent_child_rerank": lambda c, q, k: rerank(_expanded(c, q, max(10, 2 * k)), c.docs, q, k),
+    "auto_merge": lambda c, q, k: auto_merge(hybrid_topk(c.vectors, c.docs, q, max(20, 4 * k)), c.chunks, q, k),
+    "sentence_window": sentence_window,
+}
+
+
+def retrieve(name: str, corpus: Corpus, queries: DataFrame, k: int = 5, strict: bool = False) -> DataFrame:
+    """Results of the named retriever; an unknown name means vector search, or raises if strict."""
     if strict and name not in RETRIEVERS:
         raise ValueError(f"unknown retriever: {name}")
-    return RETRIEVERS.get(name, vector_topk)
+    return RETRIEVERS.get(name, RETRIEVERS["vector"])(corpus, queries, k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,35 +112,30 @@ def rerank_overlap(spark, sf_dir):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _corpus(spark, sf_dir) -> R.Corpus:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
+    rows = sentence_chunks(docs).select((F.col("doc_id").cast("long") * 100_000 + F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
+    return R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _chunks(spark, sf_dir), rows)
+
+
 @query()
 def multiquery(spark, sf_dir):
-    """The item, its first half and its second half, fused."""
-    q = _queries(spark, sf_dir).select("query_id", "content")
-    words = F.split("content", " ")
-    half = F.ceil(F.size(words) / 2).cast("int")
-    forms = [F.col("content"), F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " ")]
-    asked = reduce(DataFrame.unionByName, [q.select((F.col("query_id") * 3 + i).alias("query_id"), f.alias("content")) for i, f in enumerate(forms)])
-    lists = R.bm25_topk(_docs(spark, sf_dir), asked, 2 * K).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).cast("int").alias("list"), "id", "rank")
-    return R.reciprocal_rank_fusion(lists, K)
+    return R.retrieve("multiquery", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
 @query()
 def parent_child(spark, sf_dir):
-    hits = R.vector_topk(_vectors(spark, sf_dir), _queries(spark, sf_dir), 2 * K)
-    return R.expand_neighbours(hits, _chunks(spark, sf_dir), K, factor=1.2, score="distance")
+    return R.retrieve("parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
 @query()
 def hybrid_parent_child(spark, sf_dir):
-    hits = R.hybrid_topk(_vectors(spark, sf_dir), _docs(spark, sf_dir), _queries(spark, sf_dir), 2 * K)
-    return R.expand_neighbours(hits, _chunks(spark, sf_dir), K)
+    return R.retrieve("hybrid_parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
 @query()
 def hybrid_parent_child_rerank(spark, sf_dir):
-    q, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    hits = R.hybrid_topk(_vectors(spark, sf_dir), docs, q, 4 * K)
-    return R.rerank(R.expand_neighbours(hits, _chunks(spark, sf_dir), 2 * K), docs, q, K)
+    return R.retrieve("hybrid_parent_child_rerank", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -166,11 +159,7 @@ def auto_merge(spark, sf_dir):
 
 @query()
 def sentence_window(spark, sf_dir):
-    """Sentences found by BM25, widened to their windows; windows that overlap become one."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
-    rows = sentence_chunks(docs).select((F.col("doc_id").cast("long") * 100_000 + F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
-    hits = R.bm25_topk(rows, _queries(spark, sf_dir), 2 * K).join(rows.select("id", "doc", "window_start", "window_end"), "id").withColumnRenamed("score", "distance")
-    return R.expand_windows(R.merge_windows(hits, K), rows)
+    return R.retrieve("sentence_window", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
 @query(f"""

@@ -89,9 +89,19 @@ def test_vector_search_skips_nulls_and_takes_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(5)] + [(9, None)], "query_id long, embedding array<float>")
     got = retrieval.vector_topk(vectors, queries, 2).collect()
     assert len(got) == 10 and all(r.id != 3 for r in got)
+    corpus = retrieval.Corpus(vectors, spark.createDataFrame([(1, "a")], "id long, content string"), vectors)
     with pytest.raises(ValueError):
-        retrieval.retriever("none", strict=True)
-    assert retrieval.retriever("none") is retrieval.vector_topk
+        retrieval.retrieve("none", corpus, queries, 2, strict=True)
+    assert sorted(map(tuple, retrieval.retrieve("none", corpus, queries, 2).collect())) == sorted(map(tuple, got))
+
+
+def test_bm25_in_blocks_equals_one_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 9))) for i in range(40)] + [(90, ""), (91, None)], "id long, content string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 2} w{i} none") for i in range(9)] + [(20, "")], "query_id long, content string")
+    whole = sorted(map(tuple, retrieval.bm25_topk(docs, queries, 7).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_CELLS", 8)
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 4)
+    assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 7).collect())) == whole and len(whole) == 70
 
 
 def test_ranking_metrics(spark):
