@@ -27,7 +27,7 @@ def write_chunks(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """path, content of whole text files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def binaries(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -53,7 +53,7 @@ def is_chatml(rows: DataFrame) -> bool:
 
 def new_results(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     """Result rows from files whose path is not in known (path)."""
-    rows = spark.read.option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    rows = spark.read.option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
     return rows.join(known.select("path").distinct(), "path", "left_anti")
 
 
