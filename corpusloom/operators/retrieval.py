@@ -24,8 +24,8 @@ from corpusloom.functions.text import containment, tokens
 
 #: Queries that one pass over the vectors scores; more take more passes.
 QUERY_BLOCK = 1024
-#: Cells of the matrix of query terms and queries, and documents of a product.
-QUERY_CELLS, DOC_BLOCK = 1 << 21, 256
+#: Cells of the matrix of query terms and queries, documents scored together, and cells of their terms' gains at a time.
+QUERY_CELLS, DOC_BLOCK, GAIN_CELLS = 1 << 21, 1024, 1 << 21
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -126,8 +126,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank with Okapi weights; documents without a match score 0 and follow in order of id.
 
     docs: id, content; queries: query_id, content. A term's weight that would be negative is EPSILON times the mean weight.
-    Repeated query terms count each time. Documents are scanned once, where they lie: each Arrow batch is a matrix of
-    term weights times the queries' matrix, and each task sends on at most k rows a query, so no postings are
+    Repeated query terms count each time. Documents are scanned once, where they lie: each Arrow batch is a sparse matrix of
+    term gains times the queries' matrix of weights, and each task sends on at most k rows a query, so no postings are
     shuffled. Queries go out in blocks whose matrix has at most QUERY_CELLS cells.
     """
     spark = docs.sparkSession
@@ -155,10 +155,17 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     sizes = np.diff(b.column(1).offsets.to_numpy())
                     found = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=value_set), -1).to_numpy()
                     owner = np.repeat(np.arange(b.num_rows), sizes)
-                    hit = found >= 0
-                    tf = np.bincount(owner[hit] * max(1, len(terms)) + found[hit], minlength=b.num_rows * max(1, len(terms))).reshape(b.num_rows, -1)[:, : len(terms)]
-                    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / mean)[:, None])
-                    best.add(-(gain @ matrix).T, b.column(0).to_numpy())
+                    width, hit = max(1, len(terms)), found >= 0
+                    cells, tf = np.unique(owner[hit] * width + found[hit], return_counts=True)
+                    doc, term = cells // width, cells % width
+                    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+                    scores = np.zeros((b.num_rows, len(ids)))
+                    step = max(1, GAIN_CELLS // max(1, len(ids)))
+                    for i in range(0, len(doc), step):  # sums of each document's rows; one that is cut goes on in the next part
+                        own = doc[i : i + step]
+                        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                        scores[own[first]] += np.add.reduceat(gain[i : i + step, None] * matrix[term[i : i + step]], first, axis=0)
+                    best.add(-scores.T, b.column(0).to_numpy())
             yield best.batch(ids, "score", -1.0)
 
         return words.mapInArrow(run, "query_id long, id long, score double")
@@ -336,7 +343,7 @@ def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Colu
 
 def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
     """2k sentences, widened to their windows; windows that overlap become one."""
-    rows = corpus.sentences
+    rows = corpus.sentences.persist()  # read five times; Spark may evict it
     hits = bm25_topk(rows, queries, 2 * k).join(rows.select("id", "doc", "window_start", "window_end"), "id").withColumnRenamed("score", "distance")
     return expand_windows(merge_windows(hits, k), rows)
 

@@ -101,6 +101,7 @@ def test_bm25_in_blocks_equals_one_block(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.bm25_topk(docs, queries, 7).collect()))
     monkeypatch.setattr(retrieval, "QUERY_CELLS", 8)
     monkeypatch.setattr(retrieval, "DOC_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "GAIN_CELLS", 12)
     assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 7).collect())) == whole and len(whole) == 70
 
 
