@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.graph import connected_components
@@ -45,23 +46,23 @@ def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, vec (doubles as bytes), h1, h2; the last three null for vectors that link with nothing."""
+    """vec_id, label, vec (its numbers as bytes, as wide as they came), h1, h2; the last three null for vectors that link with nothing."""
     for batch in batches:
         vec, h = [], []
         labels = batch.column(1).to_pylist()
         lists = batch.column(2)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         present = lists.is_valid().to_numpy(zero_copy_only=False)
         for i, label in enumerate(labels):
-            x = flat[offsets[i] : offsets[i + 1]] + 0.0  # -0.0 becomes 0.0
+            x = flat[offsets[i] : offsets[i + 1]] + flat.dtype.type(0)  # -0.0 becomes 0.0
             ok = label is not None and present[i] and bool(np.isfinite(x).all()) and bool(x.any())
             vec.append(x.tobytes() if ok else None)
             h.append(np.frombuffer(xxhash.xxh3_128_digest(vec[-1] + repr(label).encode()), ">i8").tolist() if ok else (None, None))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vec, pa.binary()), pa.array([a for a, _ in h], pa.int64()), pa.array([b for _, b in h], pa.int64())], ["vec_id", "label", "vec", "h1", "h2"])
 
 
-def _unit(vecs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+def _unit(vecs: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), kind).astype(np.float64).reshape(len(vecs), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay within range
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -97,7 +98,7 @@ def _compare(table: np.ndarray, rep: np.ndarray, n: np.ndarray, block: np.ndarra
     return rep, links.astype(np.int64), rep[_roots(len(rep), a, b)]
 
 
-def _comparer(threshold: float, bits: int, tables: int):
+def _comparer(threshold: float, bits: int, tables: int, kind: str):
     names = ["rep", "links", "root"]
 
     def group(b: pa.RecordBatch, lo: int, hi: int) -> pa.RecordBatch | None:
@@ -109,7 +110,7 @@ def _comparer(threshold: float, bits: int, tables: int):
         block = col["own"].to_numpy()
         if cross and (block == block[0]).all():
             return None
-        x = _unit(col["vec"].to_pylist())
+        x = _unit(col["vec"].to_pylist(), kind)
         rep, links, root = _compare(col["t"][0].as_py(), col["rep"].to_numpy(), col["n"].to_numpy(), block, x, codes(x, bits, tables), cross, threshold)
         hit = links > 0
         return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit])], names) if hit.any() else None
@@ -142,7 +143,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     counts as a link of others but has no component. An empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    number, kind = ("float", "<f4") if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else ("double", "<f8")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     points = scratch.store(rows.mapInArrow(_points, "vec_id long, label long, vec binary, h1 long, h2 long"), "points")
     groups = points.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
     groups = scratch.store(groups, "groups")
@@ -155,7 +157,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 part = b.take(pa.array(own))
-                code = codes(_unit(part.column(2).to_pylist()), bits, tables)
+                code = codes(_unit(part.column(2).to_pylist(), kind), bits, tables)
                 t = np.tile(np.arange(tables, dtype=np.int32), len(own))
                 lead = np.repeat(part.column(1).to_numpy(), tables)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(lead), pa.array(np.full(len(t), size, np.int32)), pa.array(t), pa.array(code.ravel().view(np.int64))], ["rep", "label", "size", "t", "code"])
@@ -171,7 +173,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "t", "rep", "n", "own", "vec")
     dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    compared = scratch.store(dealt.mapInArrow(_comparer(threshold, bits, tables), "rep long, links long, root long"), "links")
+    compared = scratch.store(dealt.mapInArrow(_comparer(threshold, bits, tables, kind), "rep long, links long, root long"), "links")
 
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = compared.where("rep <> root").select(F.least("rep", "root").alias("a"), F.greatest("rep", "root").alias("b")).distinct()
