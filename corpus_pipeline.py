@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import Scratch, table
 from corpusloom.llm.linededup import line_dedup
+from corpusloom.llm.neardup import near_keep
 from corpusloom.llm.packing import pack
-from corpusloom.llm.simhash import simhash_keep
 from corpusloom.llm.suffixes import suffix_dedup
 from corpusloom.llm.toxicity import drop_toxic
 
 STAGES = [
     ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
     ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
-    ("simhash near-dedup", lambda spark, docs, sf_dir: simhash_keep(docs)),
+    ("near-dedup", lambda spark, docs, sf_dir: near_keep(docs)),
     ("suffix-array dedup", lambda spark, docs, sf_dir: suffix_dedup(docs)),
     ("best-fit packing", lambda spark, docs, sf_dir: pack(docs)),
 ]
