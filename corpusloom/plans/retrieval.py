@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.chunk import line_chunks, sentence_chunks, window_text
+from corpusloom.operators.serving import context_of
 from corpusloom.plans.base import query, table, tokens_sql
 
 K = 5
@@ -190,6 +191,16 @@ def context_assembly(spark, sf_dir):
     return rows.select("query_id", F.md5(F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n---\n\n")).alias("context"))
 
 
+@query(f"""
+WITH {_BM25}, top AS (SELECT query_id, rank, source, lang, text FROM br JOIN documents ON doc_id = id WHERE rank <= 3)
+SELECT query_id, md5(string_agg(concat('[Source ', rank, ': ', lang, ' (', source, ')]', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM top GROUP BY 1""")
+def context_whole(spark, sf_dir):
+    """The context as models get it, of whole texts; context_assembly, as its SQL, takes 500 characters of each."""
+    hits = R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 3)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("source_url"), F.col("text").alias("content"))
+    return context_of(hits, docs).select("query_id", F.md5("context").alias("context"))
+
+
 @query(f"""
 WITH {_BM25}, top AS (SELECT query_id, min(rank) AS rank, concat('- [', lang, '](', source, ')') AS line FROM br JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY query_id, lang, source)
 SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS footer FROM top GROUP BY 1""")
