@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import containment, tokens
+from corpusloom.functions.text import STOP_WORDS, containment, tokens
+from corpusloom.operators.serving import hashed_bag
 
 #: Queries that one pass over the vectors scores; more take more passes.
 QUERY_BLOCK = 1024
@@ -317,34 +318,49 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 @dataclass
 class Corpus:
     """What retrievers search. vectors: id, embedding; docs: id, content; chunks: id, doc, idx, content;
-    sentences: id, doc, idx, content, window_start, window_end."""
+    sentences: id, doc, idx, content, window_start, window_end. embed: the model of the vectors, for texts that come
+    without one (other forms of a query, sentences)."""
 
     vectors: DataFrame
     docs: DataFrame
     chunks: DataFrame
     sentences: DataFrame | None = None
+    embed: Callable[[Column], Column] = hashed_bag
 
 
-def halves(content: Column) -> list[Column]:
-    """The forms of a query that multiquery asks besides the query where no model rewrites it: its first half and its second."""
+Retriever = Callable[[Corpus, DataFrame, int], DataFrame]
+
+
+def variants(content: Column) -> list[Column]:
+    """The three forms of a query that multiquery asks besides the query where no model rewrites it: its first half, its second and its words without stop words."""
     words = F.split(content, " ")
     half = F.ceil(F.size(words) / 2).cast("int")
-    return [F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " ")]
+    return [F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "), F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS)), " ")]
+
+
+def _reranked(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return rerank_topk(c.vectors, c.docs, q, k)
 
 
-def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = halves) -> DataFrame:
-    """Each query and its other forms, 2k results each, fused by reciprocal ranks."""
+def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = variants, base: Retriever = _reranked) -> DataFrame:
+    """Each query and its other forms, 2k results of the base retriever each, fused by reciprocal ranks. All forms are embedded anew."""
     every = [F.col("content"), *forms(F.col("content"))]
     n = len(every)
     asked = reduce(DataFrame.unionByName, [queries.select((F.col("query_id") * n + i).alias("query_id"), f.alias("content")) for i, f in enumerate(every)])
-    lists = bm25_topk(corpus.docs, asked, 2 * k).select(F.floor(F.col("query_id") / n).alias("query_id"), (F.col("query_id") % n).cast("int").alias("list"), "id", "rank")
+    found = base(corpus, asked.withColumn("embedding", corpus.embed(F.col("content"))), 2 * k)
+    lists = found.select(F.floor(F.col("query_id") / n).alias("query_id"), (F.col("query_id") % n).cast("int").alias("list"), "id", "rank")
     return reciprocal_rank_fusion(lists, k)
 
 
 def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
-    """2k sentences, widened to their windows; windows that overlap become one."""
-    rows = corpus.sentences.persist()  # read five times; Spark may evict it
-    hits = bm25_topk(rows, queries, 2 * k).join(rows.select("id", "doc", "window_start", "window_end"), "id").withColumnRenamed("score", "distance")
+    """2k sentences by vector search, widened to their windows; windows that overlap become one."""
+    rows_of_batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", queries.sparkSession.conf
+    if conf.get(rows_of_batch) == "10000":  # Spark's default; whole texts are split into sentences
+        conf.set(rows_of_batch, "1000")
+    rows = corpus.sentences.persist()  # read three times; Spark may evict it
+    embedded = rows.select("id", corpus.embed(F.col("content")).alias("embedding"))
+    near = vector_topk(embedded, queries.select("query_id", corpus.embed(F.col("content")).alias("embedding")), 2 * k)
+    hits = near.join(rows.select("id", "doc", "window_start", "window_end"), "id")
     return expand_windows(merge_windows(hits, k), rows)
 
 
@@ -353,11 +369,11 @@ def _expanded(c: Corpus, q: DataFrame, k: int) -> DataFrame:
 
 
 #: Retrievers by name: (corpus, queries of query_id, content, embedding, k) to ranked rows.
-RETRIEVERS: dict[str, Callable[[Corpus, DataFrame, int], DataFrame]] = {
+RETRIEVERS: dict[str, Retriever] = {
     "vector": lambda c, q, k: vector_topk(c.vectors, q, k),
     "bm25": lambda c, q, k: bm25_topk(c.docs, q, k),
     "hybrid": lambda c, q, k: hybrid_topk(c.vectors, c.docs, q, k),
-    "rerank": lambda c, q, k: rerank_topk(c.vectors, c.docs, q, k),
+    "rerank": _reranked,
     "parent_child": lambda c, q, k: expand_neighbours(vector_topk(c.vectors, q, 2 * k), c.chunks, k, factor=1.2, score="distance"),
     "multiquery": multiquery,
     "hybrid_parent_child": _expanded,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.chunk import line_chunks, sentence_chunks, window_text
-from corpusloom.operators.serving import context_of
+from corpusloom.operators.serving import context_of, index
 from corpusloom.plans.base import query, table, tokens_sql
 
 K = 5
@@ -121,7 +121,8 @@ def _corpus(spark, sf_dir) -> R.Corpus:
 
 @query()
 def multiquery(spark, sf_dir):
-    return R.retrieve("multiquery", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    docs = _docs(spark, sf_dir)  # other forms of a query need the model of the vectors, so the documents are embedded too
+    return R.retrieve("multiquery", R.Corpus(index(docs).select("id", "embedding"), docs, _chunks(spark, sf_dir)), _queries(spark, sf_dir), K)
 
 
 @query()

@@ -253,3 +253,24 @@ def test_context_holds_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = plans.QUERIES["context_whole"](spark, str(tmp_path)).first().context
     assert got == hashlib.md5(f"[Source 1: en (s)]\n{text}".encode()).hexdigest()
+
+
+def by_sense(c):
+    """A model that knows two words for one thing."""
+    return F.when(c.rlike("landlord|lessor"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+
+
+def test_multiquery_finds_what_only_vectors_find(spark):
+    docs = spark.createDataFrame([(i, f"filler text {i}") for i in range(30)] + [(99, "duties of the lessor")], "id long, content string")
+    corpus = retrieval.Corpus(docs.select("id", by_sense(F.col("content")).alias("embedding")), docs, docs, embed=by_sense)
+    queries = spark.createDataFrame([(7, "landlord landlord")], "query_id long, content string")
+    assert [(r.query_id, r.id) for r in retrieval.retrieve("multiquery", corpus, queries, 2).where("rank = 1").collect()] == [(7, 99)]
+    assert len(retrieval.variants(F.col("content"))) == 3
+
+
+def test_sentence_window_finds_what_only_vectors_find(spark):
+    rows = [(i, 1, i, f"filler text {i}.", max(0, i - 1), min(30, i + 2)) for i in range(30)] + [(99, 2, 0, "Duties of the lessor.", 0, 2), (100, 2, 1, "They are many.", 0, 2)]
+    sentences = spark.createDataFrame(rows, "id long, doc long, idx int, content string, window_start int, window_end int")
+    corpus = retrieval.Corpus(sentences, sentences, sentences, sentences, embed=by_sense)
+    first = retrieval.retrieve("sentence_window", corpus, spark.createDataFrame([(7, "landlord")], "query_id long, content string"), 2).where("rank = 1").first()
+    assert (first.query_id, first.id, first.expanded) == (7, 99, "Duties of the lessor. They are many.")
