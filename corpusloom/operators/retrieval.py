@@ -352,6 +352,12 @@ def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Colu
     return reciprocal_rank_fusion(lists, k)
 
 
+def sentence_id(doc: Column, idx: Column) -> Column:
+    """One number for a document and an index that is an int; it grows with both. A document beyond 32 bits raises."""
+    fits = doc.between(-(1 << 32), (1 << 32) - 1)
+    return F.when(doc.isNotNull() & ~fits, F.raise_error(F.lit("sentence ids need doc_id within 32 bits")).cast("long")).otherwise(doc * (1 << 31) + idx)
+
+
 def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
     """2k sentences by vector search, widened to their windows; windows that overlap become one."""
     rows_of_batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", queries.sparkSession.conf

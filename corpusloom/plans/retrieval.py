@@ -115,7 +115,7 @@ def rerank_overlap(spark, sf_dir):
 
 def _corpus(spark, sf_dir) -> R.Corpus:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
-    rows = sentence_chunks(docs).select((F.col("doc_id").cast("long") * 100_000 + F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
+    rows = sentence_chunks(docs).select(R.sentence_id(F.col("doc_id").cast("long"), F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
     return R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _chunks(spark, sf_dir), rows)
 
 

@@ -274,3 +274,21 @@ def test_sentence_window_finds_what_only_vectors_find(spark):
     corpus = retrieval.Corpus(sentences, sentences, sentences, sentences, embed=by_sense)
     first = retrieval.retrieve("sentence_window", corpus, spark.createDataFrame([(7, "landlord")], "query_id long, content string"), 2).where("rank = 1").first()
     assert (first.query_id, first.id, first.expanded) == (7, 99, "Duties of the lessor. They are many.")
+
+
+def test_sentence_ids_do_not_collide(spark):
+    rows = [(d, i) for d in (-1, 0, 1, 2, 2**32 - 1) for i in (0, 100_000, 200_000, 2**31 - 1)]
+    made = spark.createDataFrame(rows, "doc long, idx int").select(retrieval.sentence_id(F.col("doc"), F.col("idx")).alias("id"))
+    assert [r.id for r in made.collect()] == [d * 2**31 + i for d, i in rows] and made.distinct().count() == len(rows)
+    with pytest.raises(Exception, match="within 32 bits"):
+        spark.createDataFrame([(2**32, 0)], "doc long, idx int").select(retrieval.sentence_id(F.col("doc"), F.col("idx"))).collect()
+
+
+def test_long_documents_keep_their_sentences(spark, tmp_path):
+    from corpusloom.plans.retrieval import _corpus
+
+    long = "The heat is off again here. " * 100_010
+    spark.createDataFrame([(1, long), (2, "Another one is here. It has two sentences.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    ids = _corpus(spark, str(tmp_path)).sentences.select("id", "doc")
+    assert ids.where("doc = 1").count() > 100_000 and ids.select("id").distinct().count() == ids.count()
