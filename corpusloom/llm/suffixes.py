@@ -1,9 +1,9 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by hashes in place of sparse suffix arrays.
 
 Of all suffixes (of a document's words) only those at minimisers are kept: the least hash of GRAM
 words in each window of ``min_words``. A passage of ``min_words`` words chooses the same minimiser
-wherever it stands. The kept suffixes are sorted over the cluster by their leading words and
-compared with their neighbours: where neighbours from different documents agree, the matches are
+wherever it stands. Of a kept suffix there is only the hash of its first GRAM words; these are sorted
+over the cluster and compared with their neighbours for equality, so there is no order of suffixes and no LCP: where neighbours from different documents agree, the matches are
 extended left and right to every window of ``min_words`` words around the minimiser. A window is
 a repeat where a document of smaller doc_id has it too; overlapping repeats make a span.
 
