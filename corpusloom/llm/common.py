@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,15 +11,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import ship
 
 #: Text bytes that one numpy pass works on; a longer single text makes a pass of its own.
 SLICE_BYTES = 1_000_000
-#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held several times over.
-BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: texts are long, and a batch is held several times over.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,36 +39,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package where PYTHONPATH does not already hold it, and keep Arrow batches small."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == _DEFAULT_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
+    for name, (default, own) in _BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
     ship(spark)
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder: lineage ends there, so a lost executor costs one stage."""
+    """Intermediate tables as Parquet in the shared folder: lineage ends there, so a lost executor costs one stage.
+
+    Results read some of these tables, so those stay until the session ends, when whatever is left is deleted.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self._keep: list[DataFrame] = []  # ids stay unique while the frames live
         ship_package(spark)
+        atexit.register(self.clear)  # the gateway to the JVM closes after what was registered later
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]  # ids stay unique while the frames live
+        self._keep.append(out)
         return out
 
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete stored tables that nothing reads any more."""
         for df in frames:
             if path := self.paths.get(id(df)):
-                jvm = self.spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables stored here; the caller has what it needs of them, or the session ends."""
+        with contextlib.suppress(Exception):  # a session that has stopped already leaves its folder to its owner
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.base)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +122,29 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_digest(text: str = "text") -> Column:
+    """The MD5 of a text as 16 bytes, null like empty: with doc_id it tells rows of one doc_id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, do not matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def keep_one(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the rows of docs in each part the one of least doc_id, then least digest; rows without doc_id all stay.
+
+    rows: doc_id, t (``text_digest``), part of every row of docs. Rows alike in doc_id and text stay once.
+    """
+    known = rows.where("doc_id is not null")
+    best = known.groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("best"))
+    each = known.groupBy("doc_id", "t", "part").agg(F.count("*").alias("n"))
+    fate = F.when(F.struct("doc_id", "t") != F.col("best"), "goes").when(F.col("n") > 1, "once")
+    fates = scratch.store(each.join(best, "part").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), fate.alias("fate")).where("fate is not null"), "fates")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_digest().alias("_t"))
+    met = whole.join(fates, ["_doc", "_t"], "left")
+    kept = met.where("fate is null").select("row")
+    if not fates.where("fate = 'once'").isEmpty():
+        kept = kept.unionByName(met.where("fate = 'once'").groupBy("_doc", "_t").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return kept.select("row.*")

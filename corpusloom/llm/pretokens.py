@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 
-from corpusloom.llm.textkernel import running, spans
+from corpusloom.llm.textkernel import exact_keys, key_hash
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: The code points with the Unicode property White_Space.
@@ -50,7 +50,7 @@ def classes(library: str = "tiktoken") -> np.ndarray:
 
 
 class Pretokens:
-    """Of texts end to end: byte starts and ends, the text of each, and hashes."""
+    """Of texts end to end: byte starts and ends, and the text of each."""
 
     def __init__(self, texts: list[str], library: str = "tiktoken"):
         whole = "".join(texts)
@@ -94,15 +94,15 @@ class Pretokens:
             start[p + 1] = False
             start[np.minimum(p + size, n)] = True
 
-    def hashes(self) -> np.ndarray:
-        return spans(running(self.data.astype(np.uint64) + np.uint64(1)), self.starts, self.ends)
+    def keys(self, longer: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        return exact_keys(self.data, self.starts, self.ends, longer)
 
 
-def word_hash(words: list[bytes]) -> np.ndarray:
-    """The hash that Pretokens gives to a pretoken of these bytes."""
+def keys_of(words: list[bytes], longer: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The exact keys of byte strings, as Pretokens gives them."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
-    return spans(running(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)), ends - lengths, ends)
+    return exact_keys(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends, longer)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -112,24 +112,36 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Seen:
-    """Rows of an append-only table by 64-bit hash."""
+    """Rows of an append-only table by exact key: found by hash, then held against the key."""
 
     def __init__(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of distinct sorted keys, -1 for new ones."""
-        out = np.full(len(keys), -1, np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
+        none = np.zeros(0, np.uint64)
+        self.hashes, self.lo, self.hi, self.rows = none, none, none, np.zeros(0, np.int64)
+        self.odd: dict[tuple[int, int], int] = {}  # keys whose hash another key has
+        self.size = 0
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 for new ones."""
+        out = np.full(len(lo), -1, np.int64)
+        if len(self.hashes):
+            h = key_hash(lo, hi)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = (self.lo[at] == lo) & (self.hi[at] == hi)
             out[hit] = self.rows[at[hit]]
+            if self.odd:
+                other = np.flatnonzero(~hit & (self.hashes[at] == h))
+                out[other] = [self.odd.get(k, -1) for k in zip(lo[other].tolist(), hi[other].tolist(), strict=True)]
         return out
 
-    def add(self, keys: np.ndarray) -> np.ndarray:
+    def add(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Rows for new distinct keys, in their order."""
-        rows = len(self.keys) + np.arange(len(keys))
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.rows = merged[order], np.concatenate([self.rows, rows])[order]
+        rows = self.size + np.arange(len(lo))
+        self.size += len(lo)
+        merged = [np.concatenate(x) for x in ((self.hashes, key_hash(lo, hi)), (self.lo, lo), (self.hi, hi), (self.rows, rows))]
+        order = np.argsort(merged[0], kind="stable")
+        h, l, u, r = (x[order] for x in merged)
+        again = np.zeros(len(h), bool)
+        again[1:] = h[1:] == h[:-1]
+        self.odd.update(zip(zip(l[again].tolist(), u[again].tolist(), strict=True), r[again].tolist(), strict=True))
+        self.hashes, self.lo, self.hi, self.rows = h[~again], l[~again], u[~again], r[~again]
         return rows

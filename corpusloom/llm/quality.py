@@ -18,55 +18,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import as_bytes, doc_columns, map_text, ship_package
-from corpusloom.llm.textkernel import SPACE, Texts, mix, running, spans
+from corpusloom.llm.textkernel import SPACE, Texts, distinct, exact_keys, key_hash, mix, running, spans
 from corpusloom.llm.training import labelled, sample, sigmoid
 
 #: Fixed thresholds of the base rules and of the verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, KEEP_AT = 10, 20, 5, 0.5
 BITS, CHARS, EPOCHS, RATE = 17, 4, 6, 0.5
 MAX_ROWS = 5000
+_BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(x) for x in "#*$%&|<>"]] = True
 
 
-def _repeats(keys: np.ndarray) -> np.ndarray:
-    """Whether each key is found twice or more."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = k[1:] == k[:-1]
-    out = np.empty(len(k), bool)
-    out[order] = same[1:] | same[:-1]
+def _repeats(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """Which of the windows of ``size`` words from ``at`` on are found twice or more in their text; lo, hi: exact keys of all words."""
+    h = own.astype(np.uint64)
+    for k in range(size):
+        h = mix(h * np.uint64(0xA24BAED4963EE407) + key_hash(lo[at + k], hi[at + k]))
+    order = np.argsort(h, kind="stable")
+    a, b = order[:-1], order[1:]
+    met = np.flatnonzero(h[a] == h[b])
+    a, b = a[met], b[met]
+    alike = own[a] == own[b]
+    for k in range(size):
+        i, j = at[a] + k, at[b] + k
+        alike &= (lo[i] == lo[j]) & (hi[i] == hi[j])
+    if not alike.all():  # equal hashes of different windows: number the windows by the words themselves
+        word = distinct(lo, hi)[1]
+        number = own
+        for k in range(size):
+            number = np.unique(np.stack([number, word[at + k]], 1), axis=0, return_inverse=True)[1].ravel()
+        return np.bincount(number)[number] > 1
+    out = np.zeros(len(at), bool)
+    out[a] = out[b] = True
     return out
 
 
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text. Lines and windows are compared by their bytes."""
     t = Texts(texts)
     starts, ends, owner = t.words()
-    sums = running(t.data.astype(np.uint64) + np.uint64(1))
     between = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[t.starts])
     solid = ~SPACE[t.data]
     out = {"n_words": np.bincount(owner, minlength=t.n), "word_chars": between(solid & ((t.data & 0xC0) != 0x80)), "n_symbols": between(_SYMBOL[t.data])}
 
-    breaks = np.flatnonzero(t.data == 10)
-    begin = np.sort(np.concatenate([t.starts[:-1], breaks + 1]))
-    stop = np.sort(np.concatenate([t.starts[1:] - 1, breaks]))
-    line_owner = np.searchsorted(t.starts, begin, side="right") - 1
-    seen = np.concatenate([[0], np.cumsum(solid)])
-    full = seen[stop] > seen[begin]
-    keys = mix(spans(sums, begin[full], stop[full]) + line_owner[full].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    first = np.unique(keys, return_index=True)[1]
-    out["n_dup_lines"] = np.bincount(line_owner[full], minlength=t.n) - np.bincount(line_owner[full][first], minlength=t.n)
-
-    w, size = running(spans(sums, starts, ends)), REPEAT_WINDOW
+    dup = []
+    for text in texts:
+        full = [x for x in text.split(b"\n") if x.strip(_BLANKS)] if b"\n" in text else ()
+        dup.append(len(full) - len(set(full)))
+    out["n_dup_lines"] = np.array(dup, np.int64)
+
+    size = REPEAT_WINDOW
     at = np.arange(max(0, len(starts) - size + 1))
     at = at[owner[at] == owner[at + size - 1]] if len(at) else at
-    keys = mix(spans(w, at, at + size) + owner[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     cover = np.zeros(len(starts) + 1, np.int64)
-    hit = at[_repeats(keys)]
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + size, -1)
+    if len(at):
+        hit = at[_repeats(*exact_keys(t.data, starts, ends, {}), at, owner[at], size)]
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, hit + size, -1)
     out["n_repeat_words"] = np.bincount(owner[np.cumsum(cover[:-1]) > 0], minlength=t.n)
     return out
 

@@ -1,8 +1,9 @@
-"""Whole batches of texts as numpy arrays: words, hashes of words and of runs of words.
+"""Whole batches of texts as numpy arrays: words, exact keys of words, hashes of words and of runs of words.
 
 Hashes are polynomials modulo 2**64 over bytes, so that the hash of any span comes from two entries
-of a running sum, finished by a 64-bit mixer. They serve as keys of features and of candidate
-matches.
+of a running sum, finished by a 64-bit mixer. Different texts can have equal hashes (Thue-Morse words do
+for every base), so hashes choose places of features and minimisers and order candidates; whether two byte
+strings are equal is told by ``exact_keys``, by 128-bit digests or by comparing the words.
 """
 
 from __future__ import annotations
@@ -79,5 +80,37 @@ class Texts:
         return spans(running(self.data.astype(np.uint64) + np.uint64(1)), starts, ends)
 
 
-def counts_by(owners: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owners, minlength=n).astype(np.int64)
+#: The bytes of a key's first half that k bytes fill.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_KEPT = 15
+
+
+def exact_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longer: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two uint64 for each of the byte strings data[start:end], equal exactly if the strings are.
+
+    Up to 15 bytes they are the bytes and their number; longer strings get numbers from ``longer``, which grows.
+    """
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    lo = eight[starts] & _FILLED[np.minimum(n, 8)]
+    hi = eight[np.minimum(starts + 8, len(data) + 8)] & _FILLED[np.clip(n - 8, 0, 7)]
+    hi |= np.minimum(n, 255).astype(np.uint64) << np.uint64(56)
+    big = np.flatnonzero(n > _KEPT)
+    if len(big):
+        raw = data.tobytes()
+        lo[big] = [longer.setdefault(raw[a:b], len(longer)) for a, b in zip(starts[big].tolist(), ends[big].tolist(), strict=True)]
+        hi[big] = np.uint64(255 << 56)
+    return lo, hi
+
+
+def key_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix(lo ^ mix(hi + np.uint64(0xD6E8FEB86659FD93)))
+
+
+def distinct(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of exact keys: where each distinct one is first found, and which of these each one is."""
+    _, first, inverse = np.unique(key_hash(lo, hi), return_index=True, return_inverse=True)
+    if ((lo[first][inverse] != lo) | (hi[first][inverse] != hi)).any():  # two keys of one hash
+        _, first, inverse = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True, return_inverse=True)
+    return first, inverse.ravel()

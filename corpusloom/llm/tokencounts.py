@@ -3,13 +3,15 @@
 For a pretoken, the encoding of each prefix ends in exactly one token whose pair with the last token
 before it would survive encoding together; so counts of all prefixes follow from left to right:
 count[i] = count[i - len(t)] + 1 for the token t ending at i that goes with the last token at
-i - len(t). Pairs are tried once and remembered. Distinct pretokens are solved once per worker (at most
-CACHE_WORDS are remembered), documents add up their pretokens' counts, and prefixes of a document
-read theirs off without encoding anything again.
+i - len(t). Pairs are tried once and remembered. The most frequent pretokens of the corpus (a bounded number) are
+solved once and broadcast, rarer ones once per worker (at most CACHE_WORDS are remembered); documents add up
+their pretokens' counts. ``prefix_counts`` keeps the count of every prefix of every document, from which
+truncation and budgets are read off without encoding anything again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_columns, map_text, ship_package
+from corpusloom.llm.bpe import corpus_words
+from corpusloom.llm.common import Scratch, doc_columns, map_text, ship_package
 from corpusloom.llm.packing import TOKENIZER, _encoding
-from corpusloom.llm.pretokens import Pretokens, Seen, classes
+from corpusloom.llm.pretokens import Pretokens, Seen, classes, keys_of
+from corpusloom.llm.textkernel import distinct
 
 LIMIT = 1024
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 4_000_000
+CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
 SPECIAL = "<|endoftext|>"
 _SPACE = 3
 
@@ -35,18 +39,30 @@ class PrefixCounter:
         self.ranks = _encoding(name)._mergeable_ranks
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.held: tuple[str, list[bytes], np.ndarray] | None = None
         self.forget()
 
+    def hold(self, held: tuple[str, list[bytes], np.ndarray]) -> None:
+        """A name, and words with their totals, solved already."""
+        if self.held is None or self.held[0] != held[0]:
+            self.held = held
+            self.forget()
+
     def forget(self) -> None:
-        self.seen, self.totals = Seen(), np.zeros(0, np.int64)
+        self.seen, self.longer, self.totals = Seen(), {}, np.zeros(0, np.int64)
+        if self.held is not None:
+            self.seen.add(*keys_of(self.held[1], self.longer))
+            self.totals = self.held[2]
+        self.least = len(self.totals)
 
     def _together(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.pairs[pair] = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
     def counts(self, word: bytes) -> list[int]:
@@ -64,16 +80,18 @@ class PrefixCounter:
 
     def text_totals(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, without special strings."""
-        if len(self.totals) > CACHE_WORDS:
+        if len(self.totals) - self.least > CACHE_WORDS:
             self.forget()
         t = Pretokens(texts, "tokenizers")
-        keys, first, inverse = np.unique(t.hashes(), return_index=True, return_inverse=True)
-        rows = self.seen.find(keys)
+        lo, hi = t.keys(self.longer)
+        first, inverse = distinct(lo, hi)
+        lo, hi = lo[first], hi[first]
+        rows = self.seen.find(lo, hi)
         new = np.flatnonzero(rows < 0)
         if len(new):
             data = t.data.tobytes()
             totals = [self.counts(data[a:b])[-1] for a, b in zip(t.starts[first[new]].tolist(), t.ends[first[new]].tolist(), strict=True)]
-            rows[new] = self.seen.add(keys[new])
+            rows[new] = self.seen.add(lo[new], hi[new])
             self.totals = np.concatenate([self.totals, np.array(totals, np.int64)])
         return np.bincount(t.owner, self.totals[rows[inverse]], minlength=t.n).astype(np.int64)
 
@@ -142,13 +160,29 @@ class TextPrefixes:
         return max((n for n in range(max(0, low - 1), high + 1) if self.count(n) <= budget), default=0)
 
 
+def held_totals(docs: DataFrame, name: str = TOKENIZER):
+    """The broadcast totals of the corpus's most frequent pretokens."""
+    scratch = Scratch(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(name)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.counts(w)[-1] for w in batch.column(0).to_pylist()], pa.int64())], ["word", "n"])
+
+    got = corpus_words(scratch, docs, "tokenizers", SPECIAL).mapInArrow(run, "word binary, n long").toArrow()  # at most HELD_WORDS rows of bounded size
+    scratch.clear()
+    return docs.sparkSession.sparkContext.broadcast((scratch.base, got["word"].to_pylist(), got["n"].to_numpy()))
+
+
 def token_totals(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """doc_id, n_bytes, n_tokens per row; null and empty texts have 0 of each, repeated rows come repeated.
 
     Counts are those of the tokenizers library without added special tokens; the special string
-    inside a text is one token, as that library's default is.
+    inside a text is one token, as that library's default is. An empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
+    docs = doc_columns(docs)
+    held = held_totals(docs, name)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -158,26 +192,41 @@ def token_totals(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
             parts += own
             owner += [i] * len(own)
         owners = np.array(owner, np.int64)
+        counter(name).hold(held.value)
         totals = np.bincount(owners, counter(name).text_totals(parts), minlength=len(texts)).astype(np.int64) + np.bincount(owners, minlength=len(texts)) - 1
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(totals)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_text(doc_columns(docs), run, "doc_id long, n_bytes long, n_tokens long")
+    return map_text(docs, run, "doc_id long, n_bytes long, n_tokens long")
 
 
-def truncate(docs: DataFrame, budget: int, name: str = TOKENIZER) -> DataFrame:
-    """doc_id, text cut to its longest prefix of at most ``budget`` tokens, and that prefix's n_tokens."""
+def prefix_counts(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
+    """doc_id, text, counts per row: counts[i] (from 0) is the token count of the text's first i code points.
+
+    A null text is kept null and has the counts of an empty one, [0]. Repeated rows come repeated, an empty table
+    gives an empty result.
+    """
     ship_package(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for x in batch.column(1).to_pylist():
             p = TextPrefixes(x or "", name)
-            n = p.longest(budget)
-            rows.append((p.text[:n], p.count(n)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], ["doc_id", "text", "n_tokens"])
+            rows.append([p.count(n) for n in range(len(p.text) + 1)])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "text", "counts"])
+
+    return map_text(doc_columns(docs), run, "doc_id long, text string, counts array<int>")
 
-    return map_text(doc_columns(docs), run, "doc_id long, text string, n_tokens long")
+
+def truncate(prefixes: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text cut to its longest prefix of at most ``budget`` tokens, n_tokens of that prefix, from ``prefix_counts`` rows.
+
+    Nothing is encoded again, so stored prefix counts answer any number of budgets. A null text gives a null and 0.
+    """
+    fits = F.expr(f"array_max(filter(sequence(0, size(counts) - 1), i -> counts[i] <= {int(budget)}))")
+    rows = prefixes.withColumn("_n", F.coalesce(fits, F.lit(0)))
+    return rows.select("doc_id", F.col("text").substr(F.lit(1), F.col("_n")).alias("text"), F.col("counts")[F.col("_n")].cast("long").alias("n_tokens"))
 
 
 def op7_token_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more than LIMIT tokens) per row; see ``token_totals`` for nulls, blanks and repeats."""
     return token_totals(docs).withColumn("over_limit", F.col("n_tokens") > LIMIT)

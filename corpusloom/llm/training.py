@@ -12,17 +12,29 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_text
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str, most: int, only: str = "true") -> DataFrame:
-    """doc_id, text, y of at most ``most`` labelled documents, chosen by the hash of doc_id.
+#: Bytes of text that a model is learned from, at most: what reaches the driver is a small multiple of it.
+MAX_BYTES = 64 << 20
+
+
+def labelled(docs: DataFrame, labels: DataFrame, name: str, most: int, only: str = "true", most_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text, y of the rows of at most ``most`` labelled documents with at most ``most_bytes`` of text, chosen by the hash of doc_id.
 
     ``only`` is an SQL condition on doc_id. Rows of ``labels`` with a null are left out; where a
-    doc_id has several, the largest label counts. Since ``most`` bounds the chosen ids, they are broadcast.
+    doc_id has several, the largest label counts. A document whose rows don't fit into what is left of the bytes is passed over.
+    Since ``most`` bounds the chosen ids, they are broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull()).where(only)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(name).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id")
+    sizes = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    fits = []
+    for r in sorted(sizes.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r["h"], r["doc_id"])):  # at most ``most`` rows
+        if r["size"] <= most_bytes:
+            fits.append((r["doc_id"], r["y"]))
+            most_bytes -= r["size"]
+    ids = docs.sparkSession.createDataFrame(fits, "doc_id long, y int")
+    return rows.join(F.broadcast(ids), "doc_id")
 
 
 def sample(rows: DataFrame, features: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
