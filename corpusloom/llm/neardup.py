@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, as_bytes, doc_columns, map_text
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, text_digest
 from corpusloom.llm.embeddings import _roots
 from corpusloom.llm.graph import connected_components
 from corpusloom.llm.simhash import shingle_hashes
@@ -118,14 +118,10 @@ def _blocks(threshold: float):
     return run
 
 
-def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, hot: int = HOT_BUCKET) -> DataFrame:
-    """doc_id, component_id: the least doc_id reachable by links of at least ``threshold`` shared shingles (Jaccard).
-
-    One row per row with a doc_id. Texts without words are equal; a text shorter than a shingle is one. Points are
-    numbered by 64 bits of their set's hash. An empty table gives an empty result. Further columns are ignored.
-    """
-    scratch, bands = Scratch(docs.sparkSession), bands_for(threshold)
-    texts = doc_columns(docs).where("doc_id is not null")
+def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, points). rows: doc_id, t, k1, k2 per row with a doc_id; points: k1, k2 (digest of the shingle set), rep (its least doc_id), part."""
+    bands = bands_for(threshold)
+    texts = doc_columns(docs).where("doc_id is not null").withColumn("t", text_digest())
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, size) for x in as_bytes(batch.column(1))]
@@ -135,20 +131,20 @@ def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
             for i, c in zip(full, band_codes([sets[i] for i in full], bands).view(np.int64), strict=True):
                 codes[i] = c
         keys = [_key(s) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "node", "more", "codes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "t", "k1", "k2", "codes"])
 
     def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x, size) for x in as_bytes(batch.column(1))]
-        return pa.RecordBatch.from_arrays([pa.array([_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in as_bytes(batch.column(1))], pa.binary())], ["node", "hashes"])
 
-    rows = scratch.store(map_text(texts, signed, "doc_id long, node long, more long, codes array<long>"), "signed")
-    points = scratch.store(rows.groupBy("node", "more").agg(F.min("doc_id").alias("rep"), F.any_value("codes").alias("codes")), "points")
-    met = points.select("node", "rep", F.explode("codes").alias("bucket"))
+    rows = scratch.store(map_text(texts, signed, "doc_id long, t binary, k1 long, k2 long, codes array<long>"), "signed")
+    points = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.any_value("codes").alias("codes"))
+    points = scratch.store(points.withColumn("node", F.monotonically_increasing_id()), "points")  # numbers are as stored from here on
+    met = points.select("node", F.explode("codes").alias("bucket"))
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))).getField("n")
     crowds = scratch.store(met.groupBy("bucket").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1"), "buckets")
     members = scratch.store(met.join(crowds, "bucket"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.store(map_text(texts.join(wanted, "doc_id", "left_semi"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    wanted = points.join(members.select("node").distinct(), "node").select("node", "first.doc_id", "first.t")
+    sets = scratch.store(map_text(texts.join(wanted, ["doc_id", "t"]).select("node", "text"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
 
     few = members.where(F.col("n") <= hot).select("bucket", "node")
     small = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b")
@@ -156,11 +152,12 @@ def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     pairs = scratch.store(small.unionByName(first).distinct(), "pairs")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     edges = scratch.store(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_pairs(threshold), "a long, b long"), "linked")
-    parts = connected_components(scratch, scratch.store(edges, "edges"), stored=True)
+    parts = connected_components(scratch, edges)
 
     crowd = members.where(F.col("n") > hot).select("bucket", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     unsettled = crowd.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = scratch.store(crowd.join(unsettled, "bucket", "left_semi").select("bucket", "node", "n"), "unsettled")
+    scratch.drop(members)
     if not left.isEmpty():
         spread = left.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -168,14 +165,28 @@ def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
         dealt = spread.select("bucket", "i", "j", "node", "hashes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         more = dealt.mapInArrow(_blocks(threshold), "a long, b long").distinct()
         parts = connected_components(scratch, edges.unionByName(more))
+    return rows, scratch.store(points.join(parts, "node", "left").select("k1", "k2", F.col("first.doc_id").alias("rep"), F.coalesce("component", "node").alias("part")), "parts")
+
 
-    named = points.join(parts, "node", "left").select("node", "more", "rep", F.coalesce("component", "node").alias("part"))
-    named = scratch.store(named, "named")
-    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "node", "more").join(scratch.store(named.join(least, "part").select("node", "more", "component_id"), "least"), ["node", "more"]).select("doc_id", "component_id")
+def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, hot: int = HOT_BUCKET) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable by links of at least ``threshold`` shared shingles (Jaccard).
+
+    One row per row with a doc_id. Texts without words are equal; a text shorter than a shingle is one. Rows of one
+    doc_id with different texts stand for themselves. An empty table gives an empty result. Further columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, points = _parts(scratch, docs, size, threshold, hot)
+    least = points.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = scratch.store(points.join(least, "part").select("k1", "k2", "component_id"), "named")
+    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "component_id")
 
 
 def near_keep(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row of least doc_id of each component stays, as do rows without doc_id."""
-    found = near_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without near-duplicates: one row of each component stays, that of least doc_id, as do all rows without doc_id.
+
+    Rows of one doc_id stand for themselves: each goes or stays with its own text's component. Null texts count as
+    empty, repeated rows stay once, an empty table gives an empty result, further columns pass through.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, points = _parts(scratch, docs, SIZE, THRESHOLD, HOT_BUCKET)
+    return keep_one(scratch, docs, rows.join(points.select("k1", "k2", "part"), ["k1", "k2"]).select("doc_id", "t", "part"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, as_bytes, doc_columns, map_text
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, text_digest
 from corpusloom.llm.graph import connected_components
 
 #: Members of a block from which one-bit neighbours replace the join of pairs.
@@ -53,13 +53,13 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of each row; a null text counts as empty."""
+    """doc_id, t (digest of the text), fp (the 64 bits as a long) of each row; a null text counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, size) for x in as_bytes(batch.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "t", "fp"])
 
-    return map_text(doc_columns(docs), run, "doc_id long, fp long")
+    return map_text(doc_columns(docs).withColumn("t", text_digest()), run, "doc_id long, t binary, fp long")
 
 
 def _masks(distance: int, spare: int) -> list[int]:
@@ -94,27 +94,40 @@ def close_pairs(scratch: Scratch, points: DataFrame, distance: int = 2, spare: i
     return joined.unionByName(linked).distinct()
 
 
+def _parts(scratch: Scratch, docs: DataFrame, size: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, points). rows: doc_id, t, fp per row; points: fp, rep (its least doc_id), part (the same for linked fingerprints)."""
+    fps = scratch.store(fingerprints(docs, size), "fps")
+    points = scratch.store(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
+    edges = close_pairs(scratch, points.where("rep is not null").select("fp", F.col("fp").alias("rep")), distance)
+    parts = connected_components(scratch, edges)
+    return fps, scratch.store(points.join(parts, points.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts")
+
+
 def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable by links of at most ``distance`` bits.
 
     One row per input row. Null or blank texts have fingerprint zero and link like any other. Rows
-    with equal doc_id are one document; a null doc_id makes no links but takes its fingerprint's
+    stand for themselves: rows of one doc_id with different texts are linked by their fingerprints only, so they may have
+    different components. A null doc_id makes no links but takes its fingerprint's
     component. An empty table gives an empty result. Further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.store(fingerprints(docs, size), "fps")
-    points = scratch.store(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    edges = close_pairs(scratch, points.where("rep is not null"), distance)
-    parts = connected_components(scratch, edges)
-    named = points.join(parts, points.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(scratch.store(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    fps, points = _parts(scratch, docs, size, distance)
+    least = points.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return fps.join(scratch.store(points.join(least, "part").select("fp", "component_id"), "named"), "fp").select("doc_id", "fp", "component_id")
+
 
+def simhash_keep(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
+    """docs without near-duplicates: one row of each component stays, that of least doc_id, as do all rows without doc_id.
 
-def simhash_keep(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row of least doc_id of each component stays, as do rows without doc_id."""
-    found = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    Rows of one doc_id stand for themselves: each goes or stays with its own text's component. Null texts count as
+    empty, repeated rows stay once, an empty table gives an empty result, further columns pass through.
+    """
+    scratch = Scratch(docs.sparkSession)
+    fps, points = _parts(scratch, docs, size, distance)
+    return keep_one(scratch, docs, fps.join(points.select("fp", "part"), "fp").select("doc_id", "t", "part"))
 
 
 def op2_simhash_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id per row; see ``simhash_components`` for nulls, blanks and repeated rows."""
     return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
