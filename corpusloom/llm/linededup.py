@@ -5,8 +5,9 @@ each hash and finds its largest doc_id. Hashes found often enough form the index
 by their leading bits, each with a minimal perfect hash (levels of bit arrays, after BBHash) over
 one half of the hash and arrays of fingerprints (the other half), counts and largest doc_ids at the
 places it gives. Documents probe the arrays; lines are never joined. Shards are broadcast in passes
-of at most ``pass_bytes``; an index of more bytes takes more passes, each on what the last one kept,
-so memory stays bounded and the result is the same.
+of at most ``pass_bytes``. An index that fits one pass is probed while the texts are read; a larger one
+takes more passes, which go over the stored hashes of long lines and give the places of those to
+drop, and the texts are touched once at the end. So memory stays bounded and the result is the same.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, as_bytes, slices
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, slices, text_digest
 from corpusloom.llm.textkernel import mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -147,7 +148,7 @@ def _line_hashes(lines: list[bytes], min_chars: int) -> tuple[list[int], np.ndar
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, n (documents), last (largest doc_id) of every long line."""
+    """h1, h2, n (different doc_ids, null being one and the smallest), last (largest doc_id) of every long line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +164,8 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     h = np.concatenate(hashes)
                     yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.concatenate(ids))], ["h1", "h2", "doc_id"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long")
-    return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    rows = doc_columns(docs).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return rows.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
 
 
 def build_index(scratch: Scratch, counts: DataFrame) -> tuple[DataFrame, int]:
@@ -190,81 +191,134 @@ def _passes(index: DataFrame, most: int) -> list[list[int]]:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """row (the input row as a struct), doc_id, text (kept lines), n_lines, n_dropped, per input row.
+    """row (the input row as a struct), text (kept lines), n_lines, n_dropped, per input row.
 
-    Texts are split at \\n; null or empty is one empty line. A key found in at least ``min_docs``
-    rows loses its lines in all but the largest doc_id that holds it. Every row counts as a
-    document, so repeated rows count each; null doc_ids are the smallest. An empty table gives an
+    Texts are split at \\n; null or empty is one empty line. A key found under at least ``min_docs``
+    different doc_ids loses its lines in all rows but those of the largest doc_id that holds it. Rows of one
+    doc_id are one document; all rows with a null doc_id are together one document, the smallest. An empty table gives an
     empty result.
     """
     scratch = Scratch(docs.sparkSession)
     index, bits = build_index(scratch, line_counts(docs, min_chars).where(F.col("n") >= min_docs))
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(-1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    for i, group in enumerate(_passes(index, pass_bytes) or [[]]):
-        if i:
-            state = scratch.store(state, "pass")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = whole.select("row", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    passes = _passes(index, pass_bytes) or [[]]
+
+    def shards(group: list[int]):
         rows = index.where(F.col("shard").isin(group)).collect() if group else []
-        held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r.asDict() for r in rows})
-        state = state.mapInArrow(_prober(held, bits, min_chars, state.schema), state.schema)
-    return state
+        return docs.sparkSession.sparkContext.broadcast({r["shard"]: r.asDict() for r in rows})
+
+    if len(passes) == 1:
+        return whole.mapInArrow(_cutter(shards(passes[0]), bits, min_chars), schema)
+    lines = scratch.store(doc_columns(docs).withColumn("t", text_digest()).mapInArrow(_hasher(min_chars), "doc_id long, t binary, at array<int>, h1 array<long>, h2 array<long>"), "lines")
+    found = None
+    for group in passes:
+        held = shards(group)
+        part = scratch.store(lines.mapInArrow(_prober(held, bits), "doc_id long, t binary, gone array<int>"), "gone")
+        held.unpersist()
+        found = part if found is None else found.unionByName(part)
+    gone = found.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    joined = whole.withColumn("_t", text_digest()).withColumn("_doc", F.coalesce("doc_id", F.lit(_NO_ID))).join(gone, ["_doc", "_t"], "left")
+    return joined.select("row", "doc_id", "text", "gone").mapInArrow(_cutter(None, bits, min_chars), schema)
+
+
+def _gone(shards: dict[int, Shard], bits: int, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which lines (hashes and doc_ids) an index of these shards takes away."""
+    out = np.zeros(len(h), bool)
+    of = (h[:, 0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    for k, shard in shards.items():
+        own = np.flatnonzero(of == k)
+        count, last = shard.probe(np.ascontiguousarray(h[own, 0]), h[own, 1])
+        out[own] = (count > 0) & (last != doc[own])
+    return out
+
+
+def _hasher(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [_line_hashes(x.split(b"\n"), min_chars) for x in as_bytes(part.column(1))]
+                columns = [pa.array([x[0] for x in found], pa.list_(pa.int32())), *(pa.array([x[1][:, c] for x in found], pa.list_(pa.int64())) for c in (0, 1))]
+                rows = pa.RecordBatch.from_arrays([part.column(0).fill_null(_NO_ID), part.column(2), *columns], ["doc_id", "t", "at", "h1", "h2"])
+                yield rows.filter(pa.array([bool(x[0]) for x in found]))
 
+    return run
 
-def _prober(held, bits: int, min_chars: int, schema):
-    names = schema.names
 
+def _prober(held, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: Shard(row) for k, row in held.value.items()}
+        for b in batches:
+            sizes = np.diff(b.column(2).offsets.to_numpy())
+            h = np.stack([b.column(c).values.to_numpy() for c in (3, 4)], 1)
+            gone = _gone(shards, bits, h, np.repeat(b.column(0).to_numpy(), sizes))
+            at = b.column(2).values.to_numpy()
+            cuts = np.cumsum(sizes)[:-1]
+            rows = [x[g] for x, g in zip(np.split(at, cuts), np.split(gone, cuts), strict=True)] if b.num_rows else []
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "t", "gone"])
+            yield out.filter(pa.array([len(x) > 0 for x in rows], pa.bool_()))
+
+    return run
+
+
+def _cutter(held, bits: int, min_chars: int):
+    """Texts without the lines that the shards take away, or that ``gone`` (the fourth column) lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = {k: Shard(row) for k, row in held.value.items()} if held is not None else {}
         for batch in batches:
             for part in slices(batch, 2):
                 texts = [x.split(b"\n") for x in as_bytes(part.column(2))]
-                found = [_line_hashes(x, min_chars) for x in texts]
-                h = np.concatenate([np.zeros((0, 2), np.int64), *(x[1] for x in found)])
-                doc = np.repeat([_NO_ID if x is None else x for x in part.column(1).to_pylist()], [len(x[0]) for x in found]).astype(np.int64)
-                gone = np.zeros(len(h), bool)
-                of = (h[:, 0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                for k, shard in shards.items():
-                    own = np.flatnonzero(of == k)
-                    count, last = shard.probe(np.ascontiguousarray(h[own, 0]), h[own, 1])
-                    gone[own] = (count > 0) & (last != doc[own])
-                at, kept, dropped, lines = 0, [], [], []
-                for own, (where, _), before in zip(texts, found, part.column(3).to_pylist(), strict=True):
-                    out = {where[j] for j in np.flatnonzero(gone[at : at + len(where)])}
-                    at += len(where)
-                    kept.append(b"\n".join([x for i, x in enumerate(own) if i not in out]) if out else b"\n".join(own))
-                    dropped.append(len(out))
-                    lines.append(len(own) if before < 0 else before)
-                total = pa.array(np.array(dropped, np.int64) + part.column(4).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), total], names)
+                if held is not None:
+                    found = [_line_hashes(x, min_chars) for x in texts]
+                    h = np.concatenate([np.zeros((0, 2), np.int64), *(x[1] for x in found)])
+                    sizes = [len(x[0]) for x in found]
+                    gone = _gone(shards, bits, h, np.repeat(part.column(1).fill_null(_NO_ID).to_numpy(), sizes))
+                    ends = np.cumsum([0, *sizes]).tolist()
+                    outs = [{where[j] for j in np.flatnonzero(gone[a:b])} for (where, _), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+                else:
+                    outs = [set(x or ()) for x in part.column(3).to_pylist()]
+                kept = [b"\n".join([x for i, x in enumerate(own) if i not in out] if out else own) for own, out in zip(texts, outs, strict=True)]
+                columns = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) for x in outs], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["row", "text", "n_lines", "n_dropped"])
 
     return run
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines out of text, and n_chars (if there) the new length."""
+    """docs with the repeated lines out of text, and n_chars (if there) the new length.
+
+    Every row stays, repeated rows as often as they come; null texts stay null. See ``drop_lines`` for rows that share a
+    doc_id or have none. An empty table gives an empty result; further columns pass through.
+    """
     kept = drop_lines(docs)
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    known = F.col("row.text").isNotNull()
+    new = {"text": F.when(known, F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(known, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))
     return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 per row; see ``drop_lines`` for nulls, blanks and repeated rows."""
     found = drop_lines(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+WITH numbered AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_no, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM numbered),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
 often AS (
   SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+  GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
 marked AS (
-  SELECT keyed.*, often.k IS NOT NULL AND keyed.doc_id <> often.last AS gone
+  SELECT keyed.*, often.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM often.last AS gone
   FROM keyed LEFT JOIN often ON keyed.k = often.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row_no, doc_id
 """
