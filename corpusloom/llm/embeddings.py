@@ -1,19 +1,22 @@
 """Embedding near-duplicates by random-hyperplane sign hashing.
 
-Vectors of one label meet in several tables, each by the signs of a few random projections; vectors
-that share a bucket are compared by exact cosine in double precision, and each pair counts in the
-first table where it meets. Bits grow with the logarithm of the largest label, so buckets keep
-their size, and tables follow so that a pair at the threshold is missed with a chance of at most MISS.
-
-Equal vectors are one point with a multiplicity. Buckets of more than BLOCK points are compared as
-blocks by blocks, so no task holds more than two blocks, and a comparison gives back only link
-counts and a spanning forest of the links, never all pairs. Components come from the distributed contraction.
+Vectors of one label meet in several tables, each by the signs of a few random projections. Bits grow with the
+logarithm of the largest label, so buckets keep their size, and tables follow so that a pair at the threshold
+meets in none with a chance of at most MISS. Only numbers and SKETCH further signs of each vector go to the tables:
+pairs whose sketches differ in too many signs are put aside (at the threshold this happens with a chance of at most
+SKETCH_MISS), each other pair is a candidate once, and its vectors are fetched once for the exact cosine in double precision.
+
+Equal vectors are one point with a multiplicity. Where a bucket has many candidates for its size, its points are
+close to one another, and pairs are not made: the candidates' spanning forest puts the points together, groups of
+such points are compared as blocks by blocks, and give back only link counts and a spanning forest of the
+links. Buckets of more than CROWD points are dealt out as blocks too. Components come from the distributed contraction.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,14 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.graph import connected_components
+from corpusloom.llm.textkernel import mix
 
 THRESHOLD, MISS = 0.93, 1e-5
-#: Points that a bucket should have, and points of a block.
-BUCKET, BLOCK = 32, 256
+#: Signs of a sketch (whole numbers of 64), and the chance that a pair at the threshold is put aside by it.
+SKETCH, SKETCH_MISS = 128, 1e-6
+#: Points that a bucket should have, points of a crowded one, points of a block of vectors, candidates a point from which pairs are not made.
+BUCKET, CROWD, BLOCK, DENSE = 32, 2048, 256, 8
+_ROWS = 256
 _SEED = 20
 
 
@@ -38,27 +45,57 @@ def tables_for(points: int, threshold: float = THRESHOLD, miss: float = MISS) ->
     return bits, math.ceil(math.log(miss) / math.log1p(-meet))
 
 
-def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Bucket numbers of the rows of x, by table."""
-    planes = np.random.default_rng(_SEED).standard_normal((x.shape[1], bits * tables))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+def sketch_bound(threshold: float = THRESHOLD, miss: float = SKETCH_MISS) -> int:
+    """The least number of differing signs that a pair at the threshold exceeds with a chance of at most ``miss``."""
+    p, below = math.acos(threshold) / math.pi, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if 1 - below <= miss:
+            return k
+    return SKETCH
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, vec (its numbers as bytes, as wide as they came), h1, h2; the last three null for vectors that link with nothing."""
-    for batch in batches:
-        vec, h = [], []
-        labels = batch.column(1).to_pylist()
-        lists = batch.column(2)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        present = lists.is_valid().to_numpy(zero_copy_only=False)
-        for i, label in enumerate(labels):
-            x = flat[offsets[i] : offsets[i + 1]] + flat.dtype.type(0)  # -0.0 becomes 0.0
-            ok = label is not None and present[i] and bool(np.isfinite(x).all()) and bool(x.any())
-            vec.append(x.tobytes() if ok else None)
-            h.append(np.frombuffer(xxhash.xxh3_128_digest(vec[-1] + repr(label).encode()), ">i8").tolist() if ok else (None, None))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vec, pa.binary()), pa.array([a for a, _ in h], pa.int64()), pa.array([b for _, b in h], pa.int64())], ["vec_id", "label", "vec", "h1", "h2"])
+@cache
+def _planes(size: int, n: int) -> np.ndarray:
+    return np.random.default_rng(_SEED).standard_normal((size, n))
+
+
+def signs(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Of unit vectors: the sketch, then the signs of all tables, as bytes of a row each."""
+    return np.packbits(x @ _planes(x.shape[1], SKETCH + bits * tables) > 0, axis=1, bitorder="little")
+
+
+def codes(packed: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Bucket numbers by table, from the rows of ``signs``."""
+    own = np.unpackbits(packed, axis=1, bitorder="little")[:, SKETCH : SKETCH + bits * tables].reshape(len(packed), tables, bits)
+    return (own.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def _points(bits: int, tables: int, kind: str):
+    """vec_id, label, vec (its numbers as bytes, as wide as they came), h1, h2, signs; the last four null for vectors that link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec, h = [], []
+            labels = batch.column(1).to_pylist()
+            lists = batch.column(2)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            present = lists.is_valid().to_numpy(zero_copy_only=False)
+            for i, label in enumerate(labels):
+                x = flat[offsets[i] : offsets[i + 1]] + flat.dtype.type(0)  # -0.0 becomes 0.0
+                ok = label is not None and present[i] and bool(np.isfinite(x).all()) and bool(x.any())
+                vec.append(x.tobytes() if ok else None)
+                h.append(np.frombuffer(xxhash.xxh3_128_digest(vec[-1] + repr(label).encode()), ">i8").tolist() if ok else (None, None))
+            found: list[bytes | None] = [None] * len(vec)
+            sizes = np.array([len(v or b"") for v in vec])
+            for size in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == size)
+                for i, row in zip(own.tolist(), signs(_unit([vec[i] for i in own], kind), bits, tables), strict=True):
+                    found[i] = row.tobytes()
+            columns = [batch.column(0), batch.column(1), pa.array(vec, pa.binary()), pa.array([a for a, _ in h], pa.int64()), pa.array([b for _, b in h], pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "vec", "h1", "h2", "signs"])
+
+    return run
 
 
 def _unit(vecs: list[bytes], kind: str) -> np.ndarray:
@@ -81,109 +118,194 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(table: np.ndarray, rep: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, code: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(bits: int, tables: int):
+    """bucket (one number for table, label, size and code), node, sketch: a point's places in the tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            own = np.array([xxhash.xxh3_64_intdigest(f"{label} {size}".encode()) for label, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], np.uint64)
+            bucket = mix(mix(own)[:, None] + mix(np.arange(1, tables + 1, dtype=np.uint64))[None, :]) ^ codes(packed, bits, tables) * np.uint64(0x9E3779B97F4A7C15)
+            sketch = np.repeat(packed[:, : SKETCH // 8].copy().view(np.int64), tables, axis=0)
+            columns = [mix(bucket).ravel().view(np.int64), np.repeat(b.column(0).to_numpy(), tables), *sketch.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bucket", "node", *_SKETCHES])
+
+    return run
+
+
+_SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+
+
+def close(sketch: np.ndarray, bound: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sketches differ in at most ``bound`` signs: all, or those from before ``cut`` with those after."""
+    found = []
+    last = len(sketch) if cut is None else cut
+    for lo in range(0, last, _ROWS):
+        part = sketch[lo : min(lo + _ROWS, last)]
+        others = sketch[cut:] if cut is not None else sketch[lo + 1 :]
+        apart = sum(np.bitwise_count(part[:, None, c] ^ others[None, :, c]).astype(np.uint16) for c in range(sketch.shape[1]))
+        a, b = np.nonzero(apart <= bound)
+        if cut is None:
+            a, b = a[b >= a], b[b >= a]
+        found.append((a + lo, b + (cut if cut is not None else lo + 1)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2  # type: ignore[return-value]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Whole runs of rows that agree in the first ``keys`` columns."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+        columns = [whole.column(k).to_numpy() for k in range(keys)]
+        bounds = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1).tolist()]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield whole.slice(lo, hi - lo)
+        held = whole.slice(bounds[-1])
+    if held is not None:
+        yield held
+
+
+def _candidates(bound: int):
+    """Pairs a, b of a bucket's close sketches; where there are many, the spanning forest of these, marked dense."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, 3):
+            if part.num_rows < 2:
+                continue
+            block, node = part.column(3).to_numpy(), part.column(4).to_numpy()
+            sketch = np.stack([part.column(c).to_numpy() for c in range(5, 5 + len(_SKETCHES))], 1).view(np.uint64)
+            cut = None
+            if part.column(1)[0] != part.column(2)[0]:
+                order = np.argsort(block, kind="stable")
+                block, node, sketch = block[order], node[order], sketch[order]
+                cut = int(np.searchsorted(block, block[0], side="right"))
+            a, b = close(sketch, bound, cut)
+            if not len(a):
+                continue
+            if dense := len(a) > DENSE * len(node):
+                root = _roots(len(node), a, b)
+                a = np.flatnonzero(root != np.arange(len(root)))
+                b = root[a]
+            a, b = node[a], node[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
+
+    return run
+
+
+def _verified(threshold: float, kind: str):
+    """Of pairs with their vectors (a, b, x, y), those at the threshold or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column(2).to_pylist()])
+            for size in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                x, y = (_unit(part.column(c).to_pylist(), kind) for c in (2, 3))
+                yield part.select([0, 1]).filter(pa.array((x * y).sum(axis=1) >= threshold))
+
+    return run
+
+
+def _compare(node: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Link counts and spanning edges among the points of one comparison."""
-    order = np.lexsort((rep, block))
-    rep, n, block, x, code = rep[order], n[order], block[order], x[order], code[order]
+    order = np.lexsort((node, block))
+    node, n, block, x = node[order], n[order], block[order], x[order]
     if cross:
         cut = int(np.searchsorted(block, block[0], side="right"))
         a, b = np.nonzero(x[:cut] @ x[cut:].T >= threshold)
         b = b + cut
     else:
         a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-    if len(a):
-        fresh = ~(code[a, :table] == code[b, :table]).any(axis=1)
-        a, b = a[fresh], b[fresh]
-    links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
-    return rep, links.astype(np.int64), rep[_roots(len(rep), a, b)]
-
-
-def _comparer(threshold: float, bits: int, tables: int, kind: str):
-    names = ["rep", "links", "root"]
-
-    def group(b: pa.RecordBatch, lo: int, hi: int) -> pa.RecordBatch | None:
-        if hi - lo < 2:
-            return None
-        part = b.slice(lo, hi - lo)
-        col = {k: part.column(i) for i, k in enumerate(part.schema.names)}
-        cross = col["i"][0].as_py() != col["j"][0].as_py()
-        block = col["own"].to_numpy()
-        if cross and (block == block[0]).all():
-            return None
-        x = _unit(col["vec"].to_pylist(), kind)
-        rep, links, root = _compare(col["t"][0].as_py(), col["rep"].to_numpy(), col["n"].to_numpy(), block, x, codes(x, bits, tables), cross, threshold)
-        hit = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit])], names) if hit.any() else None
+    links = np.bincount(a, n[b], len(node)) + np.bincount(b, n[a], len(node))
+    return node, links.astype(np.int64), node[_roots(len(node), a, b)]
+
+
+def _blocks(threshold: float, kind: str):
+    """node, links, root of the groups' blocks; columns part, i, j, own, node, n, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
+        for part in runs(batches, 3):
+            block = part.column(3).to_numpy()
+            cross = part.column(1)[0] != part.column(2)[0]
+            if part.num_rows < 2 or (cross and (block == block[0]).all()):
                 continue
-            whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            keys = [whole.column(k).to_numpy() for k in range(3)]  # bucket, i, j
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            bounds = [0, *change.tolist()]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if (out := group(whole, lo, hi)) is not None:
-                    yield out
-            held = whole.slice(bounds[-1])
-        if held is not None and (out := group(held, 0, held.num_rows)) is not None:
-            yield out
+            x = _unit(part.column(6).to_pylist(), kind)
+            node, links, root = _compare(part.column(4).to_numpy(), part.column(5).to_numpy(), block, x, cross, threshold)
+            hit = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root[hit])], ["node", "links", "root"])
 
     return run
 
 
+def _dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """Rows (key, node, ``blocks``: how many blocks the key has) once for each pair of blocks i, j that their own block is in."""
+    spread = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
 def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id per row of vectors (vec_id, label, embedding).
 
     Vectors link only within a label and with as many components. Null, empty and zero vectors, those
     with null or non-finite components and those with a null label link with nothing and are their
-    own component. Every row is a vector, so repeated rows link with one another. A null vec_id
-    counts as a link of others but has no component. An empty table gives an empty result.
+    own component. Every row is a vector, so repeated rows link with one another. A row with a null vec_id
+    counts as a link of others and connects them, and has no component_id where no row it reaches has a vec_id.
+    An empty table gives an empty result; further columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     number, kind = ("float", "<f4") if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else ("double", "<f8")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
-    points = scratch.store(rows.mapInArrow(_points, "vec_id long, label long, vec binary, h1 long, h2 long"), "points")
-    groups = points.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
-    groups = scratch.store(groups, "groups")
-    largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    largest = rows.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, threshold)
+    found = rows.mapInArrow(_points(bits, tables, kind), "vec_id long, label long, vec binary, h1 long, h2 long, signs binary")
+    points = scratch.store(found.withColumn("node", F.monotonically_increasing_id()), "points")  # numbers are as stored from here on
+    groups = points.where("h1 is not null").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("label").alias("label"), F.min(F.length("vec")).alias("size"), F.min("signs").alias("signs"))
+    groups = scratch.store(groups, "groups")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(v) for v in b.column(2).to_pylist()])
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
-                part = b.take(pa.array(own))
-                code = codes(_unit(part.column(2).to_pylist(), kind), bits, tables)
-                t = np.tile(np.arange(tables, dtype=np.int32), len(own))
-                lead = np.repeat(part.column(1).to_numpy(), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(lead), pa.array(np.full(len(t), size, np.int32)), pa.array(t), pa.array(code.ravel().view(np.int64))], ["rep", "label", "size", "t", "code"])
-
-    usable = groups.where("rep is not null")
-    met = usable.select("rep", "label", "vec").mapInArrow(keyed, "rep long, label long, size int, t int, code long")
-    met = scratch.store(met.select("rep", "t", F.xxhash64("label", "size", "t", "code").alias("bucket")), "buckets")
-    crowds = scratch.store(met.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1"), "bucket-sizes")
-    placed = met.join(crowds, "bucket").select("rep", "t", "bucket", F.ceil(F.col("s") / BLOCK).cast("int").alias("nb"))
-    lists = scratch.store(placed.groupBy("rep").agg(F.collect_list(F.struct("t", "bucket", "nb")).alias("at")), "bucket-lists")  # at most one entry a table
-    spread = usable.join(lists, "rep").select("rep", "n", "vec", F.explode("at").alias("b")).select("rep", "n", "vec", "b.*")
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "t", "rep", "n", "own", "vec")
-    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    compared = scratch.store(dealt.mapInArrow(_comparer(threshold, bits, tables, kind), "rep long, links long, root long"), "links")
-
-    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    edges = compared.where("rep <> root").select(F.least("rep", "root").alias("a"), F.greatest("rep", "root").alias("b")).distinct()
-    parts = connected_components(scratch, edges)
-    named = usable.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    found = points.select("vec_id", "h1", "h2").join(scratch.store(named, "named"), ["h1", "h2"], "left")
-    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return found.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    entries = groups.select("node", "label", "size", "signs").mapInArrow(_entries(bits, tables), "bucket long, node long, " + ", ".join(f"{s} long" for s in _SKETCHES))
+    crowds = scratch.store(entries.groupBy("bucket").agg(F.count("*").alias("s")).where(F.col("s") > CROWD).select("bucket", F.ceil(F.col("s") / CROWD).cast("int").alias("nb")), "crowds")
+    if crowds.isEmpty():
+        entries = entries.withColumns({c: F.lit(0) for c in ("i", "j", "own")})
+    else:
+        entries = _dealt(entries.join(crowds, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1))), "bucket", "nb")
+    entries = entries.select("bucket", "i", "j", "own", "node", *_SKETCHES)
+    near = entries.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_candidates(sketch_bound(threshold)), "a long, b long, dense boolean")
+    near = scratch.store(near.distinct(), "candidates")
+
+    parts = connected_components(scratch, near.where("dense").select("a", "b"))
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    pairs = near.where("NOT dense").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_part IS NULL OR b_part IS NULL OR a_part <> b_part").select("a", "b")
+    vec = points.select("node", "vec")
+    both = pairs.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("x")), "a").join(vec.select(F.col("node").alias("b"), F.col("vec").alias("y")), "b")
+    linked = scratch.store(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold, kind), "a long, b long"), "linked")
+
+    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    members = parts.join(sizes, "component").join(groups.select("node", "n"), "node").join(vec, "node")
+    dealt = _dealt(members, "component", "nb").select("component", "i", "j", "own", "node", "n", "vec")
+    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    compared = scratch.store(dealt.mapInArrow(_blocks(threshold, kind), "node long, links long, root long"), "links")
+
+    times = groups.select("node", "n")
+    apart = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(times.select(F.col("node").alias("b"), "n"), "b")
+    links = compared.select("node", "links").unionByName(apart.select(F.col("a").alias("node"), F.col("n").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
+    edges = linked.unionByName(compared.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b"))).distinct()
+    joined = groups.select("h1", "h2", "node", "rep", "n").join(links, "node", "left").join(connected_components(scratch, edges), "node", "left")
+    named = scratch.store(joined.select("h1", "h2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("part")), "named")
+    least = named.groupBy("part").agg(F.min("rep").alias("component"))
+    named = scratch.store(named.join(least, "part").select("h1", "h2", "links", "component"), "components")
+    result = points.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
+    own = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    return result.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
 
 
 def op10_embedding_dedup(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id, kept (whether vec_id is component_id) per row; see ``embedding_components`` for nulls and repeats.
+
+    kept is null where vec_id is, and repeated rows of a kept vec_id are all kept.
+    """
     return embedding_components(vectors).withColumn("kept", F.col("vec_id") == F.col("component_id"))
