@@ -5,7 +5,7 @@ length, at most ``capacity`` numbers, so it is solved exactly on that histogram,
 equal bins at a time: pieces above a third of the capacity take the largest such partner that
 fits, at most two a bin; smaller ones, the longest first, go where they leave the least room. Each
 piece then finds its place from its number among the pieces of its length, which comes from counts
-by (length, salt): the salt deals a common length out over many tasks.
+by (length, share): a length has one share for each SHARE of its pieces, so a common length is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, doc_columns, slices
 
 CAPACITY = 2048
-#: Shares that the pieces of one length are numbered in.
-SALTS = 64
+#: Pieces of one length that a task numbers, on average.
+SHARE = 100_000
 TOKENIZER = "byte_bpe_50k"
 _END = 0
 
@@ -169,29 +169,37 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) ->
     return doc_columns(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, share: int = SHARE) -> DataFrame:
     """The pieces with sequence_id and offset.
 
-    Sequences are numbered from 0 and filled without gaps. Repeated rows are packed as often as they
-    come; a null doc_id stays null. An empty table gives an empty result.
+    Sequences are numbered from 0 and filled without gaps. Null texts are empty documents of the end token alone.
+    Repeated rows are packed as often as they come; a null doc_id stays null. An empty table gives an empty
+    result; further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    # rows alike in all columns may swap numbers on a second run, which changes nothing
-    salted = scratch.store(pieces(docs, capacity, name).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("long")), "pieces")
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in salted.groupBy("length", "salt").count().collect():  # at most capacity * salts rows
-        counts[r["length"], r["salt"]] = r["count"]
-    plan = plan_of(pack_histogram({s: int(n) for s, n in enumerate(counts.sum(axis=1)) if n}, capacity))
-    before = np.cumsum(counts, axis=1) - counts
-    held = spark.sparkContext.broadcast((plan, before))
-    numbered = salted.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    stored = scratch.store(pieces(docs, capacity, name).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers are as stored from here on
+    sizes = np.zeros(capacity + 1, np.int64)
+    for r in stored.groupBy("length").count().collect():  # at most ``capacity`` rows
+        sizes[r["length"]] = r["count"]
+    plan = plan_of(pack_histogram({s: int(n) for s, n in enumerate(sizes) if n}, capacity))
+    shares = np.maximum(1, -(-sizes // share))
+    first = np.cumsum(shares) - shares  # the shares of all lengths, one after another
+    of = F.element_at(F.lit(shares.tolist()), F.col("length").cast("int") + 1)
+    salted = stored.withColumn("salt", F.pmod(F.xxhash64("row"), of).cast("long"))
+    counts = np.zeros(int(shares.sum()), np.int64)
+    for r in salted.groupBy("length", "salt").count().collect():  # at most capacity + pieces / share rows
+        counts[first[r["length"]] + r["salt"]] = r["count"]
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[first], shares)  # among the pieces of the same length
+    held = spark.sparkContext.broadcast((plan, first, before))
+    numbered = salted.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, before = held.value
+        plan, first, before = held.value
         for b in batches:
             length, salt, number = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "salt", "number"))
-            sequence, offset = plan.place(length, before[length, salt] + number)
+            sequence, offset = plan.place(length, before[first[length] + salt] + number)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -200,4 +208,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, salts
 
 
 def op5_bestfit_packing(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece; see ``pack`` for nulls, repeats and empty tables."""
     return pack(docs)
