@@ -111,17 +111,29 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("block", [256, 8])
 def test_embeddings_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CROWD", block * 2)
+    monkeypatch.setattr(embeddings, "DENSE", block // 32)
     r = np.random.default_rng(2)
     centres = r.normal(size=(12, 16))
     rows = [(i, int(i % 3), (centres[i % 12] + r.normal(size=16) * r.choice([0.02, 0.25, 0.35])).astype(np.float32).tolist()) for i in range(240)]
     rows += [(300 + i, 1, rows[1][2]) for i in range(30)]
     nan, inf = float("nan"), float("inf")
     rows += [(400, None, rows[0][2]), (401, 1, None), (402, 1, [0.0] * 16), (403, 1, [nan] + [1.0] * 15), (404, 1, [inf] + [1.0] * 15), (405, 1, [None] + [1.0] * 15), (406, 1, []), (407, 1, [1.0, 2.0]), (408, 1, [2.0, 4.0]), (409, 0, [-0.0] * 15 + [1.0]), (410, 0, [0.0] * 15 + [1.0])]
+    rows += [(500 + i, 2, (centres[3] + r.normal(size=16) * 0.05).astype(np.float32).tolist()) for i in range(150)]  # a crowd of near copies
     found = embeddings.op10_embedding_dedup(vectors(spark, rows)).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == brute(rows)
     assert all(x.kept == (x.vec_id == x.component_id) for x in found)
 
 
+def test_vectors_without_id(spark):
+    x = [1.0, 0.0, 0.0, 0.0]
+    near, far = [1.0, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(None, 1, x), (4, 1, near), (6, 1, [1.0, -0.25, 0.0, 0.0]), (None, 1, far), (None, 1, far), (None, 1, None)]
+    found = embeddings.op10_embedding_dedup(vectors(spark, rows)).collect()
+    key = lambda x: (x.vec_id or 0, x.n_links, x.component_id or 0, x.kept)
+    assert sorted(map(key, found), key=str) == sorted([(0, 2, 4, None), (4, 2, 4, True), (6, 2, 4, False), (0, 1, 0, None), (0, 1, 0, None), (0, 0, 0, None)], key=str)
+
+
 def test_embeddings_empty_and_recall(spark):
     assert embeddings.op10_embedding_dedup(vectors(spark, [])).count() == 0
     for points in (1, 100, 10**4, 10**6, 10**9):

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -9,7 +10,7 @@ from llm_helpers import prose, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import linededup, quality, simhash, suffixes
+from corpusloom.llm import linededup, neardup, quality, simhash, suffixes
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.graph import connected_components
 
@@ -84,11 +85,11 @@ def test_simhash_keep(odd, empty):
 
 def brute_lines(rows, least=40, docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
-    seen = collections.defaultdict(list)
+    seen = collections.defaultdict(set)
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= least:
-                seen[k].append(-(1 << 63) if i is None else i)
+                seen[k].add(-(1 << 63) if i is None else i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -107,15 +108,18 @@ def test_lines_against_brute_force(spark, odd_rows, most, monkeypatch):
     if most == 1:
         monkeypatch.setattr(linededup, "SHARD_KEYS", 1)  # many shards, each a pass
     rows = line_rows(odd_rows) + [(200 + i, "\n".join(f"{j} repeated line number {j} with enough characters" for j in range(i, 12))) for i in range(8)]
+    often = "a line that stands in several rows of one document alone"  # four rows and one: two documents, so it stays
+    rows += [(900, often)] * 4 + [(901, f"{often}\nand more")] + [(902, rows[-1][1]), (902, rows[-2][1])]
     found = linededup.drop_lines(table(spark, rows).select("doc_id", "text"), pass_bytes=most)
-    got = sorted(((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.text.encode()).hexdigest()) for x in found.collect()), key=str)
+    got = sorted(((x.row.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.text.encode()).hexdigest()) for x in found.collect()), key=str)
     assert got == brute_lines(rows)
 
 
 def test_line_dedup_keeps_columns(spark, odd, odd_rows, empty):
     kept = linededup.line_dedup(table(spark, line_rows(odd_rows)))
     assert kept.columns == odd.columns
-    assert all(x.n_chars == len(x.text) for x in kept.collect())
+    assert all(x.n_chars == len(x.text) if x.text is not None else x.n_chars is None for x in kept.collect())
+    assert kept.where("text is null").count() == odd.where("text is null").count()
     assert linededup.op8_line_dedup(empty).count() == 0
 
 
@@ -142,7 +146,10 @@ def brute_spans(rows, least):
     return out
 
 
-def test_suffixes_against_brute_force(spark, odd_rows):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3])
+def test_suffixes_against_brute_force(spark, odd_rows, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 8)
     passage = prose(50, 55)
     rows = odd_rows + [(300 + i, f"{prose(60 + i, 5 * i)} {passage} {prose(90 + i, 7)}") for i in range(12)] + [(400 + i, prose(61, 52 + i)) for i in range(4)]
     info, found = suffixes.repeated_spans(table(spark, rows))
@@ -158,6 +165,50 @@ def test_suffixes_against_brute_force(spark, odd_rows):
     assert result[311].first_docs == [300] and result[2].first_docs == [1] and result[2].copy_of == 1 and result[300].first_docs == []
 
 
+def test_passages_of_any_surroundings(spark):
+    """Parts of a few long texts in many documents: matches of all lengths, with other documents' words left and right."""
+    r = random.Random(11)
+    long = [prose(800 + k, 400).split() for k in range(3)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            own, a = r.choice(long), r.randint(0, 340)
+            words += own[a : a + r.randint(10, 120)] + prose(10_000 + i, r.randint(0, 12)).split()
+        rows.append((i // 2, " ".join(words)))  # two rows a doc_id
+    found = suffixes.op3_suffix_array_dedup(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+    first: dict = {}
+    for i, t in rows:
+        w = t.split()
+        for s in range(len(w) - 49):
+            first[tuple(w[s : s + 50])] = min(i, first.get(tuple(w[s : s + 50]), i))
+    want = []
+    for i, t in rows:
+        w, marks, firsts = t.split(), set(), set()
+        for s in range(len(w) - 49):
+            if (k := first[tuple(w[s : s + 50])]) < i:
+                marks |= set(range(s, s + 50))
+                firsts.add(k)
+        want.append((i, len(w), sorted(marks), sorted(firsts)))
+    got = [(x.doc_id, x.n_words, sorted({k for s in x.spans for k in range(s.start, s.end)}), sorted(x.first_docs)) for x in found]
+    assert sorted(got) == sorted(want)
+
+
+def test_rows_of_one_doc_id_lose_no_text(spark):
+    p, u, v = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(1, p), (7, p), (7, u), (7, u), (9, v), (9, None)]
+    found = sorted((x.doc_id, x.n_repeated) for x in suffixes.op3_suffix_array_dedup(table(spark, rows)).collect())
+    assert found == [(1, 0), (7, 0), (7, 0), (7, 80), (9, 0), (9, 0)]
+    assert sorted((x.doc_id, x.text or "") for x in suffixes.suffix_dedup(table(spark, rows)).collect()) == sorted((i, t or "") for i, t in [(1, p), (7, u), (7, u), (9, v), (9, None)])
+    a, b = prose(41, 60), prose(42, 60)
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (None, a)]
+    for keep in (simhash.simhash_keep, neardup.near_keep):
+        assert sorted((x.doc_id or 0, x.text) for x in keep(table(spark, rows)).collect()) == sorted([(0, a), (3, a), (5, b)])
+    same = sorted((x.doc_id or 0, x.component_id) for x in simhash.op2_simhash_dedup(table(spark, rows)).collect())
+    assert same == [(0, 3), (3, 3), (5, 3), (5, 5), (9, 5), (9, 5)]
+
+
 def test_suffix_dedup_cuts_repeats_alone(spark, odd, empty):
     passage, own = prose(50, 60), prose(70, 10)
     rows = [(1, f"{own}\n{passage}"), (2, f"begin\n{passage}  end of it"), (3, passage), (4, own), (5, None), (6, ""), (None, passage)]

@@ -74,8 +74,23 @@ def test_token_counts_of_odd_rows(odd, odd_rows, empty):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in odd_rows]
     assert got == sorted(want, key=str)
     assert tokencounts.op7_token_counts(empty).count() == 0
-    cut = {x.doc_id: (x.text, x.n_tokens) for x in tokencounts.truncate(odd, 6).collect()}
-    assert all(odd_rows_text.startswith(cut[i][0]) and cut[i][1] <= 6 for i, odd_rows_text in odd_rows if i and odd_rows_text)
+
+
+def test_truncation_from_stored_prefixes(odd, odd_rows, empty):
+    short = odd.where("doc_id is null or doc_id <> 9")
+    prefixes = tokencounts.prefix_counts(short)
+    texts = sorted((t or "" for i, t in odd_rows if i != 9))
+    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    tables = sorted(((x.text or "", x.counts) for x in prefixes.collect()), key=lambda x: x[0])
+    assert [t for t, _ in tables] == texts
+    for t, own in tables:
+        if len(t) < 300:
+            assert own == [count(t[:n]) for n in range(len(t) + 1)]
+    for budget in (0, 6, 40):
+        found = sorted((x.text or "", x.n_tokens) for x in tokencounts.truncate(prefixes, budget).collect())
+        want = sorted((t[:n], own[n]) for t, own in tables for n in [max(k for k, c in enumerate(own) if c <= budget)])
+        assert found == want
+    assert tokencounts.prefix_counts(empty).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
