@@ -250,9 +250,9 @@ def _prober(held, bits: int):
         shards = {k: Shard(row) for k, row in held.value.items()}
         for b in batches:
             sizes = np.diff(b.column(2).offsets.to_numpy())
-            h = np.stack([b.column(c).values.to_numpy() for c in (3, 4)], 1)
+            h = np.stack([b.column(c).flatten().to_numpy() for c in (3, 4)], 1)
             gone = _gone(shards, bits, h, np.repeat(b.column(0).to_numpy(), sizes))
-            at = b.column(2).values.to_numpy()
+            at = b.column(2).flatten().to_numpy()
             cuts = np.cumsum(sizes)[:-1]
             rows = [x[g] for x, g in zip(np.split(at, cuts), np.split(gone, cuts), strict=True)] if b.num_rows else []
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "t", "gone"])

@@ -125,7 +125,7 @@ def _contexts(min_words: int, gram: int):
                 base = np.cumsum(counts) - counts
                 wanted = part.column(3)
                 rows = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
-                codes = wanted.values.to_numpy()
+                codes = wanted.flatten().to_numpy()
                 at, most, least = unpacked(codes)
                 low, high = at - most, at - least + min_words
                 cut = lambda a, b: [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]

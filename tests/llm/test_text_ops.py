@@ -195,6 +195,14 @@ def test_passages_of_any_surroundings(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_passages_in_long_texts(spark):
+    """More text than one numpy pass takes: lists of places come in parts of a batch."""
+    passage = prose(77, 60)
+    rows = [(i, f"{prose(2000 + i, 3000)} {passage} {prose(3000 + i, 1000)} {prose(5000 + i // 2, 70)}") for i in range(60)]
+    found = {x.doc_id: x.n_repeated for x in suffixes.op3_suffix_array_dedup(table(spark, rows).coalesce(1)).collect()}
+    assert found == {i: 60 * (i > 0) + 70 * (i % 2) for i in range(60)}
+
+
 def test_rows_of_one_doc_id_lose_no_text(spark):
     p, u, v = prose(31, 80), prose(32, 80), prose(33, 80)
     rows = [(1, p), (7, p), (7, u), (7, u), (9, v), (9, None)]
