@@ -3,24 +3,24 @@
 For a pretoken, the encoding of each prefix ends in exactly one token whose pair with the last token
 before it would survive encoding together; so counts of all prefixes follow from left to right:
 count[i] = count[i - len(t)] + 1 for the token t ending at i that goes with the last token at
-i - len(t). Pairs are tried once and remembered. The most frequent pretokens of the corpus (a bounded number) are
-solved once and broadcast, rarer ones once per worker (at most CACHE_WORDS are remembered); documents add up
+i - len(t). Tokens that end at a place come from an automaton of all tokens, the longest first; pairs are tried
+once and remembered. Distinct pretokens are solved once per worker (at most CACHE_WORDS are remembered; most of a corpus's distinct
+words are rare, so a table of the whole corpus would save little), documents add up
 their pretokens' counts. ``prefix_counts`` keeps the count of every prefix of every document, from which
 truncation and budgets are read off without encoding anything again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import corpus_words
-from corpusloom.llm.common import Scratch, doc_columns, map_text, ship_package
+from corpusloom.llm.common import doc_columns, map_text, ship_package
 from corpusloom.llm.packing import TOKENIZER, _encoding
 from corpusloom.llm.pretokens import Pretokens, Seen, classes, keys_of
 from corpusloom.llm.textkernel import distinct
@@ -36,24 +36,19 @@ class PrefixCounter:
 
     def __init__(self, name: str = TOKENIZER):
         self.encode = _encoding(name)._encode_single_piece
-        self.ranks = _encoding(name)._mergeable_ranks
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.tokens = {r: t for t, r in _encoding(name)._mergeable_ranks.items()}
+        self.ends = ahocorasick.Automaton()
+        for r, t in self.tokens.items():
+            self.ends.add_word(t.decode("latin-1"), (r, len(t)))
+        self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.held: tuple[str, list[bytes], np.ndarray] | None = None
         self.forget()
 
-    def hold(self, held: tuple[str, list[bytes], np.ndarray]) -> None:
-        """A name, and words with their totals, solved already."""
-        if self.held is None or self.held[0] != held[0]:
-            self.held = held
-            self.forget()
-
     def forget(self) -> None:
-        self.seen, self.longer, self.totals = Seen(), {}, np.zeros(0, np.int64)
-        if self.held is not None:
-            self.seen.add(*keys_of(self.held[1], self.longer))
-            self.totals = self.held[2]
+        """Leave the tokens alone, each of which is a pretoken of one token."""
+        self.seen, self.longer = Seen(), {}
+        self.seen.add(*keys_of(list(self.tokens.values()), self.longer))
+        self.totals = np.ones(len(self.tokens), np.int64)
         self.least = len(self.totals)
 
     def _together(self, a: int, b: int) -> bool:
@@ -67,15 +62,15 @@ class PrefixCounter:
 
     def counts(self, word: bytes) -> list[int]:
         """Tokens of word[:i] for i from 0 to len(word)."""
-        ranks, together = self.ranks, self._together
-        last, counts = [-1], [0]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ranks.get(word[j:i])
-                if t is not None and (j == 0 or together(last[j], t)):
-                    last.append(t)
-                    counts.append(counts[j] + 1)
-                    break
+        together = self._together
+        last, counts = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        for end, (t, n) in self.ends.iter(word.decode("latin-1")):  # by end, of equals the longest first
+            if last[end + 1] >= 0:
+                continue
+            j = end + 1 - n
+            if j == 0 or together(last[j], t):
+                last[end + 1] = t
+                counts[end + 1] = counts[j] + 1
         return counts
 
     def text_totals(self, texts: list[str]) -> np.ndarray:
@@ -160,20 +155,6 @@ class TextPrefixes:
         return max((n for n in range(max(0, low - 1), high + 1) if self.count(n) <= budget), default=0)
 
 
-def held_totals(docs: DataFrame, name: str = TOKENIZER):
-    """The broadcast totals of the corpus's most frequent pretokens."""
-    scratch = Scratch(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(name)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.counts(w)[-1] for w in batch.column(0).to_pylist()], pa.int64())], ["word", "n"])
-
-    got = corpus_words(scratch, docs, "tokenizers", SPECIAL).mapInArrow(run, "word binary, n long").toArrow()  # at most HELD_WORDS rows of bounded size
-    scratch.clear()
-    return docs.sparkSession.sparkContext.broadcast((scratch.base, got["word"].to_pylist(), got["n"].to_numpy()))
-
-
 def token_totals(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """doc_id, n_bytes, n_tokens per row; null and empty texts have 0 of each, repeated rows come repeated.
 
@@ -181,8 +162,6 @@ def token_totals(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     inside a text is one token, as that library's default is. An empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    docs = doc_columns(docs)
-    held = held_totals(docs, name)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -192,11 +171,10 @@ def token_totals(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
             parts += own
             owner += [i] * len(own)
         owners = np.array(owner, np.int64)
-        counter(name).hold(held.value)
         totals = np.bincount(owners, counter(name).text_totals(parts), minlength=len(texts)).astype(np.int64) + np.bincount(owners, minlength=len(texts)) - 1
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(totals)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_text(docs, run, "doc_id long, n_bytes long, n_tokens long")
+    return map_text(doc_columns(docs), run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def prefix_counts(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:

@@ -78,7 +78,6 @@ def test_caches_that_forget(monkeypatch):
     ids = [multi().encode_ordinary(w.decode()) for w in words]
     sizes = lambda xs: np.array([len(x) for x in xs])
     encoder.hold(("one", (np.frombuffer(b"".join(words), np.uint8), sizes(words), np.concatenate(ids).astype(np.uint32), sizes(ids))))
-    counter.hold(("one", words, sizes([tokencounts._encoding(tokencounts.TOKENIZER).encode_ordinary(w.decode()) for w in words])))
     for seed in range(4):
         texts = [prose(seed, 80), "q" * 40, prose(seed + 1, 3)]
         ((got, counts),) = encoder([texts])
