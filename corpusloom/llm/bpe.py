@@ -289,11 +289,11 @@ def stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) -> I
         yield held
 
 
-def corpus_words(scratch: Scratch, docs: DataFrame, library: str = "tiktoken", parting: str = "") -> DataFrame:
+def corpus_words(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """word (bytes) of the most frequent pretokens of all texts: at most HELD_WORDS, none over HELD_BYTES.
 
-    Counts are combined on the map side. The cut lies at a count, by quarters of powers of two, so that what is
-    chosen does not depend on the order of rows. ``parting`` is a string at which texts are parted first.
+    Each stretch counts its words and sends on those that it has more than once; counts are combined on the map side. The cut
+    lies at a count, by quarters of powers of two. Which words are held does not change any result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +301,7 @@ def corpus_words(scratch: Scratch, docs: DataFrame, library: str = "tiktoken", p
             longer: dict[bytes, int] = {}
             found = []
             for part in parts:
-                texts = [x for text in part.column(1).to_pylist() if text for x in (text.split(parting) if parting else [text])]
-                t = Pretokens(texts, library)
+                t = Pretokens([x or "" for x in part.column(1).to_pylist()])
                 short = t.ends - t.starts <= HELD_BYTES
                 t.starts, t.ends = t.starts[short], t.ends[short]
                 lo, hi = t.keys(longer)
@@ -311,8 +310,10 @@ def corpus_words(scratch: Scratch, docs: DataFrame, library: str = "tiktoken", p
                 found.append((lo[first], hi[first], t.data[gather(t.starts[first], n)], n, np.bincount(inverse, minlength=len(first))))
             lo, hi, data, n, times = (np.concatenate(x) for x in zip(*found, strict=True))
             first, inverse = distinct(lo, hi)
+            total = np.bincount(inverse, times, len(first)).astype(np.int64)
+            first, total = first[total > 1], total[total > 1]
             begin = (np.cumsum(n) - n)[first]
-            yield pa.RecordBatch.from_arrays([binaries(data[gather(begin, n[first])], n[first]), pa.array(np.bincount(inverse, times, len(first)).astype(np.int64))], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([binaries(data[gather(begin, n[first])], n[first]), pa.array(total)], ["word", "n"])
 
     counts = scratch.store(docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     level = F.floor(F.log2("n") * 4)
