@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from functools import cache
+from typing import Protocol
 
 CHUNK_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN, LEAST_CHARS = 800, 200, 4, 50
 # Separators from the strongest to the weakest, and the marks of a statute's parts.
@@ -12,12 +13,46 @@ STATUTE_PART = re.compile(r"\n\s*\([a-z]\)\s+|\n\s*Section\s+\d+", re.IGNORECASE
 # Abbreviations whose period ends no sentence.
 ABBREVIATIONS = frozenset("e.g i.e vs etc approx inc corp ltd jr sr dr mr mrs ms prof dept est govt no vol ch sec art div pt ex gen mass app ct mgl st".split())
 
-Counter = Callable[[str], int]
 
 
-def estimate(text: str) -> int:
-    """Tokens at four characters each, rounded up."""
-    return -(-len(text) // CHARS_PER_TOKEN)
+class Tokens(Protocol):
+    def count(self, text: str) -> int: ...
+
+    def tail(self, text: str, n: int) -> str:
+        """The text's last n tokens."""
+
+
+class _Estimate:
+    """Tokens of four characters each, rounded up."""
+
+    def count(self, text: str) -> int:
+        return -(-len(text) // CHARS_PER_TOKEN)
+
+    def tail(self, text: str, n: int) -> str:
+        return text[-n * CHARS_PER_TOKEN :]
+
+
+class _Encoded:
+    """The tokens of a tokenizer's JSON file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def tail(self, text: str, n: int) -> str:
+        return self.tokenizer.decode(self.tokenizer.encode(text, add_special_tokens=False).ids[-n:], skip_special_tokens=False)
+
+
+ESTIMATE: Tokens = _Estimate()
+
+
+@cache
+def encoded(path: str) -> Tokens:
+    return _Encoded(path)
 
 
 def led_by(text: str, separator: str) -> list[str]:
@@ -26,13 +61,13 @@ def led_by(text: str, separator: str) -> list[str]:
     return [p for p in [first, *(separator + r for r in rest)] if p.strip()] if rest else [text]
 
 
-def split_to_fit(text: str, limit: int = CHUNK_TOKENS, count: Counter = estimate) -> list[str]:
+def split_to_fit(text: str, limit: int = CHUNK_TOKENS, tokens: Tokens = ESTIMATE) -> list[str]:
     """Pieces of at most ``limit`` tokens; a piece is cut at the strongest separator that is left, and small ones are not joined again."""
     done: list[str] = []
     open_ = [(text, 0)]
     while open_:
         piece, level = open_.pop()
-        if count(piece) <= limit:
+        if tokens.count(piece) <= limit:
             done.append(piece)
         elif level == len(SEPARATORS):
             size = limit * CHARS_PER_TOKEN
@@ -42,35 +77,35 @@ def split_to_fit(text: str, limit: int = CHUNK_TOKENS, count: Counter = estimate
     return done
 
 
-def overlap_of(piece: str, tokens: int = OVERLAP_TOKENS, count: Counter = estimate) -> str:
-    """What the next piece repeats: the end of a piece of over ``tokens`` tokens, from the first blank line in it, else sentence end, on."""
-    if count(piece) <= tokens:
+def overlap_of(piece: str, n: int = OVERLAP_TOKENS, tokens: Tokens = ESTIMATE) -> str:
+    """What the next piece repeats: the last n tokens of a piece of more, from the first blank line in them, else sentence end, on."""
+    if tokens.count(piece) <= n:
         return ""
-    tail = piece[-tokens * CHARS_PER_TOKEN :]
+    tail = tokens.tail(piece, n)
     cut = re.search(r"\n\n+", tail) or re.search(r"(?<=[.!?])\s+", tail)
     return tail[cut.end() :] if cut else tail
 
 
-def with_overlap(pieces: list[str], tokens: int = OVERLAP_TOKENS, count: Counter = estimate) -> list[str]:
+def with_overlap(pieces: list[str], n: int = OVERLAP_TOKENS, tokens: Tokens = ESTIMATE) -> list[str]:
     """Each piece led by the overlap of the one before, as that was without its own."""
-    return [overlap_of(before, tokens, count) + piece for before, piece in zip(["", *pieces], pieces, strict=False)]
+    return [overlap_of(before, n, tokens) + piece for before, piece in zip(["", *pieces], pieces, strict=False)]
 
 
-def chunks_of(doc_id: str, kind: str, text: str, count: Counter = estimate) -> list[str]:
+def chunks_of(doc_id: str, kind: str, text: str, tokens: Tokens = ESTIMATE) -> list[str]:
     """A document's chunks: short questions whole, statutes by their parts, the rest by separators."""
     if "faq_full_page" in doc_id:
         return []
-    if kind == "faq" and count(text) <= 2 * CHUNK_TOKENS:
+    if kind == "faq" and tokens.count(text) <= 2 * CHUNK_TOKENS:
         return [text]
     if kind == "statute":
         starts = [0, *(m.start() for m in STATUTE_PART.finditer(text))]
         parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
-        pieces = [p for part in parts for p in split_to_fit(part, count=count)]
-    elif count(text) <= CHUNK_TOKENS:
+        pieces = [p for part in parts for p in split_to_fit(part, tokens=tokens)]
+    elif tokens.count(text) <= CHUNK_TOKENS:
         return [text]
     else:
-        pieces = split_to_fit(text, count=count)
-    return [p.strip() for p in with_overlap(pieces, count=count) if len(p.strip()) >= LEAST_CHARS]
+        pieces = split_to_fit(text, tokens=tokens)
+    return [p.strip() for p in with_overlap(pieces, tokens=tokens) if len(p.strip()) >= LEAST_CHARS]
 
 
 def _abbreviated(word: str) -> bool:

@@ -95,6 +95,20 @@ def without_noise(root: Node) -> Node:
     return root
 
 
+def full_text(root: Node) -> str:
+    """All strings that are not blank, stripped, a line each."""
+    out: list[str] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if t := n.strip():
+                out.append(t)
+        else:
+            stack += reversed(n.children)
+    return "\n".join(out)
+
+
 def title(root: Node) -> str:
     for n in root.find("meta"):
         if n.attrs.get("property") == "og:title" and n.attrs.get("content"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _V = "[aeiouy]"
 _NOT_V = "[^aeiouy]"
@@ -27,6 +28,7 @@ def _short_end(w: str) -> bool:
     return bool(re.search(f"{_NOT_V}{_V}[^aeiouywxY]$", w) or re.fullmatch(f"{_V}{_NOT_V}", w))
 
 
+@lru_cache(1 << 16)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word

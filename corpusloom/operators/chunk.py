@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from corpusloom.functions.chunking import chunks_of, sentences
+from corpusloom.functions.chunking import ESTIMATE, chunks_of, encoded, sentences
 from corpusloom.functions.stem import stem
 
 _STRINGS = ArrayType(StringType())
 
 
-@F.pandas_udf(_STRINGS)
-def _chunks(doc_id: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([chunks_of(d or "", k or "guide", t or "") for d, k, t in zip(doc_id, kind, text, strict=True)])
+def _chunks(tokenizer: str | None):
+    @F.pandas_udf(_STRINGS)
+    def run(doc_id: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Series:
+        tokens = encoded(tokenizer) if tokenizer else ESTIMATE
+        return pd.Series([chunks_of(d or "", k or "guide", t or "", tokens) for d, k, t in zip(doc_id, kind, text, strict=True)])
+
+    return run
 
 
 @F.pandas_udf(_STRINGS)
@@ -29,9 +35,21 @@ def stemmed(term: pd.Series) -> pd.Series:
     return term.map(stem, na_action="ignore")
 
 
-def chunk(docs: DataFrame) -> DataFrame:
-    """docs: doc_id (string), content_type, content and further columns, which come along."""
-    parts = docs.withColumn("_parts", _chunks("doc_id", "content_type", "content")).drop("content")
+_TOKENS = re.compile("[a-z0-9]+")
+
+
+@F.pandas_udf(_STRINGS)
+def stemmed_tokens(text: pd.Series) -> pd.Series:
+    """The stems of a text's lower-cased tokens, in their order; a worker remembers the stems of the tokens it met last."""
+    return text.map(lambda t: [stem(w) for w in _TOKENS.findall((t or "").lower())])
+
+
+def chunk(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """docs: doc_id (string), content_type, content and further columns, which come along.
+
+    ``tokenizer`` is the path of a tokenizer's JSON file, on every worker, whose tokens are counted; without one they are estimated.
+    """
+    parts = docs.withColumn("_parts", _chunks(tokenizer)("doc_id", "content_type", "content")).drop("content")
     rows = parts.select("*", F.posexplode("_parts").alias("chunk_index", "content")).withColumn("total_chunks", F.size("_parts")).drop("_parts")
     return rows.withColumn("chunk_id", F.format_string("%s_chunk_%03d", "doc_id", "chunk_index"))
 
@@ -44,6 +62,17 @@ def sentence_chunks(docs: DataFrame, window: int = 3) -> DataFrame:
     return rows.withColumns({"chunk_id": F.format_string("%s_sent_%04d", "doc_id", "sentence_index"), "window_start": F.greatest(F.lit(0), i - window), "window_end": F.least(n, i + window + 1)})
 
 
+# Metadata that is not embedded, and that which a model is not shown.
+NOT_EMBEDDED = ["doc_id", "source_url", "source_name", "title", "content_type", "chunk_index", "total_chunks"]
+NOT_SHOWN = ["doc_id", "chunk_index", "total_chunks"]
+
+
+def nodes(chunks: DataFrame) -> DataFrame:
+    """id, text, metadata, parent_id, excluded_embed_keys, excluded_llm_keys: chunks as nodes linked to their documents; the text alone is embedded."""
+    keys = lambda names: F.array(*map(F.lit, names))
+    return chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), F.struct(*NOT_EMBEDDED).alias("metadata"), F.col("doc_id").alias("parent_id"), keys(NOT_EMBEDDED).alias("excluded_embed_keys"), keys(NOT_SHOWN).alias("excluded_llm_keys"))
+
+
 def window_text(rows: DataFrame, reach: int, doc: str = "doc_id", order: str = "idx", content: str = "content") -> DataFrame:
     """Each row with the texts of the rows up to ``reach`` before and after it in its document."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(-reach, reach)

@@ -6,6 +6,8 @@ can move before chunking; chunk predicates come after headings are merged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +99,9 @@ def merge_headings(chunks: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key; a hot key is first reduced within each task by a minimum of the order columns."""
-    first = rows.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    return rows.withColumn("_key", key).join(first.select("_key", *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order]), "_key").where(" AND ".join(f"{c} <=> _first_{c}" for c in order)).select(*rows.columns)
+    """The first row of each key by the order columns: one scan and one shuffle, in which a hot key is reduced within each task before it."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(key.alias("_key")).agg(first.alias("_row")).select("_row.*")
 
 
 def dedup_by_content(chunks: DataFrame, *order: str) -> DataFrame:
@@ -113,24 +115,50 @@ def reindex(chunks: DataFrame) -> DataFrame:
     return again.withColumn("chunk_id", F.format_string("%s_chunk_%03d", F.col("doc_id").cast("string"), F.col("chunk_index")))
 
 
+#: Fixed value: the document that holds a whole page of questions.
+FULL_PAGE = "bostonhousing_faq_full_page"
+
+
+def chunk_steps(c: Column, d: Column) -> dict[str, Column]:
+    """The chunk predicates by name, in their order."""
+    return {"non_english": is_non_english(c), "home_buying": is_home_buying(c), "endnote": is_endnote(c), "link_list": is_link_list(c, d), "header_only": is_header_only(c), "short": is_short(c), "boilerplate": is_boilerplate(c)}
+
+
+def document_steps(d: Column, oversized: list[str] | None) -> dict[str, Column]:
+    return {"full_page": d == FULL_PAGE, "translation": is_translation(d)} | ({"oversized": is_oversized(d, oversized)} if oversized else {})
+
+
 def clean(chunks: DataFrame, blocked: DataFrame | None = None, oversized: list[str] | None = None) -> DataFrame:
     """chunks: doc_id (string), chunk_index, content. All steps in their order."""
-    kept = chunks.where(~is_translation(F.col("doc_id")))
-    if oversized:
-        kept = kept.where(~is_oversized(F.col("doc_id"), oversized))
+    kept = chunks
+    for predicate in document_steps(F.col("doc_id"), oversized).values():
+        kept = kept.where(~predicate)
     if blocked is not None:
         kept = without_documents(kept, blocked)
-    c, d = F.col("content"), F.col("doc_id")
     merged = merge_headings(kept)
-    gone = [is_short(c), is_non_english(c), is_home_buying(c), is_endnote(c), is_link_list(c, d), is_header_only(c), is_boilerplate(c)]
-    for predicate in gone:  # they only remove rows, so the cheapest goes first
+    for predicate in chunk_steps(F.col("content"), F.col("doc_id")).values():
         merged = merged.where(~predicate)
     return reindex(dedup_by_content(merged, "doc_id", "chunk_index"))
 
 
+def removed_counts(chunks: DataFrame, blocked: DataFrame | None = None, oversized: list[str] | None = None) -> DataFrame:
+    """step, removed: chunks that each step of ``clean`` takes away after the steps before it; merged headings count under "merge"."""
+    named = lambda steps: reduce(lambda w, s: w.when(s[1], s[0]), list(steps.items())[1:], F.when(*reversed(next(iter(steps.items())))))
+    before = chunks.withColumn("_step", named(document_steps(F.col("doc_id"), oversized)))
+    if blocked is not None:
+        listed = blocked.select("doc_id", F.lit("blocked").alias("_blocked")).distinct()
+        before = before.join(listed, "doc_id", "left").withColumn("_step", F.coalesce("_step", "_blocked")).drop("_blocked")
+    kept = before.where("_step is null").drop("_step")
+    merged = merge_headings(kept).withColumn("_step", named(chunk_steps(F.col("content"), F.col("doc_id"))))
+    rest = merged.where("_step is null").groupBy(dedup_key(F.col("content")).alias("_k")).agg((F.count("*") - 1).alias("n"))
+    counted = lambda rows: rows.where("_step is not null").groupBy(F.col("_step").alias("step")).agg(F.count("*").alias("removed"))
+    joined = kept.agg(F.count("*").alias("n")).crossJoin(merged.agg(F.count("*").alias("m"))).select(F.lit("merge").alias("step"), (F.col("n") - F.col("m")).alias("removed"))  # one row each
+    return counted(before).unionByName(counted(merged)).unionByName(joined).unionByName(rest.agg(F.lit("duplicate").alias("step"), F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))).where("removed > 0")
+
+
 def step_counts(chunks: DataFrame) -> DataFrame:
     """Rows that each chunk predicate would remove, in one pass."""
     c, d = F.col("content"), F.col("doc_id")
-    steps = {"non_english": is_non_english(c), "home_buying": is_home_buying(c), "endnote": is_endnote(c), "link_list": is_link_list(c, d), "header_only": is_header_only(c), "short": is_short(c), "boilerplate": is_boilerplate(c)}
+    steps = chunk_steps(c, d)
     counted = chunks.agg(*[F.count_if(p).alias(k) for k, p in steps.items()])
     return counted.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, steps)), F.array(*steps))).alias("step", "removed"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import containment, without_source_note
@@ -15,7 +17,11 @@ def ranking_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
     """
     true = truth.select("query_id", "id").distinct()
     sizes = true.groupBy("query_id").agg(F.count("*").alias("n_true"))
-    marked = results.join(true.withColumn("good", F.lit(1)), ["query_id", "id"], "left")
+    return metrics_of(results.join(true.withColumn("good", F.lit(1)), ["query_id", "id"], "left"), sizes)
+
+
+def metrics_of(marked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same from results whose ``good`` is 1 where the id is true, and sizes (query_id, n_true), where the true ids need not be listed."""
     discount = F.when(F.col("good") == 1, 1 / F.log2(F.col("rank") + 1))
     found = marked.groupBy("query_id").agg(F.count("*").alias("n"), F.count("good").alias("hits"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"), F.coalesce(F.sum(discount), F.lit(0.0)).alias("dcg"))
     joined = sizes.join(found, "query_id", "left").withColumn("ideal", F.least("n_true", F.coalesce("n", F.lit(0))).cast("int"))
@@ -68,6 +74,58 @@ def majority(votes: DataFrame, label: str, order: str, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("majority"), F.max("n").alias("votes"))
 
 
+def run_aggregates(facts: DataFrame, run: str = "run", *, key: str = "metric") -> DataFrame:
+    """metric, n, mean, std, ci_95_low, ci_95_high over runs: of each run's attribution counts and coverages. facts: run, in_retrieval, in_generation."""
+    each = attribution_counts(facts, run)
+    names = ["retrieval_coverage", "generation_coverage", "generation_given_retrieval", "covered", "generation_miss", "retrieval_miss", "hallucinated"]
+    return run_stats(each.unpivot([run], names, key, "value").withColumn("value", F.col("value").cast("double")), "value", key)
+
+
+def question_runs(rows: DataFrame, most: float = 0.1) -> DataFrame:
+    """question_id, runs, mean and deviation of both scores over runs, unstable, in the order of the greater deviation, greatest first.
+
+    rows: run, question_id, retrieval_coverage, generation_correctness. A question is unstable if a rounded deviation is over ``most``.
+    """
+    spread = lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4)
+    scores = {"retrieval": "retrieval_coverage", "generation": "generation_correctness"}
+    found = rows.groupBy("question_id").agg(F.count("*").alias("runs"), *[f for k, c in scores.items() for f in (F.round(F.avg(c), 4).alias(f"{k}_mean"), spread(c).alias(f"{k}_std"))])
+    widest = F.greatest("retrieval_std", "generation_std")
+    return found.withColumn("unstable", widest > most).orderBy(widest.desc(), "question_id")
+
+
+def prefix_scores(rows: DataFrame, key: str = "question_id", value: str = "faithfulness", passing: float = 1.0) -> DataFrame:
+    """prefix (of the id, before the first underscore), n, mean, passed: rows with a valid score by where their question comes from."""
+    valid = rows.where(F.col(value).isNotNull())
+    return valid.groupBy(F.substring_index(F.col(key), "_", 1).alias("prefix")).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.count_if(F.col(value) == passing).alias("passed"))
+
+
+def zipped_facts(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each fact with its place and its verdicts in both judgements. rows: facts, in_retrieval, in_generation (arrays alike in order)."""
+    zipped = rows.select(*keep, F.posexplode(F.arrays_zip("facts", "in_retrieval", "in_generation")).alias("fact_index", "z"))
+    return zipped.select(*keep, "fact_index", F.col("z.facts").alias("fact"), *[F.coalesce(f"z.{c}", F.lit(False)).alias(c) for c in ("in_retrieval", "in_generation")])
+
+
+def has_any(c: Column) -> Column:
+    """Whether an array is there and not empty: key facts or source chunks that a check can use."""
+    return F.coalesce(F.size(c), F.lit(0)) > 0
+
+
+def retrieval_run(questions: DataFrame, results: DataFrame, chunks: DataFrame, answers: DataFrame, score: Callable[[Column, Column], Column] = containment, least: float = 0.5) -> DataFrame:
+    """A row for each question with key facts: coverages by retrieval and generation, facts, and ranking metrics of its results.
+
+    questions: query_id, key_facts, source_ids (the true ids); results: query_id, id, rank; chunks: id, content; answers: query_id, answer.
+    A fact is in a text where its score against it is at least ``least``. Questions without results retrieve nothing.
+    """
+    judged = questions.where(has_any(F.col("key_facts")))
+    parts = results.join(chunks.select("id", "content"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("p"))  # top-k rows a query
+    context = parts.select("query_id", F.array_join(F.transform("p", lambda x: x["content"]), "\n\n").alias("context"))
+    facts = judged.select("query_id", F.explode("key_facts").alias("fact")).join(context, "query_id", "left").join(answers.select("query_id", "answer"), "query_id", "left")
+    within = lambda c: score(F.col("fact"), F.coalesce(c, F.lit(""))) >= least
+    covered = attribution_counts(facts.select("query_id", within("context").alias("in_retrieval"), within("answer").alias("in_generation")), "query_id")
+    truth = judged.select("query_id", F.explode("source_ids").alias("id"))
+    return covered.join(ranking_metrics(results, truth), "query_id", "left")
+
+
 def against_baseline(rows: DataFrame, config: str, baseline: str, key: str, value: str, least: float = 0.001) -> DataFrame:
     """Delta of each key and configuration to the baseline configuration, and whether it improved."""
     base = rows.where(F.col(config) == baseline).select(key, F.col(value).alias("base"))
@@ -103,11 +161,24 @@ def audit(entries: DataFrame, chunks: DataFrame, relevance: float = 0.10, ground
     return missing.unionByName(titles).unionByName(urls).unionByName(twice).unionByName(far).unionByName(loose)
 
 
+def audit_summary(issues: DataFrame) -> DataFrame:
+    """check, issues, entries: of each check and, under "all", of all of them. issues: entry_id, check."""
+    return issues.groupingSets([["check"], []], F.col("check")).agg(F.count("*").alias("issues"), F.countDistinct("entry_id").alias("entries")).withColumn("check", F.coalesce("check", F.lit("all")))
+
+
+def audit_report(issues: DataFrame, entries: DataFrame, source: str) -> DataFrame:
+    """entry_id, source_file, num_issues, issues: a row for each entry, those without issues too, as the report's JSON lists them."""
+    own = issues.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("check", "chunk_id"))).alias("issues"))
+    rows = entries.select(F.col("id").alias("entry_id")).join(own, "entry_id", "left")
+    found = F.coalesce("issues", F.expr("CAST(array() AS array<struct<check:string,chunk_id:string>>)"))
+    return rows.select("entry_id", F.lit(source).alias("source_file"), F.size(found).alias("num_issues"), found.alias("issues"))
+
+
 def repeated_questions(entries: DataFrame, text: Column, order: str, key: str) -> DataFrame:
     """key, first: entries whose question, lower-cased and trimmed, an earlier entry has, with the first such entry."""
-    asked = F.lower(F.trim(text))
-    w = Window.partitionBy(asked).orderBy(order)
-    return entries.withColumn("first", F.first(key).over(w)).withColumn("_n", F.row_number().over(w)).where("_n > 1").select(key, "first")
+    rows = entries.withColumn("_asked", F.lower(F.trim(text)))
+    first = rows.groupBy("_asked").agg(F.min(order).alias("_order"), F.min_by(key, order).alias("first"), F.count("*").alias("_n")).where("_n > 1")  # combined on the map side, whatever a question's share
+    return rows.join(first.drop("_n"), "_asked").where(F.col(order) > F.col("_order")).select(key, "first")
 
 
 def first_topic(c: Column, topics: list[tuple[str, list[str]]], default: str) -> Column:

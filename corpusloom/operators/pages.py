@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +46,52 @@ def question_rows(pages: DataFrame, key: str = "url") -> DataFrame:
     return rows.withColumn("content", F.concat(F.lit("**Q: "), F.col("question"), F.lit("**\n\n"), F.col("answer")))
 
 
+def faq_documents(pages: DataFrame, source: str, name: str, least: int = 200) -> DataFrame:
+    """doc_id, source_url, source_name, title, content, content_type, section_headers: a document for each question, and one of each page's full text.
+
+    Ids hold the question's place in its page and the start of its slug; the category stands before the title and as the section.
+    A page of no more than ``least`` characters has no document of its own. pages: url, html; name: the title of full pages.
+    """
+    q = question_rows(pages).withColumn("category", F.coalesce("category", F.lit("")))
+    slug = F.substring(F.regexp_replace(F.lower("question"), "[^a-z0-9]+", "_"), 1, 60)
+    none = F.expr("CAST(array() AS array<string>)")
+    known = F.col("category") != ""
+    items = q.select(slug_id(F.lit(source), F.concat(F.format_string("faq_%03d_", "pos"), slug)).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.when(known, F.concat(F.lit("["), "category", F.lit("] "), "question")).otherwise(F.col("question")).alias("title"), "content", F.lit("faq").alias("content_type"), F.when(known, F.array("category")).otherwise(none).alias("section_headers"))
+    whole = pages.select(slug_id(F.lit(source), F.lit("faq_full_page")).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.lit(name).alias("title"), _full_text("html").alias("content"), F.lit("faq").alias("content_type"), none.alias("section_headers"))
+    return items.unionByName(whole.where(F.length("content") > least))
+
+
+@F.pandas_udf(StringType())
+def _full_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: H.full_text(H.without_noise(H.parse(x))))
+
+
+# Words of addresses that a legal aid site's tenant pages have.
+LEGAL_AID_WORDS = [
+    "tenant", "renter", "landlord", "evict", "lease", "rent", "deposit", "housing", "utility", "heat", "repair", "habitability",
+    "sublet", "discrimination", "section-8", "voucher", "mold", "bed-bug", "notice", "rights", "court", "small-claims",
+]
+
+
 def is_renter_url(url: Column) -> Column:
     return contains_any(F.lower(url), RENTER_WORDS)
 
 
+def is_legal_aid_url(url: Column) -> Column:
+    return contains_any(F.lower(url), LEGAL_AID_WORDS)
+
+
+def pdf_sweep(links: DataFrame, texts: DataFrame, words: list[str], least: int = 100) -> DataFrame:
+    """url, parent_url, title, content of the PDFs that any page links to whose address has one of the words and whose text is long enough.
+
+    links: src, dst (absolute); texts: url, content, as extracted from landed files. A PDF that several pages link to comes once, under the least of them.
+    """
+    wanted = links.where(contains_any(F.lower("dst"), words)).groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent_url"))
+    name = F.regexp_replace(F.lower(F.parse_url("url", F.lit("PATH"))), r"^/+|/+$", "")
+    title = F.initcap(F.translate(F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), "[^a-z0-9_.]", "_"), r"\.pdf$", ""), "_", " "))
+    return wanted.join(texts.where(F.length("content") >= least), "url").select("url", "parent_url", title.alias("title"), "content")
+
+
 def text_headings(c: Column, most: int = 20) -> Column:
     """Headings of a text page by marks, else bold passages."""
     marked = F.regexp_extract_all(c, F.lit(r"(?m)^#+[ \t]+([^\n]+)$"), F.lit(1))
@@ -55,16 +99,31 @@ def text_headings(c: Column, most: int = 20) -> Column:
     return F.slice(F.when(F.size(marked) > 0, marked).otherwise(bold), 1, most)
 
 
-def crawl(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+def browser_document(pages: DataFrame, source: str) -> DataFrame:
+    """doc_id, source_url, source_name, title, section_headers, content, content_type, legal_citations, content_hash of pages whose text a browser gave. pages: url, title, content."""
+    c = F.col("content")
+    return pages.select(slug_id(F.lit(source), F.substring_index("url", "//", -1)).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), "title", text_headings(c).alias("section_headers"), "content", content_type(F.col("url")).alias("content_type"), citations(c).alias("legal_citations"), content_hash(c).alias("content_hash"))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """A level as it is, so that the next ones do not compute it again: in the checkpoint folder where there is one, else kept."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def crawl(edges: DataFrame, roots: DataFrame, depth: int = 2, follow: Callable[[Column], Column] | None = None) -> DataFrame:
     """url, depth, parent_url of pages reached from the roots, by least depth then least parent. edges: src, dst; roots: url.
 
-    A bounded number of anti-joins: each level keeps only pages not met before.
+    Only links that ``follow`` (a predicate on the address) lets through are gone along. A bounded number of anti-joins: each level
+    keeps only pages not met before, and is stored before the next where more than two follow.
     """
+    if follow is not None:
+        edges = edges.where(follow(F.col("dst")))
     level = roots.select("url", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent_url")).distinct()
     seen = level
     for d in range(1, depth + 1):
         step = level.select(F.col("url").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent_url"))
         level = step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(d).alias("depth"), "parent_url")
+        level = _settled(level) if depth > 2 and d < depth else level
         seen = seen.unionByName(level)
     return seen
 

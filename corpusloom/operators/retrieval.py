@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,54 +102,79 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(out, k, F.round("distance", 9), F.col("id"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf, n_terms. docs: id, content."""
-    words = docs.select("id", tokens(F.col("content")).alias("terms"))
-    counted = words.select("id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    return counted.groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf"))
+Terms = Callable[[Column], Column]
 
 
-def _weights(docs: DataFrame, asked: DataFrame) -> tuple[float, dict[str, float]]:
-    """Mean length of documents and weights of the terms asked for, from counts over all documents and terms."""
-    words = docs.select(tokens(F.coalesce("content", F.lit(""))).alias("terms"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
-    if not stats["n"]:
-        return 1.0, {}
-    frequency = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = frequency.select("term", (F.log(F.lit(stats["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
-    known = raw.join(wanted, "term", "left")
-    # one row: the mean weight, and the weights of the queries' terms, which the caller has bounded
-    row = known.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("terms")).first()
-    return float(stats["mean"] or 1.0), {t["term"]: t["raw"] if t["raw"] >= 0 else EPSILON * row["mean"] for t in row["terms"]}
+@dataclass
+class Statistics:
+    """What BM25 knows of a corpus: documents, their mean length, the mean weight of its terms, and term, df (documents that hold it).
+
+    Counted once, by ``statistics``, and good for any number of searches of the same texts with the same ``terms``.
+    """
+
+    n: int
+    mean: float
+    mean_weight: float
+    table: DataFrame
+
+    def weights(self, vocabulary: set[str]) -> dict[str, float]:
+        """Weights of those of the terms that the corpus has; the caller bounds the vocabulary. A negative weight becomes EPSILON times the mean weight."""
+        asked = self.table.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary)], "term string")
+        found = self.table.join(F.broadcast(asked), "term").select("term", _weight(F.lit(self.n)).alias("w")).collect()
+        return {r["term"]: r["w"] if r["w"] >= 0 else EPSILON * self.mean_weight for r in found}
+
+    def release(self) -> None:
+        self.table.unpersist()
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _weight(n: Column) -> Column:
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def statistics(docs: DataFrame, terms: Terms = tokens) -> Statistics:
+    """One scan and one shuffle of distinct terms, combined on the map side. docs: id, content. Spark may evict the table, which ``release`` frees."""
+    words = docs.select(terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    # the empty term stands in every document: its row counts them and adds up their lengths
+    each = words.select(F.size("terms").cast("long").alias("length"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term"))
+    counted = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length")).persist(StorageLevel.DISK_ONLY)
+    whole = counted.where("term = ''").first()
+    n, length = (whole["df"], whole["length"]) if whole else (0, 0)
+    table = counted.where("term <> ''").select("term", "df")
+    mean_weight = table.agg(F.avg(_weight(F.lit(n))).alias("m")).first()["m"]
+    found = Statistics(n, (length / n if n else 0) or 1.0, mean_weight or 0.0, table)
+    found.release = counted.unpersist  # type: ignore[method-assign]
+    return found
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, terms: Terms = tokens, known: Statistics | None = None) -> DataFrame:
     """query_id, id, score, rank with Okapi weights; documents without a match score 0 and follow in order of id.
 
-    docs: id, content; queries: query_id, content. A term's weight that would be negative is EPSILON times the mean weight.
-    Repeated query terms count each time. Documents are scanned once, where they lie: each Arrow batch is a sparse matrix of
+    docs: id, content; queries: query_id, content. ``terms`` makes terms of texts (``stemmed_tokens`` stems them); ``known`` are the
+    statistics of docs where they have been counted. Repeated query terms count each time. Documents are scanned once more, where
+    they lie: each Arrow batch is a sparse matrix of
     term gains times the queries' matrix of weights, and each task sends on at most k rows a query, so no postings are
-    shuffled. Queries go out in blocks whose matrix has at most QUERY_CELLS cells.
+    shuffled. Queries go out in blocks whose matrix has at most QUERY_CELLS cells, and weights are asked for block by block.
     """
     spark = docs.sparkSession
-    asked = queries.select("query_id", tokens(F.coalesce("content", F.lit(""))).alias("terms"))
-    mean, weights = _weights(docs, asked.select(F.explode("terms").alias("term")))
-    words = docs.select("id", tokens(F.coalesce("content", F.lit(""))).alias("terms"))
-
-    def scored(block: list[tuple[int, Counter]]) -> DataFrame:
-        terms = sorted({t for _, c in block for t in c if t in weights})
-        place = {t: i for i, t in enumerate(terms)}
-        matrix = np.zeros((len(terms), len(block)))
+    asked = queries.select("query_id", terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    stats = known or statistics(docs, terms)
+    mean = stats.mean
+    words = docs.select("id", terms(F.coalesce("content", F.lit(""))).alias("terms"))
+
+    def scored(block: list[tuple[int, Counter]], vocabulary: set[str]) -> DataFrame:
+        weights = stats.weights(vocabulary) if vocabulary else {}
+        names = sorted(weights)
+        place = {t: i for i, t in enumerate(names)}
+        matrix = np.zeros((len(names), len(block)))
         for j, (_, c) in enumerate(block):
             for t, n in c.items():
                 if t in place:
                     matrix[place[t], j] = n * weights[t]
-        held = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), terms, matrix))
+        held = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), names, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, terms, matrix = held.value
-            value_set = pa.array(terms, pa.string())
+            ids, names, matrix = held.value
+            value_set = pa.array(names, pa.string())
             best = _Best(len(ids), k)
             for batch in batches:
                 for at in range(0, batch.num_rows, DOC_BLOCK):
@@ -156,7 +182,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     sizes = np.diff(b.column(1).offsets.to_numpy())
                     found = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=value_set), -1).to_numpy()
                     owner = np.repeat(np.arange(b.num_rows), sizes)
-                    width, hit = max(1, len(terms)), found >= 0
+                    width, hit = max(1, len(names)), found >= 0
                     cells, tf = np.unique(owner[hit] * width + found[hit], return_counts=True)
                     doc, term = cells // width, cells % width
                     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
@@ -177,11 +203,13 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         block.append((r["query_id"], Counter(r["terms"])))
         vocabulary |= set(r["terms"])
         if len(block) * len(vocabulary) >= QUERY_CELLS:
-            part, block, vocabulary = scored(block), [], set()
+            part, block, vocabulary = scored(block, vocabulary), [], set()
             out = part if out is None else out.unionAll(part)
     if block or out is None:
-        part = scored(block)
+        part = scored(block, vocabulary)
         out = part if out is None else out.unionAll(part)
+    if known is None:
+        stats.release()
     return ranked(out, k, F.round("score", 9).desc(), F.col("id"))
 
 
@@ -199,9 +227,9 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int, vector_weight: float = 0
     return ranked(both, k, F.round("score", 9).desc(), F.col("v_rank").asc_nulls_last(), F.col("t_rank").asc_nulls_last()).select("query_id", "id", "score", "rank")
 
 
-def hybrid_topk(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int, vector_weight: float = 0.6, lexical_weight: float = 0.4) -> DataFrame:
+def hybrid_topk(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int, vector_weight: float = 0.6, lexical_weight: float = 0.4, terms: Terms = tokens, known: Statistics | None = None) -> DataFrame:
     """queries: query_id, embedding, content. Each side gives 2k candidates."""
-    return fuse(vector_topk(vectors, queries.select("query_id", "embedding"), 2 * k), bm25_topk(docs, queries.select("query_id", "content"), 2 * k), k, vector_weight, lexical_weight)
+    return fuse(vector_topk(vectors, queries.select("query_id", "embedding"), 2 * k), bm25_topk(docs, queries.select("query_id", "content"), 2 * k, terms, known), k, vector_weight, lexical_weight)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int, c: int = 60) -> DataFrame:
@@ -220,8 +248,8 @@ def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int, s
     return ranked(scored, k, F.col("score").desc(), F.col("before")).select("query_id", "id", "score", "rank")
 
 
-def rerank_topk(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int, initial: int = 10, scorer: Scorer = containment) -> DataFrame:
-    return rerank(hybrid_topk(vectors, docs, queries, max(initial, 2 * k)), docs, queries, k, scorer)
+def rerank_topk(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int, initial: int = 10, scorer: Scorer = containment, terms: Terms = tokens, known: Statistics | None = None) -> DataFrame:
+    return rerank(hybrid_topk(vectors, docs, queries, max(initial, 2 * k), terms=terms, known=known), docs, queries, k, scorer)
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, k: int, reach: int = 1, factor: float = 0.8, score: str = "score") -> DataFrame:
@@ -315,17 +343,49 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
+def average_overlap(base: DataFrame, others: DataFrame) -> DataFrame:
+    """retriever, overlap_pct: the mean share, in per cent, of each query's base results that the retriever has too. others: retriever, query_id, id."""
+    sizes = base.groupBy("query_id").agg(F.countDistinct("id").alias("n"))
+    names = others.select("retriever").distinct()
+    shared = others.select("retriever", "query_id", "id").distinct().join(base.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("retriever", "query_id").agg(F.count("*").alias("shared"))
+    every = sizes.crossJoin(F.broadcast(names))  # a row for each query and retriever: names are those of the registry
+    return every.join(shared, ["retriever", "query_id"], "left").groupBy("retriever").agg(F.round(F.avg(100 * F.coalesce("shared", F.lit(0)) / F.col("n")), 1).alias("overlap_pct"))
+
+
 @dataclass
 class Corpus:
     """What retrievers search. vectors: id, embedding; docs: id, content; chunks: id, doc, idx, content;
     sentences: id, doc, idx, content, window_start, window_end. embed: the model of the vectors, for texts that come
-    without one (other forms of a query, sentences)."""
+    without one (other forms of a query, sentences). terms: how BM25 makes terms of texts. The statistics of
+    docs are counted at the first search that asks for them and serve all later ones, and so do kept sentences, until ``release``."""
 
     vectors: DataFrame
     docs: DataFrame
     chunks: DataFrame
     sentences: DataFrame | None = None
     embed: Callable[[Column], Column] = hashed_bag
+    terms: Terms = tokens
+    _known: Statistics | None = None
+    _kept: DataFrame | None = None
+
+    def kept_sentences(self) -> DataFrame:
+        """The sentences, split once while Spark keeps them; it may evict them."""
+        if self._kept is None:
+            self._kept = self.sentences.persist()
+        return self._kept
+
+    def known(self) -> Statistics:
+        if self._known is None:
+            self._known = statistics(self.docs, self.terms)
+        return self._known
+
+    def release(self) -> None:
+        if self._known is not None:
+            self._known.release()
+            self._known = None
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
 
 
 Retriever = Callable[[Corpus, DataFrame, int], DataFrame]
@@ -339,7 +399,11 @@ def variants(content: Column) -> list[Column]:
 
 
 def _reranked(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return rerank_topk(c.vectors, c.docs, q, k)
+    return rerank_topk(c.vectors, c.docs, q, k, terms=c.terms, known=c.known())
+
+
+def _hybrid(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return hybrid_topk(c.vectors, c.docs, q, k, terms=c.terms, known=c.known())
 
 
 def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = variants, base: Retriever = _reranked) -> DataFrame:
@@ -363,7 +427,7 @@ def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
     rows_of_batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", queries.sparkSession.conf
     if conf.get(rows_of_batch) == "10000":  # Spark's default; whole texts are split into sentences
         conf.set(rows_of_batch, "1000")
-    rows = corpus.sentences.persist()  # read three times; Spark may evict it
+    rows = corpus.kept_sentences()  # read three times
     embedded = rows.select("id", corpus.embed(F.col("content")).alias("embedding"))
     near = vector_topk(embedded, queries.select("query_id", corpus.embed(F.col("content")).alias("embedding")), 2 * k)
     hits = near.join(rows.select("id", "doc", "window_start", "window_end"), "id")
@@ -371,26 +435,49 @@ def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _expanded(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return expand_neighbours(hybrid_topk(c.vectors, c.docs, q, 2 * k), c.chunks, k)
+    return expand_neighbours(_hybrid(c, q, 2 * k), c.chunks, k)
 
 
 #: Retrievers by name: (corpus, queries of query_id, content, embedding, k) to ranked rows.
 RETRIEVERS: dict[str, Retriever] = {
     "vector": lambda c, q, k: vector_topk(c.vectors, q, k),
-    "bm25": lambda c, q, k: bm25_topk(c.docs, q, k),
-    "hybrid": lambda c, q, k: hybrid_topk(c.vectors, c.docs, q, k),
+    "bm25": lambda c, q, k: bm25_topk(c.docs, q, k, c.terms, c.known()),
+    "hybrid": _hybrid,
     "rerank": _reranked,
     "parent_child": lambda c, q, k: expand_neighbours(vector_topk(c.vectors, q, 2 * k), c.chunks, k, factor=1.2, score="distance"),
     "multiquery": multiquery,
     "hybrid_parent_child": _expanded,
     "hybrid_parent_child_rerank": lambda c, q, k: rerank(_expanded(c, q, max(10, 2 * k)), c.docs, q, k),
-    "auto_merge": lambda c, q, k: auto_merge(hybrid_topk(c.vectors, c.docs, q, max(20, 4 * k)), c.chunks, q, k),
+    "auto_merge": lambda c, q, k: auto_merge(_hybrid(c, q, max(20, 4 * k)), c.chunks, q, k),
     "sentence_window": sentence_window,
 }
 
 
-def retrieve(name: str, corpus: Corpus, queries: DataFrame, k: int = 5, strict: bool = False) -> DataFrame:
-    """Results of the named retriever; an unknown name means vector search, or raises if strict."""
-    if strict and name not in RETRIEVERS:
+def as_similarity(rows: DataFrame) -> DataFrame:
+    """Results by distance as results by similarity, greatest first."""
+    return rows.select("query_id", "id", (1 - F.col("distance")).alias("score"), "rank")
+
+
+#: The variants that rank by similarity: the reranker's pool is always 10, neighbours get 0.8 of a hit's similarity.
+SIMILARITY_RETRIEVERS: dict[str, Retriever] = {
+    "vector": lambda c, q, k: as_similarity(vector_topk(c.vectors, q, k)),
+    "bm25": RETRIEVERS["bm25"],
+    "hybrid": RETRIEVERS["hybrid"],
+    "rerank": lambda c, q, k: rerank(_hybrid(c, q, 10), c.docs, q, k),
+    "parent_child": lambda c, q, k: expand_neighbours(as_similarity(vector_topk(c.vectors, q, 2 * k)), c.chunks, k, factor=0.8),
+}
+#: Registries by backend; the second knows its own names alone.
+BACKENDS = {"custom": RETRIEVERS, "similarity": SIMILARITY_RETRIEVERS}
+
+
+def retrieve(name: str, corpus: Corpus, queries: DataFrame, k: int = 5, strict: bool = False, backend: str = "custom") -> DataFrame:
+    """Results of the named retriever. An unknown name means vector search, or raises if strict or of the similarity backend."""
+    known = BACKENDS[backend]
+    if name not in known and (strict or backend != "custom"):
         raise ValueError(f"unknown retriever: {name}")
-    return RETRIEVERS.get(name, RETRIEVERS["vector"])(corpus, queries, k)
+    return known.get(name, known["vector"])(corpus, queries, k)
+
+
+def compare(names: list[str], corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
+    """retriever, query_id, id, rank of each of the named retrievers that return ids: one corpus, its statistics counted once."""
+    return reduce(DataFrame.unionByName, [retrieve(n, corpus, queries, k, strict=True).select(F.lit(n).alias("retriever"), "query_id", "id", "rank") for n in names])

@@ -12,11 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from corpusloom.functions.text import chatml, containment, contains_any, rag_system, strip
+from corpusloom.functions.text import chatml, containment, contains_any, rag_system, unfenced
 
 # Words of posts about housing.
 HOUSING = ["landlord", "tenant", "rent", "lease", "evict", "deposit", "apartment", "housing", "repair", "mold", "bed bug", "heat", "utility", "notice", "move out", "security deposit"]
@@ -108,13 +108,50 @@ def training_set(parts: list[tuple[DataFrame, str, int]], system: str) -> DataFr
     return reduce(DataFrame.unionByName, made)
 
 
-def answer_of(row_answer: Column, facts: Column) -> Column:
-    """The answer, or the key facts joined where it is blank."""
-    return F.when(strip(F.coalesce(row_answer, F.lit(""))) != "", row_answer).otherwise(F.array_join(facts, " "))
+def extracted(question: Column, sources: Column) -> Column:
+    """The enriching answer where no model is given: the first sentence of the sources, as the fenced JSON that a model returns."""
+    said = first_sentence(question, sources)
+    return F.concat(F.lit("```json\n"), F.to_json(F.struct(said.alias("answer"), F.array(said).alias("key_facts"))), F.lit("\n```"))
+
+
+def enriched_posts(posts: DataFrame, results: DataFrame, chunks: DataFrame, generate: Callable[[Column, Column], Column] = extracted, shown: int = 1500) -> DataFrame:
+    """posts (query_id, content, ...) with expected_answer, key_facts and source_chunks, from results of a retriever and a model that returns JSON.
+
+    A model sees ``shown`` characters of each source, which is the prompt's own format. Where its answer cannot be parsed, the answer is blank and there are no facts.
+    """
+    rows = results.join(chunks.select("id", "title", "source_url", "content"), "id")
+    part = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit(" ("), "source_url", F.lit(")]\n"), F.substring("content", 1, shown))
+    named = F.struct("rank", part.alias("part"), F.struct(F.col("id").cast("string").alias("chunk_id"), "title", "source_url").alias("chunk"))
+    own = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(named)).alias("p"))  # top-k rows a query
+    asked = posts.join(own, "query_id", "left").withColumn("_said", generate(F.col("content"), F.coalesce(F.array_join(F.transform("p", lambda x: x["part"]), "\n\n---\n\n"), F.lit(""))))
+    parsed = asked.withColumn("_read", F.from_json(unfenced(F.col("_said")), "answer string, key_facts array<string>"))
+    none = F.expr("CAST(array() AS array<string>)")
+    no_source = F.expr("CAST(array() AS array<struct<chunk_id:string,title:string,source_url:string>>)")
+    return parsed.select(*posts.columns, F.coalesce("_read.answer", F.lit("")).alias("expected_answer"), F.coalesce("_read.key_facts", none).alias("key_facts"), F.coalesce(F.transform("p", lambda x: x["chunk"]), no_source).alias("source_chunks"))
+
+
+def config_row(spark: SparkSession, retrievers: list[str], defaults: dict[str, str]) -> DataFrame:
+    """One row: status, the sorted names of retrievers and embedding models, and the defaults."""
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(sorted(retrievers)).alias("retrievers"), F.lit(sorted(EMBEDDERS)).alias("models"), *[F.lit(v).alias(k) for k, v in sorted(defaults.items())])
+
+
+def read_index(spark: SparkSession, path: str, model: str = "hashed_bag") -> DataFrame:
+    """The rows of an index that a model has made; a model without an index raises."""
+    rows = spark.read.parquet(path).where(F.col("model") == model)
+    if rows.isEmpty():
+        raise ValueError(f"no index of the model: {model}")
+    return rows
+
+
+#: Rows that a report can have.
+REPORT_ROWS = 10_000
 
 
 def report(stats: DataFrame, title: str) -> str:
-    """A Markdown table of a small aggregate."""
+    """A Markdown table of a small aggregate; one of over REPORT_ROWS rows raises."""
     columns = stats.columns
+    rows = stats.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows")
     lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in stats.collect())])
+    return "\n".join([*lines, *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows)])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse, question_for, truncate_answer
+from corpusloom.functions.text import collapse, question_for, strip, truncate_answer
 
 LEAST, MOST, LEAST_WORDS, VALIDATION, SEED = 50, 3200, 8, 0.1, 42
 
@@ -69,3 +71,75 @@ def dialogue_pairs(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     after = turns.withColumns({"next_role": F.lead("role").over(w), "answer": F.lead("text").over(w)})
     return after.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def eval_questions(posts: DataFrame, golden: DataFrame) -> DataFrame:
+    """id, source, question, context, expected_answer, key_facts of both test sets; what a row lacks is blank. Ids of posts get a prefix."""
+    facts = F.coalesce("key_facts", F.expr("CAST(array() AS array<string>)")).alias("key_facts")
+    part = lambda rows, key, source, context: rows.select(key.alias("id"), F.lit(source).alias("source"), "question", context.alias("context"), _blank(F.col("expected_answer")).alias("expected_answer"), facts)
+    return part(posts, F.concat(F.lit("reddit_"), F.col("id").cast("string")), "reddit", _blank(F.col("context"))).unionByName(part(golden, F.col("id").cast("string"), "golden", F.lit("")))
+
+
+def retrieval_pairs(golden: DataFrame, posts: DataFrame, saved: DataFrame | None = None, made: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """question, ground_truth_chunk_ids, source_title of all questions with source chunks; where there is none the saved pairs, else those that ``made`` makes."""
+    part = lambda rows: rows.where(F.size("source_chunks") > 0).select("question", F.transform("source_chunks", lambda c: c["chunk_id"]).alias("ground_truth_chunk_ids"), F.get("source_chunks", F.lit(0))["title"].alias("source_title"))
+    found = part(golden).unionByName(part(posts))
+    if not found.isEmpty():
+        return found
+    if saved is not None and not saved.isEmpty():
+        return saved
+    return made() if made else found
+
+
+def _pairs(rows: DataFrame, answer: Column, source: str, *more: str) -> DataFrame:
+    named = rows.select(strip(_blank(F.col("question"))).alias("question"), strip(_blank(answer)).alias("answer"), *more, F.lit(source).alias("source"))
+    return named.where("question <> '' AND answer <> ''")
+
+
+def golden_pairs(golden: DataFrame) -> DataFrame:
+    """question, answer, source: the expected answer, or the key facts joined where that is blank; rows without either go."""
+    given = strip(_blank(F.col("expected_answer")))
+    return _pairs(golden, F.when(given != "", given).otherwise(F.array_join("key_facts", " ")), "golden")
+
+
+# The fields that can hold a post's answer, in the order in which they are asked.
+POST_ANSWERS = ["expected_answer", "enriched_answer", "ideal_answer", "answer"]
+
+
+def post_pairs(posts: DataFrame) -> DataFrame:
+    """question, answer, source: the first answer field that is not empty; a post's context is not put before its question."""
+    return _pairs(posts, F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in POST_ANSWERS]), "reddit")
+
+
+def grounded_pairs(golden: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question, answer, context, source: golden rows with the texts of their source chunks, numbered as the row names them; rows of which no chunk is known go.
+
+    golden: id, question, expected_answer, source_chunks; chunks: chunk_id, title, source_url, content.
+    """
+    named = golden.select("id", F.posexplode("source_chunks").alias("pos", "s")).select("id", "pos", F.col("s.chunk_id").alias("chunk_id"))
+    known = named.join(chunks.select("chunk_id", "title", "source_url", "content"), "chunk_id")
+    part = F.concat(F.lit("[Source "), (F.col("pos") + 1).cast("string"), F.lit(": "), "title", F.lit(" ("), "source_url", F.lit(")]\n"), "content")
+    context = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))).alias("ps"))  # a row names few chunks
+    context = context.select("id", F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n---\n\n").alias("context"))
+    return _pairs(golden.join(context, "id"), F.col("expected_answer"), "rag", "context").select("question", "answer", "context", "source")
+
+
+def chunk_pairs(chunks: DataFrame, order: str) -> DataFrame:
+    """question, answer, source of chunks of fit length, one for each question: that of the longest answer."""
+    return longest_answers(chunk_questions(chunks), order).select("question", "answer", F.lit("chunk").alias("source"))
+
+
+def topic_quotas(rows: DataFrame, by: str, key: str, quotas: dict[str, int], default: int = 0, seed: int = SEED) -> DataFrame:
+    """As many rows of each topic as its quota says, in a seeded random order."""
+    quota = F.coalesce(F.element_at(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))]), F.col(by)), F.lit(default)) if quotas else F.lit(default)
+    w = Window.partitionBy(by).orderBy(draw(F.col(key), seed), key)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
+
+
+def fixed_set(rows: DataFrame, key: str, tiers: DataFrame) -> DataFrame:
+    """Rows whose key is in tiers (key, tier), with the tier."""
+    return rows.join(tiers.select(key, "tier").distinct(), key)

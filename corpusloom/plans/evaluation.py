@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chatml
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import training as N
+from corpusloom.operators.retrieval import ranked
 from corpusloom.plans.base import collapse_sql, query, strip_sql, table
 
 CONFIGS = ["view", "click", "purchase", "error"]
@@ -42,10 +42,45 @@ def attribution_counts(spark, sf_dir):
 
 @query(f"WITH {_FACTS} SELECT coalesce(tier, 'overall') AS tier, count(*) AS facts, count(*) FILTER (WHERE r) AS retrieved, round(avg(CASE WHEN g THEN 1 ELSE 0 END), 4) AS generation_coverage FROM f GROUP BY GROUPING SETS ((tier), ())")
 def tier_grouping_sets(spark, sf_dir):
-    _facts(spark, sf_dir).createOrReplaceTempView("_corpusloom_facts")
-    return spark.sql("""
-        SELECT coalesce(tier, 'overall') AS tier, count(*) AS facts, count_if(in_retrieval) AS retrieved, round(avg(CASE WHEN in_generation THEN 1 ELSE 0 END), 4) AS generation_coverage
-        FROM _corpusloom_facts GROUP BY GROUPING SETS ((tier), ())""")
+    sums = [F.count("*").alias("facts"), F.count_if("in_retrieval").alias("retrieved"), F.round(F.avg(F.col("in_generation").cast("int")), 4).alias("generation_coverage")]
+    return _facts(spark, sf_dir).groupingSets([["tier"], []], F.col("tier")).agg(*sums).withColumn("tier", F.coalesce("tier", F.lit("overall")))
+
+
+_STATS = "count(*) AS n, round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS std, round(avg(v) - CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(v) / sqrt(count(*)) ELSE 0 END, 4) AS ci_95_low, round(avg(v) + CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(v) / sqrt(count(*)) ELSE 0 END, 4) AS ci_95_high"
+_METRICS = ["retrieval_coverage", "generation_coverage", "generation_given_retrieval", "covered", "generation_miss", "retrieval_miss", "hallucinated"]
+
+
+@query(f"""
+WITH f AS (SELECT l_linenumber AS run, l_quantity > 15 AS r, l_discount > 0.04 AS g FROM lineitem), c AS (SELECT run, {_COUNTS} FROM f GROUP BY run),
+u AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM c" for m in _METRICS)})
+SELECT metric, {_STATS} FROM u GROUP BY metric""")
+def run_aggregates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("run"), (F.col("l_quantity") > 15).alias("in_retrieval"), (F.col("l_discount") > 0.04).alias("in_generation"))
+    return E.run_aggregates(rows)
+
+
+@query("""
+WITH r AS (SELECT user_id AS question_id, (event_id % 10) / 10 AS a, (event_id % 7) / 20 AS b FROM events)
+SELECT question_id, count(*) AS runs, round(avg(a), 4) AS retrieval_mean, round(coalesce(stddev_samp(a), 0), 4) AS retrieval_std, round(avg(b), 4) AS generation_mean, round(coalesce(stddev_samp(b), 0), 4) AS generation_std,
+  greatest(round(coalesce(stddev_samp(a), 0), 4), round(coalesce(stddev_samp(b), 0), 4)) > 0.1 AS unstable FROM r GROUP BY 1""")
+def question_runs(spark, sf_dir):
+    k = F.col("event_id")
+    return E.question_runs(table(spark, sf_dir, "events").select(k.alias("run"), F.col("user_id").alias("question_id"), (k % 10 / 10).alias("retrieval_coverage"), (k % 7 / 20).alias("generation_correctness")))
+
+
+@query("""SELECT source AS prefix, count(quality) AS n, round(avg(quality), 4) AS mean, count(*) FILTER (WHERE quality = 1) AS passed FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1""")
+def prefix_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return E.prefix_scores(rows.select(F.concat("source", F.lit("_q_"), F.col("doc_id").cast("string")).alias("question_id"), F.col("quality").cast("double").alias("faithfulness")))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k FROM orders), z AS (SELECT k, i, CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS f FROM o, range(3) t(i))
+SELECT k AS o_orderkey, CAST(i AS INTEGER) AS fact_index, concat(f, k) AS fact, k % (i + 2) = 0 AS in_retrieval, CASE WHEN i < 2 THEN k % (i + 3) = 0 ELSE false END AS in_generation FROM z""")
+def zipped_facts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.array(*[F.concat(F.lit(x), k.cast("string")) for x in "abc"]).alias("facts"), F.array(*[k % (i + 2) == 0 for i in range(3)]).alias("in_retrieval"), F.array(*[k % (i + 3) == 0 for i in range(2)]).alias("in_generation"))
+    return E.zipped_facts(rows, "o_orderkey")
 
 
 @query("""
@@ -138,26 +173,109 @@ def topic_first_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", E.first_topic(F.col("text"), topics, "other").alias("topic"))
 
 
-@query("""
-WITH named AS (SELECT o_orderkey AS e, o_custkey * 2 AS c FROM orders), t AS (SELECT e, c FROM named UNION ALL SELECT o_orderkey, o_custkey * 2 FROM orders WHERE o_orderkey % 10 = 0)
-SELECT CAST(e AS VARCHAR) AS entry_id, 'chunk_id_existence' AS "check", CAST(c AS VARCHAR) AS chunk_id FROM t WHERE c NOT IN (SELECT c_custkey FROM customer)
+_AUDIT = """
+named AS (SELECT o_orderkey AS e, o_custkey * 2 AS c FROM orders), t AS (SELECT e, c FROM named UNION ALL SELECT o_orderkey, o_custkey * 2 FROM orders WHERE o_orderkey % 10 = 0),
+au AS (SELECT CAST(e AS VARCHAR) AS entry_id, 'chunk_id_existence' AS "check", CAST(c AS VARCHAR) AS chunk_id FROM t WHERE c NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT CAST(e AS VARCHAR), 'metadata_title_mismatch', CAST(c AS VARCHAR) FROM t JOIN customer ON c_custkey = c WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT CAST(e AS VARCHAR), 'metadata_url_mismatch', CAST(c AS VARCHAR) FROM t JOIN customer ON c_custkey = c WHERE e % 5 = 1
 UNION ALL SELECT CAST(e AS VARCHAR), 'duplicate_chunk_in_entry', CAST(c AS VARCHAR) FROM t GROUP BY e, c HAVING count(*) > 1
-UNION ALL SELECT CAST(e AS VARCHAR), 'low_chunk_relevance', CAST(c AS VARCHAR) FROM t JOIN customer ON c_custkey = c WHERE c_nationkey % 2 = 0""")
-def contamination_audit(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    one = F.struct((F.col("o_custkey") * 2).cast("string").alias("chunk_id"), F.lit("BUILDING").alias("title"), F.lit("").alias("source_url"))
-    entries = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("word1").alias("question"), F.array().cast("array<string>").alias("key_facts"), F.when(F.col("o_orderkey") % 10 == 0, F.array(one, one)).otherwise(F.array(one)).alias("source_chunks"))
+UNION ALL SELECT CAST(e AS VARCHAR), 'low_chunk_relevance', CAST(c AS VARCHAR) FROM t JOIN customer ON c_custkey = c WHERE c_nationkey % 2 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'low_fact_grounding', NULL FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2 WHERE o_orderkey % 7 = 0 AND coalesce(c_nationkey % 2, 0) = 0)"""
+
+
+def _entries(spark, sf_dir):
+    """Orders as questions that name customers as chunks, some of which are not there, some with other titles and addresses, some with facts."""
+    k = F.col("o_orderkey")
+    one = F.struct((F.col("o_custkey") * 2).cast("string").alias("chunk_id"), F.lit("BUILDING").alias("title"), F.when(k % 5 == 1, "v").when(k % 5 == 2, "").otherwise("u").alias("source_url"))
+    facts = F.when(k % 7 == 0, F.array(F.lit("word1 (Source 2)"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.lit("word1").alias("question"), facts.alias("key_facts"), F.when(k % 10 == 0, F.array(one, one)).otherwise(F.array(one)).alias("source_chunks"))
+
+
+def _audited(spark, sf_dir):
     chunks = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.col("c_mktsegment").alias("title"), F.lit("u").alias("source_url"), F.concat(F.lit("word"), (F.col("c_nationkey") % 2).cast("string")).alias("content"))
-    return E.audit(entries, chunks)
+    return E.audit(_entries(spark, sf_dir), chunks)
+
+
+@query(f"WITH {_AUDIT} SELECT * FROM au")
+def contamination_audit(spark, sf_dir):
+    return _audited(spark, sf_dir)
+
+
+@query(f"""WITH {_AUDIT} SELECT coalesce("check", 'all') AS "check", count(*) AS issues, count(DISTINCT entry_id) AS entries FROM au GROUP BY GROUPING SETS (("check"), ())""")
+def audit_summary(spark, sf_dir):
+    return E.audit_summary(_audited(spark, sf_dir))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query(f"""WITH {_AUDIT} SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, 'golden' AS source_file, CAST(count(entry_id) AS INTEGER) AS num_issues FROM orders LEFT JOIN au ON entry_id = CAST(o_orderkey AS VARCHAR) GROUP BY o_orderkey""")
+def audit_report(spark, sf_dir):
+    return E.audit_report(_audited(spark, sf_dir), _entries(spark, sf_dir), "golden").drop("issues")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def anti_join_missing(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("""SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 10""")
+@query("""SELECT event_type AS query_id, event_id, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 10""")
 def topk_per_group(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n <= 10").select("event_type", "event_id", "value")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("query_id"), "event_id", "value")
+    return ranked(rows, 10, F.col("value").desc(), F.col("event_id"))
+
+
+_FIRST = "fi AS (SELECT conv_id, text FROM conversations WHERE turn = 0)"
+
+
+def _posts(spark, sf_dir):
+    """First turns as posts: every second one has an expected answer, every third one an enriched one."""
+    k = F.col("conv_id")
+    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+    return turns.select(k.alias("id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("context"), F.when(k % 2 == 0, F.concat(F.lit(" e"), k.cast("string"))).otherwise("").alias("expected_answer"), F.when(k % 3 == 0, F.concat(F.lit("r"), k.cast("string"))).alias("enriched_answer"), F.lit("").alias("ideal_answer"), F.when(k % 5 == 0, "last").alias("answer"), F.lit(None).cast("array<string>").alias("key_facts"), F.array().cast("array<struct<chunk_id:string,title:string,source_url:string>>").alias("source_chunks"))
+
+
+def _golden(spark, sf_dir):
+    """Benchmark items as questions with one or two documents as sources; a third of them has key facts in place of an answer."""
+    k = F.col("item_id")
+    chunk = lambda i: F.struct(i.cast("string").alias("chunk_id"), F.concat(F.lit("t"), i.cast("string")).alias("title"), F.lit("u").alias("source_url"))
+    rows = table(spark, sf_dir, "benchmark").select(k.alias("id"), F.col("text").alias("question"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("answer "), k.cast("string"))).alias("expected_answer"), F.when(k % 6 == 0, F.array(F.lit("one"), k.cast("string"))).otherwise(F.array().cast("array<string>")).alias("key_facts"))
+    return rows.withColumn("source_chunks", F.when(F.col("id") % 4 == 0, F.array(chunk(F.col("id")), chunk(F.col("id") + 1000000), chunk(F.col("id") + 1))).otherwise(F.array(chunk(F.col("id") * 2))))
+
+
+@query(f"""
+WITH {_FIRST} SELECT concat('reddit_', conv_id) AS id, 'reddit' AS source, text AS question, '' AS context, CASE WHEN conv_id % 2 = 0 THEN concat(' e', conv_id) ELSE '' END AS expected_answer, 0 AS n_facts FROM fi
+UNION ALL SELECT CAST(item_id AS VARCHAR), 'golden', text, '', CASE WHEN item_id % 3 = 0 THEN ' ' ELSE concat('answer ', item_id) END, CASE WHEN item_id % 6 = 0 THEN 2 ELSE 0 END FROM benchmark""")
+def eval_questions(spark, sf_dir):
+    return N.eval_questions(_posts(spark, sf_dir), _golden(spark, sf_dir)).withColumn("n_facts", F.size("key_facts")).drop("key_facts")
+
+
+@query("""SELECT text AS question, CASE WHEN item_id % 4 = 0 THEN concat(item_id, '|', item_id + 1000000, '|', item_id + 1) ELSE CAST(item_id * 2 AS VARCHAR) END AS ids, CASE WHEN item_id % 4 = 0 THEN concat('t', item_id) ELSE concat('t', item_id * 2) END AS source_title FROM benchmark""")
+def retrieval_pairs(spark, sf_dir):
+    found = N.retrieval_pairs(_golden(spark, sf_dir), _posts(spark, sf_dir))
+    return found.select("question", F.array_join("ground_truth_chunk_ids", "|").alias("ids"), "source_title")
+
+
+@query(f"""SELECT {strip_sql('text')} AS question, CASE WHEN item_id % 3 = 0 THEN concat('one ', item_id) ELSE concat('answer ', item_id) END AS answer, 'golden' AS source FROM benchmark WHERE {strip_sql('text')} <> '' AND (item_id % 3 <> 0 OR item_id % 6 = 0)""")
+def golden_pairs(spark, sf_dir):
+    return N.golden_pairs(_golden(spark, sf_dir))
+
+
+@query(f"""
+WITH {_FIRST}, a AS (SELECT {strip_sql('text')} AS question, CASE WHEN conv_id % 2 = 0 THEN concat('e', conv_id) WHEN conv_id % 3 = 0 THEN concat('r', conv_id) WHEN conv_id % 5 = 0 THEN 'last' END AS answer FROM fi)
+SELECT question, answer, 'reddit' AS source FROM a WHERE question <> '' AND answer IS NOT NULL""")
+def post_pairs(spark, sf_dir):
+    return N.post_pairs(_posts(spark, sf_dir))
+
+
+@query(f"""
+WITH n AS (SELECT item_id, unnest(CASE WHEN item_id % 4 = 0 THEN [item_id, item_id + 1000000, item_id + 1] ELSE [item_id * 2] END) AS d, unnest(CASE WHEN item_id % 4 = 0 THEN [1, 2, 3] ELSE [1] END) AS pos FROM benchmark),
+c AS (SELECT item_id, string_agg(concat('[Source ', pos, ': ', lang, ' (', source, ')]', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM n JOIN documents ON doc_id = d GROUP BY 1)
+SELECT {strip_sql('text')} AS question, concat('answer ', item_id) AS answer, md5(context) AS context, 'rag' AS source FROM benchmark JOIN c USING (item_id) WHERE item_id % 3 <> 0 AND {strip_sql('text')} <> ''""")
+def grounded_pairs(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("title"), F.col("source").alias("source_url"), F.col("text").alias("content"))
+    return N.grounded_pairs(_golden(spark, sf_dir), chunks).withColumn("context", F.md5("context"))
+
+
+@query("""SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':42')), doc_id) <= CASE lang WHEN 'en' THEN 7 WHEN 'fr' THEN 2 ELSE 1 END""")
+def topic_quotas(spark, sf_dir):
+    return N.topic_quotas(table(spark, sf_dir, "documents"), "lang", "doc_id", {"en": 7, "fr": 2}, 1).select("doc_id", "lang")

@@ -10,16 +10,26 @@ from corpusloom.plans.base import query, table
 from corpusloom.streaming import events as S
 
 
-@query(r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 'Untitled') AS title FROM pages")
+_DECODED = "replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"SELECT page_id, coalesce(nullif(trim({_DECODED.format(x="regexp_extract(html, '<title>([^<]*)</title>', 1)")}), ''), 'Untitled') AS title FROM pages")
 def html_title(spark, sf_dir):
-    title = F.trim(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(title != "", title).otherwise("Untitled").alias("title"))
+    """Titles as the tree gives them, character references decoded."""
+    return table(spark, sf_dir, "pages").select("page_id", P.parsed("url", "html").title.alias("title"))
 
 
-@query(r"""SELECT page_id, count(DISTINCT h) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"#]*)', 1)) AS h FROM pages) WHERE h <> '' GROUP BY 1""")
+@query(r"""SELECT page_id, CAST(count(DISTINCT h) AS INTEGER) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"#]*)', 1)) AS h FROM pages) WHERE h <> '' GROUP BY 1""")
 def html_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"#]*)'), F.lit(1))).alias("h"))
-    return rows.where("h <> ''").groupBy("page_id").agg(F.countDistinct("h").alias("n"))
+    """Distinct absolute links as the tree gives them."""
+    return table(spark, sf_dir, "pages").select("page_id", F.size(P.parsed("url", "html").links).alias("n")).where("n > 0")
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-4]>(.*?)</h[1-4]>', 1) AS hs, len(regexp_extract_all(html, '<h[1-4]>')) AS n FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(hs, lambda x: trim({_DECODED.format(x="regexp_replace(x, '<[^>]*>', '', 'g')")})), lambda x: x <> ''), '|') AS headings FROM h""")
+def html_headings(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(P.parsed("url", "html").headings, "|").alias("headings"))
 
 
 @query()
@@ -28,15 +38,39 @@ def html_documents(spark, sf_dir):
     return P.documents_of(table(spark, sf_dir, "pages"), "web")
 
 
-@query()
+def _asked(spark, sf_dir):
+    """Parts as pages of one question each: a marked item, a definition list or a heading under a category."""
+    k = F.col("p_partkey")
+    q, a = F.concat(F.lit("Is "), k.cast("string"), F.lit(" "), "p_name", F.lit("?")), F.concat("p_brand", F.lit(" "), "p_type")
+    item = F.concat(F.lit('<div class="faq-item"><div class="faq-question">'), q, F.lit('</div><div class="faq-answer"><p>'), a, F.lit("</p></div></div>"))
+    listed = F.concat(F.lit("<dl><dt>"), q, F.lit("</dt><dd>"), a, F.lit("</dd></dl>"))
+    headed = F.concat(F.lit("<h2>"), "p_brand", F.lit("</h2><h3>"), q, F.lit("</h3><p>"), a, F.lit("</p>"))
+    html = F.concat(F.lit("<html><body><nav>menu</nav><main>"), F.when(k % 3 == 0, item).when(k % 3 == 1, listed).otherwise(headed), F.lit("</main></body></html>"))
+    return table(spark, sf_dir, "part").select(k, F.concat(F.lit("https://example.org/faq/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+_ASKED = "as_ AS (SELECT p_partkey AS k, concat('Is ', p_partkey, ' ', p_name, '?') AS q, concat(p_brand, ' ', p_type) AS a, CASE WHEN p_partkey % 3 = 2 THEN p_brand ELSE '' END AS c FROM part)"
+
+
+@query(f"WITH {_ASKED} SELECT k AS p_partkey, 0 AS pos, q AS question, a AS answer, c AS category, concat('**Q: ', q, '**', chr(10), chr(10), a) AS content FROM as_")
 def html_questions(spark, sf_dir):
-    return P.question_rows(table(spark, sf_dir, "pages"), "page_id")
+    return P.question_rows(_asked(spark, sf_dir), "p_partkey")
+
+
+@query(f"""
+WITH {_ASKED}, sl AS (SELECT *, concat('faq_000_', substring(regexp_replace(lower(q), '[^a-z0-9]+', '_', 'g'), 1, 60)) AS s FROM as_)
+SELECT substring(concat('site_', regexp_replace(s, '^_+|_+$', '', 'g')), 1, 120) AS doc_id, concat('https://example.org/faq/', k) AS source_url, CASE WHEN c <> '' THEN concat('[', c, '] ', q) ELSE q END AS title, concat('**Q: ', q, '**', chr(10), chr(10), a) AS content, c AS section FROM sl
+UNION ALL SELECT 'site_faq_full_page', concat('https://example.org/faq/', k), 'All questions', concat(CASE WHEN c <> '' THEN concat(c, chr(10)) ELSE '' END, q, chr(10), a), '' FROM as_ WHERE length(concat(CASE WHEN c <> '' THEN concat(c, chr(10)) ELSE '' END, q, chr(10), a)) > 60""")
+def faq_documents(spark, sf_dir):
+    found = P.faq_documents(_asked(spark, sf_dir).select("url", "html"), "site", "All questions", 60)
+    return found.select("doc_id", "source_url", "title", "content", F.array_join("section_headers", "|").alias("section"))
 
 
-@query(r"SELECT page_id, (contains(u, 'rent') OR contains(u, 'tenant') OR contains(u, 'evict') OR contains(u, 'lease') OR contains(u, 'landlord') OR contains(u, 'housing') OR contains(u, 'deposit') OR contains(u, 'voucher') OR contains(u, 'section-8') OR contains(u, 'habitability') OR contains(u, 'repair') OR contains(u, 'mold') OR contains(u, 'bed-bug') OR contains(u, 'discrimination') OR contains(u, 'fair-housing')) AS relevant FROM (SELECT page_id, lower(concat(url, CASE WHEN page_id % 4 = 0 THEN '/Tenants' ELSE '' END)) AS u FROM pages)")
+@query(r"SELECT page_id, (contains(u, 'rent') OR contains(u, 'tenant') OR contains(u, 'evict') OR contains(u, 'lease') OR contains(u, 'landlord') OR contains(u, 'housing') OR contains(u, 'deposit') OR contains(u, 'voucher') OR contains(u, 'section-8') OR contains(u, 'habitability') OR contains(u, 'repair') OR contains(u, 'mold') OR contains(u, 'bed-bug') OR contains(u, 'discrimination') OR contains(u, 'fair-housing')) AS relevant, regexp_matches(u, 'tenant|renter|landlord|evict|lease|rent|deposit|housing|utility|heat|repair|habitability|sublet|discrimination|section-8|voucher|mold|bed-bug|notice|rights|court|small-claims') AS aided FROM (SELECT page_id, lower(concat(url, CASE WHEN page_id % 4 = 0 THEN '/Tenants' WHEN page_id % 4 = 1 THEN '/Small-Claims' ELSE '' END)) AS u FROM pages)")
 def url_relevance(spark, sf_dir):
-    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "/Tenants").otherwise(""))
-    return table(spark, sf_dir, "pages").select("page_id", P.is_renter_url(url).alias("relevant"))
+    k = F.col("page_id") % 4
+    url = F.concat("url", F.when(k == 0, "/Tenants").when(k == 1, "/Small-Claims").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", P.is_renter_url(url).alias("relevant"), P.is_legal_aid_url(url).alias("aided"))
 
 
 @query("""
@@ -50,6 +84,37 @@ def crawl_recursive(spark, sf_dir):
     return P.crawl(edges, roots, 2).select("url", "depth")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem),
+w AS (SELECT DISTINCT CAST(1 AS BIGINT) AS url, 0 AS depth FROM supplier UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3 AND e.dst % 5 = 0)
+SELECT url, min(depth) AS depth FROM w GROUP BY 1""")
+def crawl_followed(spark, sf_dir):
+    """Three levels, along links that a predicate lets through."""
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    edges = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n") + 1).alias("dst")).distinct()
+    return P.crawl(edges, spark.range(1, 2).select(F.col("id").alias("url")), 3, lambda u: u % 5 == 0).select("url", "depth")
+
+
+@query("""
+WITH l AS (SELECT concat('https://x.org/a', o_custkey) AS src, concat('https://x.org/doc/', CASE o_orderkey % 3 WHEN 0 THEN 'Rent-guide_' WHEN 1 THEN 'parks_' ELSE 'eviction_' END, o_orderkey % 50, '.pdf') AS dst FROM orders)
+SELECT dst AS url, min(src) AS parent_url, CASE WHEN contains(dst, 'Rent') THEN concat('Doc Rent Guide ', regexp_extract(dst, '([0-9]+)[.]pdf', 1)) ELSE concat('Doc Eviction ', regexp_extract(dst, '([0-9]+)[.]pdf', 1)) END AS title, length(repeat(dst, 4)) AS n
+FROM l WHERE (contains(dst, 'Rent') OR contains(dst, 'eviction')) AND length(repeat(dst, 4)) >= 140 GROUP BY dst""")
+def pdf_sweep(spark, sf_dir):
+    k = F.col("o_orderkey")
+    dst = F.concat(F.lit("https://x.org/doc/"), F.when(k % 3 == 0, "Rent-guide_").when(k % 3 == 1, "parks_").otherwise("eviction_"), (k % 50).cast("string"), F.lit(".pdf"))
+    links = table(spark, sf_dir, "orders").select(F.concat(F.lit("https://x.org/a"), F.col("o_custkey").cast("string")).alias("src"), dst.alias("dst"))
+    texts = links.select(F.col("dst").alias("url"), F.repeat("dst", 4).alias("content")).distinct()
+    return P.pdf_sweep(links, texts, ["rent", "evict"], 140).select("url", "parent_url", "title", F.length("content").cast("long").alias("n"))
+
+
+@query("""SELECT doc_id AS page_id, concat('web_x_org_', doc_id) AS doc_id, 'Part A|Part ' || lang AS headings, 'guide' AS content_type FROM documents""")
+def browser_documents(spark, sf_dir):
+    c = F.concat(F.lit("intro\n# Part A\n"), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n## Part "), "lang")
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit("t").alias("title"), c.alias("content"))
+    found = P.browser_document(pages, "web")
+    return found.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("page_id"), "doc_id", F.array_join("section_headers", "|").alias("headings"), "content_type")
+
+
 @query("""
 WITH u AS (SELECT page_id, concat(lower(url), CASE WHEN page_id % 3 = 0 THEN concat('/chapter-', page_id % 18 + 1, '.pdf') WHEN page_id % 3 = 1 THEN '/security_deposits.pdf' ELSE '/heat.pdf' END) AS url FROM pages)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 18 + 1 <= 4 THEN CAST(page_id % 18 + 1 AS INTEGER) END WHEN 1 THEN 2 ELSE 4 END AS chapter FROM u WHERE NOT (page_id % 3 = 0 AND page_id % 18 + 1 > 4)""")
@@ -84,6 +149,15 @@ def chunk_recursive(spark, sf_dir):
     return K.chunk(docs)
 
 
+@query()
+def chunk_by_tokenizer(spark, sf_dir):
+    """Chunks whose sizes and overlaps are counted in a tokenizer's tokens; a test holds them against the library called text by text."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
+    return K.chunk(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def sentence_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))

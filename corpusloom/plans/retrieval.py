@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as R
-from corpusloom.operators.chunk import line_chunks, sentence_chunks, window_text
+from corpusloom.operators.chunk import line_chunks, nodes, sentence_chunks, stemmed_tokens, window_text
 from corpusloom.operators.serving import context_of, index
 from corpusloom.plans.base import query, table, tokens_sql
+from corpusloom.plans.evaluation import _COUNTS
 
 K = 5
 
@@ -126,18 +130,67 @@ def multiquery(spark, sf_dir):
 
 
 @query()
+def bm25_stemmed(spark, sf_dir):
+    """BM25 over stems; its SQL would need the stemmer, so a test holds it against brute force."""
+    return R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), K, stemmed_tokens).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_CHUNKS = """ch AS (SELECT vec_id AS id, label AS doc, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM embeddings)"""
+
+
+def _fold(hits: str, score: str, k: int, factor: float, name: str) -> str:
+    """Neighbour expansion of ``hits`` (query_id, id, rank and the score): one recursion a hit, in the order of ranks."""
+    return f"""
+{name}_h AS (SELECT h.query_id, h.id, h.rank, h.{score} AS s, c.doc, c.idx, count(*) OVER (PARTITION BY h.query_id, c.doc) >= 2 AS clustered FROM {hits} h JOIN ch c ON c.id = h.id WHERE h.rank <= {2 * k}),
+{name}_n AS (SELECT h.query_id, h.id, h.s, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS r,
+  list_filter([CASE WHEN h.clustered THEN b.id END, CASE WHEN h.clustered THEN a.id END], lambda x: x IS NOT NULL) AS near
+  FROM {name}_h h LEFT JOIN ch b ON b.doc = h.doc AND b.idx = h.idx - 1 LEFT JOIN ch a ON a.doc = h.doc AND a.idx = h.idx + 1 WHERE h.rank <= {k}),
+{name}_r AS (SELECT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[]) AS scores FROM (SELECT DISTINCT query_id FROM {name}_n)
+  UNION ALL SELECT f.query_id, f.r + 1, CASE WHEN list_contains(f.ids, n.id) THEN f.ids ELSE f.ids || [n.id] || list_filter(n.near, lambda x: NOT list_contains(f.ids, x)) END,
+  CASE WHEN list_contains(f.ids, n.id) THEN f.scores ELSE f.scores || [n.s] || list_transform(list_filter(n.near, lambda x: NOT list_contains(f.ids, x)), lambda x: n.s * {factor}) END
+  FROM {name}_r f JOIN {name}_n n ON n.query_id = f.query_id AND n.r = f.r + 1),
+{name} AS (SELECT query_id, unnest(ids) AS id, unnest(scores) AS score, unnest(range(1, len(ids) + 1)) AS rank FROM {name}_r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1)"""
+
+
+def _rounded(found):
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_FOUND = "SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM"
+
+
+@query(f"WITH RECURSIVE {_VECTOR}, {_CHUNKS}, {_fold('vr', 'distance', K, 1.2, 'ex')} {_FOUND} ex")
 def parent_child(spark, sf_dir):
-    return R.retrieve("parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    return _rounded(R.retrieve("parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K))
 
 
-@query()
+@query(f"WITH RECURSIVE {_VECTOR}, {_BM25}, {_hybrid(2 * K)}, {_CHUNKS}, {_fold('hy', 'score', K, 0.8, 'ex')} {_FOUND} ex")
 def hybrid_parent_child(spark, sf_dir):
-    return R.retrieve("hybrid_parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    return _rounded(R.retrieve("hybrid_parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K))
 
 
-@query()
+_RANKED = "CAST(row_number() OVER w AS INTEGER) AS rank FROM re WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, before) QUALIFY row_number() OVER w <="
+
+
+@query(f"""
+WITH RECURSIVE {_VECTOR}, {_BM25}, {_hybrid(4 * K)}, {_CHUNKS}, {_fold('hy', 'score', 2 * K, 0.8, 'ex')}, {_SETS},
+re AS (SELECT ex.query_id, ex.id, ex.rank AS before, {_containment('w', 'd')} AS score FROM ex JOIN ds ON ds.id = ex.id JOIN qs ON qs.query_id = ex.query_id)
+SELECT query_id, id, round(score, 6) AS score, {_RANKED} {K}""")
 def hybrid_parent_child_rerank(spark, sf_dir):
-    return R.retrieve("hybrid_parent_child_rerank", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    return _rounded(R.retrieve("hybrid_parent_child_rerank", _corpus(spark, sf_dir), _queries(spark, sf_dir), K))
+
+
+@query(f"WITH RECURSIVE {_VECTOR}, si AS (SELECT query_id, id, rank, 1 - distance AS score FROM vr), {_CHUNKS}, {_fold('si', 'score', K, 0.8, 'ex')} {_FOUND} ex")
+def similarity_parent_child(spark, sf_dir):
+    return _rounded(R.retrieve("parent_child", _corpus(spark, sf_dir), _queries(spark, sf_dir), K, backend="similarity"))
+
+
+@query(f"""
+WITH {_VECTOR}, {_BM25}, {_hybrid(10)}, {_SETS},
+re AS (SELECT hy.query_id, hy.id, hy.rank AS before, {_containment('w', 'd')} AS score FROM hy JOIN ds ON ds.id = hy.id JOIN qs ON qs.query_id = hy.query_id)
+SELECT query_id, id, round(score, 6) AS score, {_RANKED} 8""")
+def similarity_rerank(spark, sf_dir):
+    return _rounded(R.retrieve("rerank", _corpus(spark, sf_dir), _queries(spark, sf_dir), 8, backend="similarity"))
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -146,7 +199,7 @@ def _parts(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-WITH {_BM25}, {_SETS}, ca AS (SELECT query_id, id, rank, id // 3 AS doc FROM br WHERE rank <= {4 * K}),
+WITH {_VECTOR}, {_BM25}, {_hybrid(4 * K)}, {_SETS}, ca AS (SELECT query_id, id, rank, id // 3 AS doc FROM hy),
 pa AS (SELECT doc_id // 3 AS doc, count(*) AS total, list_distinct(flatten(list({tokens_sql('text')}))) AS d, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1),
 gr AS (SELECT ca.*, count(*) OVER w AS n, min(rank) OVER w AS first FROM ca WINDOW w AS (PARTITION BY query_id, doc)),
 al AS (SELECT DISTINCT query_id, concat(doc, '_merged') AS chunk_id, first, 0 AS own, d, content FROM gr JOIN pa USING (doc) WHERE n >= 0.4 * total
@@ -154,8 +207,7 @@ al AS (SELECT DISTINCT query_id, concat(doc, '_merged') AS chunk_id, first, 0 AS
 so AS (SELECT al.*, {_containment('w', 'd')} AS score FROM al JOIN qs USING (query_id))
 SELECT query_id, chunk_id, md5(content) AS content, round(score, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM so WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, first, own) QUALIFY row_number() OVER w <= {K}""")
 def auto_merge(spark, sf_dir):
-    q = _queries(spark, sf_dir)
-    found = R.auto_merge(R.bm25_topk(_docs(spark, sf_dir), q, 4 * K), _parts(spark, sf_dir), q, K)
+    found = R.retrieve("auto_merge", R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _parts(spark, sf_dir)), _queries(spark, sf_dir), K)
     return found.select("query_id", "chunk_id", F.md5("content").alias("content"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -181,22 +233,11 @@ def window_frame_concat(spark, sf_dir):
     return window_text(rows, 3).select("doc_id", "idx", F.md5("window_text").alias("window_text"))
 
 
-@query(f"""
-WITH {_BM25}, top AS (SELECT query_id, rank, source, lang, substring(text, 1, 500) AS c FROM br JOIN documents ON doc_id = id WHERE rank <= 3)
-SELECT query_id, md5(string_agg(concat('[Source ', rank, ': ', lang, ' (', source, ')]', chr(10), c), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM top GROUP BY 1""")
-def context_assembly(spark, sf_dir):
-    hits = R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 3)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 500).alias("c"))
-    part = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), F.col("lang"), F.lit(" ("), F.col("source"), F.lit(")]\n"), F.col("c"))
-    rows = hits.join(docs, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("parts"))
-    return rows.select("query_id", F.md5(F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n---\n\n")).alias("context"))
-
-
 @query(f"""
 WITH {_BM25}, top AS (SELECT query_id, rank, source, lang, text FROM br JOIN documents ON doc_id = id WHERE rank <= 3)
 SELECT query_id, md5(string_agg(concat('[Source ', rank, ': ', lang, ' (', source, ')]', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM top GROUP BY 1""")
-def context_whole(spark, sf_dir):
-    """The context as models get it, of whole texts; context_assembly, as its SQL, takes 500 characters of each."""
+def context_assembly(spark, sf_dir):
+    """The context as models get it, of whole texts."""
     hits = R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 3)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("source_url"), F.col("text").alias("content"))
     return context_of(hits, docs).select("query_id", F.md5("context").alias("context"))
@@ -221,9 +262,60 @@ r AS (SELECT n.query_id, coalesce(1.0 / first, 0) AS mrr, CASE WHEN hits > 0 THE
       dcg / list_sum(list_transform(range(1, least(n_true, k) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM n JOIN p USING (query_id))
 SELECT round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(ndcg), 4) AS ndcg, count(*) AS n_queries FROM r""")
 def mrr_hit_recall_ndcg(spark, sf_dir):
-    from corpusloom.operators.evaluate import macro, ranking_metrics
-
     v, q = _vectors(spark, sf_dir), _queries(spark, sf_dir)
     own = q.select("query_id").join(v.select(F.col("id").alias("query_id"), "label"), "query_id")
-    truth = own.join(v.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
-    return macro(ranking_metrics(R.vector_topk(v, q, 10), truth))
+    sizes = own.join(v.groupBy("label").agg((F.count("*") - 1).alias("n_true")), "label").where("n_true > 0").select("query_id", "n_true")
+    found = R.vector_topk(v, q, 10).join(v.select("id", F.col("label").alias("found")), "id").join(own, "query_id")
+    return E.macro(E.metrics_of(found.withColumn("good", F.when((F.col("found") == F.col("label")) & (F.col("id") != F.col("query_id")), 1)), sizes))
+
+
+@query(f"""
+WITH {_VECTOR}, {_BM25}, {_hybrid(10)},
+al AS (SELECT 'vector' AS retriever, query_id, id, rank FROM vr WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, id, rank FROM br WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, rank FROM hy),
+n AS (SELECT b.item_id AS query_id, count(*) AS n_true FROM benchmark b JOIN documents d ON d.doc_id % 100 = b.item_id % 100 GROUP BY 1),
+p AS (SELECT retriever, query_id, count(*) AS k, count(*) FILTER (WHERE id % 100 = query_id % 100) AS hits, min(rank) FILTER (WHERE id % 100 = query_id % 100) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE id % 100 = query_id % 100), 0) AS dcg FROM al GROUP BY 1, 2),
+r AS (SELECT retriever, coalesce(1.0 / first, 0) AS mrr, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit, hits / n_true AS recall,
+      dcg / list_sum(list_transform(range(1, least(n_true, k) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM n JOIN p USING (query_id))
+SELECT retriever, round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(ndcg), 4) AS ndcg, count(*) AS n_queries FROM r GROUP BY retriever""")
+def retriever_metrics(spark, sf_dir):
+    """The retrieval-only evaluation: ranking metrics of several retrievers. True ids are those that agree with the query's in their last two digits."""
+    corpus, q = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    found = R.compare(["vector", "bm25", "hybrid"], corpus, q, 10)
+    sizes = q.select("query_id", (F.col("query_id") % 100).alias("d")).join(corpus.docs.groupBy((F.col("id") % 100).alias("d")).agg(F.count("*").alias("n_true")), "d").drop("d")
+    marked = found.withColumn("good", F.when(F.col("id") % 100 == F.col("query_id") % 100, 1))
+    each = [E.macro(E.metrics_of(marked.where(F.col("retriever") == n).drop("retriever"), sizes)).withColumn("retriever", F.lit(n)) for n in ("vector", "bm25", "hybrid")]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(f"""
+WITH {_VECTOR}, {_BM25}, {_hybrid(K)}, al AS (SELECT 'vector' AS retriever, query_id, id FROM vr WHERE rank <= {K} UNION ALL SELECT 'bm25', query_id, id FROM br WHERE rank <= {K}),
+n AS (SELECT query_id, count(*) AS n FROM hy GROUP BY 1), s AS (SELECT retriever, query_id, count(*) AS shared FROM al JOIN hy USING (query_id, id) GROUP BY 1, 2)
+SELECT retriever, round(avg(100 * coalesce(shared, 0) / n), 1) AS overlap_pct FROM (SELECT * FROM n, (SELECT DISTINCT retriever FROM al)) LEFT JOIN s USING (retriever, query_id) GROUP BY 1""")
+def average_overlap(spark, sf_dir):
+    corpus, q = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    return R.average_overlap(R.retrieve("hybrid", corpus, q, K), R.compare(["vector", "bm25"], corpus, q, K))
+
+
+@query(f"""
+WITH {_BM25}, top AS (SELECT query_id, id, rank, text FROM br JOIN documents ON doc_id = id WHERE rank <= 3),
+cx AS (SELECT query_id, list_distinct({tokens_sql("string_agg(text, chr(10) || chr(10) ORDER BY rank)")}) AS d, list_distinct({tokens_sql("max(text) FILTER (WHERE rank = 1)")}) AS a FROM top GROUP BY 1),
+fa AS (SELECT item_id AS query_id, list_distinct({tokens_sql('f')}) AS w FROM (SELECT item_id, unnest(list_filter(string_split(text, '. '), lambda x: x <> '')) AS f FROM benchmark)),
+ju AS (SELECT query_id, {_containment('w', 'd')} >= 0.5 AS r, {_containment('w', 'a')} >= 0.5 AS g FROM fa JOIN cx USING (query_id)),
+co AS (SELECT query_id, {_COUNTS} FROM ju GROUP BY 1),
+me AS (SELECT query_id, CASE WHEN bool_or(id % 10 = query_id % 10) THEN 1 ELSE 0 END AS hit, round(coalesce(1.0 / min(rank) FILTER (WHERE id % 10 = query_id % 10), 0), 6) AS mrr FROM top GROUP BY 1)
+SELECT co.*, hit, mrr FROM co JOIN me USING (query_id)""")
+def retrieval_run(spark, sf_dir):
+    """The retrieval-aware run: facts (an item's sentences) in what is retrieved and in the answer (the first document), and ranking metrics."""
+    docs, q = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    hits = R.bm25_topk(docs, q, 3)
+    sources = docs.groupBy((F.col("id") % 10).alias("d")).agg(F.collect_list("id").alias("source_ids"))
+    questions = q.select("query_id", F.filter(F.split("content", r"\. "), lambda x: x != "").alias("key_facts"), (F.col("query_id") % 10).alias("d")).join(sources, "d").drop("d")
+    answers = hits.where("rank = 1").join(docs, "id").select("query_id", F.col("content").alias("answer"))
+    return E.retrieval_run(questions, hits, docs, answers).drop("recall", "ndcg").withColumn("mrr", F.round("mrr", 6))
+
+
+@query("""SELECT concat(doc_id, '_chunk_000') AS id, md5(text) AS text, lang AS title, CAST(doc_id AS VARCHAR) AS parent_id, 7 AS n_not_embedded, 3 AS n_not_shown FROM documents""")
+def chunk_nodes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.col("lang").alias("title"), *[F.col("source").alias(c) for c in ("source_url", "source_name", "content_type")])
+    rows = nodes(docs.withColumns({"chunk_id": F.concat("doc_id", F.lit("_chunk_000")), "chunk_index": F.lit(0), "total_chunks": F.lit(1)}))
+    return rows.select("id", F.md5("text").alias("text"), "metadata.title", "parent_id", F.size("excluded_embed_keys").alias("n_not_embedded"), F.size("excluded_llm_keys").alias("n_not_shown"))

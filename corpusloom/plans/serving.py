@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import serving as V
 from corpusloom.operators import training as N
-from corpusloom.plans.base import query, table
-from corpusloom.plans.retrieval import _BM25
+from corpusloom.plans.base import query, strip_sql, table, tokens_sql
+from corpusloom.plans.retrieval import _BM25, _SETS, _containment
 
-CONFIGS = [("baseline", "none", False), ("vector", "vector", True), ("bm25", "bm25", True)]
+#: The nine configurations: no context, and each retriever whose rows are chunks.
+CONFIGS = [("baseline", "none", False), *((n, n, True) for n in ("vector", "bm25", "hybrid", "rerank", "parent_child", "multiquery", "hybrid_parent_child", "auto_merge"))]
 
 
-@query("SELECT item_id, configuration, use_rag FROM benchmark CROSS JOIN (VALUES ('baseline', false), ('vector', true), ('bm25', true)) AS c(configuration, use_rag)")
+@query(f"SELECT item_id, configuration, use_rag FROM benchmark CROSS JOIN (VALUES {', '.join(f"('{n}', {str(u).lower()})" for n, _, u in CONFIGS)}) AS c(configuration, use_rag)")
 def response_grid(spark, sf_dir):
     return V.grid(table(spark, sf_dir, "benchmark").select("item_id"), CONFIGS).select("item_id", "configuration", "use_rag")
 
@@ -29,12 +30,39 @@ def ask(spark, sf_dir):
     return V.ask(queries, R.bm25_topk(docs, queries, 3), docs).select("query_id", F.md5("answer").alias("answer"))
 
 
-@query()
+@query(f"""
+WITH {_BM25}, {_SETS}, top AS (SELECT query_id, rank, source, lang, text FROM br JOIN documents ON doc_id = id WHERE rank <= 3),
+c AS (SELECT query_id, regexp_extract(string_agg(text, '' ORDER BY rank) FILTER (WHERE rank = 1), '^([^.!?]*[.!?])', 1) AS said,
+  string_agg(concat('[Source ', rank, ': ', lang, ' (', source, ')]', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY 1),
+f AS (SELECT query_id, string_agg(line, chr(10) ORDER BY first) AS footer FROM (SELECT query_id, concat('- [', lang, '](', source, ')') AS line, min(rank) AS first FROM top GROUP BY 1, 2) GROUP BY 1),
+an AS (SELECT query_id, list_distinct({tokens_sql("concat(said, chr(10), chr(10), '---', chr(10), '**Sources:**', chr(10), footer)")}) AS a, list_distinct({tokens_sql('context')}) AS x FROM c JOIN f USING (query_id)),
+fa AS (SELECT item_id AS query_id, list_distinct({tokens_sql('f')}) AS fw FROM (SELECT item_id, unnest(string_split(text, '. ')) AS f FROM benchmark)),
+hi AS (SELECT query_id, count(*) AS facts, count(*) FILTER (WHERE {_containment('fw', 'a')} >= 0.5) AS hits FROM fa JOIN an USING (query_id) GROUP BY 1)
+SELECT query_id, round({_containment('a', 'x')}, 6) AS faithfulness, round({_containment('w', 'a')}, 6) AS relevancy, round(hits / facts, 3) AS correctness, CAST(hits AS INTEGER) AS hits, CAST(facts AS INTEGER) AS facts FROM an JOIN qs USING (query_id) JOIN hi USING (query_id)""")
 def judged_answers(spark, sf_dir):
+    """All sentences of an item are its facts."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("source_url"), F.col("text").alias("content"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    answers = V.ask(queries, R.bm25_topk(docs, queries, 3), docs).withColumn("key_facts", F.slice(F.split("question", r"(?<=\.) "), 1, 3))
-    return V.judge(answers).select("query_id", "faithfulness", "relevancy", "correctness", "hits", "facts")
+    answers = V.ask(queries, R.bm25_topk(docs, queries, 3), docs).withColumn("key_facts", F.split("question", r"\. "))
+    return V.judge(answers).select("query_id", F.round("faithfulness", 6).alias("faithfulness"), F.round("relevancy", 6).alias("relevancy"), "correctness", "hits", "facts")
+
+
+@query(f"""
+WITH {_BM25}, top AS (SELECT query_id, id, rank, source, lang, substring(text, 1, 1500) AS t FROM br JOIN documents ON doc_id = id WHERE rank <= 5),
+s AS (SELECT query_id, regexp_extract(string_agg(t, '' ORDER BY rank) FILTER (WHERE rank = 1), '^([^.!?]*[.!?])', 1) AS said, string_agg(id, '|' ORDER BY rank) AS chunks FROM top GROUP BY 1)
+SELECT query_id, said AS expected_answer, said AS facts, chunks FROM s""")
+def enriched_posts(spark, sf_dir):
+    """Items as posts, enriched from the five best documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("source_url"), F.col("text").alias("content"))
+    posts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    found = V.enriched_posts(posts, R.bm25_topk(docs, posts, 5), docs)
+    return found.select("query_id", "expected_answer", F.array_join("key_facts", "|").alias("facts"), F.array_join(F.transform("source_chunks", lambda c: c["chunk_id"]), "|").alias("chunks"))
+
+
+@query("SELECT 'ok' AS status, 10 AS retrievers, 1 AS models, 'rerank' AS retriever, '5' AS top_k")
+def engine_config(spark, sf_dir):
+    row = V.config_row(spark, list(R.RETRIEVERS), {"retriever": "rerank", "top_k": "5"})
+    return row.withColumns({"retrievers": F.size("retrievers"), "models": F.size("models")})
 
 
 @query()
@@ -44,23 +72,30 @@ def embedded_index(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT conv_id AS seq, text, lower(text) AS t, length(text) AS score FROM conversations WHERE turn = 0),
-a AS (SELECT seq, score FROM c WHERE (contains(t, 'rent') OR contains(t, 'lease') OR contains(t, 'heat') OR contains(t, 'mold') OR contains(t, 'evict')) ORDER BY seq LIMIT 40)
+WITH c AS (SELECT conv_id AS seq, lower(text) AS t, length(text) AS score FROM conversations WHERE turn = 0),
+a AS (SELECT seq, score FROM c WHERE (contains(t, 'rent') OR contains(t, 'lease') OR contains(t, 'heat') OR contains(t, 'mold') OR contains(t, 'evict')) AND (seq % 3 = 0 OR seq % 5 = 0 OR seq % 7 = 0) ORDER BY seq LIMIT 40)
 SELECT seq, score FROM a ORDER BY score DESC, seq LIMIT 20""")
 def relevant_posts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("seq"), F.lit("local").alias("subreddit"), F.col("text").alias("title"), F.lit("").alias("selftext"), F.length("text").cast("long").alias("score"), F.lit(None).cast("string").alias("link_flair_text"))
+    """A third of the posts is from a local forum; of the others some name a region in their text or in their flair."""
+    k = F.col("conv_id")
+    text = F.when(k % 5 == 0, "moved to Boston").otherwise("")
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select(k.alias("seq"), F.when(k % 3 == 0, "local").otherwise("legal").alias("subreddit"), F.col("text").alias("title"), text.alias("selftext"), F.length("text").cast("long").alias("score"), F.when(k % 7 == 0, "BOSTON area").alias("link_flair_text"))
     return V.relevant_posts(c, ["boston"], ["local"], 20).select("seq", "score")
 
 
-@query("""
+_SAID = "'<|im_start|>user', chr(10), " + strip_sql("q") + ", '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), " + strip_sql("a") + ", '<|im_end|>'"
+
+
+@query(f"""
 WITH p AS (SELECT conv_id, text AS q, lead(text) OVER w AS a, lead(role) OVER w AS r, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-s AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'golden' WHEN 1 THEN 'instruction' ELSE 'rag' END AS source FROM p WHERE role = 'user' AND r = 'assistant')
-SELECT source, count(*) * CASE source WHEN 'golden' THEN 5 WHEN 'rag' THEN 3 ELSE 1 END AS n, count(*) * CASE source WHEN 'golden' THEN 5 WHEN 'rag' THEN 3 ELSE 0 END AS n_system FROM s GROUP BY source""")
+s AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'golden' WHEN 1 THEN 'instruction' ELSE 'rag' END AS source FROM p WHERE role = 'user' AND r = 'assistant'),
+m AS (SELECT source, CASE source WHEN 'golden' THEN concat('<|im_start|>system', chr(10), 'Answer from the sources given.<|im_end|>', chr(10), {_SAID}) WHEN 'instruction' THEN concat({_SAID})
+  ELSE concat('<|im_start|>system', chr(10), 'Answer from the sources given.', chr(10), chr(10), 'RETRIEVED CONTEXT:', chr(10), {strip_sql('a')}, chr(10), chr(10), 'QUESTION: ', {strip_sql('q')}, '<|im_end|>', chr(10), {_SAID}) END AS content FROM s)
+SELECT source, md5(content) AS content, CAST(unnest(range(1, CASE source WHEN 'golden' THEN 6 WHEN 'rag' THEN 4 ELSE 2 END)) AS INTEGER) AS copy FROM m""")
 def training_mix(spark, sf_dir):
     pairs = N.dialogue_pairs(table(spark, sf_dir, "conversations")).withColumn("context", F.col("answer"))
     parts = [(pairs.where(F.col("conv_id") % 3 == i), source, weight) for i, (source, weight) in enumerate([("golden", 5), ("instruction", 1), ("rag", 3)])]
-    made = V.training_set(parts, "Answer from the sources given.")
-    return made.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.startswith("content", F.lit("<|im_start|>system"))).alias("n_system"))
+    return V.training_set(parts, "Answer from the sources given.").select("source", F.md5("content").alias("content"), "copy")
 
 
 @query("SELECT k FROM range(1, 19) t(k) WHERE k NOT IN (SELECT CAST(r_regionkey AS BIGINT) + 3 FROM region)")
@@ -70,5 +105,6 @@ def missing_keys(spark, sf_dir):
 
 @query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'hard' ELSE 'standard' END AS tier FROM benchmark WHERE item_id IN (SELECT n_nationkey FROM nation)")
 def fixed_subset(spark, sf_dir):
-    chosen = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("item_id"))
-    return table(spark, sf_dir, "benchmark").join(chosen, "item_id", "left_semi").select("item_id", F.when(F.col("item_id") % 4 == 0, "hard").otherwise("standard").alias("tier"))
+    k = F.col("n_nationkey").cast("long")
+    tiers = table(spark, sf_dir, "nation").select(k.alias("item_id"), F.when(k % 4 == 0, "hard").otherwise("standard").alias("tier"))
+    return N.fixed_set(table(spark, sf_dir, "benchmark"), "item_id", tiers).select("item_id", "tier")

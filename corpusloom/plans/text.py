@@ -28,10 +28,10 @@ def content_hash(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, substring(concat(source, '_', regexp_replace(regexp_replace(lower(substring(text, 1, 150)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 120) AS slug
+SELECT doc_id, substring(concat(source, '_', regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 120) AS slug
 FROM documents""")
 def slug_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slug_id(F.col("source"), F.substring("text", 1, 150)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.slug_id(F.col("source"), F.col("text")).alias("slug"))
 
 
 @query(f"SELECT doc_id, md5({collapse_sql('lower(text)')}) AS k FROM documents")
@@ -152,27 +152,69 @@ def reindex(spark, sf_dir):
     return C.reindex(kept).select("doc_id", "chunk_index", "total_chunks", "chunk_id", "content")
 
 
-@query()
-def corpus_clean(spark, sf_dir):
+_BODY = f"list_filter({lines_sql('content')}, lambda x: NOT starts_with(x, '#'))"
+_NARROW = f"""(len({lines_sql('content')}) = 0 OR (len({_BODY}) >= 3 AND len(list_filter({_BODY}, lambda x: length(x) < 60)) = len({_BODY}) AND length({strip_sql('content')}) < 600 AND len(list_filter({_BODY}, lambda x: right(x, 1) <> '.')) > 0.7 * len({_BODY}))
+  OR (len({_BODY}) >= 8 AND len(list_filter({_BODY}, lambda x: length(x) < 80 AND right(x, 1) NOT IN ('.', '!', '?', ':', ';'))) > 0.65 * len({_BODY}) AND coalesce(list_sum(list_transform({_BODY}, lambda x: length(x))), 0) < 45 * len({_BODY}))
+  OR contains({strip_sql('content')}, '<time datetime=') OR (contains(lower(content), 'sign up') AND contains(lower(content), 'newsletter') AND length({strip_sql('content')}) < 300) OR (length({strip_sql('content')}) < 600 AND contains({strip_sql('content')}, '...')))"""
+_STEPS = {
+    "non_english": "length(content) > 50 AND length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) / length(content) > 0.15",
+    "home_buying": f"len(regexp_extract_all(content, '(?i){C.BUYER}')) >= 2 AND len(regexp_extract_all(content, '(?i){C.RENTER}')) = 0",
+    "endnote": rf"len(list_filter(regexp_split_to_array({strip_sql('content')}, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) < 5 AND length(regexp_replace(regexp_replace({strip_sql('content')}, '[0-9 \t\n\r\f\x0B.,;:()\-–—/]', '', 'g'), 'https?://[^ \t\n\r\f\x0B]+', '', 'g')) < 10",
+    "link_list": _NARROW,
+    "header_only": f"len({lines_sql('content')}) = 0 OR (len({lines_sql('content')}) >= 2 AND len({lines_sql('content')}) - len({_BODY}) > 0.75 * len({lines_sql('content')}) AND length(coalesce(array_to_string({_BODY}, ' '), '')) < 50)",
+    "short": f"length({strip_sql('content')}) < 100",
+    "boilerplate": f"len({lines_sql('content')}) = 0 OR (len(list_filter({lines_sql('content')}, lambda x: length(x) < 40)) = len({lines_sql('content')}) AND length({strip_sql('content')}) < 150) OR (length({strip_sql('content')}) < 200 AND ({' OR '.join(f"contains(lower(content), '{p}')" for p in C.BOILERPLATE)}))",
+}
+_CLEANED = rf"""{LINES_SQL},
+b0 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_index, content, CASE WHEN contains(CAST(doc_id AS VARCHAR), '77') THEN 'oversized' WHEN doc_id IN (SELECT n_nationkey FROM nation) THEN 'blocked' END AS step FROM lines),
+h AS (SELECT *, length({strip_sql('content')}) < 100 AND (starts_with({strip_sql('content')}, '#') OR regexp_full_match({strip_sql('content')}, '[A-Z 	
+0-9.:§()]+')) AS heading FROM b0 WHERE step IS NULL),
+t AS (SELECT *, coalesce(min(CASE WHEN NOT heading THEN chunk_index END) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+      max(CASE WHEN NOT heading THEN chunk_index END) OVER (PARTITION BY doc_id), max(chunk_index) OVER (PARTITION BY doc_id)) AS target FROM h),
+m AS (SELECT doc_id, target AS chunk_index, string_agg(CASE WHEN heading THEN {strip_sql('content')} ELSE content END, chr(10) || chr(10) ORDER BY chunk_index) AS content FROM t GROUP BY doc_id, target),
+st AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{n}'" for n, c in _STEPS.items())} END AS step FROM m),
+dd AS (SELECT *, row_number() OVER (PARTITION BY md5({collapse_sql('lower(content)')}) ORDER BY doc_id, chunk_index) AS n FROM st WHERE step IS NULL)"""
+
+
+def _cleaned(spark, sf_dir):
+    """Lines as chunks, the documents of a marker and of a list blocked."""
     lines = line_chunks(table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return C.clean(lines)
+    return lines, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id")), ["77"]
 
 
 @query(f"""
-WITH t AS (SELECT text AS c, length({strip_sql('text')}) AS n FROM documents)
-SELECT 'short' AS step, count(*) FILTER (WHERE n < 100) AS removed FROM t
-UNION ALL SELECT 'non_english', count(*) FILTER (WHERE length(c) > 50 AND length(regexp_replace(c, '[\\x00-\\x7F]', '', 'g')) / length(c) > 0.15) FROM t""")
+WITH {_CLEANED}
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_index, md5(content) AS content, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, printf('%s_chunk_%03d', doc_id, row_number() OVER w - 1) AS chunk_id
+FROM dd WHERE n = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""")
+def corpus_clean(spark, sf_dir):
+    """All steps in their order."""
+    return C.clean(*_cleaned(spark, sf_dir)).select("doc_id", "chunk_index", F.md5("content").alias("content"), "total_chunks", "chunk_id")
+
+
+@query(f"""
+WITH {_CLEANED}, u AS (SELECT step, count(*) AS removed FROM b0 WHERE step IS NOT NULL GROUP BY 1 UNION ALL SELECT step, count(*) FROM st WHERE step IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'merge', (SELECT count(*) FROM h) - (SELECT count(*) FROM m) UNION ALL SELECT 'duplicate', count(*) FROM dd WHERE n > 1)
+SELECT step, removed FROM u WHERE removed > 0""")
 def cleaning_counts(spark, sf_dir):
+    """What each step takes away after the steps before it."""
+    return C.removed_counts(*_cleaned(spark, sf_dir))
+
+
+@query(f"""
+WITH t AS (SELECT text AS content FROM documents)
+{' UNION ALL '.join(f"SELECT '{n}' AS step, count(*) FILTER (WHERE {c}) AS removed FROM t" for n, c in _STEPS.items())}""")
+def step_counts(spark, sf_dir):
+    """What each chunk step would take away alone, over whole documents, in one pass."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T().alias("content"))
-    return C.step_counts(docs).where("step IN ('short', 'non_english')")
+    return C.step_counts(docs)
 
 
 @query("""
 WITH t AS (SELECT doc_id, concat('FACT 1: ', CASE quality WHEN 1 THEN 'YES' ELSE 'NO' END, ' — yes', chr(10), ' fact 2 : ', CASE toxic WHEN 1 THEN 'yes' ELSE 'no' END, ' - stated', chr(10), 'Fact 12: YES') AS j, quality, toxic FROM labels)
-SELECT doc_id, quality = 1 AS fact1, toxic = 1 AS fact2, false AS fact3, starts_with(upper(trim(j)), 'YES') AS verdict FROM t""")
+SELECT doc_id, quality = 1 AS fact1, toxic = 1 AS fact2, false AS fact3, doc_id % 2 = 0 AS verdict FROM t""")
 def verdict_parse(spark, sf_dir):
     j = F.concat(F.lit("FACT 1: "), F.when(F.col("quality") == 1, "YES").otherwise("NO"), F.lit(" — yes\n fact 2 : "), F.when(F.col("toxic") == 1, "yes").otherwise("no"), F.lit(" - stated\nFact 12: YES"))
-    return table(spark, sf_dir, "labels").select("doc_id", *[X.fact_verdict(j, F.lit(i)).alias(f"fact{i}") for i in (1, 2, 3)], X.yes_verdict(j).alias("verdict"))
+    return table(spark, sf_dir, "labels").select("doc_id", *[X.fact_verdict(j, F.lit(i)).alias(f"fact{i}") for i in (1, 2, 3)], X.yes_verdict(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" \n yes: "), j)).otherwise(j)).alias("verdict"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -206,11 +248,11 @@ def confidence_bands(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE event_type WHEN 'click' THEN printf('%.2f sim', greatest(0.0, 1 - value / 7)) WHEN 'view' THEN printf('%.1f BM25', value / 7)
-       WHEN 'error' THEN printf('%.3f RRF', value / 7) ELSE CASE WHEN value / 7 < 1 THEN printf('%.2f sim', 1 - value / 7) ELSE printf('%.1f score', value / 7) END END AS label
+SELECT event_id, CASE WHEN event_id % 5 = 3 THEN printf('%.0f%% relevance', value / 7 * 100) WHEN event_id % 5 = 4 THEN printf('%.2f relevance', value / 7) WHEN event_type = 'click' THEN printf('%.2f sim', greatest(0.0, 1 - value / 7)) WHEN event_type = 'view' THEN printf('%.1f BM25', value / 7)
+       WHEN event_type = 'error' THEN printf('%.3f RRF', value / 7) ELSE CASE WHEN value / 7 < 1 THEN printf('%.2f sim', 1 - value / 7) ELSE printf('%.1f score', value / 7) END END AS label
 FROM (SELECT event_id, event_type, round(value) + 0.3 AS value FROM events)""")
 def score_labels(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "click", "cosine_distance").when(F.col("event_type") == "view", "bm25").when(F.col("event_type") == "error", "rrf").otherwise("other")
+    kind = F.when(F.col("event_id") % 5 == 3, "fusion").when(F.col("event_id") % 5 == 4, "cross_encoder").when(F.col("event_type") == "click", "cosine_distance").when(F.col("event_type") == "view", "bm25").when(F.col("event_type") == "error", "rrf").otherwise("other")
     return table(spark, sf_dir, "events").select("event_id", X.score_label((F.round("value") + 0.3) / 7, kind).alias("label"))
 
 

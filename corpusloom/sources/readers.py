@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,48 @@ def write_chunks(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, one array a file: each task writes its rows as they come. ``chunks`` reads them back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            out = []
+            for x in b.column(0).to_pylist():
+                out.append(lead + x)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
+
+    rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def write_raw(pages: DataFrame, path: str) -> None:
+    """Raw pages (url, html, ...) as they were fetched, added to those there."""
+    pages.write.mode("append").parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows written in a program: pasted pages, instruction and refusal samples."""
+    return spark.createDataFrame(rows, schema)
+
+
+def write_audit(report: DataFrame, path: str, run: str) -> None:
+    """An audit's entries with their issues as JSON, under their run."""
+    report.withColumn("run_ts", F.lit(run)).write.mode("append").partitionBy("run_ts").json(path)
+
+
+def parents(docs: DataFrame) -> DataFrame:
+    """Documents by key, as chunks' parents: doc_id, title, source_url, content, of repeated keys the one scraped last."""
+    return docs.groupBy("doc_id").agg(F.max_by(F.struct("title", "source_url", "content"), F.struct("scraped_at", "content_hash")).alias("d")).select("doc_id", "d.*")
+
+
+def search_urls(forums: DataFrame, queries: DataFrame, limit: int = 25, base: str = "https://www.reddit.com") -> DataFrame:
+    """url of each forum's search for each query (both short lists), as ``web_pages`` fetches and ``posts`` parses them. forums: forum; queries: query."""
+    pairs = forums.crossJoin(F.broadcast(queries))
+    return pairs.select(F.concat(F.lit(f"{base}/r/"), "forum", F.lit("/search.json?q="), F.url_encode("query"), F.lit(f"&restrict_sr=on&sort=relevance&t=all&limit={limit}")).alias("url"))
+
+
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """path, content of whole text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

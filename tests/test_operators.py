@@ -251,7 +251,7 @@ def test_context_holds_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "heat")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = plans.QUERIES["context_whole"](spark, str(tmp_path)).first().context
+    got = plans.QUERIES["context_assembly"](spark, str(tmp_path)).first().context
     assert got == hashlib.md5(f"[Source 1: en (s)]\n{text}".encode()).hexdigest()
 
 
