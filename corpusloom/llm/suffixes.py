@@ -2,7 +2,7 @@
 
 Of all suffixes (of a document's words) only those at minimisers are kept: the place of the least hash of
 GRAM words in each window of ``min_words``. A passage of ``min_words`` words chooses the same minimiser
-wherever it stands. The kept suffixes are sorted over the cluster by their leading GRAM words, then by
+wherever it stands. The kept suffixes are sorted over the cluster by their leading LEAD words, then by
 document, and neighbours are compared by these words. Where neighbours of different documents agree, their
 matches are extended from the minimiser left and right, word by word, as far as a run of ``min_words`` words
 around it can reach. Each window is looked at under the minimiser that it chose. A run of ``min_words`` words is a repeat where a document of smaller doc_id has it too;
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, as_bytes, doc_columns, map_text, slices, text_digest
 from corpusloom.llm.textkernel import Texts, distinct, exact_keys, running, spans
 
-MIN_WORDS, GRAM = 50, 16
+MIN_WORDS, GRAM, LEAD = 50, 16, 8
 #: Suffixes of a group that one task extends, and those that one numpy pass works on at least.
-HOT, AT_ONCE = 32_768, 8_192
+HOT, AT_ONCE = 32_768, 4_096
 _KEY = "doc_id long, t binary, "
 
 
@@ -80,7 +80,7 @@ def _parse(min_words: int, gram: int):
         raw = s.texts.data.tobytes()
         own = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[s.owner[s.at]]
         at, most, least = s.at[own], (s.at - s.low)[own], (s.at - s.high)[own]
-        words = [b" ".join(raw[a:b].split()) for a, b in zip(s.starts[at].tolist(), s.ends[at + gram - 1].tolist(), strict=True)]
+        words = [b" ".join(raw[a:b].split()) for a, b in zip(s.starts[at].tolist(), s.ends[at + min(LEAD, gram) - 1].tolist(), strict=True)]
         rows = pa.array(np.concatenate([np.arange(s.texts.n), s.owner[at]]))
         places = np.concatenate([np.full(s.texts.n, -1), packed(at - s.first[s.owner[at]], most, least)])
         lead = pa.array([None] * s.texts.n + words, pa.binary())

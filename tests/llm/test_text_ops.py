@@ -200,7 +200,8 @@ def test_passages_in_long_texts(spark):
     passage = prose(77, 60)
     rows = [(i, f"{prose(2000 + i, 3000)} {passage} {prose(3000 + i, 1000)} {prose(5000 + i // 2, 70)}") for i in range(60)]
     found = {x.doc_id: x.n_repeated for x in suffixes.op3_suffix_array_dedup(table(spark, rows).coalesce(1)).collect()}
-    assert found == {i: 60 * (i > 0) + 70 * (i % 2) for i in range(60)}
+    assert found == {i: sum(marks) for i, marks in brute_spans(rows, 50).items()}  # a word before or after a passage may agree by chance
+    assert all(n >= 60 * (i > 0) + 70 * (i % 2) for i, n in found.items())
 
 
 def test_rows_of_one_doc_id_lose_no_text(spark):
