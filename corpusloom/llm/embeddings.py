@@ -25,34 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from corpusloom.llm.blocks import BUCKET_ROWS, SKETCH, binomial_bound, bucket_rows, candidates, dealt, roots, runs, tables_for
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.graph import connected_components
-from corpusloom.llm.textkernel import mix
 
 THRESHOLD, MISS = 0.93, 1e-5
-#: Signs of a sketch (whole numbers of 64), and the chance that a pair at the threshold is put aside by it.
-SKETCH, SKETCH_MISS = 128, 1e-6
-#: Points that a bucket should have, points of a crowded one, points of a block of vectors, candidates a point from which pairs are not made.
-BUCKET, CROWD, BLOCK, DENSE = 32, 2048, 256, 8
-_ROWS = 256
+#: The chance that a pair at the threshold is put aside by its sketches.
+SKETCH_MISS = 1e-6
+#: Points that a bucket should have, and points of a block of vectors.
+BUCKET, BLOCK = 32, 256
 _SEED = 20
 
 
-def tables_for(points: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+def plan_for(points: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a table and tables, for the points of the largest label."""
     bits = max(4, math.ceil(math.log2(max(1, points) / BUCKET)))
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-meet))
-
-
-def sketch_bound(threshold: float = THRESHOLD, miss: float = SKETCH_MISS) -> int:
-    """The least number of differing signs that a pair at the threshold exceeds with a chance of at most ``miss``."""
-    p, below = math.acos(threshold) / math.pi, 0.0
-    for k in range(SKETCH + 1):
-        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
-        if 1 - below <= miss:
-            return k
-    return SKETCH
+    return bits, tables_for(bits, math.acos(threshold) / math.pi, miss)
 
 
 @cache
@@ -65,12 +53,6 @@ def signs(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return np.packbits(x @ _planes(x.shape[1], SKETCH + bits * tables) > 0, axis=1, bitorder="little")
 
 
-def codes(packed: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Bucket numbers by table, from the rows of ``signs``."""
-    own = np.unpackbits(packed, axis=1, bitorder="little")[:, SKETCH : SKETCH + bits * tables].reshape(len(packed), tables, bits)
-    return (own.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-
-
 def _points(bits: int, tables: int, kind: str):
     """vec_id, label, vec (its numbers as bytes, as wide as they came), h1, h2, signs; the last four null for vectors that link with nothing."""
 
@@ -104,94 +86,13 @@ def _unit(vecs: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each member's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _entries(bits: int, tables: int):
-    """bucket (one number for table, label, size and code), node, sketch: a point's places in the tables."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            packed = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            own = np.array([xxhash.xxh3_64_intdigest(f"{label} {size}".encode()) for label, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], np.uint64)
-            bucket = mix(mix(own)[:, None] + mix(np.arange(1, tables + 1, dtype=np.uint64))[None, :]) ^ codes(packed, bits, tables) * np.uint64(0x9E3779B97F4A7C15)
-            sketch = np.repeat(packed[:, : SKETCH // 8].copy().view(np.int64), tables, axis=0)
-            columns = [mix(bucket).ravel().view(np.int64), np.repeat(b.column(0).to_numpy(), tables), *sketch.T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bucket", "node", *_SKETCHES])
-
-    return run
-
-
-_SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
-
-
-def close(sketch: np.ndarray, bound: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose sketches differ in at most ``bound`` signs: all, or those from before ``cut`` with those after."""
-    found = []
-    last = len(sketch) if cut is None else cut
-    for lo in range(0, last, _ROWS):
-        part = sketch[lo : min(lo + _ROWS, last)]
-        others = sketch[cut:] if cut is not None else sketch[lo + 1 :]
-        apart = sum(np.bitwise_count(part[:, None, c] ^ others[None, :, c]).astype(np.uint16) for c in range(sketch.shape[1]))
-        a, b = np.nonzero(apart <= bound)
-        if cut is None:
-            a, b = a[b >= a], b[b >= a]
-        found.append((a + lo, b + (cut if cut is not None else lo + 1)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2  # type: ignore[return-value]
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Whole runs of rows that agree in the first ``keys`` columns."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-        columns = [whole.column(k).to_numpy() for k in range(keys)]
-        bounds = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1).tolist()]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            yield whole.slice(lo, hi - lo)
-        held = whole.slice(bounds[-1])
-    if held is not None:
-        yield held
-
-
-def _candidates(bound: int):
-    """Pairs a, b of a bucket's close sketches; where there are many, the spanning forest of these, marked dense."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, 3):
-            if part.num_rows < 2:
-                continue
-            block, node = part.column(3).to_numpy(), part.column(4).to_numpy()
-            sketch = np.stack([part.column(c).to_numpy() for c in range(5, 5 + len(_SKETCHES))], 1).view(np.uint64)
-            cut = None
-            if part.column(1)[0] != part.column(2)[0]:
-                order = np.argsort(block, kind="stable")
-                block, node, sketch = block[order], node[order], sketch[order]
-                cut = int(np.searchsorted(block, block[0], side="right"))
-            a, b = close(sketch, bound, cut)
-            if not len(a):
-                continue
-            if dense := len(a) > DENSE * len(node):
-                root = _roots(len(node), a, b)
-                a = np.flatnonzero(root != np.arange(len(root)))
-                b = root[a]
-            a, b = node[a], node[b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
+            if b.num_rows:
+                packed = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                kind = np.array([xxhash.xxh3_64_intdigest(f"{label} {size}".encode()) for label, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], np.uint64)
+                yield bucket_rows(b.column(0).to_numpy(), packed, kind, bits, tables)
 
     return run
 
@@ -221,7 +122,7 @@ def _compare(node: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray,
     else:
         a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
     links = np.bincount(a, n[b], len(node)) + np.bincount(b, n[a], len(node))
-    return node, links.astype(np.int64), node[_roots(len(node), a, b)]
+    return node, links.astype(np.int64), node[roots(len(node), a, b)]
 
 
 def _blocks(threshold: float, kind: str):
@@ -241,13 +142,6 @@ def _blocks(threshold: float, kind: str):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Rows (key, node, ``blocks``: how many blocks the key has) once for each pair of blocks i, j that their own block is in."""
-    spread = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-
 def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id per row of vectors (vec_id, label, embedding).
 
@@ -261,21 +155,14 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     number, kind = ("float", "<f4") if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else ("double", "<f8")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     largest = rows.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = tables_for(largest, threshold)
+    bits, tables = plan_for(largest, threshold)
     found = rows.mapInArrow(_points(bits, tables, kind), "vec_id long, label long, vec binary, h1 long, h2 long, signs binary")
     points = scratch.store(found.withColumn("node", F.monotonically_increasing_id()), "points")  # numbers are as stored from here on
     groups = points.where("h1 is not null").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("label").alias("label"), F.min(F.length("vec")).alias("size"), F.min("signs").alias("signs"))
     groups = scratch.store(groups, "groups")
 
-    entries = groups.select("node", "label", "size", "signs").mapInArrow(_entries(bits, tables), "bucket long, node long, " + ", ".join(f"{s} long" for s in _SKETCHES))
-    crowds = scratch.store(entries.groupBy("bucket").agg(F.count("*").alias("s")).where(F.col("s") > CROWD).select("bucket", F.ceil(F.col("s") / CROWD).cast("int").alias("nb")), "crowds")
-    if crowds.isEmpty():
-        entries = entries.withColumns({c: F.lit(0) for c in ("i", "j", "own")})
-    else:
-        entries = _dealt(entries.join(crowds, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1))), "bucket", "nb")
-    entries = entries.select("bucket", "i", "j", "own", "node", *_SKETCHES)
-    near = entries.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_candidates(sketch_bound(threshold)), "a long, b long, dense boolean")
-    near = scratch.store(near.distinct(), "candidates")
+    entries = groups.select("node", "label", "size", "signs").mapInArrow(_entries(bits, tables), BUCKET_ROWS)
+    near = candidates(scratch, entries, binomial_bound(SKETCH, math.acos(threshold) / math.pi, SKETCH_MISS))
 
     parts = connected_components(scratch, near.where("dense").select("a", "b"))
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
@@ -286,9 +173,9 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
 
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     members = parts.join(sizes, "component").join(groups.select("node", "n"), "node").join(vec, "node")
-    dealt = _dealt(members, "component", "nb").select("component", "i", "j", "own", "node", "n", "vec")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    compared = scratch.store(dealt.mapInArrow(_blocks(threshold, kind), "node long, links long, root long"), "links")
+    spread = dealt(members, "nb").select("component", "i", "j", "own", "node", "n", "vec")
+    spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    compared = scratch.store(spread.mapInArrow(_blocks(threshold, kind), "node long, links long, root long"), "links")
 
     times = groups.select("node", "n")
     apart = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(times.select(F.col("node").alias("b"), "n"), "b")

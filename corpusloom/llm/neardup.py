@@ -1,10 +1,13 @@
-"""Near-duplicates by the similarity of five-word shingles: MinHash bands propose, exact Jaccard decides.
-
-SimHash of 64 bits cannot serve here: texts of similarity 0.8 differ in about ten bits, and no whole blocks of use
-agree at such distances. Bands follow from the threshold: a pair at it shares none with a chance of at most MISS,
-less above. Documents of equal shingle sets are one point. Members of a small bucket are compared in pairs, those of
-a crowded one first with one pivot, and where that leaves more than one component all by all, as blocks by blocks,
-of which only a spanning forest is given back. Components come from the distributed contraction.
+"""SimHash near-dedup at a similarity: pigeonhole blocks of long fingerprints propose, exact Jaccard decides.
+
+Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in at most about 15 % of the bits of
+a SimHash: too many for the whole blocks of 64 bits to agree. So a fingerprint here has as many bits as it takes. It is cut
+into blocks; two fingerprints that differ in fewer bits than there are blocks surely share one, and a pair at the threshold
+shares none with a chance of at most MISS. Documents join on blocks, the Hamming distance of SKETCH further bits is verified (it puts
+aside a pair at the threshold with a chance of at most SKETCH_MISS), and the shingle sets of what is left decide exactly. A block's bits grow with the logarithm
+of the documents, so buckets keep their size. Documents of equal shingle sets are one point. Points of a bucket that are close to
+one another are not paired: groups of them are compared all by all, as blocks by blocks, of which only a spanning forest
+is given back. Components come from the distributed contraction.
 """
 
 from __future__ import annotations
@@ -18,21 +21,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.blocks import BUCKET_ROWS, SKETCH, binomial_bound, bucket_rows, candidates, dealt, roots, tables_for
 from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, text_digest
-from corpusloom.llm.embeddings import _roots
 from corpusloom.llm.graph import connected_components
 from corpusloom.llm.simhash import shingle_hashes
+from corpusloom.llm.textkernel import mix
+
+SIZE, THRESHOLD, MISS, SKETCH_MISS = 5, 0.8, 1e-6, 1e-6
+#: Least bits of a block, documents that a bucket should have at most, points of a block of sets, shingles compared at a time.
+LEAST_BITS, BUCKET, BLOCK, COLUMNS = 12, 64, 256, 4096
+_AT_ONCE = 4096
 
-SIZE, THRESHOLD, MISS = 5, 0.8, 1e-6
-#: Minima of a band.
-ROWS = 6
-#: Members from which a bucket is crowded, points of a block, and shingles compared at a time.
-HOT_BUCKET, BLOCK, COLUMNS = 8, 256, 4096
-_SEED = 27
 
+def apart(threshold: float) -> float:
+    """The share of bits that differ at a Jaccard similarity: sets of equal sizes have the cosine 2 j / (1 + j), others a larger one."""
+    return math.acos(2 * threshold / (1 + threshold)) / math.pi
 
-def bands_for(threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))
+
+def plan_for(docs: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+    """Bits of a block, and blocks."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, docs) / BUCKET)))
+    return bits, tables_for(bits, apart(threshold), miss)
 
 
 def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -40,22 +49,14 @@ def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def band_codes(sets: list[np.ndarray], bands: int) -> np.ndarray:
-    """Bucket numbers by set and band; no set is empty."""
-    rng = np.random.default_rng(_SEED)
-    factors = rng.integers(0, 1 << 31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    terms = rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32)
-    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), bands), np.uint64)
-    for band in range(bands):
-        code = np.full(len(sets), band + 1, np.uint64)
-        for i in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat(flat * factors[i] + terms[i], starts)
-            code = (code ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        out[:, band] = code
-    return out
+def long_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """A bit is 1 if set in over half the hashes, each of which gives 64 bits for every word."""
+    counts = np.zeros(64 * words, np.int64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(hashes), _AT_ONCE):
+        own = mix(hashes[i : i + _AT_ONCE, None] + steps[None, :])
+        counts += np.unpackbits(own.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
 def _key(hashes: np.ndarray) -> list[int]:
@@ -66,7 +67,9 @@ def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float)
     return shared >= threshold * (a + b - shared) - 1e-9
 
 
-def _pairs(threshold: float):
+def _verified(threshold: float):
+    """Of pairs with their shingle sets (a, b, x, y), those at the threshold or above."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -94,11 +97,13 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], threshold: float) ->
         part[owner[lo:hi], column[lo:hi] - at] = 1
         shared += part @ part.T
     a, b = np.nonzero(np.triu(similar(shared, sizes[:, None], sizes[None, :], threshold), 1))
-    root = nodes[_roots(len(sets), a, b)]
+    root = nodes[roots(len(sets), a, b)]
     return nodes[root != nodes], root[root != nodes]
 
 
 def _blocks(threshold: float):
+    """Edges of groups' blocks; columns component, i, j, node, hashes."""
+
     def links(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
             a, b = block_links(np.array([n for n, _ in held], np.int64), [np.frombuffer(s, np.uint64) for _, s in held], threshold)
@@ -118,64 +123,58 @@ def _blocks(threshold: float):
     return run
 
 
-def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows, points). rows: doc_id, t, k1, k2 per row with a doc_id; points: k1, k2 (digest of the shingle set), rep (its least doc_id), part."""
-    bands = bands_for(threshold)
     texts = doc_columns(docs).where("doc_id is not null").withColumn("t", text_digest())
+    bits, tables = plan_for(texts.count(), threshold)
+    words = -(-(SKETCH + bits * tables) // 64)
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, size) for x in as_bytes(batch.column(1))]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        codes: list = [[]] * len(sets)
-        if full:
-            for i, c in zip(full, band_codes([sets[i] for i in full], bands).view(np.int64), strict=True):
-                codes[i] = c
         keys = [_key(s) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "t", "k1", "k2", "codes"])
+        prints = [long_fingerprint(s, words) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array(prints, pa.binary())], ["doc_id", "t", "k1", "k2", "fp"])
 
     def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in as_bytes(batch.column(1))], pa.binary())], ["node", "hashes"])
 
-    rows = scratch.store(map_text(texts, signed, "doc_id long, t binary, k1 long, k2 long, codes array<long>"), "signed")
-    points = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.any_value("codes").alias("codes"))
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                yield bucket_rows(b.column(0).to_numpy(), packed, np.zeros(b.num_rows, np.uint64), bits, tables)
+
+    rows = scratch.store(map_text(texts, signed, "doc_id long, t binary, k1 long, k2 long, fp binary"), "signed")
+    points = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.min("fp").alias("fp"))
     points = scratch.store(points.withColumn("node", F.monotonically_increasing_id()), "points")  # numbers are as stored from here on
-    met = points.select("node", F.explode("codes").alias("bucket"))
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))).getField("n")
-    crowds = scratch.store(met.groupBy("bucket").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1"), "buckets")
-    members = scratch.store(met.join(crowds, "bucket"), "members")
-    wanted = points.join(members.select("node").distinct(), "node").select("node", "first.doc_id", "first.t")
+    entries = points.where("fp is not null").select("node", "fp").mapInArrow(entered, BUCKET_ROWS)
+    near = candidates(scratch, entries, binomial_bound(SKETCH, apart(threshold), SKETCH_MISS))
+    groups = connected_components(scratch, near.where("dense").select("a", "b"))
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    pairs = near.where("NOT dense").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_part IS NULL OR b_part IS NULL OR a_part <> b_part").select("a", "b")
+    pairs = scratch.store(pairs, "pairs")
+
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
+    wanted = points.join(met, "node").select("node", "first.doc_id", "first.t")
     sets = scratch.store(map_text(texts.join(wanted, ["doc_id", "t"]).select("node", "text"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-
-    few = members.where(F.col("n") <= hot).select("bucket", "node")
-    small = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b")
-    first = members.where((F.col("n") > hot) & (F.col("node") != F.col("pivot"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    pairs = scratch.store(small.unionByName(first).distinct(), "pairs")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    edges = scratch.store(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_pairs(threshold), "a long, b long"), "linked")
+    linked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
+    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    spread = dealt(groups.join(counts, "component"), "nb").select("component", "i", "j", "node").join(sets, "node")
+    spread = spread.select("component", "i", "j", "node", "hashes").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    edges = linked.unionByName(spread.mapInArrow(_blocks(threshold), "a long, b long").distinct())
     parts = connected_components(scratch, edges)
-
-    crowd = members.where(F.col("n") > hot).select("bucket", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    unsettled = crowd.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = scratch.store(crowd.join(unsettled, "bucket", "left_semi").select("bucket", "node", "n"), "unsettled")
-    scratch.drop(members)
-    if not left.isEmpty():
-        spread = left.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(sets, "node")
-        dealt = spread.select("bucket", "i", "j", "node", "hashes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        more = dealt.mapInArrow(_blocks(threshold), "a long, b long").distinct()
-        parts = connected_components(scratch, edges.unionByName(more))
     return rows, scratch.store(points.join(parts, "node", "left").select("k1", "k2", F.col("first.doc_id").alias("rep"), F.coalesce("component", "node").alias("part")), "parts")
 
 
-def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, hot: int = HOT_BUCKET) -> DataFrame:
+def near_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, component_id: the least doc_id reachable by links of at least ``threshold`` shared shingles (Jaccard).
 
     One row per row with a doc_id. Texts without words are equal; a text shorter than a shingle is one. Rows of one
     doc_id with different texts stand for themselves. An empty table gives an empty result. Further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, points = _parts(scratch, docs, size, threshold, hot)
+    rows, points = _parts(scratch, docs, size, threshold)
     least = points.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = scratch.store(points.join(least, "part").select("k1", "k2", "component_id"), "named")
     return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "component_id")
@@ -188,5 +187,5 @@ def near_keep(docs: DataFrame) -> DataFrame:
     empty, repeated rows stay once, an empty table gives an empty result, further columns pass through.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, points = _parts(scratch, docs, SIZE, THRESHOLD, HOT_BUCKET)
+    rows, points = _parts(scratch, docs, SIZE, THRESHOLD)
     return keep_one(scratch, docs, rows.join(points.select("k1", "k2", "part"), ["k1", "k2"]).select("doc_id", "t", "part"))

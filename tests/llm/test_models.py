@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from llm_helpers import prose, table
 
-from corpusloom.llm import embeddings, importance, quality, toxicity
+from corpusloom.llm import blocks, embeddings, importance, quality, toxicity
 
 BAD = "grumble snarl scoff".split()
 
@@ -111,8 +111,8 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("block", [256, 8])
 def test_embeddings_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", block)
-    monkeypatch.setattr(embeddings, "CROWD", block * 2)
-    monkeypatch.setattr(embeddings, "DENSE", block // 32)
+    monkeypatch.setattr(blocks, "CROWD", block * 2)
+    monkeypatch.setattr(blocks, "DENSE", block // 32)
     r = np.random.default_rng(2)
     centres = r.normal(size=(12, 16))
     rows = [(i, int(i % 3), (centres[i % 12] + r.normal(size=16) * r.choice([0.02, 0.25, 0.35])).astype(np.float32).tolist()) for i in range(240)]
@@ -137,5 +137,5 @@ def test_vectors_without_id(spark):
 def test_embeddings_empty_and_recall(spark):
     assert embeddings.op10_embedding_dedup(vectors(spark, [])).count() == 0
     for points in (1, 100, 10**4, 10**6, 10**9):
-        bits, tables = embeddings.tables_for(points)
+        bits, tables = embeddings.plan_for(points)
         assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= embeddings.MISS * 1.001

@@ -4,10 +4,11 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from llm_helpers import prose, table
 
-from corpusloom.llm import neardup
+from corpusloom.llm import blocks, neardup
 
 
 def shingles(text):
@@ -59,10 +60,30 @@ def test_pipeline_stage_keeps_one_of_each_group(spark, planted):
     assert sorted(i for i in ids if i is not None) == sorted(set(brute(planted).values())) and ids.count(None) == 1
 
 
-def test_crowded_buckets_lose_no_link(spark, planted):
-    found = {x.doc_id: x.component_id for x in neardup.near_components(table(spark, planted), hot=1).collect()}
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_crowded_buckets_lose_no_link(spark, planted, dense, monkeypatch):
+    monkeypatch.setattr(blocks, "CROWD", 8)
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    found = {x.doc_id: x.component_id for x in neardup.near_components(table(spark, planted)).collect()}
     assert found == brute(planted)
 
 
+def test_pairs_at_the_threshold_share_a_block():
+    """The stated chances, and a measurement: sets of similarity 0.8 differ in no more bits than ``apart`` says, also small ones."""
+    for docs in (1, 10**5, 10**7, 10**10):
+        bits, tables = neardup.plan_for(docs)
+        assert (1 - (1 - neardup.apart(0.8)) ** bits) ** tables <= neardup.MISS * 1.001
+    r = np.random.default_rng(5)
+    for n in (9, 45, 450):
+        share = []
+        for _ in range(60):
+            h = r.integers(0, 2**64, n + n // 9, dtype=np.uint64)
+            a, b = h[: n], h[n // 9 :]
+            x, y = (np.frombuffer(neardup.long_fingerprint(s, 20), np.uint8) for s in (a, b))
+            share.append(np.unpackbits(x ^ y).mean())
+        assert np.mean(share) <= neardup.apart(0.8) + 0.01
+
+
 def test_empty(empty):
     assert neardup.near_components(empty).count() == 0 and neardup.near_keep(empty).count() == 0
