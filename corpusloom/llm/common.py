@@ -28,13 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         own = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def ship_package(spark: SparkSession) -> None:
