@@ -18,7 +18,7 @@ from corpusloom.llm.toxicity import drop_toxic
 STAGES = [
     ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
     ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
-    ("near-dedup", lambda spark, docs, sf_dir: near_keep(docs)),
+    ("simhash near-dedup", lambda spark, docs, sf_dir: near_keep(docs)),
     ("suffix-array dedup", lambda spark, docs, sf_dir: suffix_dedup(docs)),
     ("best-fit packing", lambda spark, docs, sf_dir: pack(docs)),
 ]
