@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def attribution_counts(facts: DataFrame, *by: str) -> DataFrame:
     return counted.select(*by, *n, "facts", share(c + g, F.col("facts")).alias("retrieval_coverage"), share(c + h, F.col("facts")).alias("generation_coverage"), share(c, c + g).alias("generation_given_retrieval"), share(g, g + r).alias("generation_miss_share"))
 
 
+def by_tier(facts: DataFrame, tier: str = "tier") -> DataFrame:
+    """tier, facts, retrieved, generation_coverage of each tier and, under "overall", of all. facts: the tier, in_retrieval, in_generation."""
+    sums = [F.count("*").alias("facts"), F.count_if("in_retrieval").alias("retrieved"), F.round(F.avg(F.col("in_generation").cast("int")), 4).alias("generation_coverage")]
+    return facts.groupingSets([[tier], []], F.col(tier)).agg(*sums).withColumn(tier, F.coalesce(tier, F.lit("overall")))
+
+
+def valid(score: Column) -> Column:
+    """A score, or null where it stands for a judge that failed (below 0)."""
+    return F.when(score >= 0, score)
+
+
 def summary(rows: DataFrame, by: str) -> DataFrame:
     """Valid rows, mean scores and claim recall over all facts; a group without valid rows counts all of its rows.
 
@@ -74,6 +86,11 @@ def majority(votes: DataFrame, label: str, order: str, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("majority"), F.max("n").alias("votes"))
 
 
+def runs(n: int, make: Callable[[int], DataFrame], run: str = "run") -> DataFrame:
+    """The rows of n runs with their number, as ``question_runs`` and ``run_aggregates`` take them."""
+    return reduce(DataFrame.unionByName, [make(i).withColumn(run, F.lit(i)) for i in range(n)])
+
+
 def run_aggregates(facts: DataFrame, run: str = "run", *, key: str = "metric") -> DataFrame:
     """metric, n, mean, std, ci_95_low, ci_95_high over runs: of each run's attribution counts and coverages. facts: run, in_retrieval, in_generation."""
     each = attribution_counts(facts, run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -128,17 +129,33 @@ def crawl(edges: DataFrame, roots: DataFrame, depth: int = 2, follow: Callable[[
     return seen
 
 
+#: Titles that addresses are matched with.
+TITLES = 1000
+
+
 def match_titles(urls: DataFrame, titles: DataFrame) -> DataFrame:
     """url, chapter: by a chapter number in the url, else the first title of which two words (or its only one) are in it.
 
-    titles: chapter, title; a short list, joined by broadcast as Spark finds it small.
+    titles: chapter, title; at most TITLES of them (more raise), which go along with each address, so nothing is joined.
     """
+    listed = titles.select("chapter", "title").limit(TITLES + 1).collect()
+    if len(listed) > TITLES:
+        raise ValueError(f"at most {TITLES} titles")
     n = F.regexp_extract(F.lower("url"), r"chapter[_-]?(\d{1,2})", 1)
-    pairs = urls.select("url", F.when(n != "", n.try_cast("int")).alias("n")).join(titles.select("chapter", F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "), " "), lambda x: x != "").alias("words")))
-    shared = F.size(F.filter("words", lambda w: F.contains(F.lower(F.col("url")), w)))
-    fits = shared >= F.least(F.lit(2), F.size("words"))
-    choice = F.when(F.col("n") == F.col("chapter"), F.struct(F.lit(0).alias("way"), "chapter")).when(fits, F.struct(F.lit(1).alias("way"), "chapter"))
-    return pairs.groupBy("url").agg(F.min(choice).alias("c")).where("c is not null").select("url", F.col("c.chapter").alias("chapter"))
+    number, url = F.when(n != "", n.try_cast("int")), F.lower("url")
+    choices = []
+    for r in sorted(listed, key=lambda r: r["chapter"]):
+        words = [w for w in re.split("[^a-z0-9]+", (r["title"] or "").lower()) if w]
+        shared = sum((F.contains(url, F.lit(w)).cast("int") for w in words), F.lit(0))
+        choices.append((F.lit(r["chapter"]), shared >= min(2, len(words))))
+    by_number = F.coalesce(*[F.when(number == c, c) for c, _ in choices]) if choices else F.lit(None).cast("int")
+    by_words = F.coalesce(*[F.when(fits, c) for c, fits in choices]) if choices else F.lit(None).cast("int")
+    return urls.select("url", F.coalesce(by_number, by_words).alias("chapter")).where("chapter is not null").distinct()
+
+
+def missing_keys(known: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """The numbers from first to last that known has not: what a fallback has to fetch."""
+    return known.sparkSession.range(first, last + 1).select(F.col("id").alias(key)).join(known.select(F.col(key).cast("long").alias(key)).distinct(), key, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: str) -> DataFrame:

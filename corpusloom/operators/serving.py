@@ -7,7 +7,7 @@ word containment judges.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -89,6 +89,24 @@ def judge(rows: DataFrame, score: Callable[[Column, Column], Column] = containme
     return rows.withColumns({"faithfulness": F.when(F.col("context").isNotNull(), score(F.col("answer"), F.col("context"))), "relevancy": score(F.col("question"), F.col("answer")), "hits": F.size(exploded), "facts": n, "correctness": F.when(n > 0, F.round(F.size(exploded) / n, 3))})
 
 
+def score_all(rows: DataFrame, questions: DataFrame, score: Callable[[Column, Column], Column] = containment, least: float = 0.5) -> DataFrame:
+    """rows (question_id, question, answer, context) with their questions' key facts, and judged; a question that is not known has none. questions: id, key_facts."""
+    known = questions.select(F.col("id").alias("question_id"), "key_facts").dropDuplicates(["question_id"])
+    return judge(rows.join(known, "question_id", "left"), score, least)
+
+
+def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A scorer for rerankers and judges around a model of pairs of texts: ``load`` runs once for a worker's task, its result on whole batches."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predict = load()
+        for a, b in batches:
+            yield pd.Series(predict(list(zip(a.fillna(""), b.fillna(""), strict=True))), dtype="float64")
+
+    return run
+
+
 def relevant_posts(posts: DataFrame, regions: list[str], local: list[str], n: int, seq: str = "seq") -> DataFrame:
     """The n best-scored of the first 2n posts (by seq) about housing, and about a region unless from a local forum."""
     text = F.lower(F.concat_ws(" ", "title", "selftext"))

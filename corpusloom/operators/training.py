@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse, question_for, strip, truncate_answer
+from corpusloom.functions.text import collapse, question_for, strip, truncate_answer, unfenced
 
 LEAST, MOST, LEAST_WORDS, VALIDATION, SEED = 50, 3200, 8, 0.1, 42
 
@@ -22,12 +22,19 @@ def stratified(rows: DataFrame, by: str, key: str, n: int, seed: int = SEED) ->
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+#: Ranges that keys are counted in; their counts are broadcast.
+RANGES = 4096
+
+
 def systematic(rows: DataFrame, key: str, step: int, n: int) -> DataFrame:
     """Every step-th row in the order of key, the first n of them; rows are numbered by counts below each, not in one task.
 
-    key must be distinct numbers. Blocks of keys are counted, the counts summed (they are few), and rows numbered in their block.
+    key must be distinct numbers. They are counted in at most RANGES ranges of equal width, the counts summed, and rows numbered in their range.
     """
-    block = F.floor(F.col(key) / 65536)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.limit(0)
+    block = F.floor((F.col(key) - low) / max(1, -(-(int(high) - int(low) + 1) // RANGES)))
     sizes = rows.groupBy(block.alias("_b")).agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     numbered = rows.withColumn("_b", block).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
@@ -143,3 +150,16 @@ def topic_quotas(rows: DataFrame, by: str, key: str, quotas: dict[str, int], def
 def fixed_set(rows: DataFrame, key: str, tiers: DataFrame) -> DataFrame:
     """Rows whose key is in tiers (key, tier), with the tier."""
     return rows.join(tiers.select(key, "tier").distinct(), key)
+
+
+def golden_set(chunks: DataFrame, topic: Column, quotas: dict[str, int], generate: Callable[[Column], Column], key: str = "chunk_id", default: int = 0) -> DataFrame:
+    """id, topic, question, expected_answer, key_facts, source_chunks: questions that a model makes of chunks chosen by topic.
+
+    chunks: chunk_id, title, source_url, content. ``generate`` returns JSON with question, answer and key_facts, fenced or not; chunks
+    whose JSON cannot be read or has no question go. Ids are the chunks' own, so that a second run gives the same.
+    """
+    chosen = topic_quotas(chunks.withColumn("topic", topic), "topic", key, quotas, default)
+    made = chosen.withColumn("_q", F.from_json(unfenced(generate(F.col("content"))), "question string, answer string, key_facts array<string>")).where("_q.question <> ''")
+    source = F.array(F.struct(F.col(key).cast("string").alias("chunk_id"), "title", "source_url"))
+    none = F.expr("CAST(array() AS array<string>)")
+    return made.select(F.concat(F.lit("golden_"), F.col(key).cast("string")).alias("id"), "topic", F.col("_q.question").alias("question"), F.coalesce("_q.answer", F.lit("")).alias("expected_answer"), F.coalesce("_q.key_facts", none).alias("key_facts"), source.alias("source_chunks"))

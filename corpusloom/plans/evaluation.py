@@ -42,8 +42,7 @@ def attribution_counts(spark, sf_dir):
 
 @query(f"WITH {_FACTS} SELECT coalesce(tier, 'overall') AS tier, count(*) AS facts, count(*) FILTER (WHERE r) AS retrieved, round(avg(CASE WHEN g THEN 1 ELSE 0 END), 4) AS generation_coverage FROM f GROUP BY GROUPING SETS ((tier), ())")
 def tier_grouping_sets(spark, sf_dir):
-    sums = [F.count("*").alias("facts"), F.count_if("in_retrieval").alias("retrieved"), F.round(F.avg(F.col("in_generation").cast("int")), 4).alias("generation_coverage")]
-    return _facts(spark, sf_dir).groupingSets([["tier"], []], F.col("tier")).agg(*sums).withColumn("tier", F.coalesce("tier", F.lit("overall")))
+    return E.by_tier(_facts(spark, sf_dir))
 
 
 _STATS = "count(*) AS n, round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS std, round(avg(v) - CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(v) / sqrt(count(*)) ELSE 0 END, 4) AS ci_95_low, round(avg(v) + CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(v) / sqrt(count(*)) ELSE 0 END, 4) AS ci_95_high"
@@ -279,3 +278,15 @@ def grounded_pairs(spark, sf_dir):
 @query("""SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':42')), doc_id) <= CASE lang WHEN 'en' THEN 7 WHEN 'fr' THEN 2 ELSE 1 END""")
 def topic_quotas(spark, sf_dir):
     return N.topic_quotas(table(spark, sf_dir, "documents"), "lang", "doc_id", {"en": 7, "fr": 2}, 1).select("doc_id", "lang")
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licensed|license') THEN 'licence' ELSE 'other' END AS topic FROM documents),
+p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY topic ORDER BY md5(concat(doc_id, ':42')), doc_id) <= CASE topic WHEN 'licence' THEN 3 ELSE 5 END)
+SELECT concat('golden_', doc_id) AS id, topic, concat('About ', doc_id, '?') AS question, 'yes' AS expected_answer, 'a|b' AS facts, CAST(doc_id AS VARCHAR) AS source FROM p""")
+def golden_set(spark, sf_dir):
+    """Chunks chosen by topic, questions by a stand-in for the model: JSON within a fence."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("t").alias("title"), F.lit("u").alias("source_url"), F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("content"))
+    model = lambda c: F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat(F.lit("About "), F.split(c, " ")[0], F.lit("?")).alias("question"), F.lit("yes").alias("answer"), F.array(F.lit("a"), F.lit("b")).alias("key_facts"))), F.lit("\n```"))
+    found = N.golden_set(chunks, E.first_topic(F.col("content"), [("licence", ["licensed", "license"])], "other"), {"licence": 3}, model, default=5)
+    return found.select("id", "topic", "question", "expected_answer", F.array_join("key_facts", "|").alias("facts"), F.col("source_chunks")[0]["chunk_id"].alias("source"))

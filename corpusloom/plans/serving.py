@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import pages as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import serving as V
 from corpusloom.operators import training as N
@@ -59,6 +61,20 @@ def enriched_posts(spark, sf_dir):
     return found.select("query_id", "expected_answer", F.array_join("key_facts", "|").alias("facts"), F.array_join(F.transform("source_chunks", lambda c: c["chunk_id"]), "|").alias("chunks"))
 
 
+@query(f"""
+WITH r AS (SELECT conv_id, turn, text AS q, lead(text) OVER w AS a, lead(text, 2) OVER w AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, turn, list_distinct({tokens_sql('q')}) AS w, list_distinct({tokens_sql('a')}) AS d, list_distinct({tokens_sql('c')}) AS x, ['heat', 'rent', 'the'] AS fs FROM r WHERE a IS NOT NULL),
+j AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN len(list_filter(['heat', 'rent'], lambda f: list_contains(d, f))) ELSE 0 END AS hits, CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END AS facts FROM s)
+SELECT conv_id, turn, CASE WHEN x IS NOT NULL THEN round({_containment('d', 'x')}, 6) END AS faithfulness, round({_containment('w', 'd')}, 6) AS relevancy, CAST(hits AS INTEGER) AS hits, CAST(facts AS INTEGER) AS facts, CASE WHEN facts > 0 THEN round(hits / facts, 3) END AS correctness FROM j""")
+def score_all(spark, sf_dir):
+    """Turns as questions, the next ones as answers, those after them as contexts; every second conversation has facts."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumns({"answer": F.lead("text").over(w), "context": F.lead("text", 2).over(w)}).where("answer is not null")
+    questions = turns.where("conv_id % 2 = 0").select(F.col("conv_id").alias("id"), F.array(F.lit("heat"), F.lit("rent")).alias("key_facts"))
+    found = V.score_all(turns.select(F.col("conv_id").alias("question_id"), "turn", F.col("text").alias("question"), "answer", "context"), questions)
+    return found.select(F.col("question_id").alias("conv_id"), "turn", F.round("faithfulness", 6).alias("faithfulness"), F.round("relevancy", 6).alias("relevancy"), "hits", "facts", "correctness")
+
+
 @query("SELECT 'ok' AS status, 10 AS retrievers, 1 AS models, 'rerank' AS retriever, '5' AS top_k")
 def engine_config(spark, sf_dir):
     row = V.config_row(spark, list(R.RETRIEVERS), {"retriever": "rerank", "top_k": "5"})
@@ -100,7 +116,7 @@ def training_mix(spark, sf_dir):
 
 @query("SELECT k FROM range(1, 19) t(k) WHERE k NOT IN (SELECT CAST(r_regionkey AS BIGINT) + 3 FROM region)")
 def missing_keys(spark, sf_dir):
-    return spark.range(1, 19).select(F.col("id").alias("k")).join(table(spark, sf_dir, "region").select((F.col("r_regionkey") + 3).cast("long").alias("k")), "k", "left_anti")
+    return P.missing_keys(table(spark, sf_dir, "region").select((F.col("r_regionkey") + 3).cast("long").alias("k")), "k", 1, 18)
 
 
 @query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'hard' ELSE 'standard' END AS tier FROM benchmark WHERE item_id IN (SELECT n_nationkey FROM nation)")

@@ -168,7 +168,8 @@ _STEPS = {
 _CLEANED = rf"""{LINES_SQL},
 b0 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_index, content, CASE WHEN contains(CAST(doc_id AS VARCHAR), '77') THEN 'oversized' WHEN doc_id IN (SELECT n_nationkey FROM nation) THEN 'blocked' END AS step FROM lines),
 h AS (SELECT *, length({strip_sql('content')}) < 100 AND (starts_with({strip_sql('content')}, '#') OR regexp_full_match({strip_sql('content')}, '[A-Z 	
-0-9.:§()]+')) AS heading FROM b0 WHERE step IS NULL),
+
+0-9.:§()]+')) AS heading FROM b0 WHERE step IS NULL),
 t AS (SELECT *, coalesce(min(CASE WHEN NOT heading THEN chunk_index END) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
       max(CASE WHEN NOT heading THEN chunk_index END) OVER (PARTITION BY doc_id), max(chunk_index) OVER (PARTITION BY doc_id)) AS target FROM h),
 m AS (SELECT doc_id, target AS chunk_index, string_agg(CASE WHEN heading THEN {strip_sql('content')} ELSE content END, chr(10) || chr(10) ORDER BY chunk_index) AS content FROM t GROUP BY doc_id, target),
@@ -281,3 +282,10 @@ def token_statistics(spark, sf_dir):
     from corpusloom.operators.chunk import token_stats
 
     return token_stats(table(spark, sf_dir, "documents"), X.token_estimate(T()), "source").select("source", "n_chunks", "min_tokens", "max_tokens", "avg_tokens")
+
+
+@query("""SELECT o_orderkey, concat('Read ', chr(92), '[Source 1: a', o_orderkey, chr(92), ']', chr(10), chr(10), '**Summary:** x', chr(10), chr(10), '**Details:** y') AS answer FROM orders""")
+def spaced_answers(spark, sf_dir):
+    """A missing bracket closed and escaped, and sections set apart."""
+    c = F.concat(F.lit("Read [Source 1: a"), F.col("o_orderkey").cast("string"), F.lit("\n**Summary:** x\n\n\n\n**Details:**: y"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.spaced_sections(c, ["Summary", "Details"]).alias("answer"))

@@ -1,4 +1,4 @@
-"""Schemas of documents, chunks, sentences, result lists and evaluation rows, as DDL. Readers declare them; nothing is inferred."""
+"""Schemas of documents and chunks, as DDL. Readers declare them; nothing is inferred."""
 
 DOCUMENT = (
     "doc_id string, source_url string, source_name string, title string, section_headers array<string>, content string, content_type string, "
@@ -8,9 +8,3 @@ CHUNK = (
     "chunk_id string, doc_id string, source_url string, source_name string, title string, content string, content_type string, "
     "legal_citations array<string>, chunk_index int, total_chunks int"
 )
-SENTENCE = f"{CHUNK}, sentence_index int, total_sentences int, window_start int, window_end int"
-RESULT = "query_id long, rank int, chunk_id string, content string, metadata struct<doc_id:string,source_url:string,source_name:string,title:string,content_type:string>, score double, score_type string, higher_is_better boolean"
-QUESTION = "id string, source string, question string, context string, expected_answer string, key_facts array<string>"
-GOLDEN = "id string, topic string, question string, expected_answer string, key_facts array<string>, source_chunks array<struct<chunk_id:string,title:string,source_url:string>>"
-FACT = "run string, question_id string, tier string, fact_index int, fact string, in_retrieval boolean, in_generation boolean"
-PAIR = "question string, answer string, context string, source string"

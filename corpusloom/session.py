@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if str(root) in places or getattr(sc, "_corpusloom_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="corpusloom-zip-")) / "corpusloom.zip"
+    folder = tempfile.mkdtemp(prefix="corpusloom-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves it while the session lives
+    target = Path(folder) / "corpusloom.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((root / "corpusloom").rglob("*.py")):
             z.write(p, p.relative_to(root))
