@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, trim
 from corpusloom.llm.textkernel import mix
 
 #: Bits of a sketch (whole numbers of 64), entries of a crowded bucket, candidates a point from which pairs are not made, rows compared at a time.
@@ -98,6 +98,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         held = whole.slice(bounds[-1])
     if held is not None:
         yield held
+    trim()
 
 
 def _candidates(bound: int):

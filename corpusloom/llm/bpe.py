@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, doc_columns, ship_package, slices
+from corpusloom.llm.common import Scratch, doc_columns, ship_package, slices, trim
 from corpusloom.llm.pretokens import Pretokens, Seen, gather, keys_of
 from corpusloom.llm.textkernel import distinct
 
@@ -287,6 +287,8 @@ def stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) -> I
                 held, size = [], 0
     if held:
         yield held
+    del held
+    trim()
 
 
 def corpus_words(scratch: Scratch, docs: DataFrame) -> DataFrame:

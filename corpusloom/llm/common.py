@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -89,6 +90,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give what a task has freed back to the system: workers are kept for the next task, and so is their memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``most`` bytes of text each, or a single row."""
     if not batch.num_rows:
@@ -113,6 +121,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -127,6 +136,21 @@ def text_digest(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
+#: Buckets that keys are hashed to; the list of those that a table of keys occupies is broadcast.
+KEY_BUCKETS = 1 << 20
+
+
+def parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(met, apart): the rows whose key (_doc, _t) may be in keys, and those whose key surely is not.
+
+    At most KEY_BUCKETS occupied buckets are broadcast, whatever the size of keys. Rows apart need no join, so their texts are not shuffled.
+    """
+    bucket = F.pmod(F.xxhash64("_doc", "_t"), F.lit(KEY_BUCKETS))
+    known = keys.select(bucket.alias("_bucket")).distinct().withColumn("_met", F.lit(True))
+    marked = rows.withColumn("_bucket", bucket).join(F.broadcast(known), "_bucket", "left").drop("_bucket")
+    return marked.where("_met").drop("_met"), marked.where("_met is null").drop("_met")
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, do not matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -143,8 +167,9 @@ def keep_one(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
     fate = F.when(F.struct("doc_id", "t") != F.col("best"), "goes").when(F.col("n") > 1, "once")
     fates = scratch.store(each.join(best, "part").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), fate.alias("fate")).where("fate is not null"), "fates")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_digest().alias("_t"))
-    met = whole.join(fates, ["_doc", "_t"], "left")
-    kept = met.where("fate is null").select("row")
+    met, apart = parted(whole, fates)
+    met = met.join(fates, ["_doc", "_t"], "left")
+    kept = apart.select("row").unionByName(met.where("fate is null").select("row"))
     if not fates.where("fate = 'once'").isEmpty():
         kept = kept.unionByName(met.where("fate = 'once'").groupBy("_doc", "_t").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
     return kept.select("row.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, as_bytes, doc_columns, slices, text_digest
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, parted, slices, text_digest
 from corpusloom.llm.textkernel import mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -218,7 +218,9 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         held.unpersist()
         found = part if found is None else found.unionByName(part)
     gone = found.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    joined = whole.withColumn("_t", text_digest()).withColumn("_doc", F.coalesce("doc_id", F.lit(_NO_ID))).join(gone, ["_doc", "_t"], "left")
+    gone = scratch.store(gone, "lines-gone")
+    met, apart = parted(whole.withColumn("_t", text_digest()).withColumn("_doc", F.coalesce("doc_id", F.lit(_NO_ID))), gone)
+    joined = met.join(gone, ["_doc", "_t"], "left").unionByName(apart.withColumn("gone", F.lit(None).cast("array<int>")))
     return joined.select("row", "doc_id", "text", "gone").mapInArrow(_cutter(None, bits, min_chars), schema)
 
 

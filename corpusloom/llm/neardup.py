@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import BUCKET_ROWS, SKETCH, binomial_bound, bucket_rows, candidates, dealt, roots, tables_for
-from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, text_digest
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, parted, text_digest
 from corpusloom.llm.graph import connected_components
 from corpusloom.llm.simhash import shingle_hashes
 from corpusloom.llm.textkernel import mix
@@ -155,8 +155,9 @@ def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tu
     pairs = scratch.store(pairs, "pairs")
 
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
-    wanted = points.join(met, "node").select("node", "first.doc_id", "first.t")
-    sets = scratch.store(map_text(texts.join(wanted, ["doc_id", "t"]).select("node", "text"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    wanted = scratch.store(points.join(met, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.t").alias("_t")), "wanted")
+    own = parted(texts.select("text", F.col("doc_id").alias("_doc"), F.col("t").alias("_t")), wanted)[0].join(wanted, ["_doc", "_t"])
+    sets = scratch.store(map_text(own.select("node", "text"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     linked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
     counts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, doc_columns, slices
+from corpusloom.llm.common import Scratch, doc_columns, slices, trim
 
 CAPACITY = 2048
 #: Pieces of one length that a task numbers, on average.
@@ -165,6 +165,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) ->
                     rows += [(doc, i, a, n, zlib.crc32(ids[a : a + n].tobytes())) for i, (a, n) in enumerate(cut(len(ids), capacity))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, as_bytes, doc_columns, map_text, slices, text_digest
+from corpusloom.llm.common import Scratch, as_bytes, doc_columns, map_text, parted, slices, text_digest, trim
 from corpusloom.llm.textkernel import Texts, distinct, exact_keys, running, spans
 
 MIN_WORDS, GRAM, LEAD = 50, 16, 8
@@ -136,6 +136,7 @@ def _contexts(min_words: int, gram: int):
                 ids = part.select([0, 2]).take(pa.array(rows))
                 columns = [pa.array(lead, pa.int64()), *ids.columns, pa.array(codes), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "t", "at", "left", "right"])
+        trim()
 
     return run
 
@@ -218,6 +219,7 @@ def _extended(min_words: int, gram: int):
             size = len(k) - whole
         if held:
             yield from settle(pa.Table.from_batches(held).combine_chunks())
+        trim()
 
     return run
 
@@ -281,7 +283,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     seeds = scratch.store(alike.join(copies, ["doc_id", "t"], "left_anti"), "seeds")
     info = scratch.store(info, "texts")
     scratch.drop(parsed)
-    around = docs.join(seeds, ["doc_id", "t"]).select("doc_id", "text", "t", "ats").mapInArrow(_contexts(min_words, gram), "k long, doc_id long, t binary, at long, left binary, right binary")
+    met = parted(docs.select("text", F.col("doc_id").alias("_doc"), F.col("t").alias("_t")), seeds.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")))[0]
+    met = met.join(seeds.withColumnsRenamed({"doc_id": "_doc", "t": "_t"}), ["_doc", "_t"])
+    around = met.select(F.col("_doc").alias("doc_id"), "text", F.col("_t").alias("t"), "ats").mapInArrow(_contexts(min_words, gram), "k long, doc_id long, t binary, at long, left binary, right binary")
     around = scratch.store(around, "contexts")
     crowds = scratch.store(around.groupBy("k").count().where(F.col("count") > HOT).select("k"), "crowds")
     none_crowded = crowds.isEmpty()
@@ -324,7 +328,8 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     found = repeated_spans(docs, min_words)[1].select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_digest().alias("_t"))
-    joined = rows.join(found, ["_doc", "_t"], "left").select("row", F.col("row.text").cast("string").alias("text"), "spans")
+    met, apart = parted(rows, found)
+    joined = met.join(found, ["_doc", "_t"], "left").select("row", F.col("row.text").cast("string").alias("text"), "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         new, gone = [], []
@@ -336,7 +341,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array(gone)], ["row", "text", "gone"])
 
     schema = joined.select("row", "text", F.lit(False).alias("gone")).schema
-    kept = map_text(joined, run, schema).where("NOT gone")
+    kept = map_text(joined, run, schema).where("NOT gone").select("row", "text").unionByName(apart.select("row", F.col("row.text").cast("string").alias("text")))
     known = F.col("row.text").isNotNull()
     new = {"text": F.when(known, F.col("text"))}
     if "n_chars" in docs.columns:
