@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -54,6 +54,18 @@ def chunk(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return rows.withColumn("chunk_id", F.format_string("%s_chunk_%03d", "doc_id", "chunk_index"))
 
 
+@F.udtf(returnType="chunk_index int, content string")
+class ChunkRows:
+    """``chunk`` as a table function for SQL: chunk_rows(doc_id, content_type, content)."""
+
+    def eval(self, doc_id: str, kind: str, text: str):
+        yield from enumerate(chunks_of(doc_id or "", kind or "guide", text or ""))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    spark.udtf.register("chunk_rows", ChunkRows)
+
+
 def sentence_chunks(docs: DataFrame, window: int = 3) -> DataFrame:
     """One row a sentence with its window [window_start, window_end); questions with answers stay whole."""
     parts = docs.where(~F.contains("doc_id", F.lit("faq_full_page"))).withColumn("_parts", _sentences("content_type", "content")).drop("content")

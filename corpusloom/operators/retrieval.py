@@ -481,3 +481,21 @@ def retrieve(name: str, corpus: Corpus, queries: DataFrame, k: int = 5, strict:
 def compare(names: list[str], corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
     """retriever, query_id, id, rank of each of the named retrievers that return ids: one corpus, its statistics counted once."""
     return reduce(DataFrame.unionByName, [retrieve(n, corpus, queries, k, strict=True).select(F.lit(n).alias("retriever"), "query_id", "id", "rank") for n in names])
+
+
+def results(name: str, corpus: Corpus, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, chunk_id (string), content, score of any retriever: merged documents with their texts, sentences with their windows' texts, all else with the text of its id."""
+    found = retrieve(name, corpus, queries, k, strict=True)
+    score = F.col("score" if "score" in found.columns else "distance").alias("score")
+    if "expanded" in found.columns:
+        return found.select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), F.col("expanded").alias("content"), score)
+    if "chunk_id" in found.columns:
+        return found.select("query_id", "rank", "chunk_id", "content", score)
+    return found.join(corpus.docs.select("id", "content"), "id").select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), "content", score)
+
+
+def register(name: str, retriever: Retriever, backend: str = "custom") -> None:
+    """Add a retriever to a backend's registry; a name that is taken raises."""
+    if name in BACKENDS[backend]:
+        raise ValueError(f"there is a retriever of that name: {name}")
+    BACKENDS[backend][name] = retriever

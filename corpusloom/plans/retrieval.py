@@ -287,6 +287,13 @@ def retriever_metrics(spark, sf_dir):
     return reduce(DataFrame.unionByName, each)
 
 
+@query(f"""
+WITH {_VECTOR}, {_BM25}, {_hybrid(K)} SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(id AS VARCHAR) AS chunk_id, md5(text) AS content, round(score, 6) AS score FROM hy JOIN documents ON doc_id = id""")
+def result_lists(spark, sf_dir):
+    found = R.results("hybrid", R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _chunks(spark, sf_dir)), _queries(spark, sf_dir), K)
+    return found.withColumns({"content": F.md5("content"), "score": F.round("score", 6)})
+
+
 @query(f"""
 WITH {_VECTOR}, {_BM25}, {_hybrid(K)}, al AS (SELECT 'vector' AS retriever, query_id, id FROM vr WHERE rank <= {K} UNION ALL SELECT 'bm25', query_id, id FROM br WHERE rank <= {K}),
 n AS (SELECT query_id, count(*) AS n FROM hy GROUP BY 1), s AS (SELECT retriever, query_id, count(*) AS shared FROM al JOIN hy USING (query_id, id) GROUP BY 1, 2)

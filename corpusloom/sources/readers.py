@@ -15,8 +15,8 @@ BOUNDARY = "\n<<<SAMPLE_BOUNDARY>>>\n"
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a file."""
-    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    """One JSON object a file; corpus_file, the file's name, gives the order of the corpus."""
+    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("corpus_file", F.col("_metadata.file_name"))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -139,3 +139,47 @@ def test_report_has_a_bound(spark, monkeypatch):
     assert serving.report(spark.range(2), "T").count("\n") == 5
     with pytest.raises(ValueError):
         serving.report(spark.range(3), "T")
+
+
+def test_results_of_all_kinds_and_registering(spark):
+    rows = [(1, 7, 0, "Heat is off.", 0, 2), (2, 7, 1, "Rent is due.", 0, 2), (3, 8, 0, "Mold is here.", 0, 1)]
+    texts = spark.createDataFrame(rows, "id long, doc long, idx int, content string, window_start int, window_end int")
+    corpus = retrieval.Corpus(texts.select("id", serving.hashed_bag("content").alias("embedding")), texts, texts, texts)
+    q = spark.createDataFrame([(5, "heat is off")], "query_id long, content string").withColumn("embedding", serving.hashed_bag("content"))
+    top = {n: retrieval.results(n, corpus, q, 2).where("rank = 1").first() for n in ("bm25", "vector", "auto_merge", "sentence_window")}
+    assert (top["bm25"].chunk_id, top["bm25"].content) == ("1", "Heat is off.") and top["vector"].chunk_id == "1"
+    assert top["auto_merge"].chunk_id == "7_merged" and top["auto_merge"].content == "Heat is off.\n\nRent is due."
+    assert top["sentence_window"].content == "Heat is off. Rent is due."
+    corpus.release()
+    retrieval.register("own", lambda c, q, k: retrieval.retrieve("bm25", c, q, k))
+    try:
+        assert retrieval.results("own", corpus, q, 1).first().chunk_id == "1"
+        with pytest.raises(ValueError):
+            retrieval.register("own", None)
+    finally:
+        retrieval.RETRIEVERS.pop("own")
+    corpus.release()
+
+
+def test_chunks_as_a_table_function(spark):
+    text = "\n\n".join(f"Part {i}. " + "words go on. " * 120 for i in range(5))
+    docs = spark.createDataFrame([("a", "guide", text), ("b", "faq", "short")], "doc_id string, content_type string, content string")
+    chunk.register_table_functions(spark)
+    found = spark.sql("SELECT d.doc_id, c.chunk_index, c.content FROM {docs} d, LATERAL chunk_rows(d.doc_id, d.content_type, d.content) c", docs=docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, chunk.chunk(docs).select("doc_id", "chunk_index", "content").collect()))
+
+
+def test_model_scorer_loads_once_a_task(spark):
+    def load():
+        return lambda pairs: [float(len(a) + len(b)) for a, b in pairs]
+
+    rows = spark.createDataFrame([("ab", "c"), (None, "xyz")], "a string, b string").coalesce(1)
+    assert [r.s for r in rows.select(serving.model_scorer(load)(F.col("a"), F.col("b")).alias("s")).collect()] == [3.0, 3.0]
+
+
+def test_runs_and_valid_scores(spark):
+    made = evaluate.runs(3, lambda i: spark.createDataFrame([("q", i / 10, 0.5)], "question_id string, retrieval_coverage double, generation_correctness double"))
+    row = evaluate.question_runs(made).first()
+    assert (row.runs, row.retrieval_mean, row.retrieval_std, row.generation_std, row.unstable) == (3, 0.1, 0.1, 0.0, False)
+    scores = spark.createDataFrame([(-1.0,), (0.0,), (1.0,)], "s double").select(evaluate.valid(F.col("s")).alias("s"))
+    assert [r.s for r in scores.collect()] == [None, 0.0, 1.0]
