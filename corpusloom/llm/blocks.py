@@ -27,7 +27,7 @@ def binomial_bound(n: int, p: float, miss: float) -> int:
     """The least number of n events of chance p each that is exceeded with a chance of at most ``miss``."""
     below = 0.0
     for k in range(n + 1):
-        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
         if 1 - below <= miss:
             return k
     return n

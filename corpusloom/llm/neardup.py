@@ -3,8 +3,8 @@
 Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in at most about 15 % of the bits of
 a SimHash: too many for the whole blocks of 64 bits to agree. So a fingerprint here has as many bits as it takes. It is cut
 into blocks; two fingerprints that differ in fewer bits than there are blocks surely share one, and a pair at the threshold
-shares none with a chance of at most MISS. Documents join on blocks, the Hamming distance of SKETCH further bits is verified (it puts
-aside a pair at the threshold with a chance of at most SKETCH_MISS), and the shingle sets of what is left decide exactly. A block's bits grow with the logarithm
+shares none with a chance of at most MISS. Documents join on blocks, the Hamming distance is verified, first of SKETCH further bits, which
+travel along, then of the whole fingerprints (each puts aside a pair at the threshold with a chance of at most SKETCH_MISS), and the shingle sets of what is left decide exactly. A block's bits grow with the logarithm
 of the documents, so buckets keep their size. Documents of equal shingle sets are one point. Points of a bucket that are close to
 one another are not paired: groups of them are compared all by all, as blocks by blocks, of which only a spanning forest
 is given back. Components come from the distributed contraction.
@@ -67,6 +67,18 @@ def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float)
     return shared >= threshold * (a + b - shared) - 1e-9
 
 
+def _close(bound: int):
+    """Of pairs with their fingerprints (a, b, x, y), those that differ in at most ``bound`` bits of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= bound))
+
+    return run
+
+
 def _verified(threshold: float):
     """Of pairs with their shingle sets (a, b, x, y), those at the threshold or above."""
 
@@ -152,7 +164,9 @@ def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tu
     groups = connected_components(scratch, near.where("dense").select("a", "b"))
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     pairs = near.where("NOT dense").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_part IS NULL OR b_part IS NULL OR a_part <> b_part").select("a", "b")
-    pairs = scratch.store(pairs, "pairs")
+    prints = points.select("node", "fp")
+    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+    pairs = scratch.store(both.select("a", "b", "x", "y").mapInArrow(_close(binomial_bound(64 * words, apart(threshold), SKETCH_MISS)), "a long, b long"), "pairs")
 
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     wanted = scratch.store(points.join(met, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.t").alias("_t")), "wanted")

@@ -74,6 +74,10 @@ def test_pairs_at_the_threshold_share_a_block():
     for docs in (1, 10**5, 10**7, 10**10):
         bits, tables = neardup.plan_for(docs)
         assert (1 - (1 - neardup.apart(0.8)) ** bits) ** tables <= neardup.MISS * 1.001
+    for n in (128, 1280, 40_000):
+        k, p = blocks.binomial_bound(n, 0.15, 1e-6), 0.15
+        mean, deviation = n * p, (n * p * (1 - p)) ** 0.5
+        assert mean + 4 * deviation < k < mean + 6 * deviation
     r = np.random.default_rng(5)
     for n in (9, 45, 450):
         share = []
