@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 from typing import Protocol
 
 CHUNK_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN, LEAST_CHARS = 800, 200, 4, 50
@@ -39,12 +39,16 @@ class _Encoded:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ids = lru_cache(64)(self._ids)  # a piece is asked for when it is split, and again when the next one repeats its end
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def count(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return len(self.ids(text))
 
     def tail(self, text: str, n: int) -> str:
-        return self.tokenizer.decode(self.tokenizer.encode(text, add_special_tokens=False).ids[-n:], skip_special_tokens=False)
+        return self.tokenizer.decode(self.ids(text)[-n:], skip_special_tokens=False)
 
 
 ESTIMATE: Tokens = _Estimate()
