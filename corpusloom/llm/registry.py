@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.alignment import op13_token_alignment
 from corpusloom.llm.bpe import op4_bpe_roundtrip
+from corpusloom.llm.collocations import OP11_SQL, op11_collocations
 from corpusloom.llm.common import table
 from corpusloom.llm.embeddings import op10_embedding_dedup
 from corpusloom.llm.importance import op9_quality_classifier
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
+from corpusloom.llm.nearest import OP12_SQL, op12_nearest_neighbours
 from corpusloom.llm.packing import op5_bestfit_packing
 from corpusloom.llm.quality import op1_quality_rules
 from corpusloom.llm.simhash import op2_simhash_dedup
@@ -40,8 +43,13 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": over_documents(op8_line_dedup),
     "op9_quality_classifier": over_documents_and_labels(op9_quality_classifier),
     "op10_embedding_dedup": lambda spark, sf_dir: op10_embedding_dedup(table(spark, sf_dir, "embeddings")),
+    "op11_collocations": over_documents(op11_collocations),
+    "op12_nearest_neighbours": lambda spark, sf_dir: op12_nearest_neighbours(table(spark, sf_dir, "embeddings")),
+    "op13_token_alignment": over_documents(op13_token_alignment),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_nearest_neighbours": OP12_SQL,
 }
