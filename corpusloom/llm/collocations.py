@@ -72,7 +72,7 @@ class Bitmaps:
         return self.name[first], np.add.reduceat(np.bitwise_count(self.bits).astype(np.int64), first)
 
     def shifted(self) -> Bitmaps:
-        """Each position moved on by one; what leaves a block by its last bit enters the next block."""
+        """Each position moved on by one; what leaves a block by its last bit enters the next block, which may come twice then."""
         carried = self.bits >> np.uint64(63)
         over = np.flatnonzero(carried)
         name, block, bits = (np.concatenate(x) for x in ((self.name, self.name[over]), (self.block, self.block[over] + 1), (self.bits << np.uint64(1), carried[over])))
@@ -336,7 +336,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GRAMS = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS phrase, {n} AS n FROM p" for n in range(1, LONGEST + 1))
 OP11_SQL = rf"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM t),
 f AS MATERIALIZED (SELECT lang, phrase, n, count(*) AS f FROM ({_GRAMS}) GROUP BY 1, 2, 3 HAVING n = 1 OR count(*) >= {LEAST}),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE n = 1 GROUP BY 1),
