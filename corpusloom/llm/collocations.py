@@ -1,7 +1,7 @@
 """Phrases whose words stand together, by position bitmaps.
 
 The texts of a language, words end to end with a gap wherever a piece ends, make shards. A shard has a bitmap of
-positions for each of its words, compressed to the blocks of 64 positions that hold any. Shifted by one
+positions for each of its words, compressed to the bytes of eight positions that hold any. Shifted by one
 position and joined with another word's bitmap by AND, a bitmap becomes that of the longer phrase's ends; its bits are the
 phrase's occurrences. Extension goes depth-first: phrases of some first words are followed to their full length before the next.
 Popcounts add up over the shards.
@@ -28,7 +28,7 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A longer phrase with at least this share, in per cent, of a phrase's occurrences stands for it.
 SHARE = 80
 #: Positions from which a shard is closed, pairs of blocks joined at a time, bits of a filter.
-POSITIONS, JOINED, BITS = 1 << 18, 1 << 21, 1 << 27
+POSITIONS, JOINED, BITS = 1 << 18, 1 << 19, 1 << 27
 _BUCKET = 1 << 15  # bits of a part of Spark's bitmaps
 
 _GAP, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -56,9 +56,9 @@ class Bitmaps:
     @classmethod
     def of(cls, name: np.ndarray, position: np.ndarray) -> Bitmaps:
         """name, position: sorted by name, then position."""
-        block = position >> 6
+        block = position >> 3
         first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (block[1:] != block[:-1]))) if len(name) else np.zeros(0, np.int64)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (position & 63).astype(np.uint64), first) if len(name) else np.zeros(0, np.uint64)
+        bits = np.bitwise_or.reduceat(np.uint8(1) << (position & 7).astype(np.uint8), first) if len(name) else np.zeros(0, np.uint8)
         return cls(name[first], block[first], bits)
 
     def take(self, kept: np.ndarray) -> Bitmaps:
@@ -73,9 +73,9 @@ class Bitmaps:
 
     def shifted(self) -> Bitmaps:
         """Each position moved on by one; what leaves a block by its last bit enters the next block, which may come twice then."""
-        carried = self.bits >> np.uint64(63)
+        carried = self.bits >> np.uint8(7)
         over = np.flatnonzero(carried)
-        name, block, bits = (np.concatenate(x) for x in ((self.name, self.name[over]), (self.block, self.block[over] + 1), (self.bits << np.uint64(1), carried[over])))
+        name, block, bits = (np.concatenate(x) for x in ((self.name, self.name[over]), (self.block, self.block[over] + 1), (self.bits << np.uint8(1), carried[over])))
         order = sorted_by(name, block) if len(over) else slice(None)
         return Bitmaps(name[order], block[order], bits[order]).take(bits[order] != 0)
 
@@ -107,7 +107,7 @@ def together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
     order = sorted_by(first, last, block)
     first, last, block, bits = (x[order] for x in (first, last, block, bits))
     new = np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])) if len(first) else np.zeros(0, bool)
-    return Bitmaps(np.cumsum(new) - 1, block, bits.astype(np.uint64)), first[new], last[new]
+    return Bitmaps(np.cumsum(new) - 1, block, bits.astype(np.uint8)), first[new], last[new]
 
 
 def extended(left: Bitmaps, right: Bitmaps, last: np.ndarray | None = None, first: np.ndarray | None = None) -> tuple[Bitmaps, np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ class Shard:
         bitmaps = bitmaps.take(kept[bitmaps.name])
         starts = np.searchsorted(bitmaps.name, np.arange(len(first) + 1))
         roots = np.flatnonzero(kept)
-        step = max(1, len(roots) * JOINED // max(1, 16 * len(bitmaps.name)))
+        step = max(1, len(roots) * JOINED // max(1, 4 * len(bitmaps.name)))
         for i in range(0, len(roots), step):
             own = roots[i : i + step]
             grown = bitmaps.take(np.arange(starts[own[0]], starts[own[-1] + 1]))
@@ -203,7 +203,7 @@ def shard_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, Bitmaps]:
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return [], none, Bitmaps(none, none, none.astype(np.uint64))
+        return [], none, Bitmaps(none, none, none.astype(np.uint8))
     ended = np.cumsum(gap)[starts]  # gaps before each word
     position = np.arange(len(starts)) + np.cumsum(np.append(0, ended[1:] != ended[:-1]))
     first, name = distinct(*exact_keys(data, starts, ends, {}))
@@ -216,15 +216,16 @@ def shard_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, Bitmaps]:
 _SHARD = "lang string, words array<string>, counts array<long>, blocks array<int>, places binary, bits binary"
 #: Bytes of text that make a shard of about POSITIONS words, and that a task holds back at most before it closes the largest.
 _TEXT, _HELD = POSITIONS * 6, POSITIONS * 256
+_ROW_GROUP = 8 << 20  # bytes of a row group of stored shards, which a reader holds whole
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """A row for each shard: lang, words, counts, blocks (how many each word has), places (int32) and bits (uint64) of the blocks."""
+    """A row for each shard: lang, words, counts, blocks (how many each word has), places (int32) and bits (a byte) of the blocks."""
 
     def made(lang: str, texts: list[bytes]) -> pa.RecordBatch:
         words, counts, bitmaps = shard_of(texts)
         columns = [pa.array([lang]), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([np.bincount(bitmaps.name, minlength=len(words))], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([bitmaps.block.astype("<i4").tobytes()]), pa.array([bitmaps.bits.astype("<u8").tobytes()])], [x.split()[0] for x in _SHARD.split(", ")])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([bitmaps.block.astype("<i4").tobytes()]), pa.array([bitmaps.bits.tobytes()])], [x.split()[0] for x in _SHARD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -247,7 +248,7 @@ def shards(docs: DataFrame) -> DataFrame:
 
 def _read(batch: pa.RecordBatch, i: int) -> Shard:
     words, hashes, blocks = (batch.column(c)[i].values for c in (1, 2, 3))
-    places, bits = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((4, "<i4"), (5, "<u8")))
+    places, bits = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((4, "<i4"), (5, "u1")))
     return Shard(words, hashes.to_numpy(), Bitmaps(np.repeat(np.arange(len(words)), blocks.to_numpy()), places.astype(np.int64), bits))
 
 
@@ -271,7 +272,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     """(phrases, totals): lang, phrase, n (words), f of all phrases of up to ``longest`` words that occur ``least`` times or more, and lang, total: all word occurrences."""
     scratch = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession
-    stored = scratch.store(shards(docs), "shards")
+    stored = scratch.store(shards(docs), "shards", **{"parquet.block.size": _ROW_GROUP})
     each = stored.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("f"))
     words = scratch.store(each, "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("total"))

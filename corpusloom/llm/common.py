@@ -60,9 +60,9 @@ class Scratch:
         ship_package(spark)
         atexit.register(self.clear)  # the gateway to the JVM closes after what was registered later
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, **options: str | int) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep.append(out)

@@ -97,7 +97,7 @@ def test_shifted_bitmaps_cross_blocks():
     position = np.array([0, 62, 63, 64, 127, 128])
     bitmaps = collocations.Bitmaps.of(np.zeros(6, np.int64), position)
     moved = bitmaps.shifted()
-    found = [int(b) * 64 + i for b, bits in zip(moved.block, moved.bits.tolist(), strict=True) for i in range(64) if bits >> i & 1]
+    found = [int(b) * 8 + i for b, bits in zip(moved.block, moved.bits.tolist(), strict=True) for i in range(8) if bits >> i & 1]
     assert sorted(found) == [1, 63, 64, 65, 128, 129]
 
 
