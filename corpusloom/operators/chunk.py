@@ -9,26 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from corpusloom.functions.chunking import ESTIMATE, chunks_of, encoded, sentences
+from corpusloom.functions import splitting
+from corpusloom.functions.chunking import chunks_of, encoded
 from corpusloom.functions.stem import stem
 
 _STRINGS = ArrayType(StringType())
 
 
-def _chunks(tokenizer: str | None):
+def _chunks(tokenizer: str):
     @F.pandas_udf(_STRINGS)
     def run(doc_id: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Series:
-        tokens = encoded(tokenizer) if tokenizer else ESTIMATE
+        tokens = encoded(tokenizer)
         return pd.Series([chunks_of(d or "", k or "guide", t or "", tokens) for d, k, t in zip(doc_id, kind, text, strict=True)])
 
     return run
 
 
-@F.pandas_udf(_STRINGS)
-def _sentences(kind: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([[t or ""] if k == "faq" else sentences(t or "") for k, t in zip(kind, text, strict=True)])
-
-
 @F.pandas_udf(StringType())
 def stemmed(term: pd.Series) -> pd.Series:
     """Apply to distinct terms, then join; not to every token."""
@@ -44,13 +40,24 @@ def stemmed_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [stem(w) for w in _TOKENS.findall((t or "").lower())])
 
 
+def _exploded(parts: DataFrame, total: str, index: str) -> DataFrame:
+    """A row for each of _parts. Counted before, so that rows do not carry the array; an outer explode, as Spark would filter an inner one's input by evaluating the array's expression once more."""
+    rows = parts.withColumn(total, F.size("_parts")).select("*", F.posexplode_outer("_parts").alias(index, "content"))
+    return rows.where(F.col(index).isNotNull()).drop("_parts").select(*[c for c in parts.columns if c != "_parts"], index, "content", total)
+
+
 def chunk(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """docs: doc_id (string), content_type, content and further columns, which come along.
 
-    ``tokenizer`` is the path of a tokenizer's JSON file, on every worker, whose tokens are counted; without one they are estimated.
+    ``tokenizer`` is the path of a tokenizer's JSON file, on every worker, whose tokens are counted; without one they are estimated and all stays in the JVM.
     """
-    parts = docs.withColumn("_parts", _chunks(tokenizer)("doc_id", "content_type", "content")).drop("content")
-    rows = parts.select("*", F.posexplode("_parts").alias("chunk_index", "content")).withColumn("total_chunks", F.size("_parts")).drop("_parts")
+    if tokenizer:
+        parts = docs.withColumn("_parts", _chunks(tokenizer)("doc_id", "content_type", "content")).drop("content")
+    else:
+        doc, kind, text = (F.coalesce(F.col(c), F.lit(other)) for c, other in (("doc_id", ""), ("content_type", "guide"), ("content", "")))
+        pieces = docs.withColumn("_pieces", splitting.pieces_of(doc, kind, text))
+        parts = pieces.withColumn("_parts", splitting.chunks_of(doc, text, F.col("_pieces"))).drop("content", "_pieces")
+    rows = _exploded(parts, "total_chunks", "chunk_index")
     return rows.withColumn("chunk_id", F.format_string("%s_chunk_%03d", "doc_id", "chunk_index"))
 
 
@@ -68,8 +75,10 @@ def register_table_functions(spark: SparkSession) -> None:
 
 def sentence_chunks(docs: DataFrame, window: int = 3) -> DataFrame:
     """One row a sentence with its window [window_start, window_end); questions with answers stay whole."""
-    parts = docs.where(~F.contains("doc_id", F.lit("faq_full_page"))).withColumn("_parts", _sentences("content_type", "content")).drop("content")
-    rows = parts.select("*", F.posexplode("_parts").alias("sentence_index", "content")).withColumn("total_sentences", F.size("_parts")).drop("_parts")
+    split = splitting.with_sentences(docs.where(~F.contains("doc_id", F.lit("faq_full_page"))), "content", "_found")
+    whole = F.array(F.coalesce("content", F.lit("")))
+    parts = split.withColumn("_parts", F.when(F.col("content_type") == "faq", whole).otherwise(F.col("_found"))).drop("content", "_found")
+    rows = _exploded(parts, "total_sentences", "sentence_index")
     i, n = F.col("sentence_index"), F.col("total_sentences")
     return rows.withColumns({"chunk_id": F.format_string("%s_sent_%04d", "doc_id", "sentence_index"), "window_start": F.greatest(F.lit(0), i - window), "window_end": F.least(n, i + window + 1)})
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.functions import splitting
 from corpusloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +49,15 @@ def lines_sql(x: str) -> str:
 
 def tokens_sql(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+
+
+def sentences_sql(rows: str) -> str:
+    """Common tables up to se (doc_id, s): the sentences of ``rows``, a SELECT of doc_id and text."""
+    blank, unended = f"[{splitting.SPACE}]", splitting.UNENDED.replace(r"\z", "").replace("'", "''")
+    strip = lambda x: f"regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g')"
+    return rf"""
+sp AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g') AS t FROM ({rows})),
+sq AS (SELECT *, string_split(regexp_replace(t, '([.!?]{blank}+)({splitting.CAPITAL.replace("'", "''")})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM sp),
+sr AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: i = len(p) OR NOT regexp_matches(p[i], '(?:{unended})\.*\n?[.!?]{blank}+\z')) AS e FROM sq),
+ss AS (SELECT *, list_filter(list_transform(e, lambda x, i: {strip("array_to_string(p[(CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END) + 1:x], '')")}), lambda x: x <> '') AS f, list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS r FROM sr),
+se AS (SELECT doc_id, CASE WHEN len(f) <= 1 AND length(t) > {splitting.LONG_LINE} AND len(r) > 1 THEN r ELSE f END AS s FROM ss)"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import splitting
 from corpusloom.operators import chunk as K
 from corpusloom.operators import pages as P
-from corpusloom.plans.base import query, table
+from corpusloom.plans.base import query, sentences_sql, table
 from corpusloom.streaming import events as S
 
 
@@ -141,7 +142,33 @@ def replace_by_key(spark, sf_dir):
     return P.replace_by_key(docs, docs.where("doc_id % 3 = 0").withColumn("source", F.concat("source", F.lit("+"))), "doc_id")
 
 
-@query()
+_BLANK = rf"[{splitting.SPACE}]"
+_STRIPPED = lambda x: rf"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_LONG = splitting.CHUNK_TOKENS * splitting.CHARS_PER_TOKEN
+
+
+def _level(i: int, separator: str) -> str:
+    """One separator of the recursive split: l{i - 1} to l{i}."""
+    sep = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+    parts = f"list_filter(list_transform(string_split(x, {sep}), lambda y, j: CASE WHEN j = 1 THEN y ELSE {sep} || y END), lambda y: regexp_matches(y, '[^{splitting.SPACE}]'))"
+    return f"l{i} AS (SELECT * REPLACE (flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {_LONG} OR NOT contains(x, {sep}) THEN [x] ELSE {parts} END)) AS p) FROM l{i - 1})"
+
+
+_LEVELS = ",\n".join(_level(i, x) for i, x in enumerate(splitting.SEPARATORS, 1))
+_STATUTE = splitting.STATUTE_PART.replace("'", "''")
+_TAIL = splitting.OVERLAP_TOKENS * splitting.CHARS_PER_TOKEN
+
+
+@query(rf"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 3 WHEN 0 THEN 'faq' WHEN 1 THEN 'statute' ELSE 'guide' END AS content_type, coalesce(text, '') AS t FROM documents),
+l0 AS (SELECT *, CASE WHEN content_type = 'statute' THEN list_filter(string_split(regexp_replace(t, '({_STATUTE})', chr(1) || '\1', 'gi'), chr(1)), lambda x: x <> '') ELSE [t] END AS p FROM d WHERE content_type = 'statute' OR length(t) > CASE content_type WHEN 'faq' THEN {2 * _LONG} ELSE {_LONG} END),
+{_LEVELS},
+c AS (SELECT doc_id, content_type, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {_LONG} THEN [x] ELSE list_transform(range(0, length(x), {_LONG}), lambda i: substring(x, i + 1, {_LONG})) END)) AS p FROM l{len(splitting.SEPARATORS)}),
+o AS (SELECT *, list_transform(p, lambda x: CASE WHEN length(x) <= {_TAIL} THEN '' WHEN regexp_matches(right(x, {_TAIL}), '\n\n') THEN regexp_extract(right(x, {_TAIL}), '(?s)^.*?\n\n+(.*)$', 1) WHEN regexp_matches(right(x, {_TAIL}), '[.!?]{_BLANK}') THEN regexp_extract(right(x, {_TAIL}), '(?s)^.*?[.!?]{_BLANK}+(.*)$', 1) ELSE right(x, {_TAIL}) END) AS led FROM c),
+k AS (SELECT doc_id, content_type, list_filter(list_transform(p, lambda x, i: {_STRIPPED("CASE WHEN i = 1 THEN x ELSE led[i - 1] || x END")}), lambda x: length(x) >= {splitting.LEAST_CHARS}) AS k FROM o
+  UNION ALL SELECT doc_id, content_type, [t] FROM d WHERE content_type <> 'statute' AND length(t) <= CASE content_type WHEN 'faq' THEN {2 * _LONG} ELSE {_LONG} END),
+e AS (SELECT doc_id, content_type, len(k) AS total_chunks, unnest(k) AS content, unnest(range(len(k))) AS chunk_index FROM k)
+SELECT doc_id, content_type, CAST(chunk_index AS INTEGER) AS chunk_index, content, CAST(total_chunks AS INTEGER) AS total_chunks, format('{{}}_chunk_{{:03d}}', doc_id, chunk_index) AS chunk_id FROM e""")
 def chunk_recursive(spark, sf_dir):
     k = F.col("doc_id") % 3
     kind = F.when(k == 0, "faq").when(k == 1, "statute").otherwise("guide")
@@ -158,7 +185,10 @@ def chunk_by_tokenizer(spark, sf_dir):
     return K.chunk(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query()
+@query(f"""
+WITH {sentences_sql("SELECT doc_id, text FROM documents")},
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS content, unnest(range(len(s))) AS i FROM se)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'guide' AS content_type, CAST(i AS INTEGER) AS sentence_index, content, CAST(n AS INTEGER) AS total_sentences, format('{{}}_sent_{{:04d}}', doc_id, i) AS chunk_id, CAST(greatest(0, i - 3) AS INTEGER) AS window_start, CAST(least(n, i + 4) AS INTEGER) AS window_end FROM e""")
 def sentence_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
     return K.sentence_chunks(docs)
