@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOP_WORDS, containment, tokens
-from corpusloom.operators.serving import hashed_bag
+from corpusloom.operators.serving import DIMENSIONS, bags, hashed_bag, signed_buckets
 
 #: Queries that one pass over the vectors scores; more take more passes.
 QUERY_BLOCK = 1024
@@ -48,6 +47,11 @@ class _Best:
         self.k, self.values, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
 
     def add(self, values: np.ndarray, ids: np.ndarray) -> None:
+        if self.values.shape[1] == self.k and len(values):  # of columns that are beyond every query's k-th nothing is needed
+            near = (values <= self.values[:, -1:] + 1e-9).any(axis=0)
+            if not near.any():
+                return
+            values, ids = values[:, near], ids[near]
         v = np.concatenate([self.values, values], axis=1)
         i = np.concatenate([self.ids, np.broadcast_to(ids, values.shape)], axis=1)
         if v.shape[1] > 4 * self.k:  # no row beyond the k-th value can be among the k first
@@ -63,41 +67,61 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, n)), pa.array(self.ids.ravel()), pa.array(sign * self.values.ravel() + 0.0)], ["query_id", "id", name])
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def numbers(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of vectors of ``size`` finite numbers, none of them null, and which of the lists these are."""
+    values, offsets = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+    right = np.flatnonzero((np.diff(offsets) == size) & lists.is_valid().to_numpy(zero_copy_only=False))
+    x = values[offsets[right][:, None] + np.arange(size)[None, :]]
+    good = np.isfinite(x).all(axis=1)
+    return x[good], right[good]
+
+
+def bag_numbers(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``numbers`` of vectors that come as signed buckets."""
+    return bags(lists), np.arange(len(lists))
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, bagged: bool = False) -> DataFrame:
     """query_id, id, distance (1 - cosine, least first), rank. vectors: id, embedding; queries: query_id, embedding.
 
-    The queries' count is checked: they go out in blocks of QUERY_BLOCK, so memory stays bounded
+    A query is compared with the vectors of its length; vectors that are null or hold null or non-finite numbers take no part. ``bagged``: embeddings are
+    ``signed_buckets``. The queries' count is checked: they go out in blocks of QUERY_BLOCK, so memory stays bounded
     whatever their number, and every vector is compared.
     """
     spark = vectors.sparkSession
-    rows = queries.where("embedding is not null").orderBy("query_id").toLocalIterator()
+    read = bag_numbers if bagged else numbers
     out: DataFrame | None = None
 
-    def scored(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        held = spark.sparkContext.broadcast((ids, q))
+    def scored(ids: list[int], vecs: list[list[float]], size: int) -> DataFrame:
+        kind = pa.list_(pa.int32() if bagged else pa.float64())
+        q, good = read(pa.array(vecs, kind), size)
+        held = spark.sparkContext.broadcast((np.array(ids, np.int64)[good], _unit(q)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
             best = _Best(len(ids), k)
-            for b in batches:
-                b = b.filter(b.column(1).is_valid())
-                if b.num_rows:
-                    lists = b.column(1)
-                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                    best.add(1 - q @ _unit(x).T, b.column(0).to_numpy())
+            for batch in batches:
+                for at in range(0, batch.num_rows, DOC_BLOCK):
+                    b = batch.slice(at, DOC_BLOCK)
+                    x, rows = read(pa.concat_arrays([b.column(1)]), size)
+                    if len(x):
+                        best.add(1 - q @ _unit(x).T, b.column(0).to_numpy()[rows])
             yield best.batch(ids, "distance", 1.0)
 
-        return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, distance double")
-
-    block: list = []
-    for r in rows:
-        block.append((r["query_id"], r["embedding"]))
-        if len(block) == QUERY_BLOCK:
-            part, block = scored(np.array([x[0] for x in block], np.int64), _unit(np.array([x[1] for x in block], np.float64))), []
-            out = part if out is None else out.unionAll(part)
-    if block or out is None:
-        q = _unit(np.array([x[1] for x in block], np.float64)) if block else np.zeros((0, 1))
-        part = scored(np.array([x[0] for x in block], np.int64), q)
+        return vectors.select("id", "embedding").where("embedding is not null").mapInArrow(run, "query_id long, id long, distance double")
+
+    blocks: dict[int, tuple[list[int], list[list[float]]]] = {}
+    for r in queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        size = DIMENSIONS if bagged else len(r["embedding"])
+        ids, vecs = blocks.setdefault(size, ([], []))
+        ids.append(r["query_id"])
+        vecs.append(r["embedding"])
+        if sum(len(x) for x, _ in blocks.values()) == QUERY_BLOCK:
+            for n in list(blocks):
+                part = scored(*blocks.pop(n), n)
+                out = part if out is None else out.unionAll(part)
+    for size, (ids, vecs) in (blocks or ({} if out is not None else {1: ([], [])})).items():
+        part = scored(ids, vecs, size)
         out = part if out is None else out.unionAll(part)
     return ranked(out, k, F.round("distance", 9), F.col("id"))
 
@@ -153,7 +177,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, terms: Terms = tokens
     statistics of docs where they have been counted. Repeated query terms count each time. Documents are scanned once more, where
     they lie: each Arrow batch is a sparse matrix of
     term gains times the queries' matrix of weights, and each task sends on at most k rows a query, so no postings are
-    shuffled. Queries go out in blocks whose matrix has at most QUERY_CELLS cells, and weights are asked for block by block.
+    shuffled. Queries go out in blocks of at most QUERY_BLOCK whose matrix has at most QUERY_CELLS cells, and weights are asked for block by block.
     """
     spark = docs.sparkSession
     asked = queries.select("query_id", terms(F.coalesce("content", F.lit(""))).alias("terms"))
@@ -202,7 +226,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, terms: Terms = tokens
     for r in asked.orderBy("query_id").toLocalIterator():
         block.append((r["query_id"], Counter(r["terms"])))
         vocabulary |= set(r["terms"])
-        if len(block) * len(vocabulary) >= QUERY_CELLS:
+        if len(block) * len(vocabulary) >= QUERY_CELLS or len(block) == QUERY_BLOCK:
             part, block, vocabulary = scored(block, vocabulary), [], set()
             out = part if out is None else out.unionAll(part)
     if block or out is None:
@@ -258,28 +282,27 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, k: int, reach: int = 1
     hits: query_id, id, rank and the score; chunks: id, doc, idx. The first k hits come in order; a hit of a
     document with another hit brings the chunks up to ``reach`` before and after it, whose score is the hit's
     times ``factor``. What came already does not come again, and a hit that came as a neighbour brings none.
-    An equi-join on (doc, idx) finds the neighbours; the fold runs per query, over at most 2k hits.
+    An equi-join on (doc, idx) finds the neighbours; the fold is an ``aggregate`` over each query's list of at most k hits, in the JVM.
     """
-    named = hits.select("query_id", "id", "rank", F.col(score).alias("score")).join(chunks.select("id", "doc", "idx"), "id")
+    named = hits.select("query_id", "id", "rank", F.col(score).cast("double").alias("score")).join(chunks.select("id", "doc", "idx"), "id")
     w = Window.partitionBy("query_id", "doc")
     gated = named.withColumn("clustered", F.count("*").over(w) >= 2).where(F.col("rank") <= k)
     steps = gated.withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).where("step = 0 OR clustered")
     near = chunks.select("doc", "idx", F.col("id").alias("near"))
     rows = steps.withColumn("idx", F.col("idx") + F.col("step")).join(near, ["doc", "idx"]).select("query_id", "rank", "step", "id", "near", "score")
+    hit = rows.groupBy("query_id", "rank", "id").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.when(F.col("step") != 0, F.struct("step", "near")))).alias("near"))
+    lists = hit.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", F.transform("near", lambda x: x["near"]).alias("near")))).alias("hits"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[int, float] = {}
-        for (_, hit), group in pdf.groupby(["rank", "id"], sort=True):
-            if hit in seen:
-                continue
-            s = group["score"].iloc[0]
-            seen[hit] = s
-            for near in group.loc[group["step"] != 0].sort_values("step")["near"]:
-                if near not in seen:
-                    seen[near] = s * factor
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "id": list(seen), "score": list(seen.values()), "rank": range(1, len(seen) + 1)})
+    def step(seen: Column, h: Column) -> Column:
+        new = F.filter(F.array_distinct(h["near"]), lambda x: (x != h["id"]) & ~F.array_contains(seen["id"], x))
+        ids = F.concat(seen["id"], F.array(h["id"]), new)
+        scores = F.concat(seen["score"], F.array(h["score"]), F.transform(new, lambda _: h["score"] * factor))
+        return F.when(F.array_contains(seen["id"], h["id"]), seen).otherwise(F.struct(ids.alias("id"), scores.alias("score")))
 
-    return rows.groupBy("query_id").applyInPandas(fold, "query_id long, id long, score double, rank int")
+    none = F.struct(F.array().cast("array<bigint>").alias("id"), F.array().cast("array<double>").alias("score"))
+    folded = lists.select("query_id", F.aggregate("hits", none, step).alias("seen"))
+    found = folded.select("query_id", F.posexplode_outer(F.arrays_zip(F.col("seen.id").alias("id"), F.col("seen.score").alias("score"))).alias("at", "x"))
+    return found.select("query_id", "x.id", "x.score", (F.col("at") + 1).alias("rank"))
 
 
 def auto_merge(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, threshold: float = 0.4, scorer: Scorer = containment) -> DataFrame:
@@ -303,31 +326,22 @@ def auto_merge(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k:
 def merge_windows(hits: DataFrame, k: int) -> DataFrame:
     """query_id, id, doc, window_start, window_end, distance, rank. hits: query_id, id, doc, window_start, window_end, distance, rank.
 
-    In rank order, a hit whose window overlaps one already taken from its document widens the first such and brings
+    One ``aggregate`` a query. In rank order, a hit whose window overlaps one already taken from its document widens the first such and brings
     nothing of its own; it stops once k windows are taken, so later overlaps are not merged.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[dict] = []
-        ranges: dict[int, list[list[int]]] = {}
-        for r in pdf.sort_values("rank").itertuples():
-            own = ranges.setdefault(r.doc, [])
-            clash = next((x for x in own if r.window_start < x[1] and r.window_end > x[0]), None)
-            if clash is not None:
-                start = clash[0]
-                clash[:] = [min(clash[0], r.window_start), max(clash[1], r.window_end)]
-                for t in taken:
-                    if t["doc"] == r.doc and t["window_start"] == start:
-                        t["window_start"], t["window_end"] = clash
-                        break
-                continue
-            own.append([r.window_start, r.window_end])
-            taken.append({"query_id": r.query_id, "id": r.id, "doc": r.doc, "window_start": r.window_start, "window_end": r.window_end, "distance": r.distance, "rank": len(taken) + 1})
-            if len(taken) >= k:
-                break
-        return pd.DataFrame(taken)
-
-    return hits.groupBy("query_id").applyInPandas(fold, "query_id long, id long, doc long, window_start int, window_end int, distance double, rank int")
+    h = ["id", "doc", "window_start", "window_end", "distance"]
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *h))).alias("hits"))  # 2k rows a query
+
+    def step(taken: Column, hit: Column) -> Column:
+        clash = lambda t: (t["doc"] == hit["doc"]) & (hit["window_start"] < t["window_end"]) & (hit["window_end"] > t["window_start"])
+        first = F.array_position(F.transform(taken, clash), True) - 1
+        wider = lambda t: t.withField("window_start", F.least(t["window_start"], hit["window_start"])).withField("window_end", F.greatest(t["window_end"], hit["window_end"]))
+        merged = F.transform(taken, lambda t, i: F.when(i == first, wider(t)).otherwise(t))
+        return F.when(F.size(taken) >= k, taken).when(F.exists(taken, clash), merged).otherwise(F.concat(taken, F.array(hit)))
+
+    folded = lists.select("query_id", F.aggregate("hits", F.slice("hits", 1, 0), step).alias("taken"))
+    return folded.select("query_id", F.posexplode_outer("taken").alias("at", "x")).select("query_id", *[f"x.{c}" for c in h], (F.col("at") + 1).alias("rank"))
 
 
 def expand_windows(windows: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -356,8 +370,8 @@ def average_overlap(base: DataFrame, others: DataFrame) -> DataFrame:
 class Corpus:
     """What retrievers search. vectors: id, embedding; docs: id, content; chunks: id, doc, idx, content;
     sentences: id, doc, idx, content, window_start, window_end. embed: the model of the vectors, for texts that come
-    without one (other forms of a query, sentences). terms: how BM25 makes terms of texts. The statistics of
-    docs are counted at the first search that asks for them and serve all later ones, and so do kept sentences, until ``release``."""
+    without one (other forms of a query, sentences). terms: how BM25 makes terms of texts. sentences_in: the sentences of some documents (doc), where
+    sentences have ids by ``sentence_id``. The statistics of docs are counted at the first search that asks for them and serve all later ones, until ``release``."""
 
     vectors: DataFrame
     docs: DataFrame
@@ -365,14 +379,8 @@ class Corpus:
     sentences: DataFrame | None = None
     embed: Callable[[Column], Column] = hashed_bag
     terms: Terms = tokens
+    sentences_in: Callable[[DataFrame], DataFrame] | None = None
     _known: Statistics | None = None
-    _kept: DataFrame | None = None
-
-    def kept_sentences(self) -> DataFrame:
-        """The sentences, split once while Spark keeps them; it may evict them."""
-        if self._kept is None:
-            self._kept = self.sentences.persist()
-        return self._kept
 
     def known(self) -> Statistics:
         if self._known is None:
@@ -383,9 +391,6 @@ class Corpus:
         if self._known is not None:
             self._known.release()
             self._known = None
-        if self._kept is not None:
-            self._kept.unpersist()
-            self._kept = None
 
 
 Retriever = Callable[[Corpus, DataFrame, int], DataFrame]
@@ -407,12 +412,13 @@ def _hybrid(c: Corpus, q: DataFrame, k: int) -> DataFrame:
 
 
 def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = variants, base: Retriever = _reranked) -> DataFrame:
-    """Each query and its other forms, 2k results of the base retriever each, fused by reciprocal ranks. All forms are embedded anew."""
+    """Each query and its other forms, 2k results of the base retriever each, fused by reciprocal ranks. All forms are embedded anew. A query_id of 2**61 or more raises, as a form's number does not fit."""
     every = [F.col("content"), *forms(F.col("content"))]
     n = len(every)
     asked = reduce(DataFrame.unionByName, [queries.select((F.col("query_id") * n + i).alias("query_id"), f.alias("content")) for i, f in enumerate(every)])
     found = base(corpus, asked.withColumn("embedding", corpus.embed(F.col("content"))), 2 * k)
-    lists = found.select(F.floor(F.col("query_id") / n).alias("query_id"), (F.col("query_id") % n).cast("int").alias("list"), "id", "rank")
+    form = F.pmod(F.col("query_id"), F.lit(n))
+    lists = found.select(F.expr(f"(query_id - pmod(query_id, {n}L)) div {n}L").alias("query_id"), form.cast("int").alias("list"), "id", "rank")
     return reciprocal_rank_fusion(lists, k)
 
 
@@ -423,13 +429,15 @@ def sentence_id(doc: Column, idx: Column) -> Column:
 
 
 def sentence_window(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
-    """2k sentences by vector search, widened to their windows; windows that overlap become one."""
-    rows_of_batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", queries.sparkSession.conf
-    if conf.get(rows_of_batch) == "10000":  # Spark's default; whole texts are split into sentences
-        conf.set(rows_of_batch, "1000")
-    rows = corpus.kept_sentences()  # read three times
-    embedded = rows.select("id", corpus.embed(F.col("content")).alias("embedding"))
-    near = vector_topk(embedded, queries.select("query_id", corpus.embed(F.col("content")).alias("embedding")), 2 * k)
+    """2k sentences by vector search, widened to their windows; windows that overlap become one.
+
+    All sentences are embedded and searched in one pass. Where the corpus has ``sentences_in``, only documents with a hit are split again for the windows.
+    """
+    bagged = corpus.embed is hashed_bag  # hashed words go to the search as they are
+    embed = signed_buckets if bagged else corpus.embed
+    embedded = corpus.sentences.select("id", embed(F.col("content")).alias("embedding"))
+    near = vector_topk(embedded, queries.select("query_id", embed(F.col("content")).alias("embedding")), 2 * k, bagged).persist(StorageLevel.DISK_ONLY)  # 2k rows a query
+    rows = corpus.sentences if corpus.sentences_in is None else corpus.sentences_in(near.select(F.shiftright("id", 31).alias("doc")).distinct())
     hits = near.join(rows.select("id", "doc", "window_start", "window_end"), "id")
     return expand_windows(merge_windows(hits, k), rows)
 

@@ -12,32 +12,48 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from corpusloom.functions.text import chatml, containment, contains_any, rag_system, unfenced
+from corpusloom.functions.text import chatml, containment, contains_any, rag_system, tokens, unfenced
 
 # Words of posts about housing.
 HOUSING = ["landlord", "tenant", "rent", "lease", "evict", "deposit", "apartment", "housing", "repair", "mold", "bed bug", "heat", "utility", "notice", "move out", "security deposit"]
 DIMENSIONS = 64
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def hashed_bag(text: pd.Series) -> pd.Series:
-    """A unit vector of hashed words: the embedding where no model is given."""
-    import re
-    import zlib
+def signed_buckets(text: Column) -> Column:
+    """For each word of a text the bucket b of its hash, or -b - 1 where it counts as -1: a hashed bag before it is added up."""
 
-    def one(t: str | None) -> list[float]:
-        v = np.zeros(DIMENSIONS, np.float32)
-        for w in re.findall("[a-z0-9]+", (t or "").lower()):
-            h = zlib.crc32(w.encode())
-            v[h % DIMENSIONS] += 1 if h >> 31 else -1
-        n = float(np.sqrt((v * v).sum()))
-        return (v / n if n else v).tolist()
+    def bucket(word: Column) -> Column:
+        h = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long")
+        return F.when(h >= 1 << 31, h % DIMENSIONS).otherwise(-1 - h % DIMENSIONS).cast("int")
 
-    return text.map(one, na_action=None)
+    return F.transform(tokens(F.coalesce(text, F.lit(""))), bucket)
+
+
+def bags(words: pa.Array) -> np.ndarray:
+    """Vectors of whole numbers, one for each list of signed buckets."""
+    at, offsets = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+    at = at[offsets[0] : offsets[-1]].astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), np.diff(offsets))
+    sums = np.bincount(owner * DIMENSIONS + np.where(at < 0, -at - 1, at), np.where(at < 0, -1.0, 1.0), len(words) * DIMENSIONS)
+    return sums.reshape(len(words), DIMENSIONS)
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def _unit_bags(words: pa.Array) -> pa.Array:
+    v = bags(words)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    flat = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * DIMENSIONS), pa.array(flat))
+
+
+def hashed_bag(text: Column) -> Column:
+    """A unit vector of hashed words: the embedding where no model is given. Words are found and hashed in the JVM."""
+    return _unit_bags(signed_buckets(F.col(text) if isinstance(text, str) else text))
 
 
 EMBEDDERS: dict[str, Callable[[Column], Column]] = {"hashed_bag": hashed_bag}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions import splitting
+from corpusloom.operators.serving import DIMENSIONS
 from corpusloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +62,9 @@ sq AS (SELECT *, string_split(regexp_replace(t, '([.!?]{blank}+)({splitting.CAPI
 sr AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: i = len(p) OR NOT regexp_matches(p[i], '(?:{unended})\.*\n?[.!?]{blank}+\z')) AS e FROM sq),
 ss AS (SELECT *, list_filter(list_transform(e, lambda x, i: {strip("array_to_string(p[(CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END) + 1:x], '')")}), lambda x: x <> '') AS f, list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS r FROM sr),
 se AS (SELECT doc_id, CASE WHEN len(f) <= 1 AND length(t) > {splitting.LONG_LINE} AND len(r) > 1 THEN r ELSE f END AS s FROM ss)"""
+
+
+def bag_sql(x: str) -> str:
+    """The hashed bag of a text before it is scaled: numbers of words by bucket, those counting as -1 taken off."""
+    hashes = f"list_transform({tokens_sql(f'coalesce({x}, {chr(39) * 2})')}, lambda w: CAST(concat('0x', left(md5(w), 8)) AS BIGINT))"
+    return f"list_transform(range({DIMENSIONS}), lambda b: CAST(coalesce(list_sum(list_transform(list_filter({hashes}, lambda h: h % {DIMENSIONS} = b), lambda h: CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)), 0) AS DOUBLE))"

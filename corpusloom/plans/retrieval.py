@@ -11,7 +11,7 @@ from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.chunk import line_chunks, nodes, sentence_chunks, stemmed_tokens, window_text
 from corpusloom.operators.serving import context_of, index
-from corpusloom.plans.base import query, table, tokens_sql
+from corpusloom.plans.base import bag_sql, query, sentences_sql, table, tokens_sql
 from corpusloom.plans.evaluation import _COUNTS
 
 K = 5
@@ -117,10 +117,16 @@ def rerank_overlap(spark, sf_dir):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _sentence_rows(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text."""
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
+    return sentence_chunks(named).select(R.sentence_id(F.col("doc_id").cast("long"), F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
+
+
 def _corpus(spark, sf_dir) -> R.Corpus:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("guide").alias("content_type"), F.col("text").alias("content"))
-    rows = sentence_chunks(docs).select(R.sentence_id(F.col("doc_id").cast("long"), F.col("sentence_index")).alias("id"), F.col("doc_id").cast("long").alias("doc"), F.col("sentence_index").alias("idx"), "content", "window_start", "window_end")
-    return R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _chunks(spark, sf_dir), rows)
+    docs = table(spark, sf_dir, "documents")
+    some = lambda kept: _sentence_rows(docs.join(kept.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"))
+    return R.Corpus(_vectors(spark, sf_dir), _docs(spark, sf_dir), _chunks(spark, sf_dir), _sentence_rows(docs), sentences_in=some)
 
 
 @query()
@@ -211,9 +217,26 @@ def auto_merge(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.md5("content").alias("content"), F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+_CLASH = "t.doc = n.doc AND n.window_start < t.window_end AND n.window_end > t.window_start"
+
+
+@query(f"""
+WITH RECURSIVE {sentences_sql("SELECT doc_id, text FROM documents")},
+sn AS MATERIALIZED (SELECT doc_id AS doc, i AS idx, x AS content, greatest(0, i - 3) AS window_start, least(n, i + 4) AS window_end, {bag_sql('x')} AS v FROM (SELECT doc_id, len(s) AS n, unnest(s) AS x, unnest(range(len(s))) AS i FROM se)),
+qv AS MATERIALIZED (SELECT item_id AS query_id, {bag_sql('text')} AS v FROM benchmark),
+di AS (SELECT query_id, doc, idx, doc * 2147483648 + idx AS id, window_start, window_end, CASE WHEN list_sum(list_transform(q.v, lambda x: abs(x))) = 0 OR list_sum(list_transform(sn.v, lambda x: abs(x))) = 0 THEN 1.0 ELSE 1 - list_cosine_similarity(q.v, sn.v) END AS distance FROM qv q, sn),
+ra AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM di) WHERE rank <= {2 * K}),
+fo AS (SELECT query_id, CAST(0 AS BIGINT) AS r, list_filter([struct_pack(id := id, doc := doc, window_start := window_start, window_end := window_end, distance := distance)], lambda x: false) AS taken FROM ra WHERE rank = 1
+  UNION ALL SELECT f.query_id, f.r + 1, CASE WHEN len(f.taken) >= {K} THEN f.taken WHEN len(list_filter(f.taken, lambda t: {_CLASH})) > 0
+    THEN list_transform(f.taken, lambda t, i: CASE WHEN i = list_position(list_transform(f.taken, lambda t: {_CLASH}), true) THEN struct_pack(id := t.id, doc := t.doc, window_start := least(t.window_start, n.window_start), window_end := greatest(t.window_end, n.window_end), distance := t.distance) ELSE t END)
+    ELSE f.taken || [struct_pack(id := n.id, doc := n.doc, window_start := n.window_start, window_end := n.window_end, distance := n.distance)] END
+  FROM fo f JOIN ra n ON n.query_id = f.query_id AND n.rank = f.r + 1),
+wi AS (SELECT query_id, unnest(taken) AS t, unnest(range(1, len(taken) + 1)) AS rank FROM fo QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1)
+SELECT query_id, t.id AS id, CAST(t.window_start AS INTEGER) AS window_start, CAST(t.window_end AS INTEGER) AS window_end, round(t.distance, 6) AS distance, CAST(rank AS INTEGER) AS rank, md5(string_agg(content, ' ' ORDER BY idx)) AS expanded
+FROM wi JOIN sn ON sn.doc = t.doc AND idx >= t.window_start AND idx < t.window_end GROUP BY ALL""")
 def sentence_window(spark, sf_dir):
-    return R.retrieve("sentence_window", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    found = R.retrieve("sentence_window", _corpus(spark, sf_dir), _queries(spark, sf_dir), K)
+    return found.select("query_id", "id", "window_start", "window_end", F.round("distance", 6).alias("distance"), "rank", F.md5("expanded").alias("expanded"))
 
 
 @query(f"""

@@ -81,10 +81,16 @@ def engine_config(spark, sf_dir):
     return row.withColumns({"retrievers": F.size("retrievers"), "models": F.size("models")})
 
 
-@query()
+@query(f"""
+WITH h AS (SELECT doc_id, unnest(list_transform({tokens_sql("coalesce(text, '')")}, lambda w: CAST(concat('0x', left(md5(w), 8)) AS BIGINT))) AS h FROM documents),
+c AS (SELECT doc_id, h % {V.DIMENSIONS} AS b, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS n FROM h GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1),
+e AS (SELECT d.doc_id, b, CASE WHEN coalesce(norm, 0) > 0 THEN coalesce(c.n, 0) / norm ELSE 0 END AS x FROM documents d CROSS JOIN (SELECT unnest(range({V.DIMENSIONS})) AS b) LEFT JOIN c USING (doc_id, b) LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT doc_id, 'hashed_bag' AS model, string_agg(CAST(CAST(round(x * 10000) AS INTEGER) AS VARCHAR), ' ' ORDER BY b) AS embedding FROM e GROUP BY 1""")
 def embedded_index(spark, sf_dir):
-    """Documents with their stand-in embeddings."""
-    return V.index(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", "model", "embedding")
+    """Documents with their stand-in embeddings, in ten-thousandths."""
+    found = V.index(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
+    return found.select("doc_id", "model", F.array_join(F.transform("embedding", lambda x: F.round(x * 10000).cast("int").cast("string")), " ").alias("embedding"))
 
 
 @query("""
