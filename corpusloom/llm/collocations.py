@@ -6,7 +6,8 @@ position and joined with another word's bitmap by AND, a bitmap becomes that of
 phrase's occurrences. Extension goes depth-first: phrases of some first words are followed to their full length before the next.
 Popcounts add up over the shards.
 
-Words, and then pairs, that are too rare in the whole corpus begin no phrase. Which are frequent goes to the
+Words, and then pairs, that are too rare in the whole corpus begin no phrase. Pairs are first added up by cells of a hash, which is
+enough to tell most of the rare ones. What is frequent goes to the
 shards as a filter of a fixed number of bits: what it lets through by chance is counted like the rest and dropped by its exact count.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, as_bytes, trim
 from corpusloom.llm.pretokens import gather
-from corpusloom.llm.textkernel import LOWER, distinct, exact_keys
+from corpusloom.llm.textkernel import LOWER, distinct, exact_keys, mix
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A longer phrase with at least this share, in per cent, of a phrase's occurrences stands for it.
@@ -135,22 +136,23 @@ class Shard:
         single = self.bitmaps.take(kept[self.bitmaps.name])
         return extended(single, single)
 
-    def pair_counts(self, frequent: Filter) -> tuple[pa.Array, np.ndarray]:
+    def pair_cells(self, frequent: Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the pairs of frequent words, and counts."""
         bitmaps, first, last = self.pairs(frequent)
-        return self.phrases([first, last]), bitmaps.counts()[1]
+        return pair_cell(self.hashes[first], self.hashes[last]), bitmaps.counts()[1]
 
-    def longer_counts(self, frequent: Filter, pairs: Filter, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
-        """Phrases of three words and more, their counts, their words; those that begin with some pairs to the full length before the next."""
+    def phrase_counts(self, frequent: Filter, pairs: Filter, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+        """Phrases of two words and more, their counts, their words; those that begin with some pairs to the full length before the next."""
         bitmaps, first, last = self.pairs(frequent)
-        kept = pairs.has(pair_hash(self.hashes[first], self.hashes[last]))
+        kept = pairs.has(pair_cell(self.hashes[first], self.hashes[last]))
         bitmaps = bitmaps.take(kept[bitmaps.name])
-        starts = np.searchsorted(bitmaps.name, np.arange(len(first) + 1))
         roots = np.flatnonzero(kept)
+        starts = np.searchsorted(bitmaps.name, np.append(roots, len(first)))
         step = max(1, len(roots) * JOINED // max(1, 4 * len(bitmaps.name)))
         for i in range(0, len(roots), step):
-            own = roots[i : i + step]
-            grown = bitmaps.take(np.arange(starts[own[0]], starts[own[-1] + 1]))
-            names = [first, last]
+            grown = bitmaps.take(np.arange(starts[i], starts[min(i + step, len(roots))]))
+            own, names = roots[i : i + step], [first, last]
+            yield self.phrases([first[own], last[own]]), grown.counts()[1], 2
             for n in range(3, longest + 1):
                 grown, before, pair = extended(grown, bitmaps, names[-1], first)
                 if not len(grown.name):
@@ -159,13 +161,9 @@ class Shard:
                 yield self.phrases(names), grown.counts()[1], n
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of two words' hashes (int64)."""
-    return (((a << 17) | ((a >> 47) & 0x1FFFF)) ^ b).astype(np.int64)
-
-
-def _pair_hash(a, b):
-    return F.shiftleft(a, 17).bitwiseOR(F.shiftrightunsigned(a, 47)).bitwiseXOR(b)
+def pair_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cells, numbers of 32 bits, of pairs of words by their hashes."""
+    return (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
 class Filter:
@@ -216,6 +214,8 @@ def shard_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, Bitmaps]:
 _SHARD = "lang string, words array<string>, counts array<long>, blocks array<int>, places binary, bits binary"
 #: Bytes of text that make a shard of about POSITIONS words, and that a task holds back at most before it closes the largest.
 _TEXT, _HELD = POSITIONS * 6, POSITIONS * 256
+#: Bits of a part of the cells, at most 24, and cells that a task holds.
+_CELL_BITS, _MET = 20, 1 << 21
 _ROW_GROUP = 8 << 20  # bytes of a row group of stored shards, which a reader holds whole
 
 
@@ -264,8 +264,66 @@ def _counted(stored: DataFrame, make) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), phrases, pa.array(np.full(len(counts), n, np.int32)), pa.array(counts)], ["lang", "phrase", "n", "f"])
         trim()
 
-    rows = stored.select("lang", "words", F.transform("words", lambda w: F.xxhash64("lang", w)).alias("hashes"), "blocks", "places", "bits")
-    return rows.mapInArrow(run, "lang string, phrase string, n int, f long").groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
+    return _hashed(stored).mapInArrow(run, "lang string, phrase string, n int, f long").groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the cells: part, and the cells' distances and counts (at most 255 each), byte by byte of their numbers."""
+    cells, at = np.unique(cells, return_inverse=True)
+    counts = np.minimum(np.bincount(at, counts, len(cells)), 255).astype(np.uint8)
+    part = cells >> _CELL_BITS
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(cells) else np.zeros(0, np.int64)
+    apart = np.diff(cells, prepend=0)
+    apart[first] = cells[first] & ((1 << _CELL_BITS) - 1)
+    planes = apart.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    rows = [np.append(planes[i:j].T.ravel(), counts[i:j]).tobytes() for i, j in zip(first.tolist(), np.append(first[1:], len(cells))[: len(first)].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(rows, pa.binary())], ["part", "cells"])
+
+
+def frequent_cells(stored: DataFrame, frequent, least: int) -> DataFrame:
+    """h: cells of pairs whose occurrences in the corpus add up to ``least`` or more, together with those of other pairs of the cell.
+
+    A task sends about two bytes for a cell it has met. Cells are dealt out in parts of 2**_CELL_BITS, each added up in an array of that size whatever the input.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(_read(batch, i).pair_cells(frequent.value))
+                if sum(len(x) for x, _ in held) >= _MET:
+                    yield _packed(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)))
+        trim()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = None, np.zeros(1 << _CELL_BITS, np.int32)
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((part << _CELL_BITS) + np.flatnonzero(sums >= least))], ["h"])
+
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != part:
+                    if part is not None:
+                        yield found()
+                    part = at
+                    sums[:] = 0
+                planes = np.frombuffer(raw, np.uint8).reshape(4, -1).astype(np.int64)
+                cells = np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16)
+                sums[cells] = np.minimum(sums[cells] + planes[3], 1 << 30)
+        if part is not None:
+            yield found()
+        trim()
+
+    packed = _hashed(stored).mapInArrow(met, "part int, cells binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(added, "h long")
+
+
+def _hashed(stored: DataFrame) -> DataFrame:
+    return stored.select("lang", "words", F.transform("words", lambda w: F.xxhash64("lang", w)).alias("hashes"), "blocks", "places", "bits")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, scratch: Scratch | None = None, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -279,14 +337,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     single = words.where(F.col("f") >= least)
     frequent = spark.sparkContext.broadcast(Filter.of(single.select(F.xxhash64("lang", "phrase").alias("h")), bits))
 
-    def pair_rows(shard: Shard):
-        yield *shard.pair_counts(frequent.value), 2
-
-    pairs = scratch.store(_counted(stored, pair_rows).where(F.col("f") >= least), "pairs")
-    word = lambda i: F.xxhash64("lang", F.split("phrase", " ")[i])
-    linked = spark.sparkContext.broadcast(Filter.of(pairs.select(_pair_hash(word(0), word(1)).alias("h")), bits))
-    longer = scratch.store(_counted(stored, lambda shard: shard.longer_counts(frequent.value, linked.value, longest)).where(F.col("f") >= least), "longer")
-    return single.select("lang", "phrase", F.lit(1).alias("n"), "f").unionByName(pairs).unionByName(longer), totals
+    pairs = scratch.store(frequent_cells(stored, frequent, least), "cells")
+    linked = spark.sparkContext.broadcast(Filter.of(pairs, bits))
+    several = scratch.store(_counted(stored, lambda shard: shard.phrase_counts(frequent.value, linked.value, longest)).where(F.col("f") >= least), "several")
+    return single.select("lang", "phrase", F.lit(1).alias("n"), "f").unionByName(several), totals
 
 
 def _words(first, count):

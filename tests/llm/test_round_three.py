@@ -101,6 +101,16 @@ def test_shifted_bitmaps_cross_blocks():
     assert sorted(found) == [1, 63, 64, 65, 128, 129]
 
 
+def test_pairs_are_frequent_by_their_cells(monkeypatch):
+    cells = np.array([5, 5, 1 << 20, (1 << 32) - 1, 70_000, 5], np.int64)
+    rows = collocations._packed(cells, np.array([1, 2, 300, 7, 1, 4]))
+    got = {}
+    for part, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        planes = np.frombuffer(raw, np.uint8).reshape(4, -1).astype(int)
+        got |= dict(zip(((part << 20) + np.cumsum(planes[0] + 256 * planes[1] + 65536 * planes[2])).tolist(), planes[3].tolist(), strict=True))
+    assert got == {5: 7, 70_000: 1, 1 << 20: 255, (1 << 32) - 1: 7}
+
+
 def test_scores_beyond_64_bits(spark):
     a, lr = 9_000_000_000_000_000, 2 * 9_000_000_000_000_001
     got = spark.sql(f"SELECT CAST({a}L AS DECIMAL(20, 0)) * 2000000 div (CAST({lr // 2}L AS DECIMAL(20, 0)) + {lr // 2}L)").first()[0]
