@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import bm25_index
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.chunk import line_chunks, nodes, sentence_chunks, stemmed_tokens, window_text
 from corpusloom.operators.serving import context_of, index
 from corpusloom.plans.base import bag_sql, query, sentences_sql, table, tokens_sql
 from corpusloom.plans.evaluation import _COUNTS
+from corpusloom.storage import new_folder
 
 K = 5
 
@@ -91,6 +93,13 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), K).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank <= {K}")
+def bm25_indexed(spark, sf_dir):
+    """The same search from a stored inverted index, which is built first."""
+    index = bm25_index.build(_docs(spark, sf_dir), new_folder(spark, "bm25"))
+    return bm25_index.search(index, _queries(spark, sf_dir), K).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {_VECTOR}, {_BM25}, {_hybrid(K)} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hy")
 def hybrid_fusion(spark, sf_dir):
     found = R.hybrid_topk(_vectors(spark, sf_dir), _docs(spark, sf_dir), _queries(spark, sf_dir), K)
