@@ -6,7 +6,7 @@ position and joined with another word's bitmap by AND, a bitmap becomes that of
 phrase's occurrences. Extension goes depth-first: phrases of some first words are followed to their full length before the next.
 Popcounts add up over the shards.
 
-Words, and then pairs, that are too rare in the whole corpus begin no phrase. Pairs are first added up by cells of a hash, which is
+Words, and then pairs, that are too rare in the whole corpus begin no phrase. Pairs, and then longer phrases, are first added up by cells of a hash, which is
 enough to tell most of the rare ones. What is frequent goes to the
 shards as a filter of a fixed number of bits: what it lets through by chance is counted like the rest and dropped by its exact count.
 """
@@ -29,7 +29,7 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A longer phrase with at least this share, in per cent, of a phrase's occurrences stands for it.
 SHARE = 80
 #: Positions from which a shard is closed, pairs of blocks joined at a time, bits of a filter.
-POSITIONS, JOINED, BITS = 1 << 18, 1 << 19, 1 << 27
+POSITIONS, JOINED, BITS = 1 << 18, 1 << 18, 1 << 27
 _BUCKET = 1 << 15  # bits of a part of Spark's bitmaps
 
 _GAP, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -139,31 +139,49 @@ class Shard:
     def pair_cells(self, frequent: Filter) -> tuple[np.ndarray, np.ndarray]:
         """Cells of the pairs of frequent words, and counts."""
         bitmaps, first, last = self.pairs(frequent)
-        return pair_cell(self.hashes[first], self.hashes[last]), bitmaps.counts()[1]
+        return cell(followed(mixed(self.hashes[first]), self.hashes[last])), bitmaps.counts()[1]
 
-    def phrase_counts(self, frequent: Filter, pairs: Filter, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
-        """Phrases of two words and more, their counts, their words; those that begin with some pairs to the full length before the next."""
+    def grown(self, frequent: Filter, pairs: Filter, longest: int, longer: Filter | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        """The words of phrases of two words and more, their hashes, their counts; those that begin with some pairs to the full length before the next.
+
+        ``pairs`` and ``longer`` hold the cells of those that may be frequent: others are left out, and do not go on.
+        """
         bitmaps, first, last = self.pairs(frequent)
-        kept = pairs.has(pair_cell(self.hashes[first], self.hashes[last]))
+        hashes = followed(mixed(self.hashes[first]), self.hashes[last])
+        kept = pairs.has(cell(hashes))
         bitmaps = bitmaps.take(kept[bitmaps.name])
         roots = np.flatnonzero(kept)
         starts = np.searchsorted(bitmaps.name, np.append(roots, len(first)))
         step = max(1, len(roots) * JOINED // max(1, 4 * len(bitmaps.name)))
         for i in range(0, len(roots), step):
-            grown = bitmaps.take(np.arange(starts[i], starts[min(i + step, len(roots))]))
-            own, names = roots[i : i + step], [first, last]
-            yield self.phrases([first[own], last[own]]), grown.counts()[1], 2
-            for n in range(3, longest + 1):
-                grown, before, pair = extended(grown, bitmaps, names[-1], first)
-                if not len(grown.name):
+            own = bitmaps.take(np.arange(starts[i], starts[min(i + step, len(roots))]))
+            names, known, h = [first, last], roots[i : i + step], hashes
+            for n in range(2, longest + 1):
+                yield [x[known] for x in names], h[known], own.counts()[1]
+                if n == longest:
                     break
+                own, before, pair = extended(own, bitmaps, names[-1], first)
                 names = [*(x[before] for x in names), last[pair]]
-                yield self.phrases(names), grown.counts()[1], n
+                h, known = followed(h[before], self.hashes[last[pair]]), np.arange(len(before))
+                if longer is not None:
+                    may = longer.has(cell(h))
+                    own, known = own.take(may[own.name]), np.flatnonzero(may)
+                if not len(known):
+                    break
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    return mix(h.view(np.uint64))
+
 
+def followed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase with one more word."""
+    return mix(phrase + word.view(np.uint64))
 
-def pair_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cells, numbers of 32 bits, of pairs of words by their hashes."""
-    return (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+def cell(phrase: np.ndarray) -> np.ndarray:
+    """A number of 32 bits."""
+    return (phrase & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
 class Filter:
@@ -215,7 +233,7 @@ _SHARD = "lang string, words array<string>, counts array<long>, blocks array<int
 #: Bytes of text that make a shard of about POSITIONS words, and that a task holds back at most before it closes the largest.
 _TEXT, _HELD = POSITIONS * 6, POSITIONS * 256
 #: Bits of a part of the cells, at most 24, and cells that a task holds.
-_CELL_BITS, _MET = 20, 1 << 21
+_CELL_BITS, _MET = 20, 1 << 20
 _ROW_GROUP = 8 << 20  # bytes of a row group of stored shards, which a reader holds whole
 
 
@@ -280,8 +298,8 @@ def _packed(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(rows, pa.binary())], ["part", "cells"])
 
 
-def frequent_cells(stored: DataFrame, frequent, least: int) -> DataFrame:
-    """h: cells of pairs whose occurrences in the corpus add up to ``least`` or more, together with those of other pairs of the cell.
+def frequent_cells(stored: DataFrame, least: int, cells) -> DataFrame:
+    """h: cells of phrases (``cells`` gives a shard's, with counts) whose occurrences in the corpus add up to ``least`` or more, together with those of other phrases of the cell.
 
     A task sends about two bytes for a cell it has met. Cells are dealt out in parts of 2**_CELL_BITS, each added up in an array of that size whatever the input.
     """
@@ -290,10 +308,11 @@ def frequent_cells(stored: DataFrame, frequent, least: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                held.append(_read(batch, i).pair_cells(frequent.value))
-                if sum(len(x) for x, _ in held) >= _MET:
-                    yield _packed(*map(np.concatenate, zip(*held, strict=True)))
-                    held = []
+                for found in cells(_read(batch, i)):
+                    held.append(found)
+                    if sum(len(x) for x, _ in held) >= _MET:
+                        yield _packed(*map(np.concatenate, zip(*held, strict=True)))
+                        held = []
         if held:
             yield _packed(*map(np.concatenate, zip(*held, strict=True)))
         trim()
@@ -337,9 +356,18 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     single = words.where(F.col("f") >= least)
     frequent = spark.sparkContext.broadcast(Filter.of(single.select(F.xxhash64("lang", "phrase").alias("h")), bits))
 
-    pairs = scratch.store(frequent_cells(stored, frequent, least), "cells")
-    linked = spark.sparkContext.broadcast(Filter.of(pairs, bits))
-    several = scratch.store(_counted(stored, lambda shard: shard.phrase_counts(frequent.value, linked.value, longest)).where(F.col("f") >= least), "several")
+    filtered = lambda cells, name: spark.sparkContext.broadcast(Filter.of(scratch.store(frequent_cells(stored, least, cells), name), bits))
+    pairs = filtered(lambda shard: [shard.pair_cells(frequent.value)], "pairs")
+
+    def longer_cells(shard: Shard):
+        yield from ((cell(h), counts) for names, h, counts in shard.grown(frequent.value, pairs.value, longest) if len(names) > 2)
+
+    longer = filtered(longer_cells, "longer")
+
+    def phrases(shard: Shard):
+        yield from ((shard.phrases(names), counts, len(names)) for names, _, counts in shard.grown(frequent.value, pairs.value, longest, longer.value))
+
+    several = scratch.store(_counted(stored, phrases).where(F.col("f") >= least), "several")
     return single.select("lang", "phrase", F.lit(1).alias("n"), "f").unionByName(several), totals
 
 
