@@ -17,14 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators.retrieval import EPSILON, K1, QUERY_BLOCK, QUERY_CELLS, B, Terms, _Best, ranked
+from corpusloom.storage import delete
 
-#: Documents of a range, buckets of terms, bytes of a row group of postings (small ones let a search skip more), queries scored together.
-RANGE, BUCKETS, ROW_GROUP, QUERIES = 4096, 64, 4 << 20, 64
+#: Documents of a range, buckets of terms, bytes of a row group of postings (small ones let a search skip more), queries scored together, least ids that are remembered for queries with few matches.
+RANGE, BUCKETS, ROW_GROUP, QUERIES, FIRST = 4096, 64, 4 << 20, 64, 1000
+
+POSTINGS, TERMS, DOCUMENTS = "term string, part int, ids array<long>, counts array<int>, lengths array<int>, most double, bucket int", "term string, df long, bucket int", "id long, part int, length int"
 
 
 @dataclass
@@ -37,33 +42,40 @@ class Bm25Index:
     mean: float
     mean_weight: float
     buckets: int
+    first: list[int]  # the least ids, FIRST of them
     terms: Terms = tokens
 
     @property
     def postings(self) -> DataFrame:
         """bucket, term, part (range), ids, counts, lengths, most (the greatest gain)."""
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
 
     @property
     def vocabulary(self) -> DataFrame:
         """bucket, term, df."""
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
 
     @property
     def documents(self) -> DataFrame:
         """id, part, length."""
-        return self.spark.read.parquet(f"{self.path}/documents")
+        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/documents")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, terms: Terms = tokens) -> Bm25Index:
         r = spark.read.parquet(f"{path}/corpus").first()
-        return cls(spark, path, r["n"], r["mean"], r["mean_weight"], r["buckets"], terms)
+        return cls(spark, path, r["n"], r["mean"], r["mean_weight"], r["buckets"], r["first"], terms)
 
 
-def _bucket(term, buckets: int):
+def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The same in Python: the hash is XXH64 with seed 42, as a signed number."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (h >> 63 << 64)) % buckets
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, part, id, count, length for the distinct terms of each document; batches of id, part, terms."""
     for batch in batches:
@@ -90,12 +102,13 @@ def build(docs: DataFrame, path: str, terms: Terms = tokens, size: int = RANGE,
     # ranges of ids: parts of an order by id count what comes before them
     sized = rows.select("id", F.size("terms").alias("length")).repartitionByRange("id").sortWithinPartitions("id")
     sized.withColumn("at", F.spark_partition_id()).write.parquet(f"{path}/sized")
-    sized = spark.read.parquet(f"{path}/sized")
+    sized = spark.read.schema("id long, length int, at int").parquet(f"{path}/sized")
     w = Window.orderBy("at")  # a row for each task
     before = sized.groupBy("at").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("at").orderBy("id")) - 1 + F.col("before")
     sized.join(F.broadcast(before), "at").select("id", F.floor(number / size).cast("int").alias("part"), "length").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/documents")
-    known = spark.read.parquet(f"{path}/documents")
+    delete(spark, f"{path}/sized")
+    known = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")
     whole = known.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
     n, mean = whole["n"], ((whole["length"] or 0) / whole["n"] if whole["n"] else 0) or 1.0
 
@@ -108,12 +121,13 @@ def build(docs: DataFrame, path: str, terms: Terms = tokens, size: int = RANGE,
     lists = spread.groupBy("bucket", "part", "term").agg(listed.alias("p"), F.max(gain).alias("most"))  # at most ``size`` postings
     lists = lists.select("bucket", "term", "part", F.col("p.id").alias("ids"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), "most")
     lists.sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-    df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
+    df = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
     df.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     weight = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean_weight = spark.read.parquet(f"{path}/terms").agg(F.avg(weight)).first()[0] or 0.0
-    spark.createDataFrame([(n, mean, mean_weight, buckets)], "n long, mean double, mean_weight double, buckets int").coalesce(1).write.parquet(f"{path}/corpus")
-    return Bm25Index(spark, path, n, mean, mean_weight, buckets, terms)
+    mean_weight = spark.read.schema(TERMS).parquet(f"{path}/terms").agg(F.avg(weight)).first()[0] or 0.0
+    first = [r["id"] for r in known.orderBy("id").limit(FIRST).select("id").collect()]
+    spark.createDataFrame([(n, mean, mean_weight, buckets, first)], "n long, mean double, mean_weight double, buckets int, first array<long>").coalesce(1).write.parquet(f"{path}/corpus")
+    return Bm25Index(spark, path, n, mean, mean_weight, buckets, first, terms)
 
 
 def _with_part(rows: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -190,6 +204,17 @@ class _Scorer:
 STEP = 1 << 14
 
 
+#: Terms that a search names to the Parquet reader, so that row groups without them are skipped; more are joined.
+FEW = 1000
+
+
+def _of(rows: DataFrame, terms: set[str]) -> DataFrame:
+    if len(terms) <= FEW:
+        return rows.where(F.col("term").isin(sorted(terms)))
+    named = rows.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    return rows.join(F.broadcast(named), "term", "left_semi")
+
+
 def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank as ``bm25_topk`` gives them, from the index; documents without a match score 0 and follow in order of id. queries: query_id, content.
 
@@ -197,14 +222,14 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     of each query of a block and the postings of one range of documents at a time.
     """
     spark, mean = index.spark, index.mean
-    first = np.array([r["id"] for r in index.documents.where("part = 0").orderBy("id").limit(k).select("id").collect()], np.int64)
+    first = index.first[:k] if k <= len(index.first) or len(index.first) == index.n else [r["id"] for r in index.documents.orderBy("id").limit(k).select("id").collect()]
+    first = np.array(first, np.int64)
     asked = queries.select("query_id", index.terms(F.coalesce("content", F.lit(""))).alias("terms"))
     numbered = "query_id long, id long, score double"
 
     def scored(block: list[tuple[int, Counter]], vocabulary: set[str]) -> DataFrame:
-        named = spark.createDataFrame([(t,) for t in sorted(vocabulary)], "term string").withColumn("bucket", _bucket("term", index.buckets))
-        buckets = sorted(r["bucket"] for r in named.select("bucket").distinct().collect())
-        known = index.vocabulary.where(F.col("bucket").isin(buckets)).join(F.broadcast(named.select("term")), "term")
+        buckets = sorted({bucket_of(t, index.buckets) for t in vocabulary})
+        known = _of(index.vocabulary.where(F.col("bucket").isin(buckets)), vocabulary)
         weight = F.log(F.lit(index.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         found = sorted((r["term"], r["w"] if r["w"] >= 0 else EPSILON * index.mean_weight) for r in known.select("term", weight.alias("w")).collect())
         place = {t: i for i, (t, _) in enumerate(found)}
@@ -213,16 +238,17 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
             for t, n in c.items():
                 if t in place:
                     matrix[place[t], j] = n * found[place[t]][1]
-        held = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), matrix))
+        held = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), [t for t, _ in found], matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
+            ids, names, matrix = held.value
+            names = pa.array(names, pa.string())
             scorer = _Scorer(matrix, k, mean, first)
             rest: list[pa.RecordBatch] = []
 
             def done() -> None:
                 rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-                scorer.take(rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.select([3, 4, 5]))
+                scorer.take(pc.index_in(rows.column(1), value_set=names).to_numpy(), rows.column(2).to_numpy(), rows.select([3, 4, 5]))
                 rest.clear()
 
             for batch in batches:
@@ -237,11 +263,7 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
                 done()
             yield from scorer.batches(ids)
 
-        numbers = spark.createDataFrame([(t, i) for t, i in place.items()], "term string, at int")
-        rows = index.postings.where(F.col("bucket").isin(buckets))
-        if 0 < len(place) <= FEW:
-            rows = rows.where(F.col("term").isin(sorted(place)))  # so that row groups without them are skipped
-        rows = rows.join(F.broadcast(numbers), "term").select("part", "at", "most", "ids", "counts", "lengths")
+        rows = _of(index.postings.where(F.col("bucket").isin(buckets)), set(place)).select("part", "term", "most", "ids", "counts", "lengths")
         return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, numbered)
 
     out, block, vocabulary = [], [], set()
@@ -260,5 +282,3 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     return ranked(each, k, F.round("score", 9).desc(), F.col("id")).select("query_id", "id", "score", "rank")
 
 
-#: Terms that a search names to the Parquet reader.
-FEW = 1000

@@ -371,7 +371,7 @@ class Corpus:
     """What retrievers search. vectors: id, embedding; docs: id, content; chunks: id, doc, idx, content;
     sentences: id, doc, idx, content, window_start, window_end. embed: the model of the vectors, for texts that come
     without one (other forms of a query, sentences). terms: how BM25 makes terms of texts. sentences_in: the sentences of some documents (doc), where
-    sentences have ids by ``sentence_id``. The statistics of docs are counted at the first search that asks for them and serve all later ones, until ``release``."""
+    sentences have ids by ``sentence_id``. lexical, nearest: searches (queries, k) of stored indexes of docs and of vectors, in place of scans. The statistics of docs are counted at the first search that asks for them and serve all later ones, until ``release``."""
 
     vectors: DataFrame
     docs: DataFrame
@@ -380,6 +380,8 @@ class Corpus:
     embed: Callable[[Column], Column] = hashed_bag
     terms: Terms = tokens
     sentences_in: Callable[[DataFrame], DataFrame] | None = None
+    lexical: Callable[[DataFrame, int], DataFrame] | None = None
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None
     _known: Statistics | None = None
 
     def known(self) -> Statistics:
@@ -403,12 +405,20 @@ def variants(content: Column) -> list[Column]:
     return [F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "), F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS)), " ")]
 
 
-def _reranked(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return rerank_topk(c.vectors, c.docs, q, k, terms=c.terms, known=c.known())
+def _lexical(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return c.lexical(q.select("query_id", "content"), k) if c.lexical else bm25_topk(c.docs, q, k, c.terms, c.known())
+
+
+def _nearest(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return c.nearest(q.select("query_id", "embedding"), k) if c.nearest else vector_topk(c.vectors, q, k)
 
 
 def _hybrid(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return hybrid_topk(c.vectors, c.docs, q, k, terms=c.terms, known=c.known())
+    return fuse(_nearest(c, q, 2 * k), _lexical(c, q, 2 * k), k)
+
+
+def _reranked(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return rerank(_hybrid(c, q, max(10, 2 * k)), c.docs, q, k)
 
 
 def multiquery(corpus: Corpus, queries: DataFrame, k: int, forms: Callable[[Column], list[Column]] = variants, base: Retriever = _reranked) -> DataFrame:
@@ -448,11 +458,11 @@ def _expanded(c: Corpus, q: DataFrame, k: int) -> DataFrame:
 
 #: Retrievers by name: (corpus, queries of query_id, content, embedding, k) to ranked rows.
 RETRIEVERS: dict[str, Retriever] = {
-    "vector": lambda c, q, k: vector_topk(c.vectors, q, k),
-    "bm25": lambda c, q, k: bm25_topk(c.docs, q, k, c.terms, c.known()),
+    "vector": _nearest,
+    "bm25": _lexical,
     "hybrid": _hybrid,
     "rerank": _reranked,
-    "parent_child": lambda c, q, k: expand_neighbours(vector_topk(c.vectors, q, 2 * k), c.chunks, k, factor=1.2, score="distance"),
+    "parent_child": lambda c, q, k: expand_neighbours(_nearest(c, q, 2 * k), c.chunks, k, factor=1.2, score="distance"),
     "multiquery": multiquery,
     "hybrid_parent_child": _expanded,
     "hybrid_parent_child_rerank": lambda c, q, k: rerank(_expanded(c, q, max(10, 2 * k)), c.docs, q, k),
@@ -468,11 +478,11 @@ def as_similarity(rows: DataFrame) -> DataFrame:
 
 #: The variants that rank by similarity: the reranker's pool is always 10, neighbours get 0.8 of a hit's similarity.
 SIMILARITY_RETRIEVERS: dict[str, Retriever] = {
-    "vector": lambda c, q, k: as_similarity(vector_topk(c.vectors, q, k)),
+    "vector": lambda c, q, k: as_similarity(_nearest(c, q, k)),
     "bm25": RETRIEVERS["bm25"],
     "hybrid": RETRIEVERS["hybrid"],
     "rerank": lambda c, q, k: rerank(_hybrid(c, q, 10), c.docs, q, k),
-    "parent_child": lambda c, q, k: expand_neighbours(as_similarity(vector_topk(c.vectors, q, 2 * k)), c.chunks, k, factor=0.8),
+    "parent_child": lambda c, q, k: expand_neighbours(as_similarity(_nearest(c, q, 2 * k)), c.chunks, k, factor=0.8),
 }
 #: Registries by backend; the second knows its own names alone.
 BACKENDS = {"custom": RETRIEVERS, "similarity": SIMILARITY_RETRIEVERS}

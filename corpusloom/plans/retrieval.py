@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import bm25_index
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vector_index
 from corpusloom.operators.chunk import line_chunks, nodes, sentence_chunks, stemmed_tokens, window_text
 from corpusloom.operators.serving import context_of, index
 from corpusloom.plans.base import bag_sql, query, sentences_sql, table, tokens_sql
@@ -17,6 +18,8 @@ from corpusloom.plans.evaluation import _COUNTS
 from corpusloom.storage import new_folder
 
 K = 5
+#: Lists that an approximate search probes.
+PROBES = 8
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -93,6 +96,22 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), K).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_VECTOR} SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM vr WHERE rank <= {K}")
+def vector_indexed(spark, sf_dir):
+    """The same search from a stored index of lists, exact by its bounds."""
+    index = vector_index.build(_vectors(spark, sf_dir), new_folder(spark, "vectors"))
+    return vector_index.search(index, _queries(spark, sf_dir), K).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"WITH {_VECTOR} SELECT query_id, count(*) AS n, true AS enough FROM vr WHERE rank <= 10 GROUP BY 1")
+def vector_index_recall(spark, sf_dir):
+    """Whether a search of a few lists finds at least 95 in 100 of the queries' ten nearest, over all queries: measured against the exact search."""
+    index = vector_index.build(_vectors(spark, sf_dir), new_folder(spark, "vectors"))
+    found = vector_index.recall(index, _queries(spark, sf_dir), 10, PROBES)
+    whole = found.agg((F.sum("found") / F.sum("n") >= 0.95).alias("enough"))
+    return found.select("query_id", "n").join(F.broadcast(whole))
+
+
 @query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank <= {K}")
 def bm25_indexed(spark, sf_dir):
     """The same search from a stored inverted index, which is built first."""
