@@ -127,11 +127,11 @@ def has_any(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) > 0
 
 
-def retrieval_run(questions: DataFrame, results: DataFrame, chunks: DataFrame, answers: DataFrame, score: Callable[[Column, Column], Column] = containment, least: float = 0.5) -> DataFrame:
+def retrieval_run(questions: DataFrame, results: DataFrame, chunks: DataFrame, answers: DataFrame, score: Callable[[Column, Column], Column] = containment, least: float = 0.5, metrics: DataFrame | None = None) -> DataFrame:
     """A row for each question with key facts: coverages by retrieval and generation, facts, and ranking metrics of its results.
 
     questions: query_id, key_facts, source_ids (the true ids); results: query_id, id, rank; chunks: id, content; answers: query_id, answer.
-    A fact is in a text where its score against it is at least ``least``. Questions without results retrieve nothing.
+    A fact is in a text where its score against it is at least ``least``. Where true ids are too many to be listed, ``metrics`` (of ``metrics_of``) stand for them. Questions without results retrieve nothing.
     """
     judged = questions.where(has_any(F.col("key_facts")))
     parts = results.join(chunks.select("id", "content"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("p"))  # top-k rows a query
@@ -139,8 +139,9 @@ def retrieval_run(questions: DataFrame, results: DataFrame, chunks: DataFrame, a
     facts = judged.select("query_id", F.explode("key_facts").alias("fact")).join(context, "query_id", "left").join(answers.select("query_id", "answer"), "query_id", "left")
     within = lambda c: score(F.col("fact"), F.coalesce(c, F.lit(""))) >= least
     covered = attribution_counts(facts.select("query_id", within("context").alias("in_retrieval"), within("answer").alias("in_generation")), "query_id")
-    truth = judged.select("query_id", F.explode("source_ids").alias("id"))
-    return covered.join(ranking_metrics(results, truth), "query_id", "left")
+    if metrics is None:
+        metrics = ranking_metrics(results, judged.select("query_id", F.explode("source_ids").alias("id")))
+    return covered.join(metrics, "query_id", "left")
 
 
 def against_baseline(rows: DataFrame, config: str, baseline: str, key: str, value: str, least: float = 0.001) -> DataFrame:

@@ -159,9 +159,10 @@ def missing_keys(known: DataFrame, key: str, first: int, last: int) -> DataFrame
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: str) -> DataFrame:
-    """One row for each key, the one of greatest ``newest``."""
-    w = Window.partitionBy(key).orderBy(F.col(newest).desc())
-    return old.unionByName(new).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row for each key, the one of greatest ``newest``; of equals a new one, then the one of least hash, so that a second run gives the same."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(key).orderBy(F.col(newest).desc(), F.col("_new").desc(), F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in old.columns]))]))
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

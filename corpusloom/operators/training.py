@@ -141,10 +141,11 @@ def chunk_pairs(chunks: DataFrame, order: str) -> DataFrame:
 
 
 def topic_quotas(rows: DataFrame, by: str, key: str, quotas: dict[str, int], default: int = 0, seed: int = SEED) -> DataFrame:
-    """As many rows of each topic as its quota says, in a seeded random order."""
+    """As many rows of each topic as its quota says, in a seeded random order. Each task sends on as many rows of a topic as the greatest quota, however many a topic has."""
+    most = max([default, *quotas.values()])
     quota = F.coalesce(F.element_at(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))]), F.col(by)), F.lit(default)) if quotas else F.lit(default)
     w = Window.partitionBy(by).orderBy(draw(F.col(key), seed), key)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= most) & (F.col("_n") <= quota)).drop("_n")
 
 
 def fixed_set(rows: DataFrame, key: str, tiers: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from corpusloom.operators.retrieval import QUERY_BLOCK, _unit, numbers, ranked
 
 #: Vectors that centroids are fitted on, most lists, vectors that a list should have, rounds of k-means, lists of a folder, bytes of a row group.
 SAMPLE, LISTS, MEMBERS, ROUNDS, LISTS_IN_FOLDER, ROW_GROUP = 1 << 17, 1 << 14, 256, 12, 16, 4 << 20
+#: Lists that an exact search probes first, members whose neighbours tell how many lists a search needs.
+FIRST, TUNED = 8, 256
 #: Numbers that the sample has at most (64 MB).
 CELLS = 1 << 23
 #: What rounding in double precision can do to a distance of unit vectors.
@@ -130,6 +132,10 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, sample: int =
     return VectorIndex(spark, path, held.value, radius)
 
 
+def _away(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T, 0))
+
+
 class _Probe:
     """Queries of a block, the lists that each probes, and its k best so far."""
 
@@ -193,7 +199,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     def asked(block: list) -> DataFrame:
         q, good = numbers(pa.array([r["embedding"] for r in block], pa.list_(pa.float64())), index.centroids.shape[1])
         ids, x = np.array([r["query_id"] for r in block], np.int64)[good], _unit(q)
-        away = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1)[None] - 2 * x @ index.centroids.T, 0))
+        away = _away(x, index.centroids)
         order = np.argsort(away, axis=1)[:, : probes or FIRST]
         probed = np.zeros(away.shape, bool)
         np.put_along_axis(probed, order, True, axis=1)
@@ -221,8 +227,21 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return ranked(found, k, F.round("distance", 9), F.col("id"))
 
 
-#: Lists that an exact search probes first.
-FIRST = 8
+
+
+def probes_for(index: VectorIndex, k: int, share: float = 0.97, sample: int = TUNED) -> int:
+    """The lists that a search must probe so that it finds ``share`` of the k nearest: measured on the ``sample`` members whose ids have the least hashes, against their exact search."""
+    drawn = index.members.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("query_id"), "embedding").persist(StorageLevel.DISK_ONLY)
+    true = search(index, drawn, k).select("query_id", "id").join(index.members.select("id", "list"), "id").select("query_id", "list").collect()  # k rows for each of the sample
+    rows = {r["query_id"]: r["embedding"] for r in drawn.collect()}
+    drawn.unpersist()
+    if not true:
+        return 1
+    x = _unit(np.array(list(rows.values()), np.float64))
+    place = np.argsort(np.argsort(_away(x, index.centroids), axis=1, kind="stable"), axis=1)
+    at = {q: i for i, q in enumerate(rows)}
+    needed = np.sort([place[at[r["query_id"]], r["list"]] for r in true])
+    return int(needed[min(len(needed) - 1, math.ceil(share * len(needed)) - 1)]) + 1
 
 
 def recall(index: VectorIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:

@@ -218,10 +218,13 @@ def events_session(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*') AS t FROM conversations WHERE role = 'assistant')
-SELECT conv_id * 1000 + turn AS chat_id, CASE WHEN turn % 5 = 3 THEN 0 ELSE len(t) END AS n_tokens, CASE WHEN turn % 5 = 3 THEN 'error' ELSE 'done' END AS last FROM w""")
+WITH w AS (SELECT conv_id * 1000 + turn AS chat_id, turn, text, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*') AS t FROM conversations WHERE role = 'assistant')
+SELECT chat_id, 0 AS seq, 'sources' AS event, concat('[{"rank":1,"title":"t', turn, '","source_url":"u","content":"', substring(repeat(concat('c', turn), 300), 1, 500), '","score":1.0}]') AS data FROM w
+UNION ALL SELECT chat_id, CAST(unnest(range(1, len(t) + 1)) AS INTEGER), 'token', unnest(t) FROM w WHERE turn % 5 <> 3
+UNION ALL SELECT chat_id, 2147483647, CASE WHEN turn % 5 = 3 THEN 'error' ELSE 'done' END, '' FROM w""")
 def chat_stream(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chat_id"), F.when(F.col("turn") % 5 != 3, F.col("text")).alias("answer"))
-    sources = answers.select("chat_id", F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit("u").alias("source_url"), F.lit("c").alias("content"), F.lit(1.0).alias("score"))
-    return S.chat_events(sources, answers).groupBy("chat_id").agg(F.count_if(F.col("event") == "token").alias("n_tokens"), F.max_by("event", "seq").alias("last"))
+    turn = F.col("turn").cast("string")
+    sources = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chat_id"), F.lit(1).alias("rank"), F.concat(F.lit("t"), turn).alias("title"), F.lit("u").alias("source_url"), F.repeat(F.concat(F.lit("c"), turn), F.lit(300)).alias("content"), F.lit(1.0).alias("score"))
+    return S.chat_events(sources, answers)

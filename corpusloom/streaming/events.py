@@ -35,9 +35,24 @@ def chat_events(sources: DataFrame, answers: DataFrame) -> DataFrame:
 
     sources: chat_id, rank, title, source_url, content, score; answers: chat_id, answer (null where the model failed).
     """
-    listed = sources.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "source_url", F.substring("content", 1, 500).alias("content"), "score"))).alias("s"))
-    first = listed.select("chat_id", F.lit(0).alias("seq"), F.lit("sources").alias("event"), F.to_json("s").alias("data"))
-    words = answers.where("answer is not null").select("chat_id", F.posexplode(F.regexp_extract_all("answer", F.lit(r"\S+\s*"), F.lit(0))).alias("pos", "data"))
-    tokens = words.select("chat_id", (F.col("pos") + 1).alias("seq"), F.lit("token").alias("event"), "data")
-    last = answers.select("chat_id", F.lit(2147483647).alias("seq"), F.when(F.col("answer").isNull(), "error").otherwise("done").alias("event"), F.lit("").alias("data"))
-    return first.unionByName(tokens).unionByName(last)
+    listed = sources.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "source_url", "content", "score"))).alias("sources"))
+    both = answers.select("chat_id", "answer", F.lit(True).alias("answered")).join(listed, "chat_id", "full_outer")
+    return chat_rows(both.withColumn("answered", F.coalesce("answered", F.lit(False))))
+
+
+def chat_rows(chats: DataFrame) -> DataFrame:
+    """``chat_events`` of chats with their sources: chat_id, answered, answer, sources (rank, title, source_url, content, score). No state is needed, so chats may be a stream."""
+    source = F.transform("sources", lambda s: F.struct(s["rank"].alias("rank"), s["title"].alias("title"), s["source_url"].alias("source_url"), F.substring(s["content"], 1, 500).alias("content"), s["score"].alias("score")))
+    event = lambda seq, name, data: F.struct(seq.cast("int").alias("seq"), F.lit(name).alias("event") if isinstance(name, str) else name.alias("event"), data.alias("data"))
+    first = F.when(F.col("sources").isNotNull(), F.array(event(F.lit(0), "sources", F.to_json(source))))
+    words = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\S+\s*"), F.lit(0)), lambda w, i: event(i + 1, "token", w))
+    last = F.when(F.col("answered"), F.array(event(F.lit(2147483647), F.when(F.col("answer").isNull(), "error").otherwise("done"), F.lit(""))))
+    none = F.array().cast("array<struct<seq:int,event:string,data:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in (first, words, last)])
+    return chats.select("chat_id", F.explode(every).alias("e")).select("chat_id", "e.seq", "e.event", "e.data")
+
+
+def sse(events: DataFrame) -> DataFrame:
+    """The events as server-sent text: an event line, a data line for each line of the data, a blank line."""
+    data = F.array_join(F.transform(F.split("data", "\n"), lambda x: F.concat(F.lit("data: "), x)), "\n")
+    return events.select("chat_id", "seq", F.concat(F.lit("event: "), "event", F.lit("\n"), data, F.lit("\n\n")).alias("text"))

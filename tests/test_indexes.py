@@ -1,13 +1,14 @@
 """Stored indexes against the scans that they stand for."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25_index, retrieval
+from corpusloom.operators import bm25_index, retrieval, vector_index
 
 WORDS = "rent lease heat mold notice deposit repair court judge tenant landlord window door stair roof a b c d e f g".split()
 
@@ -99,3 +100,80 @@ def test_retrievers_search_stored_indexes(texts, asked, tmp_path, spark):
     stored = retrieval.Corpus(vectors, texts, chunks, lexical=lambda q, k: bm25_index.search(index, q, k))
     for name in ("bm25", "hybrid", "rerank", "hybrid_parent_child"):
         assert hits(retrieval.retrieve(name, stored, q, 4)) == hits(retrieval.retrieve(name, plain, q, 4))
+
+
+def clustered(n, seed, spread=0.15, width=12):
+    centres = np.random.default_rng(0).standard_normal((9, width))
+    r = np.random.default_rng(seed)
+    return (centres[r.integers(0, 9, n)] + spread * r.standard_normal((n, width))).tolist()
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rows = [(i * 3, v) for i, v in enumerate(clustered(1500, 1))]
+    rows += [(10_000 + i, rows[7][1]) for i in range(400)]  # copies
+    rows += [(20_000, [0.0] * 12), (20_001, None), (20_002, [1.0, None] * 6), (20_003, [1.0] * 5), (20_004, [float("nan")] + [1.0] * 11), (20_005, [2 * x for x in rows[9][1]]), (None, rows[3][1])]
+    return spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rows = [(i, v) for i, v in enumerate(clustered(40, 2))] + [(100, [0.0] * 12), (101, None), (102, [1.0] * 5)]
+    return spark.createDataFrame(rows, "query_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("lists", [1, 9, 60, None])
+def test_vector_index_equals_scan(vectors, points, tmp_path, lists):
+    index = vector_index.build(vectors, str(tmp_path / "x"), lists)
+    same = vectors.where("id is not null AND size(embedding) = 12")
+    asked = points.where("size(embedding) = 12")
+    for k in (1, 10, 450):
+        assert hits(vector_index.search(index, points, k), "distance") == hits(retrieval.vector_topk(same, asked, k), "distance")
+    again = vector_index.VectorIndex.load(vectors.sparkSession, str(tmp_path / "x"))
+    assert np.allclose(again.centroids, index.centroids) and np.allclose(again.radius, index.radius)
+
+
+def test_probes_find_most_neighbours(vectors, points, tmp_path):
+    index = vector_index.build(vectors, str(tmp_path / "x"), 40)
+    probes = vector_index.probes_for(index, 10, sample=100)
+    assert probes < 20
+    r = vector_index.recall(index, points.where("query_id < 100"), 10, probes).agg(F.sum("n").alias("n"), F.sum("found").alias("found")).first()
+    assert r["n"] == 400 and r["found"] >= 0.95 * r["n"]
+    assert vector_index.recall(index, points.where("query_id < 100"), 10, 40).where("found < n").count() == 0
+
+
+def test_probed_folders_alone_are_read(vectors, points, tmp_path):
+    index = vector_index.build(vectors, str(tmp_path / "x"), 60)
+    plan = vector_index.search(index, points.where("query_id = 3"), 5, 2)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\n]*folder", plan) and "In(list" in plan
+
+
+def test_vector_index_of_no_vectors(spark, points, tmp_path):
+    index = vector_index.build(spark.createDataFrame([], "id long, embedding array<double>"), str(tmp_path / "x"))
+    assert vector_index.search(index, points, 3).count() == 0
+
+
+def test_ragged_vectors_are_left_out(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, None]), (3, [1.0]), (4, None), (5, [0.0, 1.0]), (6, [float("inf"), 1.0])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (2, [3.0]), (3, None)], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in retrieval.vector_topk(v, q, 5).orderBy("query_id", "rank").collect()] == [(1, 1), (1, 5), (2, 3)]
+
+
+def test_forms_of_large_query_ids(spark):
+    seen = []
+
+    def base(corpus, q, k):
+        seen.append(q)
+        return q.select("query_id", (F.col("query_id") * 0).alias("id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    ids = [9007199254740993, -9007199254740993, -5, 0, 3]
+    q = spark.createDataFrame([(i, "who pays rent") for i in ids], "query_id long, content string")
+    corpus = retrieval.Corpus(q, q, q)
+    assert {r["query_id"] for r in retrieval.multiquery(corpus, q, 2, base=base).collect()} == set(ids)
+
+
+def test_queries_without_terms_close_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "id long, content string")
+    q = spark.createDataFrame([(i, "" if i % 2 else "b") for i in range(10)], "query_id long, content string")
+    assert retrieval.bm25_topk(docs, q, 2).count() == 20

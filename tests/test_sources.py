@@ -86,3 +86,57 @@ def test_systematic_sample_over_many_blocks(spark):
     rows = spark.range(0, 400_000, 3)
     got = sorted(r.id for r in training.systematic(rows, "id", 40_000, 3).collect())
     assert got == [0, 120_000, 240_000]
+
+
+def _chats(spark, rows):
+    return spark.createDataFrame(rows, "chat_id long, answered boolean, answer string, sources array<struct<rank:int,title:string,source_url:string,content:string,score:double>>")
+
+
+def test_chat_sink_equals_chat_events_and_replays_add_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import chat_sink
+    from corpusloom.streaming import events
+
+    first = [(1, True, "You may\npay rent", [(1, "t", "u", "c" * 600, 0.5)]), (2, True, None, None)]
+    second = [(3, True, "", [(1, "a", "b", None, None), (2, "x", "y", "z", 1.0)]), (4, False, None, [(1, "t", "u", "c", 1.0)]), (5, True, "one  two ", [])]
+    for i, part in enumerate((first, second)):
+        _chats(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(_chats(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = chat_sink.write_chats(events.chat_rows(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    both = _chats(spark, first + second)
+    sources = both.select("chat_id", F.explode("sources").alias("s")).select("chat_id", "s.*")
+    want = sorted(map(tuple, events.chat_events(sources, both.where("answered").select("chat_id", "answer")).collect()))
+    got = chat_sink.read_chats(spark, str(tmp_path / "out"))
+    assert {r["batch"] for r in got.select("batch").distinct().collect()} == {0, 1}
+    rows = sorted(map(tuple, got.select("chat_id", "seq", "event", "data").collect()))
+    assert [r for r in rows if r[3] != "[]"] == want  # a chat with an empty list of sources says so in the stream alone
+
+    writer = chat_sink.ChatWriter(str(tmp_path / "out"))  # the last batch once more, as after a failure before the checkpoint
+    again = writer.write(iter([{"chat_id": 9, "seq": 1, "event": "token", "data": "x"}]))
+    writer.commit([again, None], 1)
+    lost = writer.write(iter([{"chat_id": 9, "seq": 1, "event": "token", "data": "x"}]))
+    writer.abort([lost], 2)
+    assert sorted(map(tuple, chat_sink.read_chats(spark, str(tmp_path / "out")).select("chat_id", "seq", "event", "data").collect())) == rows
+    assert len(list((tmp_path / "out" / "files").glob("*.jsonl"))) <= 4
+
+
+def test_server_sent_text(spark):
+    from corpusloom.streaming import events
+
+    rows = spark.createDataFrame([(1, 1, "token", "a\nb")], "chat_id long, seq int, event string, data string")
+    assert events.sse(rows).first()["text"] == "event: token\ndata: a\ndata: b\n\n"
+
+
+def test_upsert_ties_are_the_same_each_time(spark):
+    from corpusloom.operators import pages
+
+    old = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old")], "key string, at int, v string")
+    new = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("c", 1, "new")], "key string, at int, v string")
+    got = {tuple(r) for r in pages.upsert(old, new.repartition(3), "key", "at").collect()}
+    assert got == {tuple(r) for r in pages.upsert(old, new.coalesce(1), "key", "at").collect()}
+    assert {(k, v) for k, _, v in got if k != "a"} == {("b", "old"), ("c", "new")} and {v for k, _, v in got if k == "a"} <= {"x", "y"}
