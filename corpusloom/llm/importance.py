@@ -119,7 +119,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None
     ``keep_share`` of the rows are selected, by default the share of good documents among the labelled ones used.
     Rows that tie with the last one selected are selected too (repeated rows share doc_id and so
     noise). Null and empty texts have log weight 0, a null doc_id hashes as -1. Without good
-    labelled documents all weights are 0. An empty table gives an empty result.
+    labelled documents all weights are 0. Texts are counted whole, however long; further columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     docs = doc_columns(docs)

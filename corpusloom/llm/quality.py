@@ -187,7 +187,8 @@ def op1_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and quality (the calibrated probability) per row.
 
     Null and empty texts have no words and fail the base rules. Without labels of both classes the
-    verdict is the one class there is, or to keep. An empty table gives an empty result.
+    verdict is the one class there is, or to keep. Repeated rows come repeated, each with the same numbers; a null doc_id
+    stays null and teaches nothing. Texts are scored whole, however long. Further columns are ignored, whatever their names. An empty table gives an empty result.
     """
     model = train(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**(BITS + 1) weights

@@ -104,6 +104,8 @@ class TextPrefixes:
         self.parts: list[tuple[int, int, str]] = []  # where a stretch without special strings begins, tokens before it, the stretch
         at = before = 0
         self._tables: list[tuple[np.ndarray, np.ndarray, list[list[int]]]] = []
+        self._places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # bytes before each code point, white space, where its run begins
+        self._runs: dict[tuple[int, int], list[int]] = {}  # counts of the prefixes of runs of white space
         for i, part in enumerate(text.split(SPECIAL)):
             if i:
                 at, before = at + len(SPECIAL), before + 1
@@ -114,6 +116,10 @@ class TextPrefixes:
             widths = [len(data[a:b].decode()) for a, b in zip(p.starts.tolist(), p.ends.tolist(), strict=True)]
             self.parts.append((at, before, part))
             self._tables.append((np.cumsum([0, *widths]), sums, tables))
+            cp = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+            space = classes("tokenizers")[cp] == _SPACE
+            width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+            self._places.append((np.append(0, np.cumsum(width)), space, np.maximum.accumulate(np.where(space, 0, np.arange(1, len(cp) + 1))) if len(cp) else cp))
             at, before = at + len(part), before + int(sums[-1])
         self.total = before
 
@@ -127,18 +133,19 @@ class TextPrefixes:
         bounds, sums, tables = self._tables[k]
         if n <= 0:
             return before
-        kind = classes("tokenizers")
-        if kind[ord(part[n - 1])] == _SPACE:  # white space at the end is one pretoken
-            a = n
-            while a and kind[ord(part[a - 1])] == _SPACE:
-                a -= 1
+        place, space, start = self._places[k]
+        if space[n - 1]:  # white space at the end is one pretoken, and so is each prefix of its run
+            a = int(start[n - 1])
+            if (k, a) not in self._runs:
+                rest = np.flatnonzero(~space[n - 1 :])
+                self._runs[k, a] = self.counter.counts(part[a : n - 1 + int(rest[0]) if len(rest) else len(part)].encode())
             i = int(np.searchsorted(bounds, a))
-            return before + int(sums[i]) + self.counter.counts(part[a:n].encode())[-1]
+            return before + int(sums[i]) + self._runs[k, a][int(place[n] - place[a])]
         i = int(np.searchsorted(bounds, n)) - 1
-        head = part[bounds[i] : n]
-        if n < bounds[i + 1] and len(head) == 2 and head[0] == "'" and part[bounds[i] : bounds[i + 1]] in ("'re", "'ve", "'ll"):
+        at = int(bounds[i])
+        if n < bounds[i + 1] and n - at == 2 and part[at] == "'" and part[at : bounds[i + 1]] in ("'re", "'ve", "'ll"):
             return before + int(sums[i]) + 2  # half a contraction is a mark and a letter
-        return before + int(sums[i]) + tables[i][len(head.encode())]
+        return before + int(sums[i]) + tables[i][int(place[n] - place[at])]
 
     def longest(self, budget: int) -> int:
         """The longest prefix, in code points, of at most ``budget`` tokens."""

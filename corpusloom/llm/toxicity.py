@@ -117,10 +117,15 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names.
+
+    Texts are scored whole, however long; null and empty texts get the score of no feature. Repeated rows share their fate. A row with a null doc_id is scored like
+    others but teaches nothing. Without labels nothing goes; an empty table gives an empty result.
+    """
     return toxic_scores(docs, labels).where("predicted = 0").select("row.*")
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted per row; see ``drop_toxic`` for nulls, repeats, long texts and empty tables. held_out is null where doc_id is; further columns are ignored."""
     found = toxic_scores(docs.select("doc_id", "text"), labels)
     return found.select(F.col("row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")

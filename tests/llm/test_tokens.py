@@ -136,3 +136,21 @@ def test_cut(n):
     parts = packing.cut(n, 2048)
     assert sum(x for _, x in parts) == n and [a for a, _ in parts] == [0, *np.cumsum([x for _, x in parts])[:-1].tolist()]
     assert all(x == 2048 for _, x in parts[1:]) and 0 < parts[0][1] <= 2048
+
+
+def test_prefix_counts_of_long_runs_grow_in_proportion():
+    import time
+
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.tokencounts import TextPrefixes
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 50 + "a  b\u3000\u3000 \n\n\t\t x  ", "don't we're 'll  <|endoftext|>   z\n", "\xe9  \u65e5\u672c \U0001f600  "):
+        p = TextPrefixes(text)
+        assert [p.count(n) for n in range(len(text) + 1)] == [len(library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    for text in (" " * 100_000, "\n" * 50_000 + "x", "=" * 100_000):
+        began = time.process_time()
+        p = TextPrefixes(text)
+        counts = [p.count(n) for n in range(0, len(text) + 1)]
+        assert counts[0] == 0 and counts[-1] == p.total and time.process_time() - began < 20
