@@ -29,7 +29,7 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A longer phrase with at least this share, in per cent, of a phrase's occurrences stands for it.
 SHARE = 80
 #: Positions from which a shard is closed, pairs of blocks joined at a time, bits of a filter.
-POSITIONS, JOINED, BITS = 1 << 18, 1 << 18, 1 << 27
+POSITIONS, JOINED, BITS = 1 << 17, 1 << 18, 1 << 27
 _BUCKET = 1 << 15  # bits of a part of Spark's bitmaps
 
 _GAP, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -231,7 +231,7 @@ def shard_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, Bitmaps]:
 
 _SHARD = "lang string, words array<string>, counts array<long>, blocks array<int>, places binary, bits binary"
 #: Bytes of text that make a shard of about POSITIONS words, and that a task holds back at most before it closes the largest.
-_TEXT, _HELD = POSITIONS * 6, POSITIONS * 256
+_TEXT, _HELD = POSITIONS * 6, POSITIONS * 384
 #: Bits of a part of the cells, at most 24, and cells that a task holds.
 _CELL_BITS, _MET = 20, 1 << 20
 _ROW_GROUP = 8 << 20  # bytes of a row group of stored shards, which a reader holds whole
