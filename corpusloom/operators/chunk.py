@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -12,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 from corpusloom.functions import splitting
 from corpusloom.functions.chunking import chunks_of, encoded
 from corpusloom.functions.stem import stem
+from corpusloom.functions.text import tokens
 
 _STRINGS = ArrayType(StringType())
 
@@ -31,13 +31,17 @@ def stemmed(term: pd.Series) -> pd.Series:
     return term.map(stem, na_action="ignore")
 
 
-_TOKENS = re.compile("[a-z0-9]+")
+@F.arrow_udf(_STRINGS)
+def _stems(words: pa.Array) -> pa.Array:
+    flat = words.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+    offsets = words.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), stems.take(flat.indices))
 
 
-@F.pandas_udf(_STRINGS)
-def stemmed_tokens(text: pd.Series) -> pd.Series:
-    """The stems of a text's lower-cased tokens, in their order; a worker remembers the stems of the tokens it met last."""
-    return text.map(lambda t: [stem(w) for w in _TOKENS.findall((t or "").lower())])
+def stemmed_tokens(text: Column) -> Column:
+    """The stems of a text's lower-cased tokens, in their order. Tokens are found in the JVM, and stemmed once for an Arrow batch."""
+    return _stems(tokens(F.coalesce(text, F.lit(""))))
 
 
 def _exploded(parts: DataFrame, total: str, index: str) -> DataFrame:

@@ -6,9 +6,10 @@ can move before chunking; chunk predicates come after headings are merged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_any, dedup_key, hits, lines, non_ascii_share, strip
@@ -156,6 +157,33 @@ def removed_counts(chunks: DataFrame, blocked: DataFrame | None = None, oversize
     return counted(before).unionByName(counted(merged)).unionByName(joined).unionByName(rest.agg(F.lit("duplicate").alias("step"), F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))).where("removed > 0")
 
 
+def clean_counted(chunks: DataFrame, blocked: DataFrame | None = None, oversized: list[str] | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``clean`` with counters along the way, and what reads them once an action has run: what each step took away, as ``removed_counts`` says.
+
+    The lines are read and cleaned once. Counters are Spark's observations: tasks that run again after the loss of an executor count again,
+    so ``removed_counts`` is the one for exact figures on a cluster that loses some.
+    """
+    tell = lambda steps: [F.count_if(F.col("_step") == n).alias(n) for n in steps]
+    first, second, third = (Observation() for _ in range(3))
+    named = lambda steps: reduce(lambda w, s: w.when(s[1], s[0]), list(steps.items())[1:], F.when(*reversed(next(iter(steps.items())))))
+    documents, parts = document_steps(F.col("doc_id"), oversized), chunk_steps(F.col("content"), F.col("doc_id"))
+    marked = chunks.withColumn("_step", named(documents))
+    if blocked is not None:
+        listed = blocked.select("doc_id", F.lit("blocked").alias("_blocked")).distinct()
+        marked = marked.join(listed, "doc_id", "left").withColumn("_step", F.coalesce("_step", "_blocked")).drop("_blocked")
+    seen = marked.observe(first, *tell([*documents, "blocked"]), F.count_if(F.col("_step").isNull()).alias("kept"))
+    merged = merge_headings(seen.where("_step is null").drop("_step")).withColumn("_step", named(parts))
+    merged = merged.observe(second, *tell(parts), F.count("*").alias("all"), F.count_if(F.col("_step").isNull()).alias("kept"))
+    last = dedup_by_content(merged.where("_step is null").drop("_step"), "doc_id", "chunk_index").observe(third, F.count("*").alias("kept"))
+
+    def counts() -> dict[str, int]:
+        a, b, c = first.get, second.get, third.get
+        found = {n: a[n] for n in [*documents, "blocked"]} | {"merge": a["kept"] - b["all"]} | {n: b[n] for n in parts} | {"duplicate": b["kept"] - c["kept"]}
+        return {n: v for n, v in found.items() if v}
+
+    return reindex(last), counts
+
+
 def step_counts(chunks: DataFrame) -> DataFrame:
     """Rows that each chunk predicate would remove, in one pass."""
     c, d = F.col("content"), F.col("doc_id")

@@ -93,7 +93,11 @@ def runs(n: int, make: Callable[[int], DataFrame], run: str = "run") -> DataFram
 
 def run_aggregates(facts: DataFrame, run: str = "run", *, key: str = "metric") -> DataFrame:
     """metric, n, mean, std, ci_95_low, ci_95_high over runs: of each run's attribution counts and coverages. facts: run, in_retrieval, in_generation."""
-    each = attribution_counts(facts, run)
+    return over_runs(attribution_counts(facts, run), run, key)
+
+
+def over_runs(each: DataFrame, run: str = "run", key: str = "metric") -> DataFrame:
+    """``run_aggregates`` from each run's attribution counts, which may have been kept from before."""
     names = ["retrieval_coverage", "generation_coverage", "generation_given_retrieval", "covered", "generation_miss", "retrieval_miss", "hallucinated"]
     return run_stats(each.unpivot([run], names, key, "value").withColumn("value", F.col("value").cast("double")), "value", key)
 

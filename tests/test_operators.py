@@ -292,3 +292,13 @@ def test_long_documents_keep_their_sentences(spark, tmp_path):
     spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     ids = _corpus(spark, str(tmp_path)).sentences.select("id", "doc")
     assert ids.where("doc = 1").count() > 100_000 and ids.select("id").distinct().count() == ids.count()
+
+
+def test_counts_along_the_way_equal_those_of_the_passes(spark, data):
+    from corpusloom.plans import text
+
+    chunks, *rest = text._cleaned(spark, data)
+    cleaned, counts = clean.clean_counted(chunks, *rest)
+    got = sorted(map(tuple, cleaned.select("doc_id", "chunk_index", "content").collect()))
+    assert got == sorted(map(tuple, clean.clean(chunks, *rest).select("doc_id", "chunk_index", "content").collect()))
+    assert counts() == {r["step"]: r["removed"] for r in clean.removed_counts(chunks, *rest).collect()}

@@ -140,3 +140,29 @@ def test_upsert_ties_are_the_same_each_time(spark):
     got = {tuple(r) for r in pages.upsert(old, new.repartition(3), "key", "at").collect()}
     assert got == {tuple(r) for r in pages.upsert(old, new.coalesce(1), "key", "at").collect()}
     assert {(k, v) for k, _, v in got if k != "a"} == {("b", "old"), ("c", "new")} and {v for k, _, v in got if k == "a"} <= {"x", "y"}
+
+
+def test_results_that_arrive_in_two_files_give_the_same_aggregates(spark, tmp_path):
+    import json
+    import random
+
+    from corpusloom.operators import evaluate
+    from corpusloom.streaming import results
+
+    r = random.Random(4)
+    rows = [(r.randint(1, 3), r.random() < 0.6, r.random() < 0.5) for _ in range(300)]
+    keys = ("run", "in_retrieval", "in_generation")
+    (tmp_path / "in").mkdir()
+    put = lambda name, part: (tmp_path / "in" / name).write_text(json.dumps([dict(zip(keys, x, strict=True)) for x in part]))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    assert results.kept_aggregates(spark, out) is None
+    for i, part in enumerate((rows[:120], rows[120:200], rows[200:])):  # each time the query starts again from its checkpoint
+        put(f"r{i}.json", part)
+        query = results.keep_counts(results.fact_stream(spark, str(tmp_path / "in")), out, check)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        seen = spark.createDataFrame(rows[: (120, 200, 300)[i]], results.FACTS)
+        assert sorted(map(tuple, results.kept_aggregates(spark, out).collect())) == sorted(map(tuple, evaluate.run_aggregates(seen).collect()))
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= results.KEPT
