@@ -26,10 +26,12 @@ from corpusloom.functions.text import tokens
 from corpusloom.operators.retrieval import EPSILON, K1, QUERY_BLOCK, QUERY_CELLS, B, Terms, _Best, ranked
 from corpusloom.storage import delete
 
+#: Tokens whose postings are counted together.
+TOKENS = 1 << 18
 #: Documents of a range, buckets of terms, bytes of a row group of postings (small ones let a search skip more), queries scored together, least ids that are remembered for queries with few matches.
 RANGE, BUCKETS, ROW_GROUP, QUERIES, FIRST = 4096, 64, 4 << 20, 64, 1000
 
-POSTINGS, TERMS, DOCUMENTS = "term string, part int, ids array<long>, counts array<int>, lengths array<int>, most double, bucket int", "term string, df long, bucket int", "id long, part int, length int"
+POSTINGS, TERMS, DOCUMENTS = "term string, part int, ids array<long>, counts array<int>, lengths array<int>, most double, bucket int", "term string, df long, bucket int", "id long, part int"
 
 
 @dataclass
@@ -57,7 +59,7 @@ class Bm25Index:
 
     @property
     def documents(self) -> DataFrame:
-        """id, part, length."""
+        """id, part."""
         return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/documents")
 
     @classmethod
@@ -76,51 +78,66 @@ def bucket_of(term: str, buckets: int) -> int:
     return (h - (h >> 63 << 64)) % buckets
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, part, id, count, length for the distinct terms of each document; batches of id, part, terms."""
-    for batch in batches:
-        lists = pa.concat_arrays([batch.column(2)])
-        sizes = np.diff(lists.offsets.to_numpy())
-        words = lists.flatten().dictionary_encode()
-        if not len(words):
-            continue
-        owner, n = np.repeat(np.arange(batch.num_rows), sizes), len(words.dictionary)
-        cells, counts = np.unique(owner * n + words.indices.to_numpy().astype(np.int64), return_counts=True)
-        row = cells // n
-        columns = [words.dictionary.take(pa.array(cells % n)), batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(counts.astype(np.int32)), pa.array(sizes[row].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "part", "id", "count", "length"])
+def _counted(low: list[int] | None):
+    """term, part, id, count, length for the distinct terms of each document; batches of id, terms and, where the parts' first ids are not given, part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            ids = batch.column(0).to_numpy()
+            parts = batch.column(2).to_numpy() if low is None else np.searchsorted(np.array(low, np.int64), ids, side="right") - 1
+            cut = np.cumsum(sizes) // TOKENS  # documents of about so many tokens, or one, at a time
+            bounds = [0, *(np.flatnonzero(cut[1:] != cut[:-1]) + 1).tolist(), len(cut)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                lists = pa.concat_arrays([batch.column(1).slice(lo, hi - lo)])
+                words = lists.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                n = len(words.dictionary)
+                cells, counts = np.unique(np.repeat(np.arange(lo, hi), sizes[lo:hi]) * n + words.indices.to_numpy().astype(np.int64), return_counts=True)
+                row = cells // n
+                columns = [words.dictionary.take(pa.array(cells % n)), *(pa.array(x) for x in (parts[row].astype(np.int32), ids[row], counts.astype(np.int32), sizes[row].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "part", "id", "count", "length"])
+
+    return run
 
 
 def build(docs: DataFrame, path: str, terms: Terms = tokens, size: int = RANGE, buckets: int = BUCKETS) -> Bm25Index:
     """Write the index of docs (id, content) to ``path``, which must not exist, and return it.
 
-    Texts are read twice: for their ids and lengths, and for their postings. Postings are shuffled once, by ranges of (bucket, part, term), so a frequent term is
-    spread over as many tasks as it has parts. A null text has no terms; ids must be distinct; documents without an id are left out.
+    Texts are read once, after a pass over the ids. Postings are shuffled once, by ranges of (bucket, part, term), so a frequent term is
+    spread over as many tasks as it has parts; they are written twice, as their greatest gains need the mean length. A null text has no terms; ids must be distinct; documents without an id are left out.
     """
     spark = docs.sparkSession
-    rows = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    rows = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "content")
     # ranges of ids: parts of an order by id count what comes before them
-    sized = rows.select("id", F.size("terms").alias("length")).repartitionByRange("id").sortWithinPartitions("id")
-    sized.withColumn("at", F.spark_partition_id()).write.parquet(f"{path}/sized")
-    sized = spark.read.schema("id long, length int, at int").parquet(f"{path}/sized")
+    rows.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.spark_partition_id()).write.parquet(f"{path}/ids")
+    ids = spark.read.schema("id long, at int").parquet(f"{path}/ids")
     w = Window.orderBy("at")  # a row for each task
-    before = sized.groupBy("at").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
+    before = ids.groupBy("at").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("at").orderBy("id")) - 1 + F.col("before")
-    sized.join(F.broadcast(before), "at").select("id", F.floor(number / size).cast("int").alias("part"), "length").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/documents")
-    delete(spark, f"{path}/sized")
+    ids.join(F.broadcast(before), "at").select("id", F.floor(number / size).cast("int").alias("part")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/documents")
+    delete(spark, f"{path}/ids")
     known = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")
-    whole = known.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
-    n, mean = whole["n"], ((whole["length"] or 0) / whole["n"] if whole["n"] else 0) or 1.0
-
-    edges = known.groupBy("part").agg(F.min("id").alias("low"))  # a row for each range of documents
-    placed = _with_part(rows, edges, known)
-    each = placed.select("id", "part", "terms").mapInArrow(_counted, "term string, part int, id long, count int, length int")
-    spread = each.withColumn("bucket", _bucket("term", buckets)).repartitionByRange("bucket", "part", "term").sortWithinPartitions("bucket", "part", "term", "id")
-    gain = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("length") / mean))
-    listed = F.array_sort(F.collect_list(F.struct("id", "count", "length")))
-    lists = spread.groupBy("bucket", "part", "term").agg(listed.alias("p"), F.max(gain).alias("most"))  # at most ``size`` postings
-    lists = lists.select("bucket", "term", "part", F.col("p.id").alias("ids"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), "most")
-    lists.sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    n = known.count()
+
+    listed = rows.select("id", terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    low = None
+    if n <= EDGES * size:
+        low = [r["low"] for r in known.groupBy("part").agg(F.min("id").alias("low")).orderBy("part").collect()]
+    else:
+        listed = listed.join(known, "id")
+    each = listed.mapInArrow(_counted(low), "term string, part int, id long, count int, length int")
+    spread = each.withColumn("bucket", _bucket("term", buckets)).repartitionByRange("bucket", "part", "term")
+    lists = spread.groupBy("bucket", "part", "term").agg(F.array_sort(F.collect_list(F.struct("id", "count", "length"))).alias("p"))  # at most ``size`` postings
+    lists.select("term", "part", F.col("p.id").alias("ids"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), "bucket").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/lists")
+    lists = spark.read.schema("term string, part int, ids array<long>, counts array<int>, lengths array<int>, bucket int").parquet(f"{path}/lists")
+    length = lists.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    mean = (length / n if n else 0) or 1.0
+    gain = F.zip_with("counts", "lengths", lambda tf, own: tf * (K1 + 1) / (tf + K1 * (1 - B + B * own / mean)))
+    whole = lists.select("term", "part", "ids", "counts", "lengths", F.array_max(gain).alias("most"), "bucket")
+    whole.repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    delete(spark, f"{path}/lists")
     df = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
     df.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     weight = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -130,21 +147,6 @@ def build(docs: DataFrame, path: str, terms: Terms = tokens, size: int = RANGE,
     return Bm25Index(spark, path, n, mean, mean_weight, buckets, first, terms)
 
 
-def _with_part(rows: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with the part of their id. The first ids of the parts go to the tasks (8 bytes for RANGE documents) where they are few enough, else a join."""
-    if edges.count() > EDGES:
-        return rows.join(known.select("id", "part"), "id")
-    held = [r["low"] for r in edges.orderBy("part").collect()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.array(held, np.int64)
-        for b in batches:
-            part = np.searchsorted(low, b.column(0).to_numpy(), side="right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32))], ["id", "terms", "part"])
-
-    return rows.mapInArrow(run, "id long, terms array<string>, part int")
-
-
 #: First ids of parts that are sent to the tasks (a megabyte; half a billion documents), beyond which documents are joined with their parts.
 EDGES = 1 << 17
 

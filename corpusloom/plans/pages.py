@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import splitting
 from corpusloom.operators import chunk as K
 from corpusloom.operators import pages as P
+from corpusloom.operators.keyed import KeyedTable
 from corpusloom.plans.base import query, sentences_sql, table
+from corpusloom.storage import new_folder
 from corpusloom.streaming import events as S
 
 
@@ -136,6 +138,18 @@ def document_upsert(spark, sf_dir):
     return P.upsert(docs.select("doc_id", "source", F.lit(1).alias("v")), new, "doc_id", "v").select("doc_id", "source")
 
 
+@query("""
+WITH a AS (SELECT doc_id, source, 1 AS v FROM documents UNION ALL SELECT doc_id, concat(source, '+'), CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, source, v FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1""")
+def keyed_upsert(spark, sf_dir):
+    """A stored table, filled and then updated by newer and older rows."""
+    docs = table(spark, sf_dir, "documents")
+    kept = KeyedTable(spark, new_folder(spark, "documents"), "doc_id", "doc_id long, source string, v int")
+    kept.upsert(docs.select("doc_id", "source", F.lit(1).alias("v")), "v")
+    kept.upsert(docs.where("doc_id % 3 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), F.when(F.col("doc_id") % 2 == 0, 2).otherwise(0).alias("v")), "v")
+    return kept.rows
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(source, '+') ELSE source END AS source FROM documents""")
 def replace_by_key(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

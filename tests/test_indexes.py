@@ -50,6 +50,7 @@ def test_more_terms_and_queries_than_a_block(texts, asked, tmp_path, monkeypatch
     monkeypatch.setattr(bm25_index, "STEP", 7)
     monkeypatch.setattr(bm25_index, "QUERY_BLOCK", 10)
     monkeypatch.setattr(bm25_index, "EDGES", 2)
+    monkeypatch.setattr(bm25_index, "TOKENS", 50)
     assert hits(bm25_index.search(index, asked, 5)) == want
     assert hits(bm25_index.search(bm25_index.build(texts, str(tmp_path / "y"), size=20), asked, 5)) == want
 

@@ -166,3 +166,60 @@ def test_results_that_arrive_in_two_files_give_the_same_aggregates(spark, tmp_pa
         seen = spark.createDataFrame(rows[: (120, 200, 300)[i]], results.FACTS)
         assert sorted(map(tuple, results.kept_aggregates(spark, out).collect())) == sorted(map(tuple, evaluate.run_aggregates(seen).collect()))
     assert len(list((tmp_path / "out").glob("batch=*"))) <= results.KEPT
+
+
+def test_listings_are_followed_by_their_cursors(spark):
+    import json
+    from urllib.parse import parse_qs, urlsplit
+
+    from corpusloom.sources.listings import PagedListing
+
+    post = lambda i: {"kind": "t3", "data": {"id": f"p{i}", "subreddit": "s", "title": f"t{i}", "selftext": "x", "permalink": f"/p{i}", "score": i, "num_comments": 0, "created_utc": 1.0}}
+    pages = {("a", None): (["1", "2"], "c&1"), ("a", "c&1"): (["3"], "c2"), ("a", "c2"): (["4"], None), ("b", None): (["5"], "lost"), ("loop", None): (["6"], "x"), ("loop", "x"): (["7"], "x")}
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            parts = urlsplit(self.path)
+            found = pages.get((parts.path.strip("/"), parse_qs(parts.query).get("after", [None])[0]))
+            self.send_response(200 if found else 500)
+            self.end_headers()
+            if found:
+                self.wfile.write(json.dumps({"data": {"after": found[1], "children": [post(int(i)) for i in found[0]]}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        spark.dataSource.register(PagedListing)
+        read = spark.read.format("paged_listing").option("urls", f"{base}/a?limit=2 {base}/b {base}/loop").option("delay", "0")
+        rows = read.load().collect()
+        assert [(r["listing"].split("/")[3][:1], r["page"], r["value"] is None) for r in sorted(rows, key=lambda r: (r["listing"], r["page"]))] == [("a", 0, False), ("a", 1, False), ("a", 2, False), ("b", 0, False), ("b", 1, True), ("l", 0, False), ("l", 1, False)]
+        found = readers.posts(read.load().where("value is not null").select("value"))
+        assert sorted(r["id"] for r in found.collect()) == [f"p{i}" for i in range(1, 8)]
+        assert read.option("pages", "1").load().count() == 3
+    finally:
+        server.shutdown()
+
+
+def test_keyed_table_rewrites_touched_buckets_alone(spark, tmp_path):
+    from corpusloom.operators.keyed import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "t"), "key", "key string, at int, v string", buckets=8)
+    make = lambda rows: spark.createDataFrame(rows, "key string, at int, v string")
+    assert t.rows.count() == 0
+    t.upsert(make([(f"k{i}", 1, "first") for i in range(40)] + [(None, 1, "none"), ("k0", 0, "older")]), "at")
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    t.upsert(make([("k3", 2, "second"), ("k3", 0, "late"), ("new", 1, "third")]), "at")
+    after = files()
+    got = {r["key"]: r["v"] for r in t.rows.collect()}
+    assert got == {f"k{i}": "first" for i in range(40)} | {None: "none", "k3": "second", "new": "third"}
+    changed = {p.split("_bucket=")[1].split("/")[0] for p in set(before) ^ set(after)}
+    assert 1 <= len(changed) <= 2 and all(after[p] == n for p, n in before.items() if p in after)
+    t.replace(make([("k5", 1, "a"), ("k5", 1, "b")]))
+    assert sorted(r["v"] for r in t.rows.where("key = 'k5'").collect()) == ["a", "b"] and t.rows.count() == 43
+    t.upsert(make([]), "at")
+    assert t.rows.count() == 43
