@@ -39,6 +39,12 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, scale * np.sqrt((rest * rest).sum(axis=1))
 
 
+def squares(q: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Squared lengths of rounded vectors, infinite where they are out of range."""
+    with np.errstate(over="ignore"):
+        return (q.astype(np.float64) ** 2).sum(axis=1) * scale**2
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact products of int8 vectors: |a b| < 2**24 over WIDTH components."""
     out = np.zeros((len(a), len(b)))
@@ -60,7 +66,7 @@ class Heaps:
     def __init__(self, vectors: np.ndarray, k: int):
         self.x, self.k = vectors, k
         self.q, self.scale, self.error = rounded(vectors)
-        self.square = (self.q.astype(np.float64) ** 2).sum(axis=1) * self.scale**2
+        self.square = squares(self.q, self.scale)
         self.d = np.full((len(vectors), k), np.inf)
         self.id = np.full((len(vectors), k), np.iinfo(np.int64).max)
         self.node = np.full((len(vectors), k), -1)
@@ -68,7 +74,7 @@ class Heaps:
 
     def take(self, vectors: np.ndarray, ids: np.ndarray, nodes: np.ndarray) -> None:
         q, scale, error = rounded(vectors)
-        square = (q.astype(np.float64) ** 2).sum(axis=1) * scale**2
+        square = squares(q, scale)
         for at in range(0, len(self.x), ROWS):
             own = slice(at, at + ROWS)
             with np.errstate(over="ignore", invalid="ignore"):
@@ -177,7 +183,7 @@ def _searched(k: int, kind: str):
 def nearest(vectors: DataFrame, k: int = NEAREST, asked: int = ASKED, queries: int = QUERIES, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest other vectors of each row of vectors (vec_id, embedding) whose vec_id is divisible by ``asked``.
 
-    Nearness is Euclidean distance in double precision, of equals the least vec_id comes first; fewer candidates than k are all returned. Vectors that are
+    Nearness is Euclidean distance in double precision, of equals the least vec_id comes first; fewer candidates than k are all returned; distances beyond the range of doubles are infinite, and tie. Vectors that are
     null, empty or zero or hold null or non-finite numbers take no part, nor do rows without vec_id; vectors of different lengths have no distance.
     Rows that repeat a vec_id: equal ones count once, different ones are candidates of their own, but never of a query of the same vec_id, which then gets the nearest to any of
     its vectors, each of which ranks its own. An empty table gives an empty result; further columns are ignored. Cells hold at most about ``queries`` queries and ``candidates`` candidates.
