@@ -40,7 +40,7 @@ def bags(words: pa.Array) -> np.ndarray:
     at = at[offsets[0] : offsets[-1]].astype(np.int64)
     owner = np.repeat(np.arange(len(words)), np.diff(offsets))
     sums = np.bincount(owner * DIMENSIONS + np.where(at < 0, -at - 1, at), np.where(at < 0, -1.0, 1.0), len(words) * DIMENSIONS)
-    return sums.reshape(len(words), DIMENSIONS)
+    return sums.astype(np.float64).reshape(len(words), DIMENSIONS)  # whole numbers come where there are no words
 
 
 @F.arrow_udf(ArrayType(FloatType()))
