@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom.functions.text import chatml, containment, contains_any, rag_system, tokens, unfenced
 
@@ -43,16 +43,16 @@ def bags(words: pa.Array) -> np.ndarray:
     return sums.astype(np.float64).reshape(len(words), DIMENSIONS)  # whole numbers come where there are no words
 
 
-@F.arrow_udf(ArrayType(FloatType()))
+@F.arrow_udf(ArrayType(DoubleType()))
 def _unit_bags(words: pa.Array) -> pa.Array:
     v = bags(words)
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    flat = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32).ravel()
+    flat = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).ravel()
     return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * DIMENSIONS), pa.array(flat))
 
 
 def hashed_bag(text: Column) -> Column:
-    """A unit vector of hashed words: the embedding where no model is given. Words are found and hashed in the JVM."""
+    """A unit vector of hashed words in double precision: the embedding where no model is given. Words are found and hashed in the JVM."""
     return _unit_bags(signed_buckets(F.col(text) if isinstance(text, str) else text))
 
 
