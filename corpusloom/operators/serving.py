@@ -72,7 +72,9 @@ def build_index(chunks: DataFrame, path: str, model: str = "hashed_bag") -> None
 
 
 def first_sentence(question: Column, context: Column) -> Column:
-    return F.coalesce(F.regexp_extract(context, r"^(?:\[Source[^\n]*\n)?([^.!?]*[.!?])", 1), F.lit(""))
+    """The first sentence of the first source, which ends where the next one is named; blank where that has no end of a sentence."""
+    own = F.split(F.regexp_replace(context, r"^\[Source[^\n]*\n", ""), r"\n\n---\n\n\[Source \d+: ", 2)[0]
+    return F.coalesce(F.regexp_extract(own, r"^([^.!?]*[.!?])", 1), F.lit(""))
 
 
 def context_of(results: DataFrame, chunks: DataFrame) -> DataFrame:
