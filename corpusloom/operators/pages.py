@@ -18,15 +18,23 @@ PARSED = StructType([StructField("title", StringType()), StructField("markdown",
 _QUESTION = StructType([StructField(n, StringType()) for n in ("question", "answer", "category")])
 
 
-@F.pandas_udf(PARSED)
-def parsed(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-    """Title, headings and links of the whole page; Markdown of its main part without noise."""
-    rows = []
-    for u, text in zip(url, html, strict=True):
-        root = H.parse(text)
-        found = (H.title(root), H.headings(root), H.links(root, u or ""), H.pdf_links(root, u or ""))
-        rows.append((found[0], H.markdown(H.without_noise(H.main_part(root))), *found[1:]))
-    return pd.DataFrame(rows, columns=["title", "markdown", "headings", "links", "pdf_links"])
+def parsed_by(references: tuple[str, ...] | None = None):
+    """A UDF of url and html that gives ``PARSED``; ``references`` as in ``html.parse``."""
+
+    @F.pandas_udf(PARSED)
+    def parsed(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+        """Title, headings and links of the whole page; Markdown of its main part without noise."""
+        rows = []
+        for u, text in zip(url, html, strict=True):
+            root = H.parse(text, references)
+            found = (H.title(root), H.headings(root), H.links(root, u or ""), H.pdf_links(root, u or ""))
+            rows.append((found[0], H.markdown(H.without_noise(H.main_part(root))), *found[1:]))
+        return pd.DataFrame(rows, columns=["title", "markdown", "headings", "links", "pdf_links"])
+
+    return parsed
+
+
+parsed = parsed_by()
 
 
 @F.pandas_udf(ArrayType(_QUESTION))
