@@ -49,9 +49,18 @@ def documents_of(pages: DataFrame, source: str, least: int = 50) -> DataFrame:
     return p.select(slug_id(F.lit(source), F.substring_index("url", "//", -1)).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.col("p.title").alias("title"), F.col("p.headings").alias("section_headers"), c.alias("content"), content_type(F.col("url")).alias("content_type"), citations(c).alias("legal_citations"), content_hash(c).alias("content_hash"))
 
 
+#: Parts, for each core, that pages are dealt out to before they are parsed.
+DEALT = 4
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Pages spread over all cores: they compress well, so a file of a few megabytes, which is read as one part, may hold a million."""
+    return pages.repartition(DEALT * pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def question_rows(pages: DataFrame, key: str = "url") -> DataFrame:
     """A row for each question with its answer, numbered within its page."""
-    rows = pages.select(key, F.posexplode(_questions("html")).alias("pos", "q")).select(key, "pos", "q.*")
+    rows = _dealt(pages.select(key, "html")).select(key, F.posexplode(_questions("html")).alias("pos", "q")).select(key, "pos", "q.*")
     return rows.withColumn("content", F.concat(F.lit("**Q: "), F.col("question"), F.lit("**\n\n"), F.col("answer")))
 
 
@@ -66,7 +75,7 @@ def faq_documents(pages: DataFrame, source: str, name: str, least: int = 200) ->
     none = F.expr("CAST(array() AS array<string>)")
     known = F.col("category") != ""
     items = q.select(slug_id(F.lit(source), F.concat(F.format_string("faq_%03d_", "pos"), slug)).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.when(known, F.concat(F.lit("["), "category", F.lit("] "), "question")).otherwise(F.col("question")).alias("title"), "content", F.lit("faq").alias("content_type"), F.when(known, F.array("category")).otherwise(none).alias("section_headers"))
-    whole = pages.select(slug_id(F.lit(source), F.lit("faq_full_page")).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.lit(name).alias("title"), _full_text("html").alias("content"), F.lit("faq").alias("content_type"), none.alias("section_headers"))
+    whole = _dealt(pages.select("url", "html")).select(slug_id(F.lit(source), F.lit("faq_full_page")).alias("doc_id"), F.col("url").alias("source_url"), F.lit(source).alias("source_name"), F.lit(name).alias("title"), _full_text("html").alias("content"), F.lit("faq").alias("content_type"), none.alias("section_headers"))
     return items.unionByName(whole.where(F.length("content") > least))
 
 
