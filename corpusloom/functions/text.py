@@ -33,7 +33,7 @@ RENTER_WORDS = "rent tenant evict lease landlord housing deposit voucher section
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0B"))
 
 
 def collapse(c: Column) -> Column:

@@ -149,12 +149,16 @@ def removed_counts(chunks: DataFrame, blocked: DataFrame | None = None, oversize
     if blocked is not None:
         listed = blocked.select("doc_id", F.lit("blocked").alias("_blocked")).distinct()
         before = before.join(listed, "doc_id", "left").withColumn("_step", F.coalesce("_step", "_blocked")).drop("_blocked")
-    kept = before.where("_step is null").drop("_step")
-    merged = merge_headings(kept).withColumn("_step", named(chunk_steps(F.col("content"), F.col("doc_id"))))
-    rest = merged.where("_step is null").groupBy(dedup_key(F.col("content")).alias("_k")).agg((F.count("*") - 1).alias("n"))
-    counted = lambda rows: rows.where("_step is not null").groupBy(F.col("_step").alias("step")).agg(F.count("*").alias("removed"))
-    joined = kept.agg(F.count("*").alias("n")).crossJoin(merged.agg(F.count("*").alias("m"))).select(F.lit("merge").alias("step"), (F.col("n") - F.col("m")).alias("removed"))  # one row each
-    return counted(before).unionByName(counted(merged)).unionByName(joined).unionByName(rest.agg(F.lit("duplicate").alias("step"), F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))).where("removed > 0")
+    merged = merge_headings(before.where("_step is null").drop("_step")).withColumn("_step", named(chunk_steps(F.col("content"), F.col("doc_id"))))
+    lines_ = before.groupBy("_step").agg(F.count("*").alias("n"))
+    keyed = merged.groupBy("_step", F.when(F.col("_step").isNull(), dedup_key(F.col("content"))).alias("_k")).agg(F.count("*").alias("n"))
+    chunks_ = keyed.groupBy("_step").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("again"))
+    # each side is computed once: its rows (a few steps) tell what went, and what was merged from the one side to the other
+    row = lambda step, n: F.struct(step.alias("step"), n.alias("removed"))
+    step, n = F.col("_step"), F.col("n")
+    first = lines_.select(row(F.coalesce(step, F.lit("merge")), n).alias("r"))
+    second = chunks_.select(F.explode(F.array(row(F.lit("merge"), -n), row(F.coalesce(step, F.lit("duplicate")), F.when(step.isNull(), F.col("again")).otherwise(n)))).alias("r"))
+    return first.unionByName(second).select("r.*").groupBy("step").agg(F.sum("removed").alias("removed")).where("removed > 0")
 
 
 def clean_counted(chunks: DataFrame, blocked: DataFrame | None = None, oversized: list[str] | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
