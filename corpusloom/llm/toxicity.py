@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, map_text, ship_package
+from corpusloom.llm.common import as_bytes, map_text, ship_package, trim
 from corpusloom.llm.textkernel import PUNCTUATION, Texts, mix
 from corpusloom.llm.training import labelled, sample, sigmoid
 
@@ -93,7 +93,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     ship_package(docs.sparkSession)
     rows, y, _ = sample(labelled(docs, labels, "toxic", max_rows, f"NOT ({HELD_OUT})"), feature_sets)
     chosen = ftrl(rows, y, 1 << BITS, alpha=1.0, l1=4.0, l2=0.1, epochs=1).weights != 0
-    return ftrl([x[chosen[x]] for x in rows], y, 1 << BITS, alpha=2.0, l1=0.1, l2=0.01, epochs=10)
+    rows = [x[chosen[x]] for x in rows]
+    trim()  # the driver lives on, and what follows needs none of the sample
+    model = ftrl(rows, y, 1 << BITS, alpha=2.0, l1=0.1, l2=0.01, epochs=10)
+    del rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
