@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators.retrieval import EPSILON, K1, QUERY_BLOCK, QUERY_CELLS, B, Terms, _Best, ranked
+from corpusloom.session import small_batches, trim
 from corpusloom.storage import delete
 
 #: Tokens whose postings are counted together.
@@ -98,6 +99,7 @@ def _counted(low: list[int] | None):
                 row = cells // n
                 columns = [words.dictionary.take(pa.array(cells % n)), *(pa.array(x) for x in (parts[row].astype(np.int32), ids[row], counts.astype(np.int32), sizes[row].astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "part", "id", "count", "length"])
+        trim()
 
     return run
 
@@ -109,6 +111,7 @@ def build(docs: DataFrame, path: str, terms: Terms = tokens, size: int = RANGE,
     spread over as many tasks as it has parts; they are written twice, as their greatest gains need the mean length. A null text has no terms; ids must be distinct; documents without an id are left out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "content")
     # ranges of ids: parts of an order by id count what comes before them
     rows.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.spark_partition_id()).write.parquet(f"{path}/ids")
@@ -173,11 +176,15 @@ class _Scorer:
         ids, counts, lengths = (c.flatten().to_numpy() for c in lists)
         owner = np.repeat(term, np.diff(lists[0].offsets.to_numpy()))
         order = np.lexsort((owner, ids))
-        ids, owner = ids[order], owner[order]
-        tf, length = counts[order].astype(np.float64), lengths[order]
+        starts = np.flatnonzero(np.append(True, ids[order[1:]] != ids[order[:-1]]))
+        for i in range(0, len(starts), DOCS):  # what is held of documents by queries grows with neither
+            part = order[starts[i] : starts[i + DOCS] if i + DOCS < len(starts) else None]
+            self._score(np.flatnonzero(live), ids[part], owner[part], counts[part].astype(np.float64), lengths[part])
+
+    def _score(self, asked: np.ndarray, ids: np.ndarray, owner: np.ndarray, tf: np.ndarray, length: np.ndarray) -> None:
+        """Postings of some documents, in order of documents and terms."""
         gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
         docs, at = np.unique(ids, return_inverse=True)
-        asked = np.flatnonzero(live)
         for q in range(0, len(asked), QUERIES):
             own = asked[q : q + QUERIES]
             weights, scores = self.weights[:, own], np.zeros((len(docs), len(own)))
@@ -185,7 +192,7 @@ class _Scorer:
                 part = at[i : i + STEP]
                 first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 scores[part[first]] += np.add.reduceat(gain[i : i + STEP, None] * weights[owner[i : i + STEP]], first, axis=0)
-            held = np.full((self.weights.shape[1], len(docs)), np.inf) if len(own) < len(live) else None
+            held = np.full((self.weights.shape[1], len(docs)), np.inf) if len(own) < self.weights.shape[1] else None
             values = -scores.T
             if held is not None:
                 held[own] = values
@@ -202,8 +209,8 @@ class _Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[own], len(docs))), pa.array(np.tile(docs, len(own))), pa.array(scores.ravel() + 0.0)], ["query_id", "id", "score"])
 
 
-#: Postings whose gains are spread over QUERIES queries at a time.
-STEP = 1 << 14
+#: Postings whose gains are spread over QUERIES queries at a time, and documents that are scored at a time.
+STEP, DOCS = 1 << 14, 512
 
 
 #: Terms that a search names to the Parquet reader, so that row groups without them are skipped; more are joined.
@@ -224,6 +231,7 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     of each query of a block and the postings of one range of documents at a time.
     """
     spark, mean = index.spark, index.mean
+    small_batches(spark)
     first = index.first[:k] if k <= len(index.first) or len(index.first) == index.n else [r["id"] for r in index.documents.orderBy("id").limit(k).select("id").collect()]
     first = np.array(first, np.int64)
     asked = queries.select("query_id", index.terms(F.coalesce("content", F.lit(""))).alias("terms"))
@@ -264,6 +272,7 @@ def search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
             if rest:
                 done()
             yield from scorer.batches(ids)
+            trim()
 
         rows = _of(index.postings.where(F.col("bucket").isin(buckets)), set(place)).select("part", "term", "most", "ids", "counts", "lengths")
         return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, numbered)

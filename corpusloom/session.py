@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -42,3 +45,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root))
     sc.addPyFile(str(target))
     sc._corpusloom_shipped = True
+
+
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults, for steps whose rows are long: a batch is held several times over.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for name, (default, own) in _BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: workers are kept for the next task, and so is their memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
