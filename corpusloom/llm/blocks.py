@@ -1,8 +1,9 @@
 """Candidates from buckets of sketches, shared by the near-duplicate operators.
 
 An entry is a point's place in one bucket: bucket, i, j, own (its block), node and the words of a sketch. Pairs of a bucket whose
-sketches differ in few bits are candidates. Where a bucket has many for its size, its points are close to one another, and
-pairs are not made: the candidates' spanning forest puts the points together. Buckets of more than CROWD entries are dealt out as blocks.
+sketches differ in few bits are candidates. Points of a bucket that these connect, with more pairs than points, are close to one another,
+and pairs are not made: the candidates' spanning forest puts the points together. So no bucket gives more rows than it has points, however
+many of these are near copies. Buckets of more than CROWD entries are dealt out as blocks.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, trim
+from corpusloom.llm.graph import joined
 from corpusloom.llm.textkernel import mix
 
-#: Bits of a sketch (whole numbers of 64), entries of a crowded bucket, candidates a point from which pairs are not made, rows compared at a time.
-SKETCH, CROWD, DENSE, _ROWS = 128, 2048, 8, 256
+#: Bits of a sketch (whole numbers of 64), entries of a crowded bucket, candidates a point beyond which pairs are not made, rows compared at a time,
+#: edges of forests that a task holds.
+SKETCH, CROWD, DENSE, _ROWS, _HELD = 128, 2048, 1, 256, 1 << 16
 SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
@@ -101,10 +104,20 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
     trim()
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least node of each component to its others."""
+    nodes, least = joined(a, b)
+    return least[nodes != least], nodes[nodes != least]
+
+
 def _candidates(bound: int):
-    """Pairs a, b of a bucket's close sketches; where there are many, the spanning forest of these, marked dense."""
+    """Pairs a, b of a bucket's close sketches; of points with more than DENSE pairs each, the spanning forest over a task's buckets, marked dense."""
+
+    def found(a: np.ndarray, b: np.ndarray, dense: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in runs(batches, 3):
             if part.num_rows < 2:
                 continue
@@ -118,12 +131,23 @@ def _candidates(bound: int):
             a, b = close(sketch, bound, cut)
             if not len(a):
                 continue
-            if dense := len(a) > DENSE * len(node):
-                root = roots(len(node), a, b)
-                a = np.flatnonzero(root != np.arange(len(root)))
-                b = root[a]
-            a, b = node[a], node[b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
+            root = roots(len(node), a, b)
+            dense = (np.bincount(root[a], minlength=len(node)) > DENSE * np.bincount(root, minlength=len(node)))[root]
+            few = ~dense[a]
+            if few.any():
+                yield found(node[a[few]], node[b[few]], False)
+            others = np.flatnonzero(dense & (root != np.arange(len(root))))
+            if len(others):
+                held.append((node[root[others]], node[others]))
+                size += len(others)
+            if size > _HELD:
+                held = [_forest(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > _HELD // 2:
+                    yield found(*held.pop(), True)
+                    size = 0
+        if held:
+            yield found(*_forest(*(np.concatenate(c) for c in zip(*held, strict=True))), True)
 
     return run
 

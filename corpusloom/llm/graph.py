@@ -67,6 +67,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, stored: bool = Fals
         edges, maps = following, [*maps, chosen]
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if n and len(maps) == 1:  # one task has named the least nodes
+        return maps[0].select("node", F.col("rep").alias("component"))
     labels = maps[0]
     for m in maps[1:]:
         step = m.select(F.col("node").alias("rep"), F.col("rep").alias("after"))

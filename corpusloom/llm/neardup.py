@@ -6,8 +6,9 @@ into blocks; two fingerprints that differ in fewer bits than there are blocks su
 shares none with a chance of at most MISS. Documents join on blocks, the Hamming distance is verified, first of SKETCH further bits, which
 travel along, then of the whole fingerprints (each puts aside a pair at the threshold with a chance of at most SKETCH_MISS), and the shingle sets of what is left decide exactly. A block's bits grow with the logarithm
 of the documents, so buckets keep their size. Documents of equal shingle sets are one point. Points of a bucket that are close to
-one another are not paired: groups of them are compared all by all, as blocks by blocks, of which only a spanning forest
-is given back. Components come from the distributed contraction.
+one another are not paired: groups of them are compared all by all, as blocks by blocks, first by their whole fingerprints, which
+parts them into groups of their own, then these by their shingle sets; each time only a spanning forest is given back.
+Components come from the distributed contraction.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import BUCKET_ROWS, SKETCH, binomial_bound, bucket_rows, candidates, dealt, roots, tables_for
+from corpusloom.llm.blocks import BUCKET_ROWS, SKETCH, binomial_bound, bucket_rows, candidates, close, dealt, roots, runs, tables_for
 from corpusloom.llm.common import Scratch, as_bytes, doc_columns, keep_one, map_text, parted, text_digest
 from corpusloom.llm.graph import connected_components
 from corpusloom.llm.simhash import shingle_hashes
 from corpusloom.llm.textkernel import mix
 
 SIZE, THRESHOLD, MISS, SKETCH_MISS = 5, 0.8, 1e-6, 1e-6
-#: Least bits of a block, documents that a bucket should have at most, points of a block of sets, shingles compared at a time.
-LEAST_BITS, BUCKET, BLOCK, COLUMNS = 12, 64, 256, 4096
+#: Least bits of a block, documents that a bucket should have at most, points of a block of fingerprints and of one of sets, shingles compared at a time.
+LEAST_BITS, BUCKET, PRINTS, BLOCK, COLUMNS = 12, 64, 2048, 256, 4096
 _AT_ONCE = 4096
 
 
@@ -113,6 +114,23 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], threshold: float) ->
     return nodes[root != nodes], root[root != nodes]
 
 
+def _alike(bound: int):
+    """Edges that connect what pairs of fingerprints connect that differ in at most ``bound`` bits; columns component, i, j, own, node, fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, 3):
+            block = part.column(3).to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, node = block[order], part.column(4).to_numpy()[order]
+            prints = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(node), -1)[order]
+            cut = None if part.column(1)[0] == part.column(2)[0] else int(np.searchsorted(block, block[0], side="right"))
+            root = roots(len(node), *close(prints, bound, cut))
+            others = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[others]]), pa.array(node[others])], ["a", "b"])
+
+    return run
+
+
 def _blocks(threshold: float):
     """Edges of groups' blocks; columns component, i, j, node, hashes."""
 
@@ -135,6 +153,12 @@ def _blocks(threshold: float):
     return run
 
 
+def _spread(groups: DataFrame, most: int) -> DataFrame:
+    """component, i, j, own, node: members of groups, dealt out as pairs of blocks of about ``most``."""
+    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / most).cast("int").alias("nb"))
+    return dealt(groups.join(counts, "component"), "nb").select("component", "i", "j", "own", "node")
+
+
 def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows, points). rows: doc_id, t, k1, k2 per row with a doc_id; points: k1, k2 (digest of the shingle set), rep (its least doc_id), part."""
     texts = doc_columns(docs).where("doc_id is not null").withColumn("t", text_digest())
@@ -161,12 +185,16 @@ def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tu
     points = scratch.store(points.withColumn("node", F.monotonically_increasing_id()), "points")  # numbers are as stored from here on
     entries = points.where("fp is not null").select("node", "fp").mapInArrow(entered, BUCKET_ROWS)
     near = candidates(scratch, entries, binomial_bound(SKETCH, apart(threshold), SKETCH_MISS))
-    groups = connected_components(scratch, near.where("dense").select("a", "b"))
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    loose = connected_components(scratch, near.where("dense").select("a", "b"))
+    of = lambda c: loose.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     pairs = near.where("NOT dense").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_part IS NULL OR b_part IS NULL OR a_part <> b_part").select("a", "b")
     prints = points.select("node", "fp")
     both = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
-    pairs = scratch.store(both.select("a", "b", "x", "y").mapInArrow(_close(binomial_bound(64 * words, apart(threshold), SKETCH_MISS)), "a long, b long"), "pairs")
+    bound = binomial_bound(64 * words, apart(threshold), SKETCH_MISS)
+    pairs = scratch.store(both.select("a", "b", "x", "y").mapInArrow(_close(bound), "a long, b long"), "pairs")
+    spread = _spread(loose, PRINTS).join(prints, "node").select("component", "i", "j", "own", "node", "fp")
+    spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    groups = connected_components(scratch, spread.mapInArrow(_alike(bound), "a long, b long").distinct())
 
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     wanted = scratch.store(points.join(met, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.t").alias("_t")), "wanted")
@@ -174,8 +202,7 @@ def _parts(scratch: Scratch, docs: DataFrame, size: int, threshold: float) -> tu
     sets = scratch.store(map_text(own.select("node", "text"), listed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     linked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
-    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    spread = dealt(groups.join(counts, "component"), "nb").select("component", "i", "j", "node").join(sets, "node")
+    spread = _spread(groups, BLOCK).join(sets, "node")
     spread = spread.select("component", "i", "j", "node", "hashes").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     edges = linked.unionByName(spread.mapInArrow(_blocks(threshold), "a long, b long").distinct())
     parts = connected_components(scratch, edges)
