@@ -85,7 +85,8 @@ def keep_separator_split(c: Column, separator: str) -> Column:
 
 
 def non_ascii_share(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[\x00-\x7F]", "")) / F.length(c)
+    """Not a number for an empty text, as in SQL."""
+    return F.when(F.length(c) == 0, float("nan")).otherwise(F.length(F.regexp_replace(c, r"[\x00-\x7F]", "")) / F.length(c))
 
 
 def hits(c: Column, pattern: str) -> Column:
